@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup
+from lectern.llm import exact_dedup, quality_rules
 
 
 def queries():
     return {
         "op5_exact_dedup": exact_dedup.query,
+        "op8_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql():
     return {
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op8_quality_rules": quality_rules.ORACLE,
     }
