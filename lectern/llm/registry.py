@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, quality_rules
+from lectern.llm import bpe, exact_dedup, quality_rules, token_store
 
 
 def queries():
     return {
         "op5_exact_dedup": exact_dedup.query,
+        "op6_token_store": token_store.query,
         "op7_bpe": bpe.query,
         "op8_quality_rules": quality_rules.query,
     }
