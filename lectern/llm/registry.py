@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, quality_rules, token_store
+from lectern.llm import bpe, exact_dedup, hmm, quality_rules, token_store
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op6_token_store": token_store.query,
         "op7_bpe": bpe.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_hmm": hmm.query,
     }
 
 

@@ -67,8 +67,11 @@ def _cut(data: np.ndarray, off: np.ndarray, at: int) -> int:
     return stop
 
 
-def hash_words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): document i has the words hashes[offsets[i]:offsets[i + 1]], in order. fold lower-cases A-Z."""
+def hash_words(column: pa.Array, fold: bool = True, tail_bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): document i has the words hashes[offsets[i]:offsets[i + 1]], in order.
+
+    fold lower-cases A-Z. The low tail_bits bits of a hash are those of the word's last byte.
+    """
     data, off = string_bytes(column)
     hashes, starts, at = [], [], 0
     while at < len(data):
@@ -86,7 +89,11 @@ def hash_words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
             size = np.diff(np.append(lead, len(index)))
             place = np.arange(len(index)) - np.repeat(lead, size)
             byte = (FOLD[seg[index]] if fold else seg[index]).astype(np.uint64) + np.uint64(1)
-            hashes.append(mix(np.add.reduceat(byte * powers(int(size.max()))[place], lead)))
+            value = mix(np.add.reduceat(byte * powers(int(size.max()))[place], lead))
+            if tail_bits:
+                low = np.uint64((1 << tail_bits) - 1)
+                value = (value & ~low) | ((byte[lead + size - 1] - np.uint64(1)) & low)
+            hashes.append(value)
             starts.append(first + at)
         at = end
     if not hashes:
@@ -108,3 +115,13 @@ def hash_shingles(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> tupl
         here = at + k
         total = total * np.uint64(BASE) + np.where(here < end, words[np.minimum(here, len(words) - 1)], np.uint64(0))
     return mix(total), out_off
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+    """Slices of a batch whose texts have about `limit` bytes each, at least one row each."""
+    _, off = string_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
