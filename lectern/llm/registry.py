@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, hmm, quality_rules, token_store
+from lectern.llm import bpe, exact_dedup, hmm, near_dedup, quality_rules, token_store
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op7_bpe": bpe.query,
         "op8_quality_rules": quality_rules.query,
         "op9_hmm": hmm.query,
+        "op10_minhash_dedup": near_dedup.query,
     }
 
 
