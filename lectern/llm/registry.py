@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, hmm, near_dedup, quality_rules, token_store
+from lectern.llm import bpe, exact_dedup, hmm, near_dedup, packing, quality_classifier, quality_rules, token_store, warc_archive
 
 
 def queries():
     return {
+        "op1_quality_classifier": quality_classifier.query,
+        "op3_warc": warc_archive.query,
+        "op4_packing": packing.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_token_store": token_store.query,
         "op7_bpe": bpe.query,
@@ -18,6 +21,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_warc": warc_archive.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
     }
