@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, hmm, near_dedup, packing, quality_classifier, quality_rules, token_store, warc_archive
+from lectern.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_store, warc_archive
 
 
 def queries():
     return {
         "op1_quality_classifier": quality_classifier.query,
+        "op2_line_dedup": line_dedup.query,
         "op3_warc": warc_archive.query,
         "op4_packing": packing.query,
         "op5_exact_dedup": exact_dedup.query,
@@ -21,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_line_dedup": line_dedup.ORACLE,
         "op3_warc": warc_archive.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
