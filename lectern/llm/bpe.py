@@ -40,6 +40,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def normal_form(text: str) -> str:
+    """NFC in lower case, letter by letter: lower-casing knows no context."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+        if "Σ" in text:
+            return "".join(map(str.lower, text))
+    return text.lower()
+
+
 def merge_ranked(parts: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the pair of least rank, leftmost first, until no adjacent pair has a rank."""
     none = (NEVER, 0)
@@ -133,10 +142,7 @@ class Bpe:
             if (known := self.added.get(piece)) is not None:
                 ids.append(known)
             elif piece:
-                # letter by letter: lower-casing knows no context
-                lower = unicodedata.normalize("NFC", piece)
-                lower = "".join(map(str.lower, lower)) if "Σ" in lower else lower.lower()
-                for word in self.pattern.findall(lower):
+                for word in self.pattern.findall(normal_form(piece)):
                     ids += self.encode_word(word)
         return tuple(ids)
 

@@ -21,7 +21,10 @@ doc_id are separate documents, in the order of their texts' digests. An empty ta
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,22 +32,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lectern.llm.bpe import ASCII_GAP, SEPARATORS, vocabulary_path
+from lectern.llm.bpe import ASCII_GAP, SEPARATORS, normal_form, vocabulary_path
 from lectern.llm.common import scratch, shuffle_partitions, stored, table
+from lectern.llm.words import by_bytes, mix
 
 END_ID = 1
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
-CACHE_SIZE = 300_000
+#: Most distinct segments and words that a worker remembers, in each of two generations.
+SEGMENTS, WORDS = 600_000, 300_000
+#: A run of these after letters is one word of its own.
+MARKS = string.punctuation
 PIECES = "array<struct<digest: binary, n: int>>"
 
 
 def _gear() -> np.ndarray:
-    from lectern.llm.words import mix
-
-    return mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1))
+    return (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
 
 
 GEAR = _gear()
@@ -56,10 +62,10 @@ def cut_points(ids: np.ndarray) -> list[int]:
     ends, at = [], 0
     if n > MIN_CHUNK:
         gear = GEAR[ids & 0xFFFF]
-        rolled = np.zeros(n, np.uint64)
-        for k in range(WINDOW):
-            rolled[k:] += gear[: n - k] << np.uint64(k)
-        hits = (np.flatnonzero((rolled >> np.uint64(WINDOW)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1).tolist()
+        rolled = gear.copy()
+        for k in range(1, WINDOW):
+            rolled[k:] += gear[: n - k] << np.uint32(k)
+        hits = (np.flatnonzero((rolled >> np.uint32(WINDOW)) & np.uint32((1 << MASK_BITS) - 1) == 0) + 1).tolist()
         for hit in hits:
             while hit - at > MAX_CHUNK:
                 at += MAX_CHUNK
@@ -84,29 +90,74 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+class Recent:
+    """A dictionary of two generations: what was used lately stays, and its size is bounded."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def missing(self, wanted: set) -> set:
+        """Those of `wanted` that are not known; the known ones are in `now` afterwards."""
+        out = wanted.difference(self.now)
+        if len(self.now) + len(out) > self.limit:
+            self.old, self.now, out = self.now, {}, wanted
+        if self.old:
+            found = out.intersection(self.old)
+            self.now.update(zip(found, map(self.old.__getitem__, found), strict=True))
+            out = out - found
+        return out
+
+
 class Encoder:
-    """Whole texts to id bytes. No token spans white space, so distinct segments go to the library once, in batches."""
+    """Whole texts to id bytes through the tokenizers library.
+
+    No token spans white space, and within a segment the file's pattern finds the words that the library's model
+    encodes one by one. So distinct words go to the library once, many to a call, and texts are put
+    together from them. Texts with an added token go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
+        split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.words = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}))
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]))
+        self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        self.by_segment, self.by_word = Recent(SEGMENTS), Recent(WORDS)
+
+    def _encode_words(self, new: list[str]) -> None:
+        width = array(self.code).itemsize
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            found = self.words.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = array(self.code, found.ids).tobytes()
+            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * width).tolist()
+            self.by_word.now.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _encode_segments(self, new: set[str]) -> None:
+        plain = [s for s in new if s.isalpha()]
+        marked = []
+        for s in new.difference(plain):
+            word = s.rstrip(MARKS)
+            marked.append((s, (word, s[len(word) :]) if word.isalpha() else self.pattern.findall(s)))
+        self._encode_words(list(self.by_word.missing({x for _, p in marked for x in p}.union(plain))))
+        now, known = self.by_segment.now, self.by_word.now
+        now.update(zip(plain, map(known.__getitem__, plain), strict=True))
+        now.update((s, b"".join(map(known.__getitem__, p))) for s, p in marked)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        segments = [ASCII_GAP.split(x) if SEPARATORS.search(x) else x.split() for x in texts]
-        distinct = set().union(*segments)
-        if len(self.cache) + len(distinct) > 2 * CACHE_SIZE:
-            self.cache = {k: v for k, v in self.cache.items() if k in distinct}
-        new = [x for x in distinct if x not in self.cache]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[x] = array(self.code, e.ids).tobytes()
         end = array(self.code, [END_ID]).tobytes()
-        return [b"".join(map(self.cache.__getitem__, s)) + end for s in segments]
+        special = {i: array(self.code, self.whole.encode(x, add_special_tokens=False).ids).tobytes() for i, x in enumerate(texts) if "<|" in x and self.added.search(x)}
+        low = ["" if i in special else normal_form(x) for i, x in enumerate(texts)]
+        segments = [ASCII_GAP.split(x) if SEPARATORS.search(x) else x.split() for x in low]
+        self._encode_segments(self.by_segment.missing(set().union(*segments)))
+        known = self.by_segment.now.__getitem__
+        return [special[i] + end if i in special else b"".join(map(known, s)) + end for i, s in enumerate(segments)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,8 +184,7 @@ def _staged(docs: DataFrame, tokenizer: str, n_slots: int) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in by_bytes(batch, "text", 4 << 20):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 rows = []
                 for doc_id, text, raw in zip(part.column("doc_id").to_pylist(), texts, encoder.batch(texts), strict=True):
