@@ -1,3 +1,63 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: rules, classifier, exact and near copies, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of docs; the last returns where the tokens of the documents left are packed. Between stages the
+rows are written as Parquet under the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from lectern.llm.common import stored, table
+from lectern.session import ship_package
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose host is rejected, go."""
+    ship_package(spark)
+    return quality_rules.drop_failures(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go; its labels are those of sf_dir."""
+    ship_package(spark)
+    return quality_classifier.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays."""
+    ship_package(spark)
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays."""
+    ship_package(spark)
+    return near_dedup.drop_near_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset of all that is left."""
+    ship_package(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("best-fit packing", pack),
+]
+
+#: SQL cannot express the classifier, the sampled signatures or the packing; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

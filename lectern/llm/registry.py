@@ -6,7 +6,10 @@ from lectern.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing,
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_classifier": quality_classifier.query,
         "op2_line_dedup": line_dedup.query,
         "op3_warc": warc_archive.query,
