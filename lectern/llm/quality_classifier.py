@@ -165,7 +165,7 @@ def _viewed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text", 2 << 20):
+            for part in by_bytes(batch, "text", 1 << 19):
                 views = content_features(part.column("text")), metadata_features(part.column("lang"), part.column("source"), part.column("n_chars"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(v), pa.list_(pa.float64())) for v in views)], ["doc_id", "content", "meta"])
 
@@ -192,19 +192,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
     return CoTrained((content[known], meta[known]), y_all[known], (content[~known], meta[~known]))
 
 
-def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """docs with p_content, p_meta, p_quality appended under the prefix k_."""
+def scored(docs: DataFrame, model: CoTrained, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (those named in keep) with k_content, k_meta, k_quality appended."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = ("k_content", "k_meta", "k_quality")
-    schema = docs.select("*", *(F.lit(0.0).alias(c) for c in extra)).schema
-    names = docs.columns
+    names, keep = docs.columns, keep or docs.columns
+    schema = docs.select(*keep, *(F.lit(0.0).alias(c) for c in extra)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "text", 2 << 20):
+            for part in by_bytes(batch, "text", 1 << 19):
                 column = lambda c, part=part: part.column(names.index(c))
                 found = shared.value.score(content_features(column("text")), metadata_features(column("lang"), column("source"), column("n_chars")))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, found)], [*names, *extra])
+                yield pa.RecordBatch.from_arrays([*map(column, keep), *map(pa.array, found)], [*keep, *extra])
 
     return docs.mapInArrow(run, schema)
 
@@ -212,7 +212,7 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_content, p_meta, p_quality, kept: one row per row of docs."""
     model = fit(docs, labels)
-    rows = scored(_input(docs), model)
+    rows = scored(_input(docs), model, ["doc_id"])
     kept = F.lit(True) if model.constant is not None else F.col("k_quality") >= KEEP
     return rows.select("doc_id", F.col("k_content").alias("p_content"), F.col("k_meta").alias("p_meta"), F.col("k_quality").alias("p_quality"), kept.alias("kept"))
 
