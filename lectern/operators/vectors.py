@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query batches of at most this many rows go to every task; larger ones are searched in blocks of it.
 QUERY_BLOCK = 4096
@@ -73,8 +74,9 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
             if out:
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array([int(x) for x in columns[0]], pa.int64()), pa.array([x.item() if hasattr(x, "item") else x for x in columns[1]]), pa.array(columns[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[3])] if group else []), names)
+                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[3], group_type)] if group else []), names)
 
+        group_type = to_arrow_type(vectors.schema[group].dataType) if group else None
         schema = f"{query_key} long, {key} {kind}, score double" + (f", {group} {gkind}" if group else "")
         return vectors.select(key, column, *([group] if group else [])).mapInArrow(run, schema)
 

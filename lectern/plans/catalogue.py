@@ -2,10 +2,674 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lectern.functions import chunking, cleaning, fixed, grounding, metrics, questions as asked
+from lectern.operators import catalog, context, predicates, sampling, store, vectors
+from lectern.plans.views import ANSWERS, COURSES, HITS, QUESTIONS, view
+from lectern.session import ship_package
+from lectern.sources import html, pages as page_source
+from lectern.sources.readers import table
+from lectern.streaming import flows
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL for comparison."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _courses(spark, d):
+    return view(spark, d, COURSES)
+
+
+# --- vector search -----------------------------------------------------------------------------------------------
+
+_COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+_PAIRS = f"""
+q AS (SELECT vec_id AS query_id, embedding AS e, label AS query_label FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, query_label, v.vec_id, v.label, {_COS.format(a="e", b="v.embedding")} AS score FROM q, embeddings v)
+"""
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings")
+
+
+def _asked_vectors(v):
+    """The stated query set: every vector whose id is divisible by 50, against all."""
+    return v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+@query(f"WITH {_PAIRS} SELECT vec_id, label, round(score, 9) AS score FROM s WHERE query_id = 0 ORDER BY s.score DESC, vec_id LIMIT 10")
+def vector_topk(spark, d):
+    v = _vectors(spark, d)
+    first = v.filter("vec_id = 0").first()
+    return vectors.top_k(v, list(first["embedding"]), 10).select("vec_id", "label", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_PAIRS} SELECT vec_id, label, round(score, 9) AS score FROM s WHERE query_id = 0 AND label IN (1, 2) ORDER BY s.score DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    v = _vectors(spark, d)
+    first = v.filter("vec_id = 0").first()
+    return vectors.top_k(predicates.keep(v, label=[1, 2]), list(first["embedding"]), 10).select("vec_id", "label", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_PAIRS}, t AS (SELECT vec_id, score FROM s WHERE query_id = 0 ORDER BY s.score DESC, vec_id LIMIT 40) SELECT vec_id, round(score, 9) AS score FROM t WHERE score >= 0.15")
+def vector_threshold(spark, d):
+    v = _vectors(spark, d)
+    first = v.filter("vec_id = 0").first()
+    return vectors.top_k(v, list(first["embedding"]), 40, threshold=0.15).select("vec_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM r WHERE rank <= 10")
+def vector_topk_batch(spark, d):
+    v = _vectors(spark, d)
+    return vectors.batch_top_k(v, _asked_vectors(v), 10).select("query_id", "vec_id", "rank", F.round("score", 9).alias("score"))
+
+
+_GROUPED = f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s)"
+
+
+@query(f"{_GROUPED} SELECT query_id, label, vec_id, CAST(rank AS INT) AS rank, round(score, 9) AS score FROM r WHERE rank <= 3")
+def topk_per_group(spark, d):
+    v = _vectors(spark, d)
+    return vectors.batch_top_k(v, _asked_vectors(v), 3, group="label").select("query_id", "label", "vec_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"{_GROUPED}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, CASE label WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END) AS turn FROM r WHERE rank <= 4 AND label IN (3, 1, 7)) "
+    "SELECT query_id, vec_id, label, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS place FROM t WHERE turn <= 7"
+)
+def round_robin_merge(spark, d):
+    v = _vectors(spark, d)
+    ranked = vectors.batch_top_k(predicates.keep(v, label=[3, 1, 7]), _asked_vectors(v), 4, group="label")
+    return vectors.round_robin(ranked, [3, 1, 7], 7, group="label").select("query_id", "vec_id", "label", "place")
+
+
+@query(
+    f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s), h AS (SELECT * FROM r WHERE rank <= 10) "
+    "SELECT count(*) AS count, round(max(score), 9) AS max_score, round(min(score), 9) AS min_score, round(avg(score), 9) AS avg_score, count(DISTINCT label) AS num_departments, count(DISTINCT vec_id) AS num_courses FROM h"
+)
+def retrieval_stats(spark, d):
+    v = _vectors(spark, d)
+    hits = vectors.batch_top_k(v, _asked_vectors(v), 10, group=None).join(v.select("vec_id", F.col("label").alias("department")), "vec_id").withColumn("course_code", F.col("vec_id"))
+    s = vectors.retrieval_stats(hits)
+    return s.select("count", *(F.round(c, 9).alias(c) for c in ("max_score", "min_score", "avg_score")), F.size("departments").cast("long").alias("num_departments"), "num_courses")
+
+
+_RESULTS = f"""
+WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE vec_id <> query_id),
+h AS (SELECT query_id, rank, score, label = query_label AS rel FROM r WHERE rank <= 10),
+n AS (SELECT query_id, count(*) AS n_rel FROM s WHERE label = query_label AND vec_id <> query_id GROUP BY query_id),
+g AS (SELECT query_id, coalesce(max(CASE WHEN rel THEN 1.0 / rank END), 0) AS rr, max(CASE WHEN rel THEN 1 ELSE 0 END) AS hit,
+  count(*) FILTER (WHERE rel AND rank <= 5) AS at5, count(*) FILTER (WHERE rel) AS at10, sum(score) AS total, count(*) AS n FROM h GROUP BY query_id)
+"""
+
+
+def _results(spark, d):
+    v = _vectors(spark, d)
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    hits = vectors.batch_top_k(v, _asked_vectors(v), 10, skip_self=True)
+    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("h"))
+    relevant = q.join(v.select("vec_id", F.col("label").alias("query_label")), "query_label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_set("vec_id").alias("relevant_ids"))
+    return found.join(relevant, "query_id", "left").select("query_id", F.col("h.vec_id").alias("retrieved_ids"), F.col("h.score").alias("scores"), F.coalesce("relevant_ids", F.array().cast("array<bigint>")).alias("relevant_ids"))
+
+
+@query(f"{_RESULTS} SELECT query_id, round(rr, 9) AS rr, CAST(hit AS DOUBLE) AS hit, round(at5 / n_rel, 9) AS recall_5, round(at10 / n_rel, 9) AS recall_10, round(at5 / 5, 9) AS precision_5 FROM g JOIN n USING (query_id)")
+def retrieval_measures(spark, d):
+    f, r = F.col("retrieved_ids"), F.col("relevant_ids")
+    rows = _results(spark, d)
+    values = {"rr": metrics.reciprocal_rank(f, r), "recall_5": metrics.recall_at(5, f, r), "recall_10": metrics.recall_at(10, f, r), "precision_5": metrics.precision_at(5, f, r)}
+    return rows.select("query_id", metrics.hit(f, r).alias("hit"), *(F.round(c, 9).alias(n) for n, c in values.items()))
+
+
+@query(f"{_RESULTS} SELECT round(avg(rr), 9) AS mrr, round(avg(at5 / n_rel), 9) AS recall_at_5, round(avg(at5 / 5), 9) AS precision_at_5, round(avg(hit), 9) AS hit_rate, round(sum(total) / sum(n), 9) AS avg_score, count(*) AS num_queries FROM g JOIN n USING (query_id)")
+def retrieval_metrics(spark, d):
+    m = metrics.retrieval_metrics(_results(spark, d))
+    return m.select(*(F.round(c, 9).alias(c) for c in ("mrr", "recall_at_5", "precision_at_5", "hit_rate", "avg_score")), "num_queries")
+
+
+@query()
+def vector_index_topk(spark, d):
+    """Inverted-file search; tests/test_vectors.py holds its recall against exact search."""
+    v = _vectors(spark, d)
+    return vectors.indexed_top_k(v, _asked_vectors(v), vectors.build_cells(v), 10, probes=8)
+
+
+@query()
+def hash_embedding(spark, d):
+    return vectors.hash_embedding(table(spark, d, "benchmark")).select("item_id", "embedding")
+
+
+@query("SELECT vec_id, label, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id IN (1, 5, 9, 123456789)")
+def point_lookup(spark, d):
+    return store.point_lookup(_vectors(spark, d), [1, 5, 9, 123456789], "vec_id").drop("embedding")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0")
+def delete_ids(spark, d):
+    v = _vectors(spark, d)
+    return store.without(v, v.filter("vec_id % 3 = 0"), "vec_id").select("vec_id", "label")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 <> 0")
+def incremental_append(spark, d):
+    v = _vectors(spark, d)
+    return store.incremental(v.filter("vec_id % 4 = 0"), v.filter("vec_id % 3 = 0"), "vec_id").select("vec_id", "label")
+
+
+# --- catalog -----------------------------------------------------------------------------------------------------
+
+_C = f"WITH c AS ({COURSES})"
+_PLAIN = "pos, course_code, ects, semester"
+
+
+@query(f"{_C} SELECT {_PLAIN} FROM c WHERE department = 'se' AND semester = 5 AND course_type = 'mandatory'")
+def mandatory_by_semester(spark, d):
+    return catalog.mandatory_courses(_courses(spark, d), 5, "se").selectExpr(*_PLAIN.split(", "))
+
+
+@query(f"{_C} SELECT count(DISTINCT course_code) AS n FROM c WHERE starts_with(course_code, 'SE')")
+def count_by_prefix(spark, d):
+    return catalog.courses_with_prefix(_courses(spark, d), "se").agg(F.count("*").alias("n"))
+
+
+@query(f"{_C}, r AS (SELECT *, row_number() OVER (PARTITION BY course_code ORDER BY pos) AS k FROM c WHERE ects = 6) SELECT {_PLAIN} FROM r WHERE k = 1")
+def courses_by_ects(spark, d):
+    return catalog.courses_with_ects(_courses(spark, d), 6).selectExpr(*_PLAIN.split(", "))
+
+
+@query(f"{_C} SELECT department, count(*) AS total, count(*) FILTER (WHERE course_type = 'mandatory') AS mandatory, count(*) FILTER (WHERE course_type = 'elective') AS elective FROM c GROUP BY department")
+def count_by_department(spark, d):
+    return catalog.department_counts(_courses(spark, d))
+
+
+@query(f"{_C} SELECT count(*) AS value FROM c WHERE department = 'ce' AND semester IN (3, 4) AND split_part(course_code, ' ', 1) = 'MATH'")
+def course_count(spark, d):
+    return catalog.count_courses(predicates.course_filter(_courses(spark, d), department="ce", year=2, code_prefix="math"))
+
+
+@query(f"{_C} SELECT coalesce(sum(ects), 0) AS value FROM c WHERE department = 'ie' AND course_type = 'mandatory'")
+def ects_sum(spark, d):
+    return catalog.sum_ects(predicates.course_filter(_courses(spark, d), department="ie", course_type="mandatory"))
+
+
+@query(f"{_C} SELECT coalesce(semester, 0) AS semester, count(*) AS n FROM c GROUP BY 1")
+def semester_breakdown(spark, d):
+    return catalog.semester_breakdown(_courses(spark, d))
+
+
+@query(f"{_C}, r AS (SELECT upper(department) AS name, course_code, row_number() OVER (PARTITION BY department ORDER BY pos) AS k FROM c) SELECT name, count(*) AS total, string_agg(course_code, ', ' ORDER BY k) FILTER (WHERE k <= 5) AS first_codes FROM r GROUP BY name")
+def department_compare(spark, d):
+    return catalog.department_comparison(_courses(spark, d))
+
+
+@query(f"{_C} SELECT pos, concat('- ', course_code, ': ', course_title) AS line FROM c ORDER BY pos LIMIT 20")
+def course_list_topn(spark, d):
+    return catalog.course_list(_courses(spark, d), 20)
+
+
+@query(f"{_C} SELECT department, count(*) AS chunks, count(DISTINCT course_code) AS courses FROM c GROUP BY CUBE (department)")
+def store_stats(spark, d):
+    return catalog.store_stats(_courses(spark, d))
+
+
+@query(
+    f"WITH q AS (SELECT question_type, difficulty, coalesce(target_department, 'general') AS department, is_trap FROM ({QUESTIONS})) "
+    "SELECT CASE WHEN grouping(question_type) = 0 THEN 'type' WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(department) = 0 THEN 'department' ELSE 'all' END AS facet, "
+    "coalesce(question_type, difficulty, department) AS value, count(*) AS n, count(*) FILTER (WHERE is_trap) AS traps FROM q GROUP BY GROUPING SETS ((question_type), (difficulty), (department), ())"
+)
+def question_stats(spark, d):
+    return catalog.question_stats(view(spark, d, QUESTIONS))
+
+
+@query(f"{_C}, r AS (SELECT *, row_number() OVER (PARTITION BY course_code ORDER BY pos) AS k FROM c) SELECT {_PLAIN} FROM r WHERE k = 1")
+def dedup_keep_first(spark, d):
+    return catalog.first_per(_courses(spark, d), "course_code").selectExpr(*_PLAIN.split(", "))
+
+
+@query(f"{_C}, r AS (SELECT *, row_number() OVER (PARTITION BY department ORDER BY ects DESC, pos) AS k FROM c) SELECT department, pos, course_code FROM r WHERE k <= 5")
+def first_per_group(spark, d):
+    return context.first_per_group(_courses(spark, d), "department", [F.desc("ects"), "pos"], 5).select("department", "pos", "course_code")
+
+
+@query(f"{_C} SELECT pos, CASE WHEN coalesce(semester, 0) = 0 THEN -1 ELSE semester END AS semester, coalesce(ects, 0) AS ects FROM c")
+def metadata_sentinels(spark, d):
+    return catalog.hit_metadata(_courses(spark, d)).select("pos", "semester", "ects")
+
+
+@query(f"{_C} SELECT pos, concat(department, '_', lower(replace(course_code, ' ', '_')), '_2023-2024') AS course_id FROM c")
+def course_ids(spark, d):
+    return _courses(spark, d).select("pos", catalog.course_id(F.col("department"), F.col("course_code"), F.lit("2023-2024")).alias("course_id"))
+
+
+@query(f"WITH q AS ({QUESTIONS}) SELECT id, question_type FROM q WHERE difficulty = 'hard' AND lower(target_department) = 'se' AND NOT is_trap")
+def question_filter(spark, d):
+    return predicates.question_filter(view(spark, d, QUESTIONS), difficulty="hard", department="SE", is_trap=False).select("id", "question_type")
+
+
+@query(f"WITH q AS ({QUESTIONS}) SELECT question_type, CAST(least(count(*), 4) AS BIGINT) AS n FROM q GROUP BY question_type")
+def question_sample(spark, d):
+    picked = sampling.stratified(view(spark, d, QUESTIONS), 20, refill=False)
+    return picked.groupBy("question_type").agg(F.count("*").alias("n"))
+
+
+# --- cleaning ----------------------------------------------------------------------------------------------------
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages")
+
+
+_RE = lambda x: x.replace("'", "''")
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{_RE(fixed.EMAIL)}', '', 'g'), '{_RE(fixed.PHONE)}', '', 'g')) AS h FROM documents")
+def clean_email_phone(spark, d):
+    return _documents(spark, d).select("doc_id", F.sha2(cleaning.strip_phones(cleaning.strip_emails(F.col("text"))), 256).alias("h"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '(?m)^[ \\t]+', '', 'g')) AS h FROM documents")
+def clean_whitespace(spark, d):
+    t = cleaning.strip_lines(cleaning.collapse_newlines(cleaning.collapse_spaces(F.col("text"))))
+    return _documents(spark, d).select("doc_id", F.sha2(t, 256).alias("h"))
+
+
+_BOILER = "html"
+for _p in fixed.BOILERPLATE:
+    _BOILER = f"regexp_replace({_BOILER}, '(?im){_RE(_p)}', '', 'g')"
+
+
+@query(f"SELECT page_id, sha256({_BOILER}) AS h FROM pages")
+def clean_boilerplate(spark, d):
+    return _pages(spark, d).select("page_id", F.sha2(cleaning.strip_patterns(F.col("html"), fixed.BOILERPLATE), 256).alias("h"))
+
+
+@query("SELECT page_id, sha256(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')) AS h FROM pages")
+def strip_html(spark, d):
+    return _pages(spark, d).select("page_id", F.sha2(cleaning.strip_tags(cleaning.strip_comments(F.col("html"))), 256).alias("h"))
+
+
+@query("SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n\\f]+', ' ', 'g'))) AS h FROM pages")
+def visible_text(spark, d):
+    return _pages(spark, d).select("page_id", F.sha2(html.visible_text(F.col("html")), 256).alias("h"))
+
+
+@query("SELECT item_id, CASE WHEN length(substr(text, 1, CAST(item_id % 20 AS BIGINT))) < 10 THEN '' ELSE substr(text, 1, CAST(item_id % 20 AS BIGINT)) END AS t FROM (SELECT item_id, regexp_replace(text, '[^a-z]', '', 'g') AS text FROM benchmark)")
+def min_length(spark, d):
+    letters = table(spark, d, "benchmark").withColumn("t", F.substring(F.regexp_replace("text", "[^a-z]", ""), F.lit(1), (F.col("item_id") % 20).cast("int")))
+    return letters.select("item_id", cleaning.clean_text(F.col("t"), cleaning.CleaningOptions(entities=False, form=None)).alias("t"))
+
+
+@query()
+def clean_pages(spark, d):
+    """The whole cleaner, entities and Unicode forms included; tests/test_text.py compares it with a plain version."""
+    return _pages(spark, d).select("page_id", cleaning.clean_text(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, sha256(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')) AS h FROM pages")
+def decode_entities_nfkc(spark, d):
+    return _pages(spark, d).select("page_id", F.sha2(cleaning.decode_entities(F.col("html")), 256).alias("h"))
+
+
+@query("SELECT item_id, CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 77), '...') ELSE text END AS t FROM benchmark")
+def truncate_text(spark, d):
+    return table(spark, d, "benchmark").select("item_id", cleaning.truncate(F.col("text"), 80).alias("t"))
+
+
+# --- chunking ----------------------------------------------------------------------------------------------------
+
+_SPLIT = "string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT doc_id, CAST(len({_SPLIT}) AS INT) AS n, sha256(array_to_string({_SPLIT}, '|')) AS h FROM documents")
+def sentence_split(spark, d):
+    s = chunking.sentences(F.col("text"))
+    return _documents(spark, d).select("doc_id", F.size(s).alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("h"))
+
+
+@query()
+def chunk_documents(spark, d):
+    """Chunks with ids; tests/test_text.py compares them with a plain version."""
+    return chunking.chunk_rows(_documents(spark, d), "doc_id")
+
+
+@query("SELECT doc_id, sha256(text) AS h, md5(text) AS m FROM documents")
+def sha_hash(spark, d):
+    return _documents(spark, d).select("doc_id", F.sha2("text", 256).alias("h"), F.md5("text").alias("m"))
+
+
+@query()
+def dataset_version(spark, d):
+    return store.dataset_version(table(spark, d, "documents"), "doc_id")
+
+
+# --- questions ---------------------------------------------------------------------------------------------------
+
+_Q = f"WITH q AS (SELECT id, question, lower(question) AS t FROM ({QUESTIONS}))"
+_RX = lambda p: f"regexp_matches(t, '{_RE(p)}')"
+_KIND = "CASE " + " ".join(f"WHEN {' OR '.join(map(_RX, p))} THEN '{k}'" for k, p in fixed.QUESTION_KINDS.items()) + " ELSE 'none' END"
+
+
+@query(f"{_Q} SELECT id, {_KIND} AS kind FROM q")
+def intent_quantitative(spark, d):
+    return view(spark, d, QUESTIONS).select("id", asked.question_kind(F.col("question")).alias("kind"))
+
+
+_ORDINAL = " ".join(f"WHEN regexp_matches(t, '\\b({'|'.join(n)})\\s+semester\\b') THEN {k}" for k, n in fixed.ORDINALS.items())
+
+
+@query(
+    f"{_Q}, v AS (SELECT id, CASE {_ORDINAL} END AS a, TRY_CAST(regexp_extract(t, '\\bsemester\\s+(\\d+)\\b', 1) AS INT) AS b, TRY_CAST(regexp_extract(t, '\\b(\\d+)(?:st|nd|rd|th)?\\s+semester\\b', 1) AS INT) AS c FROM q) "
+    "SELECT id, CAST(coalesce(a, CASE WHEN b BETWEEN 1 AND 8 THEN b END, CASE WHEN c BETWEEN 1 AND 8 THEN c END) AS INT) AS semester FROM v"
+)
+def intent_semester(spark, d):
+    return view(spark, d, QUESTIONS).select("id", asked.semester_asked(F.col("question")).alias("semester"))
+
+
+_DEPT = "CASE " + " ".join(f"WHEN {_RX(chr(92) + 'b(' + p + ')' + chr(92) + 'b')} THEN '{k}'" for k, p in fixed.DEPARTMENT_PHRASES.items()) + " END"
+_TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in reversed(fixed.COURSE_TYPE_WORDS.items())) + " END"
+
+
+@query(
+    f"{_Q} SELECT id, {_DEPT} AS department, {_TYPE} AS course_type, TRY_CAST(regexp_extract(t, 'year\\s*(\\d+)', 1) AS INT) AS year, "
+    "upper(nullif(regexp_extract(question, '(?i)\\b([A-Z]{2,4})\\s+courses?\\b', 1), '')) AS prefix FROM q"
+)
+def query_filters(spark, d):
+    q = F.col("question")
+    return view(spark, d, QUESTIONS).select("id", asked.asked_department(q).alias("department"), asked.asked_type(q).alias("course_type"), asked.asked_year(q).alias("year"), asked.asked_prefix(q).alias("prefix"))
+
+
+@query(
+    f"{_Q} SELECT id, CASE WHEN regexp_matches(t, 'mandatory\\s+courses?\\s+in\\s+semester\\s+[1-8]\\s+for\\s+software') OR regexp_matches(t, '^ie\\s+semester\\s+[1-8]\\s+mandatory') THEN 'mandatory' "
+    "WHEN regexp_matches(t, 'how many courses have exactly \\d+ ects|how many courses have a course code starting with \\w+|how many courses are offered in the industrial engineering department') THEN 'counting' ELSE 'semantic' END AS route FROM q"
+)
+def query_route(spark, d):
+    return view(spark, d, QUESTIONS).select("id", asked.route(F.col("question")).alias("route"))
+
+
+# --- extraction and grounding ------------------------------------------------------------------------------------
+
+
+@query(f"WITH h AS ({HITS}) SELECT pos, array_to_string(regexp_extract_all(text, '\\b[A-Z]{{2,4}}\\s*\\d{{3}}\\b'), '|') AS codes FROM h")
+def extract_codes(spark, d):
+    return view(spark, d, HITS).select("pos", F.array_join(grounding.course_codes(F.col("text")), "|").alias("codes"))
+
+
+@query(
+    f"WITH h AS ({HITS}), x AS (SELECT *, regexp_extract_all(text, '\\b[A-Z]{{2,4}}\\s*\\d{{3}}\\b') AS cs FROM h), u AS (SELECT *, unnest(cs) AS code, generate_subscripts(cs, 1) AS k FROM x), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY pos, k) AS n FROM u) "
+    "SELECT code AS course_code, pos, TRY_CAST(regexp_extract(text, '(\\d+)\\s*ECTS', 1) AS DOUBLE) AS ects, TRY_CAST(regexp_extract(text, '(\\d+)\\s*credits', 1) AS DOUBLE) AS credits, "
+    "CASE WHEN contains(text, 'mandatory') THEN 'required' ELSE 'elective' END AS course_type FROM r WHERE n = 1"
+)
+def hit_courses(spark, d):
+    return catalog.hit_courses(view(spark, d, HITS)).select("course_code", "pos", "ects", "credits", "course_type")
+
+
+_A = f"WITH a AS (SELECT *, lower(answer) AS t FROM ({ANSWERS}))"
+_ANY = lambda ps: "(" + " OR ".join(f"contains(t, '{_RE(p)}')" for p in ps) + ")"
+
+
+@query(f"{_A} SELECT pos, CAST(len(regexp_extract_all(answer, '\\[([^\\]]+)\\]', 1)) AS BIGINT) AS n_citations, CAST(len(list_filter(regexp_extract_all(answer, '\\[([^\\]]+)\\]', 1), lambda x: x = concat('c', pos))) AS BIGINT) AS n_valid FROM a")
+def citation_check(spark, d):
+    return _checked(spark, d).select("pos", "n_citations", "n_valid")
+
+
+def _checked(spark, d):
+    answers, hits = view(spark, d, ANSWERS), view(spark, d, HITS).select("pos", F.array(F.struct("chunk_id", "text")).alias("sources"))
+    return grounding.check_answers(answers.join(hits, "pos"))
+
+
+_CLAIM = "list_filter(string_split_regex(answer, '[.!?]\\s+'), lambda s: regexp_matches(s, '\\b[A-Z]{2,4}\\s*\\d{3}\\b') OR regexp_matches(s, '(?i)\\b\\d+(\\.\\d+)?\\s*(ects|credits?|hours?|semesters?)\\b'))"
+
+
+@query(f"{_A} SELECT pos, CAST(len({_CLAIM}) AS BIGINT) AS n_claims, array_to_string({_CLAIM}, '|') AS claims FROM a")
+def claims(spark, d):
+    found = grounding.claims(F.col("answer"))
+    return view(spark, d, ANSWERS).select("pos", F.size(found).cast("long").alias("n_claims"), F.array_join(F.transform(found, lambda c: c["text"]), "|").alias("claims"))
+
+
+@query(
+    f"{_A}, s AS (SELECT pos, {_ANY(fixed.ABSTENTION_PHRASES)} AS abstention, pos % 7 = 0 AS k7, pos % 5 = 0 AS k5, pos % 3 = 0 AS k3 FROM a) "
+    "SELECT pos, abstention, CASE WHEN abstention THEN 1.0 WHEN k5 THEN 0.4 WHEN k3 THEN 0.6 * (1 / 2) + 0.2 * (1 / 2) + 0.2 ELSE 1.0 END::DOUBLE AS grounding_score, NOT k5 OR k7 AS is_grounded FROM s"
+)
+def grounding_score(spark, d):
+    return _checked(spark, d).select("pos", "abstention", F.round("grounding_score", 9).alias("grounding_score"), "is_grounded")
+
+
+@query(f"{_A} SELECT pos, NOT is_trap OR {_ANY(fixed.TRAP_PHRASES)} AS handled, {_ANY(fixed.RUN_TRAP_PHRASES)} AS says_nothing FROM a")
+def trap_handling(spark, d):
+    return view(spark, d, ANSWERS).select("pos", metrics.trap_handled(F.col("answer"), F.col("is_trap")).alias("handled"), metrics.trap_answered(F.col("answer")).alias("says_nothing"))
+
+
+@query(f"{_A} SELECT pos, array_to_string(list_filter([{', '.join(repr(p) for p in fixed.HEDGING_PHRASES)}], lambda p: contains(t, p)), '|') AS hedges FROM a")
+def hedging(spark, d):
+    return view(spark, d, ANSWERS).select("pos", F.array_join(grounding.hedges(F.col("answer")), "|").alias("hedges"))
+
+
+@query(f"{_A} SELECT pos, CASE WHEN contains(upper(answer), course_code) THEN 0.5 ELSE 0.0 END + CASE WHEN contains(upper(answer), 'MATH') THEN 0.5 ELSE 0.0 END AS completeness FROM a")
+def completeness(spark, d):
+    return view(spark, d, ANSWERS).select("pos", metrics.completeness(F.col("answer"), F.array("course_code", F.lit("math"))).alias("completeness"))
+
+
+@query(
+    f"{_A} SELECT round(avg(CASE WHEN pos % 5 = 0 AND pos % 7 <> 0 THEN 0.0 ELSE 1.0 END), 9) AS grounding_rate, avg(CASE WHEN is_trap THEN 1.0 END) AS trap_accuracy, count(*) AS num_answers FROM a"
+)
+def answer_metrics(spark, d):
+    m = metrics.answer_metrics(_checked(spark, d).withColumn("expected_codes", F.array("course_code")))
+    return m.select(F.round("grounding_rate", 9).alias("grounding_rate"), "trap_accuracy", "num_answers")
+
+
+@query(f"WITH h AS ({HITS}), n AS (SELECT DISTINCT course_code FROM h WHERE pos % 50 = 0) SELECT n.course_code, count(*) AS n FROM n JOIN h ON contains(h.text, n.course_code) GROUP BY n.course_code")
+def course_mentions(spark, d):
+    """Codes named in passages. Codes are taken out of the texts, so the containment join becomes an equi join."""
+    hits = view(spark, d, HITS)
+    wanted = hits.filter("pos % 50 = 0").select("course_code").distinct()
+    named = hits.select("pos", F.explode(F.array_distinct(grounding.course_codes(F.col("text")))).alias("course_code"))
+    return named.join(wanted, "course_code").groupBy("course_code").agg(F.count("*").alias("n"))
+
+
+# --- context -----------------------------------------------------------------------------------------------------
+
+
+def _ranked_hits(spark, d):
+    hits = view(spark, d, HITS).withColumn("query_id", F.col("pos") % 20).withColumn("score", (F.col("pos") % 97) / 100)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    return hits.withColumn("rank", F.row_number().over(w)).withColumn("section_name", F.lit("description")).withColumn("source_url", F.lit("")).filter("rank <= 20")
+
+
+@query(
+    f"WITH h AS (SELECT *, pos % 20 AS query_id, (pos % 97) / 100 AS score FROM ({HITS})), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM h), "
+    "b AS (SELECT query_id, rank, concat('--- Source ', rank, ' ---', chr(10), '[', chunk_id, ']', chr(10), 'Course: ', course_code, ' - ', course_title, chr(10), 'Department: ', upper(department), chr(10), 'Section: description', chr(10), "
+    "'Relevance: ', printf('%.3f', score), chr(10), 'Content: ', text) AS t FROM r WHERE rank <= 15) SELECT query_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS h FROM b GROUP BY query_id"
+)
+def format_context(spark, d):
+    return context.contexts(_ranked_hits(spark, d)).select("query_id", F.sha2("context", 256).alias("h"))
+
+
+@query()
+def department_context(spark, d):
+    return context.department_contexts(_ranked_hits(spark, d), list(fixed.DEPARTMENTS))
+
+
+@query()
+def extractive_answers(spark, d):
+    return context.extractive_answers(_ranked_hits(spark, d))
+
+
+@query(f"WITH h AS ({HITS}) SELECT pos % 20 AS query_id, chunk_id, course_code, substr(text, 1, 40) AS text_snippet FROM h WHERE pos % 20 = 3")
+def citation_rows(spark, d):
+    hits = view(spark, d, HITS).withColumn("query_id", F.col("pos") % 20).withColumn("source_url", F.lit("")).filter("query_id = 3")
+    return context.citation_rows(hits, 40).select("query_id", "chunk_id", "course_code", "text_snippet")
+
+
+# --- pages -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, array_to_string(list_reverse(list_reverse(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1))), '|') AS links FROM pages")
+def link_extract(spark, d):
+    found = F.regexp_extract_all("html", F.lit('<a\\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return _pages(spark, d).select("page_id", F.array_join(found, "|").alias("links"))
+
+
+@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1))) AS INT) AS n FROM pages")
+def distinct_links(spark, d):
+    return _pages(spark, d).select("page_id", F.size(html.page_links(F.col("html"))).alias("n"))
+
+
+@query("SELECT regexp_extract(url, '://([^/?#]*)', 1) AS domain, count(*) AS n, count(DISTINCT substr(sha256(url), 1, 16)) AS keys FROM pages GROUP BY 1")
+def url_domain(spark, d):
+    return _pages(spark, d).groupBy(page_source.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"), F.count_distinct(page_source.cache_key(F.col("url"))).alias("keys"))
+
+
+@query("WITH c AS (SELECT DISTINCT url FROM pages WHERE page_id % 60 < 30 AND page_id % 2 = 0) SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM c)")
+def cache_freshness(spark, d):
+    pages = _pages(spark, d)
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    cache = pages.filter("page_id % 2 = 0").select("url", (now - F.make_dt_interval((F.col("page_id") % 60).cast("int"))).alias("scraped_at"))
+    return page_source.to_fetch(pages, cache, 30, now)
+
+
+@query()
+def page_details(spark, d):
+    return html.parse_details(_pages(spark, d)).select("url", "course_title", "learning_outcomes")
+
+
+# --- streams in batch form ---------------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _windowed(df):
+    return df.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_window(spark, d):
+    return _windowed(flows.tumbling(_events(spark, d)))
+
+
+@query(
+    "SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES (0), (1)) AS v(k) GROUP BY 1, 2"
+)
+def sliding_window(spark, d):
+    return _windowed(flows.sliding(_events(spark, d)))
+
+
+@query(
+    "WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, p) AS k FROM l) "
+    "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k"
+)
+def session_window(spark, d):
+    return flows.sessions(_events(spark, d)).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# --- joins, windows, grouping and sets over the star schema ------------------------------------------------------
+
+
+@query("SELECT n_name, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 4) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
+def join_inner(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 4).alias("total"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")
+def join_left(spark, d):
+    o = table(spark, d, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").select("c_custkey")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def join_semi(spark, d):
+    items = table(spark, d, "lineitem").filter("l_quantity > 49")
+    s = table(spark, d, "supplier")
+    return s.join(items, s["s_suppkey"] == items["l_suppkey"], "left_semi").select("s_suppkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+def join_anti(spark, d):
+    o = table(spark, d, "orders").filter("o_totalprice > 200000")
+    c = table(spark, d, "customer")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, grouping(l_returnflag) AS g, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, d):
+    rows = table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("long").alias("g"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    return rows
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube(spark, d):
+    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INT) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+def window_rank_lag(spark, d):
+    o = table(spark, d, "orders")
+    by = Window.partitionBy("o_custkey")
+    return o.select("o_custkey", "o_orderkey", F.rank().over(by.orderBy(F.desc("o_totalprice"))).alias("r"), F.lag("o_orderkey").over(by.orderBy("o_orderdate", "o_orderkey")).alias("before"))
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS signup FROM events")
+def window_carry_forward(spark, d):
+    rows = table(spark, d, "events").withColumn("h", F.when(F.col("event_type") == "signup", F.col("event_id"))).withColumn("o", F.struct("ts", "event_id"))
+    return html.carry_headers(rows, page="user_id", order="o", header="h").select("event_id", "user_id", F.col("under").alias("signup"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+def set_union(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, d, "supplier").filter("s_acctbal > 0").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = 0")
+def set_intersect(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select("s_nationkey"))
+
+
+@query("SELECT p_size AS k FROM part EXCEPT SELECT p_size FROM part WHERE p_partkey % 50 = 0")
+def set_except(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_size").alias("k")).exceptAll(p.filter("p_partkey % 50 = 0").select("p_size")).distinct().join(p.filter("p_partkey % 50 = 0").select(F.col("p_size").alias("k")).distinct(), "k", "left_anti")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) // 10 AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
+def json_fields(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, d, "events").groupBy("event_type", F.floor(k / 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
+def conversation_stats(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
