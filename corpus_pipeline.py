@@ -10,37 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
-from lectern.llm.common import stored, table
-from lectern.session import ship_package
+from lectern.llm.common import prepare, stored, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose host is rejected, go."""
-    ship_package(spark)
+    prepare(spark)
     return quality_rules.drop_failures(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go; its labels are those of sf_dir."""
-    ship_package(spark)
+    prepare(spark)
     return quality_classifier.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset of all that is left."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

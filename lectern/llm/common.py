@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.session import ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to executors that lack it."""
     ship_package(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,3 +52,14 @@ def forget(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct: names inside an operator can't clash with theirs."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in needed]
+    return df.select(*needed, F.struct(*(rest or [F.lit(0).alias("none")])).alias("rest_columns"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns that packed() put away, in their order."""
+    return df.select(*(F.col(c) if c in needed else F.col("rest_columns").getField(c).alias(c) for c in columns))

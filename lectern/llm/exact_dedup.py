@@ -26,10 +26,11 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import forget, shuffle_partitions, stored, table
+from lectern.llm.common import packed, shuffle_partitions, stored, table, unpacked
+from lectern.llm.words import release
 
 MAX_DEPTH = 16
-FOLD_BYTES = 64 << 20
+FOLD_BYTES = 32 << 20
 NO_ID = -(1 << 63)
 
 
@@ -143,6 +144,7 @@ def records(docs: DataFrame, directory: Directory, n: int) -> DataFrame:
                     held, size = {}, 0
         if held:
             yield flush(held)
+        release()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "owner int, bucket long, key long, body binary, keep_id long, n long")
@@ -177,6 +179,7 @@ def index(docs: DataFrame, directory: Directory) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
                 done = []
         done += links(chain)
+        release()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
@@ -210,10 +213,10 @@ def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    keep = stored(exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("key").alias("_keep_key")), "exact-kept")
-    rows = with_key(docs, "_key")
+    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("key").alias("_keep_key"))
+    rows = with_key(packed(docs, "doc_id", "text"), "_key")
     same = rows["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (rows["_key"] == keep["_keep_key"])
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return unpacked(rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]), docs.columns, "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

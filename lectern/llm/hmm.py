@@ -31,6 +31,8 @@ from lectern.llm.words import by_bytes, hash_words
 LISTED, SYMBOLS, TAIL_BITS = 1 << 18, 4096, 6
 CLASSES = 1 << TAIL_BITS
 STATES, ROUNDS, SEGMENT, PRIOR = 6, 4, 256, 0.5
+#: Tokens counted at a time before the shuffle.
+COUNTED = 1 << 22
 #: Cells of a padded block of sequences.
 CELLS = 1 << 19
 END = np.uint64(1 << TAIL_BITS)
@@ -50,15 +52,21 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """token, c over the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            token, c = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
+
         for batch in batches:
-            kept, counts, held = [], [], 0
-            for part in by_bytes(batch, "text", 32 << 20):
-                token, c = np.unique(tokens(part.column("text"))[0], return_counts=True)
-                kept.append(token.view(np.int64))
-                counts.append(c)
-                held += len(token)
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept)), pa.array(np.concatenate(counts))], ["token", "c"])
+            for part in by_bytes(batch, "text"):
+                waiting.append(tokens(part.column("text"))[0])
+                held += len(waiting[-1])
+                if held > COUNTED:
+                    yield counted()
+                    waiting, held = [], 0
+        if held:
+            yield counted()
 
     return docs.filter(~held_out()).select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import shuffle_partitions, stored, table
+from lectern.llm.common import packed, shuffle_partitions, stored, table, unpacked
 from lectern.llm.components import components
 from lectern.llm.weighted_minhash import Sampler
 from lectern.llm.words import by_bytes, hash_shingles, hash_words, mix
@@ -283,7 +283,7 @@ def clump_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, weights:
     """Links within the clumps that keys of more than SMALL nodes hold together: a, b, similarity."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    labels = stored(components(members.filter(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("least").alias("b"))), "clumps")
+    labels = components(members.filter(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("least").alias("b")))
     inside = nodes.select("node", "doc_id", "words_digest", "n_words").join(labels, "node")
     # sets whose sizes differ by a factor of four or more never reach the similarity: only the same or the next class of size meets
     size = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
@@ -334,7 +334,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     signed = stored(signatures(docs, weights), "signed")
     nodes = stored(node_table(signed), "nodes")
     links = stored(near_links(docs, signed, nodes, weights), "links")
-    labels = stored(components(links.select("a", "b")), "labels")
+    labels = components(links.select("a", "b"))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classed = nodes.select("node", "words_digest", "doc_id", "copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node"))["node"].alias("keeper"))
@@ -346,8 +346,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of docs."""
-    keep = stored(near_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("words_digest").alias("_keep_digest")), "near-kept")
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]))
+    keep = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("words_digest").alias("_keep_digest"))
+    inner = packed(docs, "doc_id", "text")
+    rows = inner.join(keep, inner["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]))
     cut = rows.schema
 
     def same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +357,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
             digests = batch.column("_keep_digest").to_pylist()
             yield batch.filter(pa.array([hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() == d for a, b, d in zip(off[:-1], off[1:], digests, strict=True)]))
 
-    return rows.mapInArrow(same_words, cut).dropDuplicates(["_keep_id", "_keep_digest"]).drop("_keep_id", "_keep_digest")
+    return unpacked(rows.mapInArrow(same_words, cut).dropDuplicates(["_keep_id", "_keep_digest"]), docs.columns, "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

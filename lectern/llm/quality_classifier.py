@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import packed, table, unpacked
 from lectern.llm.words import by_bytes, hash_words, mix, string_bytes
 
 MAX_LABELLED, MAX_POOL = 4000, 8000
@@ -222,7 +222,8 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model.constant is not None:
         return docs
-    return scored(docs, model).filter(F.col("k_quality") >= KEEP).drop("k_content", "k_meta", "k_quality")
+    needed = ("text", "lang", "source", "n_chars")
+    return unpacked(scored(packed(docs, *needed), model).filter(F.col("k_quality") >= KEEP), docs.columns, *needed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

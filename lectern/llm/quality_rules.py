@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm.common import packed, stored, table, unpacked
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -79,7 +79,7 @@ def base_failed() -> Column:
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """host, n_docs, shrunk_<rule>, host_rejected: one row per non-null host."""
     failed = rule_failures()
-    hosts = measured.filter(F.col("source").isNotNull()).groupBy(F.col("source").alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(failed[r]).alias(f"f_{r}") for r in RULES))
+    hosts = measured.filter(F.col("source").isNotNull()).groupBy(F.col("source").cast("string").alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(failed[r]).alias(f"f_{r}") for r in RULES))
     hosts = hosts.select("*", *((F.col(f"f_{r}") / F.col("n_docs")).alias(f"rate_{r}") for r in RULES))
     prior = hosts.agg(*(f(f"rate_{r}").alias(f"{n}_{r}") for r in RULES for n, f in (("m", F.avg), ("v", F.var_pop)))).first()
     for r in RULES:
@@ -100,12 +100,14 @@ def judge(docs: DataFrame) -> DataFrame:
 def drop_failures(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
     # the id is there to be made and used: it keeps the filter above the measures, which are dear to repeat
-    measured = measure(docs).withColumn("q_id", F.monotonically_increasing_id())
+    inner = packed(docs, "text", "source")
+    measured = measure(inner).withColumn("q_id", F.monotonically_increasing_id())
     slim = stored(measured.select("source", *(c for c in measured.columns if c.startswith("q_") and c != "q_id")), "rules")
     rejected = stored(host_verdicts(slim).filter("host_rejected").select(F.col("host").alias("_host")), "hosts")
     few = rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    fine = measured.filter(~base_failed() & (F.col("q_id") >= 0)).select(docs.columns)
-    return fine.join(F.broadcast(rejected) if few else rejected, fine["source"] == rejected["_host"], "left_anti")
+    fine = measured.filter(~base_failed() & (F.col("q_id") >= 0)).select(inner.columns)
+    stay = fine.join(F.broadcast(rejected) if few else rejected, fine["source"].cast("string") == rejected["_host"], "left_anti")
+    return unpacked(stay, docs.columns, "text", "source")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

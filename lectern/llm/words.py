@@ -6,6 +6,8 @@ word's bytes modulo 2**64, then mixed, so they depend on the bytes alone and agr
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, np.uint64)
+_libc = ctypes.CDLL(None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,3 +128,11 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
         end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers stay alive between tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
