@@ -192,8 +192,7 @@ def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
 
     Of equal normalised texts the row with the largest doc_id is kept. An empty table gives no rows.
     """
-    rows = stored(entries(docs), "entries")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = stored(entries(docs).withColumn("row", F.monotonically_increasing_id()), "entries")
     files = stored(index(docs, build_directory(rows, capacity)), "index")
     # of rows that repeat the kept doc_id, the last written one stays
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("row").alias("r"))

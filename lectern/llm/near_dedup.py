@@ -331,7 +331,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     group_size counts documents; n_links the links found to other texts.
     """
     weights = shingle_weights(docs)
-    signed = stored(signatures(docs, weights), "signed")
+    signed = stored(signatures(docs, weights).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = stored(node_table(signed), "nodes")
     links = stored(near_links(docs, signed, nodes, weights), "links")
     labels = components(links.select("a", "b"))
@@ -339,7 +339,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classed = nodes.select("node", "words_digest", "doc_id", "copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node"))["node"].alias("keeper"))
     per_digest = classed.join(classes, "label").select("words_digest", "class_id", "group_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("keeper") == F.col("node")).alias("keeper"))
-    rows = signed.select("doc_id", "words_digest", F.monotonically_increasing_id().alias("row"))
+    rows = signed.select("doc_id", "words_digest", "row")
     least = rows.groupBy("words_digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))["row"].alias("first"))
     return rows.join(per_digest.join(least, "words_digest"), "words_digest").select("doc_id", "words_digest", "class_id", "group_size", "n_links", (F.col("keeper") & (F.col("row") == F.col("first"))).alias("kept"))
 
