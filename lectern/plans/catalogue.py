@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import chunking, cleaning, fixed, grounding, metrics, questions as asked
 from lectern.operators import catalog, context, predicates, sampling, store, vectors
+from lectern.plans import evaluation
 from lectern.plans.views import ANSWERS, COURSES, HITS, QUESTIONS, view
 from lectern.session import ship_package
 from lectern.sources import html, pages as page_source
@@ -531,6 +532,24 @@ def citation_rows(spark, d):
     return context.citation_rows(hits, 40).select("query_id", "chunk_id", "course_code", "text_snippet")
 
 
+def _run(spark, d):
+    chunks = vectors.hash_embedding(view(spark, d, HITS))
+    rows = view(spark, d, QUESTIONS).filter("id % 50 = 0")
+    codes = view(spark, d, COURSES).select(F.col("pos").alias("id"), F.array("course_code").alias("expected_course_codes"))
+    return evaluation.run(rows.join(codes, "id"), chunks)
+
+
+@query()
+def evaluate_questions(spark, d):
+    """Every question whose id is divisible by 50, against all chunks."""
+    return _run(spark, d).drop("scores")
+
+
+@query()
+def evaluate_measures(spark, d):
+    return evaluation.measures(_run(spark, d))
+
+
 # --- pages -------------------------------------------------------------------------------------------------------
 
 
