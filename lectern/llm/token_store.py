@@ -29,14 +29,16 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lectern.llm.bpe import ASCII_GAP, SEPARATORS, normal_form, vocabulary_path
+from lectern.llm.bpe import normal_form, vocabulary_path
 from lectern.llm.common import scratch, shuffle_partitions, stored, table
 from lectern.llm.words import by_bytes, mix
 
@@ -140,24 +142,43 @@ class Encoder:
             self.by_word.now.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def _encode_segments(self, new: set[str]) -> None:
-        plain = [s for s in new if s.isalpha()]
-        marked = []
-        for s in new.difference(plain):
-            word = s.rstrip(MARKS)
-            marked.append((s, (word, s[len(word) :]) if word.isalpha() else self.pattern.findall(s)))
-        self._encode_words(list(self.by_word.missing({x for _, p in marked for x in p}.union(plain))))
+        segments = list(new)
+        column = pa.array(segments, pa.string())
+        bare = pc.utf8_rtrim(column, characters=MARKS)
+        words, simple = bare.to_pylist(), pc.utf8_is_alpha(bare).to_pylist()
+        # most are letters and then marks: two words at most
+        tails = [s[len(w) :] for s, w in zip(segments, words, strict=True)]
+        others = {s: self.pattern.findall(s) for s, easy in zip(segments, simple, strict=True) if not easy}
+        wanted = {w for w, easy in zip(words, simple, strict=True) if easy}.union(tails, *others.values())
+        wanted.discard("")
+        self._encode_words(list(self.by_word.missing(wanted)))
         now, known = self.by_segment.now, self.by_word.now
-        now.update(zip(plain, map(known.__getitem__, plain), strict=True))
-        now.update((s, b"".join(map(known.__getitem__, p))) for s, p in marked)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        end = array(self.code, [END_ID]).tobytes()
-        special = {i: array(self.code, self.whole.encode(x, add_special_tokens=False).ids).tobytes() for i, x in enumerate(texts) if "<|" in x and self.added.search(x)}
-        low = ["" if i in special else normal_form(x) for i, x in enumerate(texts)]
-        segments = [ASCII_GAP.split(x) if SEPARATORS.search(x) else x.split() for x in low]
-        self._encode_segments(self.by_segment.missing(set().union(*segments)))
-        known = self.by_segment.now.__getitem__
-        return [special[i] + end if i in special else b"".join(map(known, s)) + end for i, s in enumerate(segments)]
+        known[""] = b""
+        now.update(zip(segments, map(bytes.__add__, map(known.get, words, repeat(b"")), map(known.get, tails, repeat(b""))), strict=True))
+        now.update((s, b"".join(map(known.__getitem__, p))) for s, p in others.items())
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]], the end id last."""
+        dtype = np.dtype(f"<u{array(self.code).itemsize}")
+        special = {i: np.array(self.whole.encode(x, add_special_tokens=False).ids, dtype) for i, x in enumerate(texts) if x and "<|" in x and self.added.search(x)}
+        split = pc.ascii_split_whitespace(pa.array([normal_form(x) if x and i not in special else "" for i, x in enumerate(texts)], pa.string()))
+        distinct = split.values.dictionary_encode()
+        segments = distinct.dictionary.to_pylist()
+        self._encode_segments(self.by_segment.missing(set(segments).difference(("",))))
+        self.by_segment.now[""] = b""
+        parts = list(map(self.by_segment.now.__getitem__, segments))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // dtype.itemsize
+        start = np.cumsum(size) - size
+        at = distinct.indices.to_numpy(zero_copy_only=False)
+        count = size[at]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = np.frombuffer(b"".join(parts), dtype)[np.repeat(start[at] - total[:-1], count) + np.arange(total[-1])]
+        off = total[split.offsets.to_numpy()]
+        ids, off = np.insert(ids, off[1:], END_ID), off + np.arange(len(off))
+        if special:
+            texts_ids = [np.append(special[i], dtype.type(END_ID)) if i in special else ids[off[i] : off[i + 1]] for i in range(len(texts))]
+            ids, off = np.concatenate(texts_ids), np.concatenate([[0], np.cumsum([len(x) for x in texts_ids])])
+        return ids, off
 
 
 _encoders: dict[str, Encoder] = {}
@@ -180,15 +201,15 @@ def _staged(docs: DataFrame, tokenizer: str, n_slots: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        dtype = np.dtype("<u2") if encoder.code == "H" else np.dtype("<u4")
         pack = zstandard.ZstdCompressor(level=1)
         seen: set[bytes] = set()
         for batch in batches:
-            for part in by_bytes(batch, "text", 4 << 20):
+            for part in by_bytes(batch, "text", 8 << 20):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 rows = []
-                for doc_id, text, raw in zip(part.column("doc_id").to_pylist(), texts, encoder.batch(texts), strict=True):
-                    ids = np.frombuffer(raw, dtype)
+                all_ids, off = encoder.batch(texts)
+                for doc_id, text, lo, hi in zip(part.column("doc_id").to_pylist(), texts, off[:-1], off[1:], strict=True):
+                    ids = all_ids[lo:hi]
                     chunks, begin = [], 0
                     for end in cut_points(ids):
                         chunk = ids[begin:end]
