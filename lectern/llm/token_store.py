@@ -45,7 +45,7 @@ from lectern.llm.words import by_bytes, mix
 END_ID = 1
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
 #: Most distinct segments and words that a worker remembers, in each of two generations.
-SEGMENTS, WORDS = 600_000, 300_000
+SEGMENTS, WORDS = 400_000, 250_000
 #: A run of these after letters is one word of its own.
 MARKS = string.punctuation
 PIECES = "array<struct<digest: binary, n: int>>"
