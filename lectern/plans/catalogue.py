@@ -158,7 +158,7 @@ def retrieval_metrics(spark, d):
 def vector_index_topk(spark, d):
     """Inverted-file search; tests/test_vectors.py holds its recall against exact search."""
     v = _vectors(spark, d)
-    return vectors.indexed_top_k(v, _asked_vectors(v), vectors.build_cells(v), 10, probes=8)
+    return vectors.indexed_top_k(v, _asked_vectors(v), vectors.build_cells(v), 10, probes=12)
 
 
 @query()
