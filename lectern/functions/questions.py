@@ -67,6 +67,7 @@ def asked_prefix(question: Column, strict: bool = True) -> Column:
     return F.upper(_found(question, rf"{'(?i)' if strict else ''}\b([A-Z]{{2,4}})\s+courses?\b"))
 
 
+# How questions ask for the mandatory courses of a semester.
 _PLACE = "(?:software|computer|electrical\\s+and\\s+electronics|industrial)(?:\\s+engineering)?"
 #: pattern, group of the semester, group of the department
 _MANDATORY = [
