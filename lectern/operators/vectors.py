@@ -61,13 +61,15 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 if skip_self:
                     score[ids[:, None] == keys[None, :]] = -np.inf
                 groups = np.array(batch.column(group).to_pylist(), object) if group else np.zeros(len(keys), object)
+                by_key = np.argsort(keys, kind="stable")  # a stable sort by score then leaves ties in key order
                 for g in set(groups.tolist()):
-                    inside = np.flatnonzero(groups == g)
+                    inside = by_key[groups[by_key] == g]
+                    part = score[:, inside]
+                    order = np.argsort(-part, axis=1, kind="stable")[:, :k]
+                    top, names_of = np.take_along_axis(part, order, 1), keys[inside][order]
                     for i in range(len(ids)):
-                        s = score[i, inside]
-                        order = np.lexsort((keys[inside], -s))[:k]
                         held = best.setdefault((i, g), [])
-                        held += [(-s[o], keys[inside[o]]) for o in order if s[o] > -np.inf]
+                        held += [(-x, n) for x, n in zip(top[i].tolist(), names_of[i].tolist(), strict=True) if x > -np.inf]
                         held.sort()
                         del held[k:]
             out = [(ids[i], x, -s, g) for (i, g), held in best.items() for s, x in held]
