@@ -40,7 +40,7 @@ def decode_entities(text: Column) -> Column:
     def decode(values: pd.Series) -> pd.Series:
         return values.map(html.unescape, na_action="ignore")
 
-    return F.when(text.contains("&"), decode(text)).otherwise(text)
+    return decode(text)
 
 
 def strip_tags(text: Column) -> Column:
@@ -48,13 +48,13 @@ def strip_tags(text: Column) -> Column:
 
 
 def normal_form(text: Column, form: str = "NFKC") -> Column:
-    """A Unicode normal form; ASCII text, which is in every form, stays in the JVM."""
+    """A Unicode normal form; ASCII text is in every form."""
 
     @F.pandas_udf("string")
     def normalise(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
+        return values.map(lambda v: v if v.isascii() else unicodedata.normalize(form, v), na_action="ignore")
 
-    return F.when(text.rlike("[^\\x00-\\x7F]"), normalise(text)).otherwise(text)
+    return normalise(text)
 
 
 def strip_control(text: Column) -> Column:
