@@ -4,14 +4,15 @@ Tokens are words (runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased),
 hashes, then one end. Documents whose crc32(doc_id as text) mod 7 is not 2 are trained on.
 
 1. Token counts over all training documents. Tokens with at least a LISTED-th of all occurrences
-   (hence at most LISTED tokens) go to every task as a table; the others meet their counts in a join.
-2. The hidden states emit symbols: each token with at least a SYMBOLS-th of all occurrences (at most
-   SYMBOLS), the end, and CLASSES classes of all other tokens by their last byte. A token of a class
-   follows with probability (c + 1) / (n + v + 1): its count, the class's occurrences and tokens.
-3. Baum-Welch: tasks add up expected counts over all training tokens, Spark sums them by parameter,
-   the driver normalises (STATES * symbols numbers, whatever the corpus). In training, sequences are
-   cut into runs of SEGMENT tokens; in scoring they stay whole.
-4. The score is log10 of the exact likelihood from the scaled forward recursion, times the class terms.
+   (hence at most LISTED tokens) go to every task as a table.
+2. Every training token has emissions of its own in each hidden state; tokens that training has not
+   seen share one class. Documents are coded in blocks: listed tokens by their place in the table, the
+   others by their place in the block's own list of distinct tokens.
+3. Baum-Welch: blocks add up expected counts by (token, state) over all training tokens. Those of a block's
+   own tokens go to the token's group, are summed there over all blocks and come back to every block
+   that holds the token. The driver gets those of listed tokens only, the rest grows in Spark. In training,
+   sequences are cut into runs of SEGMENT tokens; in scoring they stay whole.
+4. The score is log10 of the exact likelihood from the scaled forward recursion.
 
 Null text is empty (the end alone), a null doc_id counts as the empty text in the crc32. Repeated rows
 are separate documents. Without training documents every count is 0. An empty table gives no rows.
@@ -19,23 +20,28 @@ are separate documents. Without training documents every count is 0. An empty ta
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import stored, table
-from lectern.llm.words import by_bytes, hash_words
+from lectern.llm.common import forget, shuffle_partitions, stored, table
+from lectern.llm.words import by_bytes, hash_words, mix, release
 
-LISTED, SYMBOLS, TAIL_BITS = 1 << 18, 4096, 6
-CLASSES = 1 << TAIL_BITS
+LISTED = 1 << 18
 STATES, ROUNDS, SEGMENT, PRIOR = 6, 4, 256, 0.5
 #: Tokens counted at a time before the shuffle.
 COUNTED = 1 << 22
 #: Cells of a padded block of sequences.
 CELLS = 1 << 19
-END = np.uint64(1 << TAIL_BITS)
+#: Bytes of text of a block: the larger, the fewer tokens are in several.
+BLOCK = 8 << 20
+END = np.uint64(64)
+#: Blocks of rows of the exchange that are sums: of listed tokens, and of starts, moves and states.
+TABLE, SUMS = -1, -2
 
 
 def held_out() -> F.Column:
@@ -44,7 +50,7 @@ def held_out() -> F.Column:
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets) of each document's tokens, the end included."""
-    words, off = hash_words(column, tail_bits=TAIL_BITS)
+    words, off = hash_words(column)
     return np.insert(words, off[1:], END), off + np.arange(len(off))
 
 
@@ -72,104 +78,176 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What every task needs of the counts: at most LISTED tokens, CLASSES classes, three totals."""
+    """What every task needs of the counts: at most LISTED tokens, the most frequent ones first, and two totals."""
 
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = total["n"] or 0, total["v"]
         listed = counts.filter(F.col("c") * LISTED >= self.n).select("token", "c").toArrow() if self.n else pa.table({"token": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
         token, c = listed["token"].to_numpy().view(np.uint64), listed["c"].to_numpy().astype(np.int64)
-        order = np.argsort(token)
+        order = np.lexsort((token, -c))
         self.token, self.c = token[order], c[order]
-        own = (self.c * SYMBOLS >= self.n) & (self.token != END)
-        low = np.uint64(CLASSES - 1)
-        # symbols: 0 is the end, then the classes, then single tokens
-        self.symbol = np.where(own, CLASSES + np.cumsum(own), 1 + (self.token & low).astype(np.int64)).astype(np.uint16)
-        self.symbol[self.token == END] = 0
-        self.size = 1 + CLASSES + int(own.sum())
-        single = {int(t) for t in self.token[own | (self.token == END)].view(np.int64)}
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for r in counts.groupBy(F.col("token").bitwiseAND(F.lit(CLASSES - 1)).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toLocalIterator():
-            n[r["k"]], v[r["k"]] = r["n"], r["v"]
-        for t, k in zip(self.token, self.c, strict=True):
-            if int(t.view(np.int64)) in single:
-                n[int(t & low)] -= k
-                v[int(t & low)] -= 1
-        self.class_total = (n + v + 1).astype(np.float64)
-        frequency = np.zeros(self.size)
-        frequency[1 : 1 + CLASSES] = n
-        alone = np.flatnonzero((self.symbol == 0) | (self.symbol > CLASSES))
-        frequency[self.symbol[alone]] = self.c[alone]
-        self.unigram = (frequency + 1) / (frequency + 1).sum()
+        self.place = np.argsort(self.token)
+        self.sorted = self.token[self.place]
+        # a group of the exchange has about 2**18 tokens at most
+        self.group_bits = max(9, int(self.v >> 18).bit_length())
 
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table, whether it is there)."""
         if not len(self.token):
             return np.zeros(len(token), np.int64), np.zeros(len(token), bool)
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        return at, self.token[at] == token
+        at = np.minimum(np.searchsorted(self.sorted, token), len(self.sorted) - 1)
+        return self.place[at], self.sorted[at] == token
 
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / (self.n + self.v + 1))
 
-CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, inner double, symbols binary, rare binary, times binary"
+    def by_group(self, token: np.ndarray) -> list[tuple[int, int, int]]:
+        """(group, from, to) of sorted tokens; groups are ranges of hashes."""
+        group = (token >> np.uint64(64 - self.group_bits)).astype(np.int64)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        return list(zip(group[first].tolist(), first.tolist(), np.append(first, len(token))[1:].tolist(), strict=True))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Little-endian numbers, byte by byte of all, compressed: most of them are small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, x.itemsize).T).tobytes())
+
+
+def unplaned(raw: bytes, dtype: str) -> np.ndarray:
+    size, data = np.dtype(dtype).itemsize, np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(data.reshape(size, len(data) // size).T).view(dtype).ravel()
+
+
+CODED = "held_out boolean, doc_ids array<long>, sizes binary, symbols binary, rare binary, times binary"
 
 
 def code(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Each document as symbols (uint16), with what the listed tokens give of its sums, and its other tokens with their times."""
+    """Blocks of documents as symbols (places in the table, then places in rare), with the block's other tokens and their times."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        base = np.append(np.log10((v.c + 1) / (v.n + v.v + 1)), 0.0)
-        classed = (v.symbol >= 1) & (v.symbol <= CLASSES)
-        inner = np.append(np.where(classed, np.log10((v.c + 1) / v.class_total[np.clip(v.symbol.astype(np.int64) - 1, 0, CLASSES - 1)]), 0.0), 0.0)
-        symbol_of = np.append(v.symbol, np.uint16(0))
         for batch in batches:
-            for part in by_bytes(batch, "text"):
-                token, off = tokens(part.column("text"))
-                at, known = v.find(token)
-                at = np.where(known, at, len(v.c))
-                symbol = np.where(known, symbol_of[at], 1 + (token & np.uint64(CLASSES - 1)).astype(np.uint16)).astype("<u2")
-                symbol[off[1:] - 1] = 0
-                sums = [np.add.reduceat(x, off[:-1]) for x in (base[at], inner[at], known.astype(np.int64))]
-                rare, times = [], []
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[~known]
-                left = token[~known]
-                order = np.lexsort((left, doc))
-                doc, left = doc[order], left[order]
-                new = np.ones(len(left), bool)
-                new[1:] = (left[1:] != left[:-1]) | (doc[1:] != doc[:-1])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(left))).astype("<u4")
-                cut = np.searchsorted(doc[first], np.arange(len(off)))
-                for i in range(len(off) - 1):
-                    rare.append(left[first[cut[i] : cut[i + 1]]].tobytes())
-                    times.append(n[cut[i] : cut[i + 1]].tobytes())
-                rows = [symbol[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(off)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1]), pa.array(rows, pa.binary()), pa.array(rare, pa.binary()), pa.array(times, pa.binary())],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols", "rare", "times"],
-                )
+            for held in (False, True):
+                chosen = batch.filter(pa.array(batch.column("held_out").to_numpy(zero_copy_only=False) == held))
+                for part in by_bytes(chosen, "text", BLOCK):
+                    token, off = tokens(part.column("text"))
+                    symbol, known = v.find(token)
+                    rare, at, times = np.unique(token[~known], return_inverse=True, return_counts=True)
+                    symbol[~known] = len(v.token) + at
+                    cells = (np.diff(off).astype("<i8").tobytes(), planes(symbol.astype("<u4")), rare.tobytes(), times.astype("<u4").tobytes())
+                    ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([held]), ids, *(pa.array([x], pa.binary()) for x in cells)], ["held_out", "doc_ids", "sizes", "symbols", "rare", "times"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, CODED)
 
 
+SENT = "grp int, block long, tokens binary, e binary"
+
+
+def sent(rows: list[tuple]) -> pa.RecordBatch:
+    grp, block, token, e = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(block, pa.int64()), pa.array(token, pa.binary()), pa.array(e, pa.binary())], ["grp", "block", "tokens", "e"])
+
+
+def exchanged(rows: DataFrame, width: int, dtype: str) -> DataFrame:
+    """Rows of SENT, with the sums over all rows that have the token in place of their own; TABLE and SUMS rows become one for each group."""
+    n = shuffle_partitions(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: list[tuple] = []
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for grp, block, token, e in zip(batch.column("grp").to_pylist(), batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), batch.column("e").to_pylist(), strict=True):
+                if block >= 0:
+                    asked.append((grp, block, np.frombuffer(token, np.uint64), unplaned(e, dtype).reshape(-1, width)))
+                elif (grp, block) in total:
+                    total[grp, block][1] += np.frombuffer(e, "<f8")
+                else:
+                    total[grp, block] = [token, np.frombuffer(e, "<f8").copy()]
+        if total:
+            yield sent([(grp, block, token, e.tobytes()) for (grp, block), (token, e) in total.items()])
+        if asked:
+            _, at = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+            e = np.concatenate([x[3] for x in asked])
+            sums = np.stack([np.bincount(at, e[:, k])[at] for k in range(width)], 1).astype(dtype)
+            end = np.cumsum([len(x[2]) for x in asked])
+            for lo in range(0, len(asked), 256):
+                yield sent([(grp, block, None, planes(sums[b - len(token) : b].ravel())) for (grp, block, token, _), b in zip(asked[lo : lo + 256], end[lo : lo + 256], strict=True)])
+        release()
+
+    return rows.withColumn("slot", (F.col("grp") % n).cast("int")).repartitionById(n, "slot").drop("slot").mapInArrow(run, SENT)
+
+
+def answered(blocks_: DataFrame, answers: DataFrame) -> DataFrame:
+    """The blocks with parts, the answers to their tokens by group (null for a block without own tokens)."""
+    parts = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("grp", "e"))).alias("parts"))
+    return blocks_.join(parts.select("block", F.col("parts.e").alias("parts")), "block", "left")
+
+
+def joined_parts(parts: pa.Scalar, width: int, dtype: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(unplaned(x, dtype) for x in parts.as_py() or [])]).reshape(-1, width)
+
+
+def counted_blocks(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The blocks with c in place of times: how often training has each of the block's own tokens."""
+    shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held, rare, times in zip(*(batch.column(c) for c in ("block", "held_out", "rare", "times")), strict=True):
+                token = np.frombuffer(rare.as_buffer(), np.uint64)
+                c = np.frombuffer(times.as_buffer(), "<u4").astype("<f8") * (not held.as_py())
+                yield sent([(g, block.as_py(), token[lo:hi].tobytes(), planes(c[lo:hi])) for g, lo, hi in shared.value.by_group(token)])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = [planes(joined_parts(x, 1, "<f8")[:, 0].astype("<u4")) for x in batch.column("parts")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(c, pa.binary())], [*names, "c"])
+
+    names = ["block", "held_out", "doc_ids", "sizes", "symbols", "rare"]
+    answers = exchanged(coded.select("block", "held_out", "rare", "times").mapInArrow(ask, SENT), 1, "<f8")
+    found = answered(coded.select(*names), answers)
+    return found.mapInArrow(settle, coded.select(*names).schema.add("c", "binary"))
+
+
+def first_counts(token: np.ndarray, c: np.ndarray, states: int) -> np.ndarray:
+    """c dealt to the states by the token's hash: what training starts from."""
+    step = np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    share = 0.2 + 1.6 * (mix(token[:, None] + step) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return share / share.sum(1, keepdims=True) * c[:, None]
+
+
 class Model:
-    def __init__(self, unigram: np.ndarray, states: int = STATES, seed: int = 7):
-        rng = np.random.default_rng(seed)
+    """start, move and emit, of the listed tokens; emissions() gives those of any token from its counts."""
+
+    def __init__(self, unigram: np.ndarray, states: int = STATES):
         self.start = np.full(states, 1 / states)
         self.move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-        self.emit = unigram * rng.uniform(0.2, 1.8, (states, len(unigram)))
-        self.emit /= self.emit.sum(1, keepdims=True)
-        self.unigram = unigram
+        self.emit = np.tile(unigram, (states, 1))
 
-    def learn(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+    def learn(self, start: np.ndarray, move: np.ndarray) -> None:
         """Expected counts to probabilities; PRIOR per state keeps every probability positive."""
-        states = len(self.start)
         self.start = (start + PRIOR) / (start + PRIOR).sum()
         move = move + PRIOR
         self.move = move / move.sum(1, keepdims=True)
-        emit = emit + PRIOR * len(self.unigram) / states * self.unigram
-        self.emit = emit / emit.sum(1, keepdims=True)
+
+    def spread(self, vocabulary: Vocabulary, mass: np.ndarray) -> None:
+        """mass: the expected number of tokens of each state; PRIOR of each token and state goes by the single counts."""
+        self.prior = PRIOR * (vocabulary.v + 1) / len(mass)
+        self.mass, self.all = mass + self.prior, vocabulary.n + vocabulary.v + 1
+
+    def emissions(self, e: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """[token, state], from expected counts and counts; a token that training has not seen has zeros of both."""
+        return (e + self.prior / self.all * (c + 1)[:, None]) / self.mass
+
+    def of_block(self, e: np.ndarray, c: np.ndarray) -> Model:
+        """The model over the table and a block's own tokens."""
+        out = Model(np.zeros(0), len(self.start))
+        out.start, out.move = self.start, self.move
+        out.emit = np.concatenate([self.emit, self.emissions(e, c).T], 1)
+        return out
 
 
 def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -232,100 +310,136 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     return start, move, emit.T
 
 
-def train(coded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch over all training documents."""
-    model = Model(vocabulary.unigram, states)
-    source = coded.filter(~F.col("held_out")).select("symbols")
-    size = vocabulary.size
-    for _ in range(rounds):
-        shared = coded.sparkSession.sparkContext.broadcast(model)
+def swept(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(states + states * states + states * size)
-            waiting, held = [], 0
 
-            def settle() -> None:
-                nonlocal total
-                total += np.concatenate([x.ravel() for x in expected_counts(shared.value, waiting)])
+def block_counts(batch: pa.RecordBatch, i: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's own tokens, their counts and their expected counts as they came back (or the first ones)."""
+    token = np.frombuffer(batch.column("rare")[i].as_buffer(), np.uint64)
+    c = unplaned(batch.column("c")[i].as_py(), "<u4").astype(np.float64)
+    if "parts" not in batch.schema.names:
+        return token, c, first_counts(token, c, states)
+    e = joined_parts(batch.column("parts")[i], states - 1, "<f4").astype(np.float64)
+    return token, c, np.column_stack([e, np.maximum(c - e.sum(1), 0)])  # those of all states make c
 
-            for batch in batches:
-                for raw in batch.column("symbols"):
-                    symbols = np.frombuffer(raw.as_buffer(), "<u2")
-                    for at in range(0, len(symbols), SEGMENT):
-                        waiting.append(symbols[at : at + SEGMENT])
-                    held += len(symbols)
-                    if held > 4 * CELLS:
-                        settle()
-                        waiting, held = [], 0
-            if waiting:
-                settle()
-            cells = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "value"])
-
-        sums = source.mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        total = np.zeros(states + states * states + states * size)
-        total[sums["cell"].to_numpy()] = sums["value"].to_numpy()
-        model.learn(total[:states], total[states : states + states * states].reshape(states, states), total[states + states * states :].reshape(states, size))
-    return model
-
-
-def likelihoods(coded: DataFrame, model: Model) -> DataFrame:
-    """row and score: log10 of the likelihood of each document's symbols."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "symbols", 8 << 20):
-                sequences = [np.frombuffer(x.as_buffer(), "<u2") for x in part.column("symbols")]
-                out = np.zeros(len(sequences))
-                for places, grid, size in blocks(sequences):
-                    out[places] = forward(shared.value, grid, size)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "symbols"), pa.array(out / np.log(10))], [*(c for c in part.schema.names if c != "symbols"), "hidden"])
+def train(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, DataFrame | None]:
+    """Baum-Welch over all training documents: the model, and the expected counts of each block's own tokens."""
+    spark = coded.sparkSession
+    words = spark.sparkContext.broadcast(vocabulary)
+    listed = len(vocabulary.token)
 
-    kept = coded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inner", "symbols")
-    return kept.mapInArrow(run, kept.drop("symbols").schema.add("hidden", "double"))
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(states)
+        for batch in batches:
+            total += first_counts(batch.column("token").to_numpy().view(np.uint64), batch.column("c").to_numpy(), states).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(states), pa.int32()), pa.array(total)], ["state", "e"])
+
+    mass = np.zeros(states)
+    for r in counts.select("token", "c").mapInArrow(dealt, "state int, e double").groupBy("state").agg(F.sum("e").alias("e")).collect():
+        mass[r["state"]] = r["e"]
+    model = Model(np.zeros(0), states)
+    model.spread(vocabulary, mass)
+    model.emit = model.emissions(first_counts(vocabulary.token, vocabulary.c, states), vocabulary.c).T
+    # listed tokens go to the groups by their places
+    ends = np.linspace(0, listed, min(listed, 1 << vocabulary.group_bits) + 1).astype(np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rare in zip(batch.column("block"), batch.column("rare"), strict=True):
+                token = np.frombuffer(rare.as_buffer(), np.uint64)
+                yield sent([(g, block.as_py(), token[lo:hi].tobytes(), planes(np.zeros((states - 1) * (hi - lo), "<f4"))) for g, lo, hi in words.value.by_group(token)])
 
+    answers = None
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
 
-def rare_sums(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """row, r_known, r_base, r_inner: what tokens outside the table add to each document's sums."""
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums, table_ = np.zeros(states + states * states + states), np.zeros((listed, states))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    token, c, e = block_counts(batch, i, states)
+                    symbols = unplaned(batch.column("symbols")[i].as_py(), "<u4")
+                    off = np.cumsum(np.frombuffer(batch.column("sizes")[i].as_buffer(), "<i8")).tolist()
+                    runs = [symbols[at : min(at + SEGMENT, b)] for a, b in zip([0, *off[:-1]], off, strict=True) for at in range(a, b, SEGMENT)]
+                    start, move, emit = expected_counts(shared.value.of_block(e, c), runs)
+                    sums += np.concatenate([start, move.ravel(), emit.sum(1)])
+                    table_ += emit[:, :listed].T
+                    own = np.ascontiguousarray(emit[: states - 1, listed:].T).astype("<f4")
+                    block = batch.column("block")[i].as_py()
+                    yield sent([(g, block, token[lo:hi].tobytes(), planes(own[lo:hi].ravel())) for g, lo, hi in words.value.by_group(token)])
+            yield sent([(g, TABLE, np.array([lo, hi]).tobytes(), table_[lo:hi].tobytes()) for g, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True))] + [(0, SUMS, b"", sums.tobytes())])
+            release()
+
+        source = coded.filter(~F.col("held_out")).select("block", "sizes", "symbols", "rare", "c")
+        rows = (source if answers is None else answered(source, answers)).mapInArrow(run, SENT)
+        if k == rounds - 1:  # the others don't need them before
+            rows = rows.unionByName(coded.filter("held_out").select("block", "rare").mapInArrow(ask, SENT))
+        last, answers = answers, stored(exchanged(rows, states - 1, "<f4"), "expected")
+        if last is not None:
+            forget(last)
+        sums, e = np.zeros(states + states * states + states), np.zeros((listed, states))
+        for r in answers.filter("block < 0").toLocalIterator():
+            if r["block"] == SUMS:
+                sums += np.frombuffer(r["e"], "<f8")
+            else:
+                lo, hi = np.frombuffer(r["tokens"], np.int64)
+                e[lo:hi] += np.frombuffer(r["e"], "<f8").reshape(-1, states)
+        del rows, source
+        swept(spark)
+        model = Model(np.zeros(0), states)
+        model.learn(sums[:states], sums[states:-states].reshape(states, states))
+        model.spread(vocabulary, sums[-states:])
+        model.emit = model.emissions(e, vocabulary.c).T
+    return model, answers
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def likelihoods(coded: DataFrame, vocabulary: Vocabulary, model: Model, answers: DataFrame | None) -> DataFrame:
+    """SCORED: one row per document; score is log10 of the likelihood of its tokens."""
+    shared = coded.sparkSession.sparkContext.broadcast((vocabulary, model))
+    states = len(model.start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, m = shared.value
         for batch in batches:
-            rows = batch.column("row").to_numpy()
-            rare = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("rare")]
-            times = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("times")]
-            if any(map(len, rare)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, [len(x) for x in rare])), pa.array(np.concatenate(rare)), pa.array(np.concatenate(times).astype(np.int32))], ["row", "token", "times"])
-
-    asked = coded.select("row", "rare", "times").mapInArrow(run, "row long, token long, times int")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    klass = F.col("token").bitwiseAND(F.lit(CLASSES - 1))
-    totals = F.get(F.array(*map(F.lit, vocabulary.class_total.tolist())), klass.cast("int"))
-    found = asked.join(counts, "token", "left")
-    return found.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(vocabulary.n + vocabulary.v + 1)))).alias("r_base"),
-        F.sum(F.col("times") * F.log10((c + 1) / totals)).alias("r_inner"),
-    )
+            for i in range(batch.num_rows):
+                _, c, e = block_counts(batch, i, states)
+                symbols = unplaned(batch.column("symbols")[i].as_py(), "<u4")
+                size = np.frombuffer(batch.column("sizes")[i].as_buffer(), "<i8")
+                off = np.cumsum([0, *size])
+                c = np.concatenate([v.c, c])
+                base = np.add.reduceat(v.base(c)[symbols], off[:-1])
+                known = np.add.reduceat((c > 0)[symbols].astype(np.int64), off[:-1])
+                here, score = m.of_block(e, c[len(v.c) :]), np.zeros(len(size))
+                for places, grid, n in blocks([symbols[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]):
+                    score[places] = forward(here, grid, n)
+                ids = pa.array(batch.column("doc_ids")[i].as_py(), pa.int64())
+                held = pa.array([batch.column("held_out")[i].as_py()] * len(size))
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(size), pa.array(known), pa.array(base), pa.array(score / np.log(10))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            release()
+
+    source = coded.select("block", "held_out", "doc_ids", "sizes", "symbols", "rare", "c")
+    return (source if answers is None else answered(source, answers)).mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     counts = stored(count_tokens(docs), "token-counts")
     vocabulary = Vocabulary(counts)
-    coded = stored(code(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "coded")
-    model = train(coded, vocabulary, rounds, states)
-    joined = likelihoods(coded, model).join(rare_sums(coded, counts, vocabulary), "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        plus("n_known", "r_known").alias("n_known"),
-        F.lit(vocabulary.n).cast("long").alias("train_tokens"),
-        plus("base", "r_base").alias("base_score"),
-        (F.col("hidden") + plus("inner", "r_inner")).alias("score"),
-    )
+    raw = stored(code(docs, vocabulary).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    coded = stored(counted_blocks(raw, vocabulary), "coded")
+    forget(raw)
+    swept(docs.sparkSession)
+    model, answers = train(coded, counts, vocabulary, rounds, states)
+    forget(counts)
+    scores = likelihoods(coded, vocabulary, model, answers)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -182,3 +183,31 @@ def test_hmm_learns(spark):
     got = hmm.score_documents(docs, rounds=8, states=2).filter("held_out").groupBy().sum("score", "base_score").first()
     assert got["sum(score)"] > got["sum(base_score)"] + 100
     assert os.path.exists(PATH)
+
+
+def test_hmm_every_word_has_its_emissions(spark, monkeypatch):
+    """Against Baum-Welch over the whole vocabulary in one matrix, with most words outside the table and several blocks."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(k)}" for k in rng.zipf(1.3, 40) % 3000)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(hmm, "LISTED", 64)
+    monkeypatch.setattr(hmm, "BLOCK", 1 << 10)
+    got = {r.doc_id: r.score for r in hmm.score_documents(docs, rounds=3, states=2).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    c = Counter(w for i, t in rows if not held[i] for w in words_of(t))
+    place = {w: k for k, w in enumerate(c)}
+    hashes = np.array([hmm.tokens(pa.array([w or ""]))[0][0] for w in place], np.uint64)
+    count = np.array([*c.values(), 0.0])
+    e = np.concatenate([hmm.first_counts(hashes, count[:-1], 2), np.zeros((1, 2))])
+    texts = {i: np.array([place.get(w, len(place)) for w in words_of(t)]) for i, t in rows}
+    prior, m = hmm.PRIOR * (len(c) + 1) / 2, hmm.Model(np.zeros(0), 2)
+    for k in range(4):
+        m.emit = ((e + prior * (count + 1)[:, None] / (count + 1).sum()) / (e.sum(0) + prior)).T
+        assert np.allclose(m.emit.sum(1), 1)
+        if k < 3:
+            start, move, emit = hmm.expected_counts(m, [texts[i] for i in texts if not held[i]])
+            m.learn(start, move)
+            e = emit.T
+    for i, t in texts.items():
+        (_, grid, size), = hmm.blocks([t])
+        assert abs(got[i] - hmm.forward(m, grid, size)[0] / math.log(10)) < 1e-4
