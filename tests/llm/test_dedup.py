@@ -203,3 +203,16 @@ def test_lines_odd_rows(docs, nothing):
 def test_lines_stay_in_the_jvm(docs):
     plan = line_dedup.line_sets(docs, bytes(line_dedup.CELLS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_of_rows_that_share_a_doc_id(spark):
+    """Rows without an id, or with the same one, are told apart; equal rows keep a line once."""
+    base = [f"w{i}" for i in range(20)]
+    other = [f"v{i}" for i in range(20)]
+    near = [*base[:19], "x"]
+    rows = [(None, " ".join(base)), (None, " ".join(other)), (None, " ".join(base)), (3, " ".join(other[:5])), (3, " ".join(near)), (4, " ".join(near)), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_lines, r.n_removed, r.n_links, tuple(r.kept_lines)) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == Counter({(None, 1, 0, 1, (0,)): 1, (None, 1, 0, 0, (0,)): 1, (None, 1, 1, 0, ()): 1, (3, 1, 0, 0, (0,)): 1, (3, 1, 1, 0, ()): 1, (4, 1, 1, 0, ()): 1, (None, 0, 0, 0, ()): 2})
+    cleaned = Counter(r.text for r in line_dedup.clean_texts(docs).collect())
+    assert cleaned == Counter([" ".join(base), " ".join(other), " ".join(other[:5]), "", "", "", None, None])
