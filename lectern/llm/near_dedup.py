@@ -8,7 +8,8 @@
 3. Nodes that share a key are candidates. In keys of up to SMALL nodes all pairs are taken; pairs whose samples
    agree in under AGREE of all are dropped (at a similarity of 0.8, seven standard deviations away) and the others
    are verified from their texts. Nodes linked by larger keys form clumps, which are compared
-   whole, block against block, without emitting pairs: each block comparison returns a spanning forest.
+   whole, block against block, without emitting pairs: each block comparison returns a spanning forest, and
+   how many links each node has in it.
 4. Links of a weighted Jaccard similarity of SIMILARITY or more join nodes into classes.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased. A text of one to four
@@ -37,6 +38,8 @@ WIDTH_BITS, CELL_BITS = 20, 14
 IDF_WEIGHT, RARE_DF = 0.25, 8.0
 ROWS, BANDS = 5, 20
 SMALL, AGREE = 64, 0.5
+#: Similarities from products of matrices are verified from the sets where they come this close to SIMILARITY.
+BAND = 1e-4
 #: Most nodes, and about most words, in a block of a clump.
 BLOCK_NODES, BLOCK_WORDS = 256, 1 << 21
 COLUMNS = 1 << 12
@@ -207,14 +210,15 @@ def small_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long")
 
 
-def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray], weights: list[np.ndarray]) -> list[tuple[int, int, float]]:
-    """A spanning forest of the links among the sets of two blocks (side 0 and 1), or of one (all side 0).
+def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray], weights: list[np.ndarray], own: bool) -> tuple[list[tuple[int, int, float]], np.ndarray]:
+    """A spanning forest of the links between the sets of two blocks (side 0 and 1), or (own) among those of one, and how many links each set has.
 
     Overlaps come from products of (set, shingle) matrices; a shingle that stands tf times is tf columns.
     """
     rows = [i for i in range(len(node)) if len(shingles[i])]
-    if len(rows) < 2:
-        return []
+    count = np.zeros(len(node), np.int64)
+    if len(rows) < 2 or not own and (side.all() or not side.any()):
+        return [], count
     total = np.array([weights[i].sum() if len(shingles[i]) else 0.0 for i in range(len(node))])
     row = np.repeat(rows, [len(shingles[i]) for i in rows])
     element = np.concatenate([shingles[i] for i in rows])
@@ -226,7 +230,7 @@ def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray
     group = np.cumsum(new) - 1
     common = np.bincount(group)[group] > 1
     group, row, weight = group[common], row[common], weight[common]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1) if side.any() else np.flatnonzero(side == 0)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if own else 1))
     place = np.zeros(len(node), np.int64)
     place[left] = np.arange(len(left))
     across = np.zeros(len(node), np.int64)
@@ -249,7 +253,7 @@ def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray
                 dense_r = np.zeros((len(right), len(unit)), np.float32)
                 is_l = side[r] == 0
                 dense_l[place[r[is_l]], column[is_l]] = height[is_l]
-                is_r = side[r] == 1 if side.any() else is_l
+                is_r = is_l if own else side[r] == 1
                 dense_r[across[r[is_r]], column[is_r]] = 1.0
                 overlap += dense_l @ dense_r.T
                 w = w - step
@@ -258,7 +262,14 @@ def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray
                 unit = np.full(len(unit), np.inf)
                 np.minimum.at(unit, column, w)
     union = total[left][:, None] + total[right][None, :] - overlap
-    close = overlap >= (SIMILARITY - 1e-6) * union
+    close = (overlap >= (SIMILARITY - BAND) * union) & (union > 0)
+    if own:
+        np.fill_diagonal(close, False)
+    for i, j in zip(*np.nonzero(close & (overlap < (SIMILARITY + BAND) * union)), strict=True):
+        close[i, j] = similarity((shingles[left[i]], weights[left[i]]), (shingles[right[j]], weights[right[j]])) >= SIMILARITY
+    count[left] = close.sum(1)
+    if not own:
+        count[right] = close.sum(0)
     parent = {int(v): int(v) for v in node}
 
     def root(v: int) -> int:
@@ -273,17 +284,15 @@ def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray
         u, v = root(int(node[a])), root(int(node[b]))
         if u != v:
             s = similarity((shingles[a], weights[a]), (shingles[b], weights[b]))
-            if s >= SIMILARITY:
-                parent[max(u, v)] = min(u, v)
-                links.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b])), s))
-    return links
+            parent[max(u, v)] = min(u, v)
+            links.append((min(int(node[a]), int(node[b])), max(int(node[a]), int(node[b])), s))
+    return links, count
 
 
-def clump_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, weights: ShingleWeights) -> DataFrame:
-    """Links within the clumps that keys of more than SMALL nodes hold together: a, b, similarity."""
+def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: ShingleWeights) -> DataFrame:
+    """a, b, similarity, n: enough links to join each clump (n is 0), and the numbers n of links that its nodes have (b is null)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    labels = components(members.filter(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("least").alias("b")))
     inside = nodes.select("node", "doc_id", "words_digest", "n_words").join(labels, "node")
     # sets whose sizes differ by a factor of four or more never reach the similarity: only the same or the next class of size meets
     size = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
@@ -307,35 +316,42 @@ def clump_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, weights:
         _, _, shingle, times, off = _counted(pa.array(group["text"].tolist(), pa.large_string()))
         weight = times * shared.value.relative(shingle)
         cut = [slice(a, b) for a, b in zip(off[:-1], off[1:], strict=True)]
-        links = spanning_links(group["node"].to_numpy(), group["side"].to_numpy(), [shingle[c] for c in cut], [weight[c] for c in cut])
-        return pd.DataFrame(links, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+        own = bool((group["d"] == 0).all() and (group["i"] == group["j"]).all())
+        node = group["node"].to_numpy()
+        links, count = spanning_links(node, group["side"].to_numpy(), [shingle[c] for c in cut], [weight[c] for c in cut], own)
+        rows = [(*x, 0) for x in links] + [(int(node[k]), None, None, int(count[k])) for k in np.flatnonzero(count)]
+        return pd.DataFrame(rows, columns=["a", "b", "similarity", "n"]).astype({"a": "int64", "b": "Int64", "similarity": "float64", "n": "int64"})
 
-    return dealt.groupBy("label", "s", "i", "d", "j").applyInPandas(compare, "a long, b long, similarity double")
+    return dealt.groupBy("label", "s", "i", "d", "j").applyInPandas(compare, "a long, b long, similarity double, n long")
 
 
 def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, weights: ShingleWeights) -> DataFrame:
-    """a, b, similarity between nodes: enough links to join every class."""
+    """a, b, similarity, n: enough links between nodes to join every class; the n of its rows add up to a node's number of links."""
     keys = nodes.filter(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = stored(keys.join(sizes, "key"), "members")
-    pairs = stored(small_pairs(members, nodes), "pairs")
+    labels = components(members.filter(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    # pairs within a clump are compared there
+    label_a, label_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    apart = small_pairs(members, nodes).join(label_a, "a", "left").join(label_b, "b", "left").filter(~F.col("label_a").eqNullSafe(F.col("label_b")) | F.col("label_a").isNull())
+    pairs = stored(apart.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = stored(node_texts(docs, nodes.select("node", "doc_id", "words_digest").join(wanted, "node")), "texts")
-    links = verified_pairs(pairs, texts, weights)
-    return links.unionByName(clump_links(members, nodes, docs, weights))
+    links = verified_pairs(pairs, texts, weights).withColumn("n", F.lit(1).cast("long"))
+    return links.unionByName(clump_links(labels, nodes, docs, weights))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, words_digest, class_id, group_size, n_links, kept: one row per row of docs.
 
-    group_size counts documents; n_links the links found to other texts.
+    group_size counts documents; n_links the other texts that a text of the row is linked to, in groups of any size.
     """
     weights = shingle_weights(docs)
     signed = stored(signatures(docs, weights).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = stored(node_table(signed), "nodes")
     links = stored(near_links(docs, signed, nodes, weights), "links")
-    labels = components(links.select("a", "b"))
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    labels = components(links.filter("b IS NOT NULL").select("a", "b"))
+    ends = links.select(F.col("a").alias("node"), "n").unionByName(links.filter("b IS NOT NULL").select(F.col("b").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = nodes.select("node", "words_digest", "doc_id", "copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node"))["node"].alias("keeper"))
     per_digest = classed.join(classes, "label").select("words_digest", "class_id", "group_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("keeper") == F.col("node")).alias("keeper"))

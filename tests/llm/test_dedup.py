@@ -216,3 +216,19 @@ def test_lines_of_rows_that_share_a_doc_id(spark):
     assert got == Counter({(None, 1, 0, 1, (0,)): 1, (None, 1, 0, 0, (0,)): 1, (None, 1, 1, 0, ()): 1, (3, 1, 0, 0, (0,)): 1, (3, 1, 1, 0, ()): 1, (4, 1, 1, 0, ()): 1, (None, 0, 0, 0, ()): 2})
     cleaned = Counter(r.text for r in line_dedup.clean_texts(docs).collect())
     assert cleaned == Counter([" ".join(base), " ".join(other), " ".join(other[:5]), "", "", "", None, None])
+
+
+def test_near_link_counts(spark, monkeypatch):
+    """n_links counts all linked texts, by pairs or by clumps; texts with equal words are one."""
+    docs, texts = near_set(spark)
+    weights = near_dedup.shingle_weights(docs)
+    words = sorted(set(texts.values()))
+    _, _, sh, times, off = near_dedup._counted(pa.array(words))
+    w = times * weights.relative(sh)
+    sets = [(sh[a:b], w[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    want = {t: sum(i != j and near_dedup.similarity(x, y) >= 0.8 for j, y in enumerate(sets)) for i, (t, x) in enumerate(zip(words, sets, strict=True))}
+    assert max(want.values()) > 20
+    for small in (64, 3):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "BLOCK_NODES", 10)
+        assert {r.doc_id: r.n_links for r in near_dedup.near_groups(docs).collect()} == {i: want[t] for i, t in texts.items()}
