@@ -20,7 +20,6 @@ are separate documents. Without training documents every count is 0. An empty ta
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import forget, shuffle_partitions, stored, table
+from lectern.llm.common import forget, shuffle_partitions, stored, swept, table
 from lectern.llm.words import by_bytes, hash_words, mix, release
 
 LISTED = 1 << 18
@@ -310,12 +309,6 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarr
     return start, move, emit.T
 
 
-def swept(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def block_counts(batch: pa.RecordBatch, i: int, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's own tokens, their counts and their expected counts as they came back (or the first ones)."""
     token = np.frombuffer(batch.column("rare")[i].as_buffer(), np.uint64)

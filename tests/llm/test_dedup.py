@@ -200,9 +200,37 @@ def test_lines_odd_rows(docs, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def test_lines_stay_in_the_jvm(docs):
-    plan = line_dedup.line_sets(docs, bytes(line_dedup.CELLS))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_lines_stay_in_the_jvm(docs, monkeypatch):
+    """No plan of the whole operator, of the tables that it writes or of its result, runs Python."""
+    plans = []
+    plain = line_dedup.stored
+
+    def noted(df, name):
+        plans.append(df)
+        return plain(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    plans += [line_dedup.dedup_lines(docs), line_dedup.clean_texts(docs)]
+    assert len(plans) > 8
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_prefix_join_equals_brute_force(spark):
+    """The filters of the join lose no pair that matches, with codes that collide too."""
+    rng = random.Random(5)
+    pool = [[rng.randrange(60) for _ in range(rng.randrange(1, 30))] for _ in range(40)]
+    rows = []
+    for k in range(160):
+        s = list(rng.choice(pool))
+        if rng.random() < 0.6:
+            s[rng.randrange(len(s))] = rng.randrange(60)
+        rows.append((k, sorted(set(s))))
+    sets = spark.createDataFrame([(k, len(s), s) for k, s in rows], "id long, n int, codes array<int>")
+    pairs = {(min(r.id_a, r.id_b), max(r.id_a, r.id_b)) for r in line_dedup.candidate_pairs(line_dedup.prefixes(sets, line_dedup.code_levels(sets))).collect()}
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and 5 * len(set(s) & set(t)) >= 4 * len(set(s) | set(t))}
+    assert len(want) > 20 and want <= pairs
 
 
 def test_lines_of_rows_that_share_a_doc_id(spark):
