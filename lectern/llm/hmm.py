@@ -10,12 +10,14 @@ hashes, then one end. Documents whose crc32(doc_id as text) mod 7 is not 2 are t
    others by their place in the block's own list of distinct tokens.
 3. Baum-Welch: blocks add up expected counts by (token, state) over all training tokens. Those of a block's
    own tokens go to the token's group, are summed there over all blocks and come back to every block
-   that holds the token. The driver gets those of listed tokens only, the rest grows in Spark. In training,
-   sequences are cut into runs of SEGMENT tokens; in scoring they stay whole.
+   that holds the token. The driver gets those of listed tokens only, the rest grows in Spark. Sequences are
+   whole, in training and in scoring; blocks hold texts of like length, so that few steps serve many texts.
 4. The score is log10 of the exact likelihood from the scaled forward recursion.
 
 Null text is empty (the end alone), a null doc_id counts as the empty text in the crc32. Repeated rows
-are separate documents. Without training documents every count is 0. An empty table gives no rows.
+are separate documents, scored alike. Texts of any length are trained on and scored whole. No order decides anything,
+so ties don't either. Other columns are never read, whatever their names. Without training documents every count
+is 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,14 +34,18 @@ from lectern.llm.common import forget, shuffle_partitions, stored, swept, table
 from lectern.llm.words import by_bytes, hash_words, mix, release
 
 LISTED = 1 << 18
-STATES, ROUNDS, SEGMENT, PRIOR = 6, 4, 256, 0.5
+STATES, ROUNDS, PRIOR = 6, 4, 0.5
 #: Tokens counted at a time before the shuffle.
 COUNTED = 1 << 22
 #: Cells of a padded block of sequences.
-CELLS = 1 << 19
+CELLS = 1 << 20
 #: Bytes of text of a block: the larger, the fewer tokens are in several.
 BLOCK = 8 << 20
 END = np.uint64(64)
+#: About this many tokens of blocks are in a group of the exchange.
+GROUP = 1 << 20
+#: Shares of a token's expected counts travel in this many steps.
+STEPS = (1 << 20) - 1
 #: Blocks of rows of the exchange that are sums: of listed tokens, and of starts, moves and states.
 TABLE, SUMS = -1, -2
 
@@ -88,8 +95,7 @@ class Vocabulary:
         self.token, self.c = token[order], c[order]
         self.place = np.argsort(self.token)
         self.sorted = self.token[self.place]
-        # a group of the exchange has about 2**18 tokens at most
-        self.group_bits = max(9, int(self.v >> 18).bit_length())
+        self.group_bits = 9
 
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table, whether it is there)."""
@@ -118,7 +124,7 @@ def unplaned(raw: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(data.reshape(size, len(data) // size).T).view(dtype).ravel()
 
 
-CODED = "held_out boolean, doc_ids array<long>, sizes binary, symbols binary, rare binary, times binary"
+CODED = "held_out boolean, doc_ids array<long>, sizes binary, symbols binary, rare binary, times binary, n_rare long"
 
 
 def code(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -130,6 +136,7 @@ def code(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for held in (False, True):
                 chosen = batch.filter(pa.array(batch.column("held_out").to_numpy(zero_copy_only=False) == held))
+                chosen = chosen.take(pc.sort_indices(pc.binary_length(pc.fill_null(chosen.column("text"), "")), [("", "descending")]))
                 for part in by_bytes(chosen, "text", BLOCK):
                     token, off = tokens(part.column("text"))
                     symbol, known = v.find(token)
@@ -137,78 +144,114 @@ def code(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     symbol[~known] = len(v.token) + at
                     cells = (np.diff(off).astype("<i8").tobytes(), planes(symbol.astype("<u4")), rare.tobytes(), times.astype("<u4").tobytes())
                     ids = pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([held]), ids, *(pa.array([x], pa.binary()) for x in cells)], ["held_out", "doc_ids", "sizes", "symbols", "rare", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array([held]), ids, *(pa.array([x], pa.binary()) for x in cells), pa.array([len(rare)])], ["held_out", "doc_ids", "sizes", "symbols", "rare", "times", "n_rare"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, CODED)
 
 
-SENT = "grp int, block long, tokens binary, e binary"
+SENT = "grp int, block long, places binary, times binary, e binary"
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
-    grp, block, token, e = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(block, pa.int64()), pa.array(token, pa.binary()), pa.array(e, pa.binary())], ["grp", "block", "tokens", "e"])
+    columns = zip(*rows, strict=True) if rows else ((),) * 5
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["grp", "block", "places", "times", "e"])
 
 
-def exchanged(rows: DataFrame, width: int, dtype: str) -> DataFrame:
-    """Rows of SENT, with the sums over all rows that have the token in place of their own; TABLE and SUMS rows become one for each group."""
+def gaps(places: np.ndarray) -> np.ndarray:
+    """Rising places as their differences."""
+    return np.diff(places, prepend=0).astype("<u4")
+
+
+def shares(e: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Expected counts [token, state] as shares of the tokens' counts, in STEPS."""
+    return np.rint(STEPS * np.clip(e / np.maximum(total, 1)[:, None], 0, 1)).astype("<u4")
+
+
+def by_slot(rows: DataFrame) -> DataFrame:
+    """Rows of SENT, those of a group together."""
     n = shuffle_partitions(rows.sparkSession)
+    return rows.withColumn("slot", (F.col("grp") % n).cast("int")).repartitionById(n, "slot").drop("slot").sortWithinPartitions("grp", "block")
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(group, its rows), one group at a time."""
+    held, last = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "places", "times", "e")), strict=True):
+            if row[0] != last and held:
+                yield last, held
+                held = []
+            last = row[0]
+            held.append(row)
+    if held:
+        yield last, held
+    release()
+
+
+def summed(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of SENT with the shares of all blocks' expected counts in place of a block's own; TABLE and SUMS rows become one for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: list[tuple] = []
-        total: dict[tuple[int, int], list] = {}
-        for batch in batches:
-            for grp, block, token, e in zip(batch.column("grp").to_pylist(), batch.column("block").to_pylist(), batch.column("tokens").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                if block >= 0:
-                    asked.append((grp, block, np.frombuffer(token, np.uint64), unplaned(e, dtype).reshape(-1, width)))
-                elif (grp, block) in total:
-                    total[grp, block][1] += np.frombuffer(e, "<f8")
-                else:
-                    total[grp, block] = [token, np.frombuffer(e, "<f8").copy()]
-        if total:
-            yield sent([(grp, block, token, e.tobytes()) for (grp, block), (token, e) in total.items()])
-        if asked:
-            _, at = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
-            e = np.concatenate([x[3] for x in asked])
-            sums = np.stack([np.bincount(at, e[:, k])[at] for k in range(width)], 1).astype(dtype)
-            end = np.cumsum([len(x[2]) for x in asked])
+        for grp, held in grouped(batches):
+            for kind in (TABLE, SUMS):
+                if own := [x for x in held if x[1] == kind]:
+                    yield sent([(grp, kind, own[0][2], None, np.sum([np.frombuffer(x[4], "<f8") for x in own], 0).tobytes())])
+            asked = [x for x in held if x[1] >= 0]
+            if not asked:
+                continue
+            places = [np.cumsum(unplaned(x[2], "<u4"), dtype=np.int64) for x in asked]
+            at, times = np.concatenate(places), np.concatenate([unplaned(x[3], "<u4") for x in asked])
+            e = np.concatenate([unplaned(x[4], "<u4").reshape(-1, width) for x in asked])
+            total = np.bincount(at, times)
+            share = np.stack([np.bincount(at, e[:, k] * (times / STEPS)) for k in range(width)], 1)
+            share = shares(share, total)
             for lo in range(0, len(asked), 256):
-                yield sent([(grp, block, None, planes(sums[b - len(token) : b].ravel())) for (grp, block, token, _), b in zip(asked[lo : lo + 256], end[lo : lo + 256], strict=True)])
-        release()
+                yield sent([(grp, x[1], None, None, planes(share[p].ravel())) for x, p in zip(asked[lo : lo + 256], places[lo : lo + 256], strict=True)])
 
-    return rows.withColumn("slot", (F.col("grp") % n).cast("int")).repartitionById(n, "slot").drop("slot").mapInArrow(run, SENT)
+    return by_slot(rows).mapInArrow(run, SENT)
 
 
-def answered(blocks_: DataFrame, answers: DataFrame) -> DataFrame:
-    """The blocks with parts, the answers to their tokens by group (null for a block without own tokens)."""
-    parts = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("grp", "e"))).alias("parts"))
-    return blocks_.join(parts.select("block", F.col("parts.e").alias("parts")), "block", "left")
+def answered(blocks_: DataFrame, answers: DataFrame, *names: str) -> DataFrame:
+    """The blocks with the answers to their tokens by group (null for a block without own tokens)."""
+    parts = answers.filter("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("grp", *names))).alias("p"))
+    return blocks_.join(parts.select("block", *(F.col(f"p.{x}").alias(f"part_{x}") for x in names)), "block", "left")
 
 
-def joined_parts(parts: pa.Scalar, width: int, dtype: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype), *(unplaned(x, dtype) for x in parts.as_py() or [])]).reshape(-1, width)
+def joined_parts(parts: pa.Scalar) -> np.ndarray:
+    return np.concatenate([np.zeros(0, "<u4"), *(unplaned(x, "<u4") for x in parts.as_py() or [])])
 
 
 def counted_blocks(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The blocks with c in place of times: how often training has each of the block's own tokens."""
+    """The blocks with c (how often training has each of the block's own tokens) and the tokens' places in their groups."""
     shared = coded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, held, rare, times in zip(*(batch.column(c) for c in ("block", "held_out", "rare", "times")), strict=True):
                 token = np.frombuffer(rare.as_buffer(), np.uint64)
-                c = np.frombuffer(times.as_buffer(), "<u4").astype("<f8") * (not held.as_py())
-                yield sent([(g, block.as_py(), token[lo:hi].tobytes(), planes(c[lo:hi])) for g, lo, hi in shared.value.by_group(token)])
+                c = np.frombuffer(times.as_buffer(), "<u4") * np.uint32(not held.as_py())
+                yield sent([(g, block.as_py(), token[lo:hi].tobytes(), planes(c[lo:hi]), None) for g, lo, hi in shared.value.by_group(token)])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, held in grouped(batches):
+            tokens_ = [np.frombuffer(x[2], np.uint64) for x in held]
+            _, at = np.unique(np.concatenate(tokens_), return_inverse=True)
+            c = np.bincount(at, np.concatenate([unplaned(x[3], "<u4") for x in held])).astype("<u4")
+            end = np.cumsum([0, *map(len, tokens_)])
+            for lo in range(0, len(held), 256):
+                cut = [at[a:b] for a, b in zip(end[lo : lo + 256], end[lo + 1 : lo + 257], strict=False)]
+                yield sent([(grp, x[1], planes(gaps(p)), planes(c[p]), None) for x, p in zip(held[lo : lo + 256], cut, strict=True)])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [planes(joined_parts(x, 1, "<f8")[:, 0].astype("<u4")) for x in batch.column("parts")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(c, pa.binary())], [*names, "c"])
+            c, places = ([planes(joined_parts(x)) for x in batch.column(f"part_{k}")] for k in ("times", "places"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(c, pa.binary()), pa.array(places, pa.binary())], [*names, "c", "places"])
 
     names = ["block", "held_out", "doc_ids", "sizes", "symbols", "rare"]
-    answers = exchanged(coded.select("block", "held_out", "rare", "times").mapInArrow(ask, SENT), 1, "<f8")
-    found = answered(coded.select(*names), answers)
-    return found.mapInArrow(settle, coded.select(*names).schema.add("c", "binary"))
+    answers = by_slot(coded.select("block", "held_out", "rare", "times").mapInArrow(ask, SENT)).mapInArrow(number, SENT)
+    found = answered(coded.select(*names), answers, "times", "places")
+    return found.mapInArrow(settle, coded.select(*names).schema.add("c", "binary").add("places", "binary"))
 
 
 def first_counts(token: np.ndarray, c: np.ndarray, states: int) -> np.ndarray:
@@ -265,45 +308,48 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         at = end
 
 
-def forward(model: Model, grid: np.ndarray, size: np.ndarray, keep: bool = False):
+def forward(model: Model, grid: np.ndarray, size: np.ndarray, keep: bool = False, kind: type = np.float64):
     """Natural log-likelihoods by the scaled forward recursion; with keep also the scaled vectors and the scales."""
-    emit = np.ascontiguousarray(model.emit.T)
+    emit, move = np.ascontiguousarray(model.emit.T).astype(kind, copy=False), model.move.astype(kind)
     total = np.zeros(len(size))
     alphas, scales = [], []
-    alpha = np.broadcast_to(model.start, (len(size), len(model.start)))
-    for t in range(len(grid)):
-        active = int(np.searchsorted(-size, -t, side="left"))
-        alpha = (alpha[:active] @ model.move if t else alpha[:active]) * emit[grid[t, :active]]
+    alpha = np.broadcast_to(model.start.astype(kind), (len(size), len(model.start)))
+    active = np.searchsorted(-size, -np.arange(len(grid)), side="left").tolist()
+    for t, n in enumerate(active):
+        alpha = (alpha[:n] @ move if t else alpha[:n]) * emit[grid[t, :n]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
-        total[:active] += np.log(scale)
         if keep:
             alphas.append(alpha)
             scales.append(scale)
-    return (total, alphas, scales) if keep else total
+        else:
+            total[:n] += np.log(scale)
+    return (alphas, scales) if keep else total
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected_counts(model: Model, sequences: list[np.ndarray], kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     states, symbols = model.emit.shape
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states))
-    by_symbol = np.ascontiguousarray(model.emit.T)
+    by_symbol, onward = np.ascontiguousarray(model.emit.T).astype(kind, copy=False), model.move.T.astype(kind)
     for _, grid, size in blocks(sequences):
-        _, alphas, scales = forward(model, grid, size, keep=True)
-        beta = np.ones((0, states))
-        gammas = [None] * len(grid)
+        gammas, scales = forward(model, grid, size, True, kind)
+        flat = np.concatenate([grid[t, : len(a)] for t, a in enumerate(gammas)])
+        beta, pairs = np.ones((0, states), kind), np.zeros((states, states))
         for t in range(len(grid) - 1, -1, -1):
-            n = len(alphas[t])
+            n = len(gammas[t])
             if t + 1 < len(grid):
-                m = len(alphas[t + 1])
-                seen = by_symbol[grid[t + 1, :m]] * beta / scales[t + 1][:, None]
-                move += (alphas[t][:m].T @ seen) * model.move
-                beta = seen @ model.move.T
+                m = len(scales[t + 1])
+                seen = by_symbol[grid[t + 1, :m]] * beta
+                seen /= scales[t + 1][:, None]
+                pairs += gammas[t][:m].T @ seen
+                beta = seen @ onward
             if len(beta) < n:
-                beta = np.concatenate([beta, np.ones((n - len(beta), states))])
-            gammas[t] = alphas[t] * beta
+                beta = np.concatenate([beta, np.ones((n - len(beta), states), kind)])
+            gammas[t] = gammas[t] * beta
+        move += pairs * model.move
         start += gammas[0].sum(0)
-        flat = np.concatenate([grid[t, : len(alphas[t])] for t in range(len(grid))])
         gamma = np.concatenate(gammas)
+        del gammas
         for s in range(states):
             emit[:, s] += np.bincount(flat, gamma[:, s], symbols)
     return start, move, emit.T
@@ -313,9 +359,9 @@ def block_counts(batch: pa.RecordBatch, i: int, states: int) -> tuple[np.ndarray
     """A block's own tokens, their counts and their expected counts as they came back (or the first ones)."""
     token = np.frombuffer(batch.column("rare")[i].as_buffer(), np.uint64)
     c = unplaned(batch.column("c")[i].as_py(), "<u4").astype(np.float64)
-    if "parts" not in batch.schema.names:
+    if "part_e" not in batch.schema.names:
         return token, c, first_counts(token, c, states)
-    e = joined_parts(batch.column("parts")[i], states - 1, "<f4").astype(np.float64)
+    e = joined_parts(batch.column("part_e")[i]).reshape(-1, states - 1) * (c / STEPS)[:, None]
     return token, c, np.column_stack([e, np.maximum(c - e.sum(1), 0)])  # those of all states make c
 
 
@@ -342,9 +388,10 @@ def train(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rounds: i
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, rare in zip(batch.column("block"), batch.column("rare"), strict=True):
-                token = np.frombuffer(rare.as_buffer(), np.uint64)
-                yield sent([(g, block.as_py(), token[lo:hi].tobytes(), planes(np.zeros((states - 1) * (hi - lo), "<f4"))) for g, lo, hi in words.value.by_group(token)])
+            for block, rare, places in zip(batch.column("block"), batch.column("rare"), batch.column("places"), strict=True):
+                token, place = np.frombuffer(rare.as_buffer(), np.uint64), unplaned(places.as_py(), "<u4")
+                none = np.zeros((states - 1) * len(token), "<u4")
+                yield sent([(g, block.as_py(), planes(place[lo:hi]), planes(none[lo:hi]), planes(none[: (states - 1) * (hi - lo)])) for g, lo, hi in words.value.by_group(token)])
 
     answers = None
     for k in range(rounds):
@@ -357,21 +404,21 @@ def train(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rounds: i
                     token, c, e = block_counts(batch, i, states)
                     symbols = unplaned(batch.column("symbols")[i].as_py(), "<u4")
                     off = np.cumsum(np.frombuffer(batch.column("sizes")[i].as_buffer(), "<i8")).tolist()
-                    runs = [symbols[at : min(at + SEGMENT, b)] for a, b in zip([0, *off[:-1]], off, strict=True) for at in range(a, b, SEGMENT)]
-                    start, move, emit = expected_counts(shared.value.of_block(e, c), runs)
+                    start, move, emit = expected_counts(shared.value.of_block(e, c), [symbols[a:b] for a, b in zip([0, *off[:-1]], off, strict=True)], np.float32)
                     sums += np.concatenate([start, move.ravel(), emit.sum(1)])
                     table_ += emit[:, :listed].T
-                    own = np.ascontiguousarray(emit[: states - 1, listed:].T).astype("<f4")
+                    times, place = np.bincount(symbols, minlength=emit.shape[1])[listed:].astype("<u4"), unplaned(batch.column("places")[i].as_py(), "<u4")
+                    own = shares(emit[: states - 1, listed:].T, times)
                     block = batch.column("block")[i].as_py()
-                    yield sent([(g, block, token[lo:hi].tobytes(), planes(own[lo:hi].ravel())) for g, lo, hi in words.value.by_group(token)])
-            yield sent([(g, TABLE, np.array([lo, hi]).tobytes(), table_[lo:hi].tobytes()) for g, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True))] + [(0, SUMS, b"", sums.tobytes())])
+                    yield sent([(g, block, planes(place[lo:hi]), planes(times[lo:hi]), planes(own[lo:hi].ravel())) for g, lo, hi in words.value.by_group(token)])
+            yield sent([(g, TABLE, np.array([lo, hi]).tobytes(), None, table_[lo:hi].tobytes()) for g, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True))] + [(0, SUMS, b"", None, sums.tobytes())])
             release()
 
-        source = coded.filter(~F.col("held_out")).select("block", "sizes", "symbols", "rare", "c")
-        rows = (source if answers is None else answered(source, answers)).mapInArrow(run, SENT)
+        source = coded.filter(~F.col("held_out")).select("block", "sizes", "symbols", "rare", "c", "places")
+        rows = (source if answers is None else answered(source, answers, "e")).mapInArrow(run, SENT)
         if k == rounds - 1:  # the others don't need them before
-            rows = rows.unionByName(coded.filter("held_out").select("block", "rare").mapInArrow(ask, SENT))
-        last, answers = answers, stored(exchanged(rows, states - 1, "<f4"), "expected")
+            rows = rows.unionByName(coded.filter("held_out").select("block", "rare", "places").mapInArrow(ask, SENT))
+        last, answers = answers, stored(summed(rows, states - 1), "expected")
         if last is not None:
             forget(last)
         sums, e = np.zeros(states + states * states + states), np.zeros((listed, states))
@@ -379,7 +426,7 @@ def train(coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, rounds: i
             if r["block"] == SUMS:
                 sums += np.frombuffer(r["e"], "<f8")
             else:
-                lo, hi = np.frombuffer(r["tokens"], np.int64)
+                lo, hi = np.frombuffer(r["places"], np.int64)
                 e[lo:hi] += np.frombuffer(r["e"], "<f8").reshape(-1, states)
         del rows, source
         swept(spark)
@@ -418,7 +465,7 @@ def likelihoods(coded: DataFrame, vocabulary: Vocabulary, model: Model, answers:
             release()
 
     source = coded.select("block", "held_out", "doc_ids", "sizes", "symbols", "rare", "c")
-    return (source if answers is None else answered(source, answers)).mapInArrow(run, SCORED)
+    return (source if answers is None else answered(source, answers, "e")).mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
@@ -426,6 +473,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES)
     counts = stored(count_tokens(docs), "token-counts")
     vocabulary = Vocabulary(counts)
     raw = stored(code(docs, vocabulary).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    entries = raw.agg(F.sum("n_rare")).first()[0] or 0
+    vocabulary.group_bits = max(9, (entries // GROUP).bit_length())
     coded = stored(counted_blocks(raw, vocabulary), "coded")
     forget(raw)
     swept(docs.sparkSession)
