@@ -39,6 +39,43 @@ ORDINALS = {
     8: ("eighth", "8th", "eight"),
 }
 
+# Patterns by which a question names a semester or a year.
+SEMESTER_WORD = r"\bsemester\s+(\d+|one|two|three|four|five|six|seven|eight)\b"
+NUMBERED_SEMESTER = r"\b(\d+)(?:st|nd|rd|th)?\s+semester\b"
+SEMESTER_NUMBER = r"semester\s*(\d+)"
+YEAR_NUMBER = r"year\s*(\d+)"
+
+# Words by which a question names a semester as a filter; the last semester that matches wins.
+SEMESTER_WORDS = {
+    1: ["first semester", "semester 1", "1st semester", "fall year 1"],
+    2: ["second semester", "semester 2", "2nd semester", "spring year 1"],
+    3: ["third semester", "semester 3", "3rd semester", "fall year 2"],
+    4: ["fourth semester", "semester 4", "4th semester", "spring year 2"],
+    5: ["fifth semester", "semester 5", "5th semester", "fall year 3"],
+    6: ["sixth semester", "semester 6", "6th semester", "spring year 3"],
+    7: ["seventh semester", "semester 7", "7th semester", "fall year 4"],
+    8: ["eighth semester", "semester 8", "8th semester", "spring year 4"],
+}
+
+# The code prefix before "courses", with capitals only or with any letters.
+PREFIX_BEFORE_COURSES = r"\b([A-Z]{2,4})\s+courses?\b"
+
+# How questions ask for the mandatory courses of a semester: pattern, group of the semester, group of the department.
+_PLACE = "(?:software|computer|electrical\\s+and\\s+electronics|industrial)(?:\\s+engineering)?"
+MANDATORY = [
+    (rf"mandatory\s+courses?\s+(?:in\s+)?semester\s+(\d+)\s+(?:for\s+)?({_PLACE})", 1, 2),
+    (rf"mandatory\s+courses?\s+(?:for\s+)?({_PLACE})\s+(?:in\s+)?semester\s+(\d+)", 2, 1),
+    (rf"({_PLACE})\s+semester\s+(\d+)\s+mandatory", 2, 1),
+    (rf"semester\s+(\d+)\s+mandatory\s+courses?\s+(?:for\s+)?({_PLACE})", 1, 2),
+    (r"mandatory\s+courses?\s+(?:in\s+)?semester\s+(\d+)\s+(?:for\s+)?(se|ce|eee|ie)(?:\s|$)", 1, 2),
+    (r"(se|ce|eee|ie)\s+semester\s+(\d+)\s+mandatory", 2, 1),
+]
+
+# How questions count courses by code prefix, by ects and by department.
+COUNT_BY_PREFIX = r"how\s+many\s+(?:unique\s+)?courses?\s+(?:have\s+)?(?:a\s+)?(?:course\s+)?code\s+starting\s+with\s+['\"]?(\w+)['\"]?"
+COUNT_BY_ECTS = r"how\s+many\s+courses?\s+(?:have\s+)?(?:exactly\s+)?(\d+)\s+ects"
+COUNT_BY_DEPARTMENT = r"how\s+many\s+(?:total\s+)?courses?\s+(?:are\s+)?(?:offered\s+)?(?:in\s+)?(?:the\s+)?(\w+(?:\s+engineering)?)\s+department"
+
 # Question patterns by kind, in the order in which kinds are tried.
 QUESTION_KINDS = {
     "compare": ["which (department|program) has (more|fewer|most|least)", "compare .* (number|count|total)", "difference (in|between) .* (courses?|ects)"],
