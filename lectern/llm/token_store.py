@@ -8,14 +8,17 @@ least MIN_CHUNK, at most MAX_CHUNK ids). Under `path` it leaves
             `width` bytes); the digest is the SHA-256 of the ids as unsigned 32-bit integers.
   recipes/  doc_id, place, start, n_tokens, chunks, root, block: in ascending doc_id order, one file per
             block; `chunks` lists digests and lengths, `root` is the Merkle root over the digests.
-  manifest/ block, docs, tokens, root: one row per recipe file with the Merkle root of its recipes.
+  manifest/ block, docs, tokens, first, root: one row per recipe file with the start of its first document and the Merkle
+            root over its whole recipes (doc_id, start, n_tokens, root).
+  root/     blocks, docs, tokens, root: the Merkle root over the manifest's rows.
 
-read() decompresses and digests every chunk once, joins chunks to recipes, checks lengths and roots, and
-either folds the chunks' checksums into those of whole documents (checksums) or returns the ids
-(documents). Any damage raises.
+Reading checks both trees against the recipes and that starts follow one another, decompresses and digests every
+chunk once, joins chunks to recipes, checks lengths and roots, and either folds the chunks' checksums into those of whole
+documents (checksums) or returns the ids (documents). Any damage raises.
 
 Null text is empty: its document is the end id alone. A null doc_id comes first. Rows that repeat a
-doc_id are separate documents, in the order of their texts' digests. An empty table gives an empty store.
+doc_id (ties) are separate documents, in the order of their texts' digests. Texts of any length are encoded whole. Other columns are
+never read, whatever their names. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import json
 import os
 import re
 import string
+import struct
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +43,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.llm.bpe import normal_form, vocabulary_path
 from lectern.llm.common import scratch, shuffle_partitions, stored, table
-from lectern.llm.words import by_bytes, mix
+from lectern.llm.words import by_bytes, mix, string_bytes
 
 END_ID = 1
 WINDOW, MASK_BITS, MIN_CHUNK, MAX_CHUNK = 16, 10, 256, 8192
-#: Most distinct segments and words that a worker remembers, in each of two generations.
-SEGMENTS, WORDS = 400_000, 250_000
+#: Most distinct segments and words that a worker remembers.
+SEGMENTS, WORDS = 800_000, 500_000
 #: A run of these after letters is one word of its own.
 MARKS = string.punctuation
 PIECES = "array<struct<digest: binary, n: int>>"
@@ -58,23 +61,30 @@ def _gear() -> np.ndarray:
 GEAR = _gear()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: content decides them, so equal passages give equal chunks."""
-    n = len(ids)
+def chunk_marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: where a rolling hash over the last WINDOW ids has its low bits zero.
+
+    Documents may follow one another in ids: the hash reaches WINDOW ids back, and no chunk is as short as that.
+    """
+    rolled = GEAR[ids & 0xFFFF]
+    width = 1
+    while width < WINDOW:  # windows of 2, 4, ... ids
+        wider = rolled.copy()
+        wider[width:] += rolled[:-width] << np.uint32(width)
+        rolled, width = wider, 2 * width
+    return np.flatnonzero((rolled >> np.uint32(WINDOW)) & np.uint32((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def cut_points(n: int, marks: np.ndarray) -> list[int]:
+    """Ends of the chunks of n ids with these marks: content decides them, so equal passages give equal chunks."""
     ends, at = [], 0
-    if n > MIN_CHUNK:
-        gear = GEAR[ids & 0xFFFF]
-        rolled = gear.copy()
-        for k in range(1, WINDOW):
-            rolled[k:] += gear[: n - k] << np.uint32(k)
-        hits = (np.flatnonzero((rolled >> np.uint32(WINDOW)) & np.uint32((1 << MASK_BITS) - 1) == 0) + 1).tolist()
-        for hit in hits:
-            while hit - at > MAX_CHUNK:
-                at += MAX_CHUNK
-                ends.append(at)
-            if hit - at >= MIN_CHUNK:
-                ends.append(hit)
-                at = hit
+    for hit in marks.tolist() if n > MIN_CHUNK else ():
+        while hit - at > MAX_CHUNK:
+            at += MAX_CHUNK
+            ends.append(at)
+        if hit - at >= MIN_CHUNK:
+            ends.append(hit)
+            at = hit
     while n - at > MAX_CHUNK:
         at += MAX_CHUNK
         ends.append(at)
@@ -92,26 +102,69 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-class Recent:
-    """A dictionary of two generations: what was used lately stays, and its size is bounded."""
-
-    def __init__(self, limit: int):
-        self.limit, self.now, self.old = limit, {}, {}
-
-    def missing(self, wanted: set) -> set:
-        """Those of `wanted` that are not known; the known ones are in `now` afterwards."""
-        out = wanted.difference(self.now)
-        if len(self.now) + len(out) > self.limit:
-            self.old, self.now, out = self.now, {}, wanted
-        if self.old:
-            found = out.intersection(self.old)
-            self.now.update(zip(found, map(self.old.__getitem__, found), strict=True))
-            out = out - found
-        return out
+def ragged(start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ends): places of the entries of lists at[0], at[1], ... where list k has size[k] entries from start[k]."""
+    count = size[at]
+    ends = np.cumsum(count)
+    return np.repeat(start[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
+class Known:
+    """Strings and their ids, in Arrow and numpy. Of more than `limit` strings the lately used half stays."""
+
+    def __init__(self, limit: int, dtype: np.dtype):
+        self.limit, self.clock = limit, 0
+        self.text = pa.array([], pa.string())
+        self.size, self.used, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype)
+
+    def find(self, values: pa.Array) -> np.ndarray:
+        """Each value's place, or -1."""
+        self.clock += 1
+        at = pc.fill_null(pc.index_in(values, value_set=self.text), -1).to_numpy()
+        self.used[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, values: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.text) + len(values) > self.limit and len(self.text):
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+            places, _ = ragged(np.cumsum(self.size) - self.size, self.size, keep)
+            self.text, self.ids, self.size, self.used = self.text.take(pa.array(keep)), self.ids[places], self.size[keep], self.used[keep]
+        self.text = pa.concat_arrays([self.text, values])
+        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        self.used = np.concatenate([self.used, np.full(len(values), self.clock, np.int32)])
+
+    def resolve(self, values: pa.Array, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, ids): the ids of each of these distinct values; encode gives (size, ids) of those not known."""
+        at = self.find(values)
+        missing = at < 0
+        new = values.filter(pa.array(missing))
+        if isinstance(new, pa.ChunkedArray):
+            new = new.combine_chunks()
+        new_size, new_ids = encode(new)
+        start, size = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+        known = at[~missing]
+        start[~missing], size[~missing] = (np.cumsum(self.size) - self.size)[known], self.size[known]
+        start[missing], size[missing] = len(self.ids) + np.cumsum(new_size) - new_size, new_size
+        ids = np.concatenate([self.ids, new_ids])
+        self.add(new, new_size, new_ids)
+        return start, size, ids
+
+
+def unassigned(text: str) -> bool:
+    """Whether a code point is younger than this Python's tables: then only the library knows its case and kind."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text)
+
+
+def tails(whole: pa.Array, bare: pa.Array) -> pa.Array:
+    """What trimming has cut off the ends of strings."""
+    data, off = string_bytes(whole)
+    size = (pc.binary_length(whole).to_numpy() - pc.binary_length(bare).to_numpy()).astype(np.int64)
+    places, ends = ragged(off[1:] - size, size, np.arange(len(size)))
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(np.ascontiguousarray(data[places]))]).cast(pa.string())
 
 
 class Encoder:
-    """Whole texts to id bytes through the tokenizers library.
+    """Whole texts to ids through the tokenizers library.
 
     No token spans white space, and within a segment the file's pattern finds the words that the library's model
     encodes one by one. So distinct words go to the library once, many to a call, and texts are put
@@ -129,54 +182,63 @@ class Encoder:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.words = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}))
         self.added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]))
-        self.code = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
-        self.by_segment, self.by_word = Recent(SEGMENTS), Recent(WORDS)
-
-    def _encode_words(self, new: list[str]) -> None:
-        width = array(self.code).itemsize
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.words.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = array(self.code, found.ids).tobytes()
-            ends = (np.searchsorted(np.array(found.word_ids), np.arange(len(part)), side="right") * width).tolist()
-            self.by_word.now.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def _encode_segments(self, new: set[str]) -> None:
-        segments = list(new)
-        column = pa.array(segments, pa.string())
-        bare = pc.utf8_rtrim(column, characters=MARKS)
-        words, simple = bare.to_pylist(), pc.utf8_is_alpha(bare).to_pylist()
-        # most are letters and then marks: two words at most
-        tails = [s[len(w) :] for s, w in zip(segments, words, strict=True)]
-        others = {s: self.pattern.findall(s) for s, easy in zip(segments, simple, strict=True) if not easy}
-        wanted = {w for w, easy in zip(words, simple, strict=True) if easy}.union(tails, *others.values())
-        wanted.discard("")
-        self._encode_words(list(self.by_word.missing(wanted)))
-        now, known = self.by_segment.now, self.by_word.now
-        known[""] = b""
-        now.update(zip(segments, map(bytes.__add__, map(known.get, words, repeat(b"")), map(known.get, tails, repeat(b""))), strict=True))
-        now.update((s, b"".join(map(known.__getitem__, p))) for s, p in others.items())
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        # the last token of a word ends with the file's suffix
+        self.closing = np.zeros(self.whole.get_vocab_size() + 1, bool)
+        self.closing[[i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.by_segment, self.by_word = Known(SEGMENTS, self.dtype), Known(WORDS, self.dtype)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids) of words."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
+        odd = [i for i, x in enumerate(words.to_pylist()) if unassigned(x)]
+        if odd:
+            whole = [np.array(self.whole.encode(words[i].as_py(), add_special_tokens=False).ids, self.dtype) for i in odd]
+            keep = np.setdiff1d(np.arange(len(words)), odd)
+            size, rest = self.encode_words(words.take(pa.array(keep)))
+            sizes_ = np.zeros(len(words), np.int64)
+            sizes_[keep], sizes_[odd] = size, [len(x) for x in whole]
+            parts = np.split(rest, np.cumsum(size)[:-1]) if len(size) else []
+            by_place = dict(zip(keep.tolist(), parts, strict=True)) | dict(zip(odd, whole, strict=True))
+            return sizes_, np.concatenate([by_place[i] for i in range(len(words))])
+        for at in range(0, len(words), 4096):
+            part = words.slice(at, 4096).to_pylist()
+            found = np.array(self.words.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.closing[found]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the file's end-of-word suffix does not tell words apart")
+            sizes.append(np.diff(ends, prepend=0))
+            ids.append(found)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def encode_segments(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids) of segments of normalised text."""
+        bare = pc.utf8_rtrim(segments, characters=MARKS)
+        # most are letters and then marks: two words at most (beyond ASCII the file's pattern says what is a letter)
+        simple = pc.and_(pc.utf8_is_alpha(bare), pc.string_is_ascii(bare))
+        easy = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        tail = tails(segments, bare).take(pa.array(easy))
+        marked = pc.binary_length(tail).to_numpy() > 0
+        hard = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        found = [[x] if unassigned(x) else self.pattern.findall(x) for x in segments.take(pa.array(hard)).to_pylist()]
+        words = pa.concat_arrays([bare.take(pa.array(easy)), tail.filter(pa.array(marked)), pa.array([w for ws in found for w in ws], pa.string())]).dictionary_encode()
+        owner = np.concatenate([easy, easy[marked], np.repeat(hard, [len(ws) for ws in found])]).astype(np.int64)
+        start, size, ids = self.by_word.resolve(words.dictionary, self.encode_words)
+        at = words.indices.to_numpy()[np.argsort(owner, kind="stable")]
+        places, _ = ragged(start, size, at)
+        return np.bincount(owner, size[words.indices.to_numpy()], len(segments)).astype(np.int64), ids[places]
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]], the end id last."""
-        dtype = np.dtype(f"<u{array(self.code).itemsize}")
-        special = {i: np.array(self.whole.encode(x, add_special_tokens=False).ids, dtype) for i, x in enumerate(texts) if x and "<|" in x and self.added.search(x)}
+        special = {i: np.array(self.whole.encode(x, add_special_tokens=False).ids, self.dtype) for i, x in enumerate(texts) if x and "<|" in x and self.added.search(x)}
         split = pc.ascii_split_whitespace(pa.array([normal_form(x) if x and i not in special else "" for i, x in enumerate(texts)], pa.string()))
         distinct = split.values.dictionary_encode()
-        segments = distinct.dictionary.to_pylist()
-        self._encode_segments(self.by_segment.missing(set(segments).difference(("",))))
-        self.by_segment.now[""] = b""
-        parts = list(map(self.by_segment.now.__getitem__, segments))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // dtype.itemsize
-        start = np.cumsum(size) - size
-        at = distinct.indices.to_numpy(zero_copy_only=False)
-        count = size[at]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = np.frombuffer(b"".join(parts), dtype)[np.repeat(start[at] - total[:-1], count) + np.arange(total[-1])]
-        off = total[split.offsets.to_numpy()]
-        ids, off = np.insert(ids, off[1:], END_ID), off + np.arange(len(off))
+        start, size, ids = self.by_segment.resolve(distinct.dictionary, self.encode_segments)
+        places, ends = ragged(start, size, distinct.indices.to_numpy())
+        off = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        ids, off = np.insert(ids[places], off[1:], END_ID), off + np.arange(len(off))
         if special:
-            texts_ids = [np.append(special[i], dtype.type(END_ID)) if i in special else ids[off[i] : off[i + 1]] for i in range(len(texts))]
+            texts_ids = [np.append(special[i], self.dtype.type(END_ID)) if i in special else ids[off[i] : off[i + 1]] for i in range(len(texts))]
             ids, off = np.concatenate(texts_ids), np.concatenate([[0], np.cumsum([len(x) for x in texts_ids])])
         return ids, off
 
@@ -208,10 +270,12 @@ def _staged(docs: DataFrame, tokenizer: str, n_slots: int) -> DataFrame:
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 rows = []
                 all_ids, off = encoder.batch(texts)
-                for doc_id, text, lo, hi in zip(part.column("doc_id").to_pylist(), texts, off[:-1], off[1:], strict=True):
+                marks = chunk_marks(all_ids)
+                of_text = np.searchsorted(marks, off, side="right")
+                for i, (doc_id, text, lo, hi) in enumerate(zip(part.column("doc_id").to_pylist(), texts, off[:-1], off[1:], strict=True)):
                     ids = all_ids[lo:hi]
                     chunks, begin = [], 0
-                    for end in cut_points(ids):
+                    for end in cut_points(hi - lo, marks[of_text[i] : of_text[i + 1]] - lo):
                         chunk = ids[begin:end]
                         digest = hashlib.sha256(chunk.astype("<u4").tobytes()).digest()
                         chunks.append({"digest": digest, "n": end - begin})
@@ -249,22 +313,64 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.binary())], [*batch.schema.names, "root"])
 
 
+class Tree:
+    """merkle_root() of leaves that come one by one: one node per level is held."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == height:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            height += 1
+        self.peaks.append((height, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        node = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
+def recipe_leaf(doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    return struct.pack("<?qqq", doc_id is None, doc_id or 0, start, n_tokens) + root
+
+
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, docs, tokens, root of recipe rows that come in block and place order. The running root chains the recipes' roots, so nothing is held."""
-    block, docs, tokens, chain = None, 0, 0, hashlib.sha256()
-    out = lambda: pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([chain.digest()], pa.binary())], ["block", "docs", "tokens", "root"])
+    """MANIFEST of recipe rows that come in block and place order."""
+    block, docs, tokens, first, joined, tree = None, 0, 0, 0, True, Tree()
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, docs, tokens, first, joined, tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["block", "docs", "tokens", "first", "joined", "root"])
     for batch in batches:
-        for b, n, root in zip(*(batch.column(c).to_pylist() for c in ("block", "n_tokens", "root")), strict=True):
-            if b != block and block is not None:
-                yield out()
-                docs, tokens, chain = 0, 0, hashlib.sha256()
-            block, docs, tokens = b, docs + 1, tokens + n
-            chain.update(root)
+        for b, doc_id, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "start", "n_tokens", "root")), strict=True):
+            if b != block:
+                if block is not None:
+                    yield out()
+                block, docs, tokens, first, joined, tree = b, 0, 0, start, True, Tree()
+            joined = joined and start == first + tokens
+            docs, tokens = docs + 1, tokens + n
+            tree.add(recipe_leaf(doc_id, start, n, root))
     if block is not None:
         yield out()
 
 
-MANIFEST = "block int, docs long, tokens long, root binary"
+MANIFEST = "block int, docs long, tokens long, first long, joined boolean, root binary"
+WHOLE = "blocks int, docs long, tokens long, root binary"
+
+
+def _made_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """MANIFEST, made from the recipes as they are."""
+    n = shuffle_partitions(spark)
+    return _read_recipes(spark, path).select("block", "place", "doc_id", "start", "n_tokens", "root").repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(_manifest, MANIFEST)
+
+
+def _over_blocks(rows: list) -> tuple[int, int, int, bytes]:
+    """WHOLE from the manifest's rows, of which there are as many as shuffle partitions."""
+    rows = sorted(rows, key=lambda r: r["block"])
+    leaves = [struct.pack("<iqqq", r["block"], r["docs"], r["tokens"], r["first"]) + bytes(r["root"]) for r in rows]
+    return len(rows), sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows), merkle_root(leaves)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
@@ -286,7 +392,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     placed = ordered.withColumn("start", F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).join(F.broadcast(base), "block")
     placed = placed.select("doc_id", "place", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "chunks", "root", "block")
     placed.sortWithinPartitions("block", "place").write.parquet(f"{path}/recipes")
-    _read_recipes(spark, path).repartition(n, "block").sortWithinPartitions("block", "place").mapInArrow(_manifest, MANIFEST).write.parquet(f"{path}/manifest")
+    _made_manifest(spark, path).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([_over_blocks(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect())], WHOLE).coalesce(1).write.parquet(f"{path}/root")
 
 
 RECIPES = f"doc_id long, place long, start long, n_tokens long, chunks {PIECES}, root binary, block int"
@@ -360,7 +467,8 @@ def _checked(pieces: list[dict], n_tokens: int, root: bytes) -> None:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the store."""
+    """doc_id, start, n_tokens, ids_crc32 of every document in the store, the manifest verified first."""
+    check_manifest(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,7 +485,8 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids of every document in the store, verified."""
+    """doc_id, start, ids of every document in the store, all verified."""
+    check_manifest(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,11 +502,24 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
     """block, docs, tokens, intact: the manifest against the recipes."""
-    recipes = _read_recipes(spark, path).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "place")
-    made = recipes.mapInArrow(_manifest, MANIFEST)
+    made = _made_manifest(spark, path)
     kept = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    same = [made[c].eqNullSafe(kept[c]) for c in ("docs", "tokens", "root")]
-    return kept.join(made, kept["block"] == made["block"], "full").select(F.coalesce(kept["block"], made["block"]).alias("block"), kept["docs"], kept["tokens"], (same[0] & same[1] & same[2]).alias("intact"))
+    same = [made[c].eqNullSafe(kept[c]) for c in ("docs", "tokens", "first", "root")]
+    intact = F.coalesce(same[0] & same[1] & same[2] & same[3] & made["joined"], F.lit(False))
+    return kept.join(made, kept["block"] == made["block"], "full").select(F.coalesce(kept["block"], made["block"]).alias("block"), kept["docs"], kept["tokens"], kept["first"], kept["root"], intact.alias("intact"))
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise unless recipes, manifest and the root over its blocks agree and the documents' starts follow one another."""
+    rows = sorted(verify_manifest(spark, path).collect(), key=lambda r: r["block"])  # as many as shuffle partitions
+    whole = spark.read.schema(WHOLE).parquet(f"{path}/root").first()
+    total = 0
+    for r in rows:
+        if not r["intact"] or r["first"] != total:
+            raise ValueError(f"block {r['block']} of the recipes is damaged")
+        total += r["tokens"]
+    if whole is None or _over_blocks(rows) != (whole["blocks"], whole["docs"], whole["tokens"], bytes(whole["root"])):
+        raise ValueError("the manifest is damaged")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,33 @@ def test_token_store_finds_damage(spark, docs):
         token_store.checksums(spark, path).collect()
 
 
+@pytest.mark.parametrize("change", ["start + 1 AS start", "CASE doc_id WHEN 2 THEN 3 WHEN 3 THEN 2 END AS doc_id", None])
+def test_token_store_finds_changed_recipes(spark, docs, change):
+    """A changed start, swapped documents, a lost recipe."""
+    path = scratch(spark, "test-recipes")
+    token_store.write(docs.filter("doc_id IN (2, 3)"), path, PATH)
+    assert token_store.checksums(spark, path).count() == 2
+    recipes = spark.read.parquet(f"{path}/recipes")
+    names = recipes.columns
+    bad = recipes.selectExpr(*(change if change and change.endswith(f" {c}") else c for c in names)) if change else recipes.filter("doc_id = 2")
+    bad.write.parquet(f"{path}/new")
+    spark.read.parquet(f"{path}/new").write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(Exception, match="damaged"):
+        token_store.checksums(spark, path).collect()
+
+
+def test_encoder_equals_the_library_on_every_letter(library):
+    """In words, before marks and between spaces; with a small memory of words too."""
+    letters = [chr(i) for i in (*range(1, 0x32000, 7), *range(0x1C80, 0x1CA0), *range(0xA7C0, 0xA7E0), *range(0xAB60, 0xAB70)) if not 0xD800 <= i < 0xE000]
+    texts = [" ".join(f"{c} a{c}b {c}{c}. the{c}'s x,{c}" for c in letters[at : at + 500]) for at in range(0, len(letters), 500)]
+    for limit in (100, 1_000_000):
+        encoder = token_store.Encoder(PATH)
+        encoder.by_segment.limit = encoder.by_word.limit = limit
+        for part in (texts[:10], texts[:3], texts):
+            ids, off = encoder.batch(part)
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [[*library.encode(x, add_special_tokens=False).ids, 1] for x in part]
+
+
 def test_token_store_empty(spark, nothing):
     path = scratch(spark, "test-empty")
     token_store.write(nothing, path, PATH)
@@ -108,12 +135,16 @@ def test_token_store_empty(spark, nothing):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 49_000, 60_000).astype(np.uint16)
-    ends = token_store.cut_points(ids)
+    cut = lambda x: token_store.cut_points(len(x), token_store.chunk_marks(x))
+    ends = cut(ids)
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(ids) and sizes[:-1].min() >= token_store.MIN_CHUNK and sizes.max() <= token_store.MAX_CHUNK
-    moved = token_store.cut_points(np.concatenate([ids[:10], ids]))
+    moved = cut(np.concatenate([ids[:10], ids]))
     assert len({e - 10 for e in moved} & set(ends)) > 0.8 * len(ends)
-    assert token_store.cut_points(ids[:1]) == [1]
+    assert cut(ids[:1]) == [1]
+    # marks of documents that follow one another give each document the cuts that it has alone
+    marks = token_store.chunk_marks(np.concatenate([ids[:777], ids]))
+    assert token_store.cut_points(len(ids), marks[marks > 777] - 777) == ends
 
 
 @given(st.binary(max_size=60), st.binary(max_size=60))
@@ -127,6 +158,10 @@ def test_merkle():
     leaf = [h(b"\0" + x) for x in (b"a", b"b", b"c")]
     assert token_store.merkle_root([b"a", b"b", b"c"]) == h(b"\1" + h(b"\1" + leaf[0] + leaf[1]) + leaf[2])
     assert token_store.merkle_root([]) == h(b"")
+    tree = token_store.Tree()
+    for n in range(40):
+        assert tree.root() == token_store.merkle_root([b"%d" % i for i in range(n)])
+        tree.add(b"%d" % n)
 
 
 def words_of(text):
