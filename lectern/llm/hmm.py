@@ -95,7 +95,7 @@ class Vocabulary:
         self.token, self.c = token[order], c[order]
         self.place = np.argsort(self.token)
         self.sorted = self.token[self.place]
-        self.group_bits = 9
+        self.group_bits = 1
 
     def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the table, whether it is there)."""
@@ -474,7 +474,8 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES)
     vocabulary = Vocabulary(counts)
     raw = stored(code(docs, vocabulary).withColumn("block", F.monotonically_increasing_id()), "blocks")
     entries = raw.agg(F.sum("n_rare")).first()[0] or 0
-    vocabulary.group_bits = max(9, (entries // GROUP).bit_length())
+    n = shuffle_partitions(docs.sparkSession)
+    vocabulary.group_bits = max(1, (n - 1).bit_length(), (entries // GROUP).bit_length())
     coded = stored(counted_blocks(raw, vocabulary), "coded")
     forget(raw)
     swept(docs.sparkSession)
