@@ -3,11 +3,16 @@
 Each document is measured (words are runs of characters other than 0x20 and 0x09-0x0D) and checked
 against rules. Rule failures are then counted by host (the `source` column); each rule's failure
 rate of a host is shrunk with a beta prior whose two parameters come from the mean and variance of
-the rates of all hosts. A host whose shrunk rate of any rule is above HOST_LIMIT is rejected, and its
-verdict joins back to its documents.
+the rates of all hosts, each host counting by its documents. Verdicts join back to the documents:
+
+* A host whose shrunk rate of a rule is above SUSPECT times the prior's mean is suspect by that rule, and its
+  documents that fail the rule go, though symbols and repeated lines alone reject no document elsewhere.
+* A host whose shrunk rate of any rule is above HOST_LIMIT is rejected with all its documents.
 
 Null or empty text has no words and fails the base rules. Documents with a null host get no host
-verdict. Repeated rows are separate documents. An empty table gives no rows.
+verdict. Repeated rows are separate documents, judged alike. Texts of any length are measured whole. A rate that
+equals a limit (a tie) is not above it. Other columns pass through drop_failures() unread, whatever their names.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_SYMBOLS_PERCENT = 30
 MAX_DUP_LINES_PERCENT = 30
-HOST_LIMIT = 0.5
+HOST_LIMIT, SUSPECT = 0.5, 1.25
 #: A host on its own, or hosts of equal rates, give no variance; the prior then counts as this many documents.
 FLAT_PRIOR = 1e6
 BROADCAST_HOSTS = 50_000
@@ -28,6 +33,7 @@ BROADCAST_HOSTS = 50_000
 SPACES = " \t\n\x0b\x0c\r"
 GAP = "[\\x20\\x09-\\x0D]+"
 RULES = ("short", "repeated", "symbols", "dup_lines")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 def _repeat_words(pairs: Column) -> Column:
@@ -77,37 +83,45 @@ def base_failed() -> Column:
 
 
 def host_verdicts(measured: DataFrame) -> DataFrame:
-    """host, n_docs, shrunk_<rule>, host_rejected: one row per non-null host."""
+    """host, n_docs, shrunk_<rule>, suspect_<rule>, host_rejected: one row per non-null host."""
     failed = rule_failures()
     hosts = measured.filter(F.col("source").isNotNull()).groupBy(F.col("source").cast("string").alias("host")).agg(F.count("*").alias("n_docs"), *(F.count_if(failed[r]).alias(f"f_{r}") for r in RULES))
-    hosts = hosts.select("*", *((F.col(f"f_{r}") / F.col("n_docs")).alias(f"rate_{r}") for r in RULES))
-    prior = hosts.agg(*(f(f"rate_{r}").alias(f"{n}_{r}") for r in RULES for n, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    n, squares = F.sum("n_docs"), {r: F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n_docs")) for r in RULES}
+    prior = hosts.agg(*(c for r in RULES for c in ((F.sum(f"f_{r}") / n).alias(f"m_{r}"), (squares[r] / n).alias(f"q_{r}")))).first()
     for r in RULES:
-        m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"] or 0.0
+        m, q = prior[f"m_{r}"] or 0.0, prior[f"q_{r}"] or 0.0
+        v = q - m * m
         weight = max(m * (1 - m) / v - 1, 0.0) if v > 1e-12 else FLAT_PRIOR
         hosts = hosts.withColumn(f"shrunk_{r}", (F.col(f"f_{r}") + F.lit(m * weight)) / (F.col("n_docs") + F.lit(float(weight))))
-    return hosts.select("host", "n_docs", *(f"shrunk_{r}" for r in RULES), (F.greatest(*(F.col(f"shrunk_{r}") for r in RULES)) > HOST_LIMIT).alias("host_rejected"))
+        hosts = hosts.withColumn(f"suspect_{r}", F.col(f"shrunk_{r}") > F.lit(SUSPECT * m))
+    return hosts.select("host", "n_docs", *(f"{k}_{r}" for k in ("shrunk", "suspect") for r in RULES), (F.greatest(*(F.col(f"shrunk_{r}") for r in RULES)) > HOST_LIMIT).alias("host_rejected"))
+
+
+def with_verdicts(measured: DataFrame) -> DataFrame:
+    """Measured rows with base_failed and kept."""
+    verdicts = ("host_rejected", *(f"suspect_{r}" for r in RULES))
+    hosts = stored(host_verdicts(measured).select(F.col("host").alias("_host"), *verdicts), "hosts")
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    joined = measured.join(F.broadcast(hosts) if few else hosts, measured["source"].cast("string") == hosts["_host"], "left")
+    failed = rule_failures()
+    by_host = F.col("host_rejected")
+    for r in RULES:
+        by_host = by_host | (F.col(f"suspect_{r}") & failed[r])
+    return joined.select(measured.columns + [base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce(by_host, F.lit(False))).alias("kept")])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, source, the measures, base_failed and kept: one row per row of docs."""
-    measured = stored(measure(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")).drop("text"), "rules")
-    hosts = host_verdicts(measured)
-    joined = measured.join(hosts.select(F.col("host").alias("source"), "host_rejected"), "source", "left")
-    return joined.select("*", base_failed().alias("base_failed")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+    return with_verdicts(stored(measure(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text")).drop("text"), "rules"))
 
 
 def drop_failures(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    # the id is there to be made and used: it keeps the filter above the measures, which are dear to repeat
     inner = packed(docs, "text", "source")
-    measured = measure(inner).withColumn("q_id", F.monotonically_increasing_id())
-    slim = stored(measured.select("source", *(c for c in measured.columns if c.startswith("q_") and c != "q_id")), "rules")
-    rejected = stored(host_verdicts(slim).filter("host_rejected").select(F.col("host").alias("_host")), "hosts")
-    few = rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    fine = measured.filter(~base_failed() & (F.col("q_id") >= 0)).select(inner.columns)
-    stay = fine.join(F.broadcast(rejected) if few else rejected, fine["source"].cast("string") == rejected["_host"], "left_anti")
-    return unpacked(stay, docs.columns, "text", "source")
+    # written once with the measures; rows that fail the base rules count for their hosts, but need no text any more
+    text, rest = (F.when(~base_failed(), F.col(c)).alias(c) for c in ("text", "rest_columns"))
+    measured = stored(measure(inner).select(text, "source", rest, *(f"q_{c}" for c in MEASURES)), "rules")
+    return unpacked(with_verdicts(measured).filter("kept").select(inner.columns), docs.columns, "text", "source")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,13 +154,14 @@ m AS (
   FROM d JOIN w USING (doc_id) JOIN ls USING (doc_id) LEFT JOIN p USING (doc_id)
 ),
 h AS (SELECT source, count(*) AS n_docs, {", ".join(f"count(*) FILTER (WHERE {_R[r]}) AS f_{r}" for r in RULES)} FROM m WHERE source IS NOT NULL GROUP BY source),
-pr AS (SELECT {", ".join(f"avg(f_{r} / n_docs) AS m_{r}, var_pop(f_{r} / n_docs) AS v_{r}" for r in RULES)} FROM h),
+pr AS (SELECT {", ".join(f"sum(f_{r}) / sum(n_docs) AS m_{r}, sum(f_{r} * f_{r} / n_docs) / sum(n_docs) - (sum(f_{r}) / sum(n_docs)) * (sum(f_{r}) / sum(n_docs)) AS v_{r}" for r in RULES)} FROM h),
 pw AS (SELECT *, {", ".join(f"CASE WHEN v_{r} > 1e-12 THEN greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 0) ELSE {FLAT_PRIOR} END AS w_{r}" for r in RULES)} FROM pr),
-hv AS (SELECT source, greatest({", ".join(f"(f_{r} + m_{r} * w_{r}) / (n_docs + w_{r})" for r in RULES)}) > {HOST_LIMIT} AS rejected FROM h, pw)
+hs AS (SELECT source, {", ".join(f"(f_{r} + m_{r} * w_{r}) / (n_docs + w_{r}) AS s_{r}, m_{r}" for r in RULES)} FROM h, pw),
+hv AS (SELECT source, greatest({", ".join(f"s_{r}" for r in RULES)}) > {HOST_LIMIT} AS rejected, {", ".join(f"s_{r} > {SUSPECT} * m_{r} AS suspect_{r}" for r in RULES)} FROM hs)
 """
 ORACLE = f"""
 WITH {ORACLE_BODY.format(documents="documents")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_R["short"]} OR {_R["repeated"]}) AS base_failed,
-  NOT ({_R["short"]} OR {_R["repeated"]}) AND NOT coalesce(rejected, false) AS kept
+  NOT ({_R["short"]} OR {_R["repeated"]}) AND NOT coalesce(rejected OR {" OR ".join(f"(suspect_{r} AND ({_R[r]}))" for r in RULES)}, false) AS kept
 FROM m LEFT JOIN hv USING (source)
 """
