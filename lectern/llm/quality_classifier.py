@@ -1,33 +1,40 @@
 """Quality classifier by co-training of two views.
 
 The content view sees the text: shares of kinds of characters, word shapes, repetition, and hashed words. The
-metadata view sees lang, source and n_chars. Each view is a logistic regression. They start from labelled documents; in
-each round each view hands its most confident documents of an unlabelled pool, with its labels, to the training
-set of the other. The views are then calibrated and combined by a logistic regression on labelled documents that
-neither view has trained on, and the combination scores every document.
-
-The fit uses at most MAX_LABELLED labelled and MAX_POOL unlabelled documents, those with the smallest hashes of their ids;
-everything else covers all documents. A document with a score of KEEP or more is kept.
-
-Null text is empty; null metadata are values of their own. Labels with null quality don't count, contradicting ones
-count by their mean. Without labels of both kinds every score is the share of good labels (1 without any) and
-nothing is rejected. Repeated rows are scored alike. An empty table gives no rows.
+metadata view sees lang, source and n_chars. Each view is a logistic regression. They start from labelled documents. In
+each round each view labels all documents that have no label and that it is sure of (odds of SURE or more), and the other
+view learns from these and from the labelled ones: every step of Newton's method adds up gradients and second
+derivatives over all documents in Spark, so no pseudo-label is left out and none reaches the driver. Pseudo-labels of a class weigh
+as much as the labelled documents of the class, at most. The views are then calibrated and combined by logistic regressions on
+labelled documents that neither view has trained on, one half of these for either, and the combination scores every document.
+
+The fit uses at most MAX_LABELLED labelled documents, those with the smallest hashes of their ids; everything
+else covers all documents. A document with a score of KEEP or more is kept.
+
+Null text is empty; null metadata are values of their own. Texts of any length are read whole. Labels with null quality don't
+count, contradicting ones count by their mean. Of rows that repeat a labelled doc_id with other text (a tie) the one with the least features
+is learned from. Without labels of both kinds every score is the share of good labels (1 without any) and
+nothing is rejected. Repeated rows are scored alike. Other columns pass through drop_rejected() unread, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import packed, table, unpacked
+from lectern.llm.common import forget, packed, shuffle_partitions, stored, table, unpacked
 from lectern.llm.words import by_bytes, hash_words, mix, string_bytes
 
-MAX_LABELLED, MAX_POOL = 4000, 8000
-ROUNDS, SHARE = 5, 0.02
+MAX_LABELLED = 4000
+ROUNDS, STEPS, SURE = 3, 5, 9
 KEEP = 0.3
+#: Numbers of a sum that travel in one row.
+PART = 4096
 HASHED, HASHED_META = 128, 32
 
 _KINDS = np.zeros(256, np.int8)
@@ -98,59 +105,87 @@ class Logistic:
     def __init__(self, ridge: float = 1.0):
         self.ridge = ridge
 
+    def design(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -20, 20), np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and negated second derivatives of the log-likelihood."""
+        z = self.design(x)
+        p = sigmoid(z @ self.w)
+        return z.T @ (y - p), (z * (p * (1 - p))[:, None]).T @ z
+
+    def step(self, gradient: np.ndarray, second: np.ndarray) -> float:
+        """Take a step of Newton's method, and tell its largest part."""
+        penalty = np.full(len(self.w), self.ridge)
+        penalty[-1] = 1e-6
+        by = np.linalg.solve(second + np.diag(penalty), gradient - penalty * self.w)
+        self.w = self.w + by
+        return float(np.abs(by).max())
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        w = np.zeros(z.shape[1])
-        penalty = np.full(len(w), self.ridge)
-        penalty[-1] = 1e-6
+        self.w = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(h, z.T @ (y - p) - penalty * w)
-            w += step
-            if np.abs(step).max() < 1e-6:
+            if self.step(*self.sums(x, y)) < 1e-6:
                 break
-        self.w = w
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -20, 20) @ self.w[:-1] + self.w[-1]
+        return self.design(x) @ self.w
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def confident_sums(x: tuple[np.ndarray, np.ndarray], students: list[Logistic], teachers: list[Logistic]) -> np.ndarray:
+    """For each view and label: the number of rows that the other view's teacher gives the label, their gradient and second derivatives."""
+    out = []
+    for k in range(2):
+        taught = teachers[1 - k].logit(x[1 - k])
+        for label in (0, 1):
+            sure = x[k][taught * (2 * label - 1) >= np.log(SURE)]
+            gradient, second = students[k].sums(sure, float(label))
+            out += [[float(len(sure))], gradient, second.ravel()]
+    return np.concatenate(out)
+
+
 class CoTrained:
-    """Two views, each calibrated, and their combination."""
+    """Two views, each calibrated, and their combination. pseudo: confident_sums over all documents without label."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS):
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pseudo: Callable[[list[Logistic], list[Logistic]], np.ndarray], rounds: int = ROUNDS):
         self.constant = None
         hold = np.arange(len(y)) % 4 == 3
         if len(set(y)) < 2 or len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
             self.constant = float(y.mean()) if len(y) else 1.0
             return
-        taught = [(v[~hold], y[~hold]) for v in views]
-        free = np.ones(len(pool[0]), bool)
-        for _ in range(rounds + 1):
-            self.views = [Logistic().fit(*t) for t in taught]
-            if _ == rounds or not free.any():
-                break
-            handed = []
-            for k in range(2):
-                score = self.views[k].logit(pool[k])
-                for label, share in ((1, y.mean()), (0, 1 - y.mean())):
-                    n = int(round(SHARE * len(free) * share))
-                    sure = np.flatnonzero(free & (score * (2 * label - 1) > np.log(9)))
-                    handed.append((1 - k, label, sure[np.argsort(-score[sure] * (2 * label - 1), kind="stable")[:n]]))
-            for to, label, rows in handed:
-                taught[to] = np.concatenate([taught[to][0], pool[to][rows]]), np.concatenate([taught[to][1], np.full(len(rows), float(label))])
-                free[rows] = False
-        own = np.column_stack([v.logit(x[hold]) for v, x in zip(self.views, views, strict=True)])
-        self.calibrated = [Logistic(1e-2).fit(own[:, [k]], y[hold]) for k in range(2)]
-        both = np.column_stack([c.logit(own[:, [k]]) for k, c in enumerate(self.calibrated)])
-        self.joint = Logistic(1e-2).fit(both, y[hold])
+        train, y_train = [v[~hold] for v in views], y[~hold]
+        self.views = [Logistic().fit(x, y_train) for x in train]
+        for _ in range(rounds):
+            teachers = self.views
+            self.views = [copy.copy(v) for v in teachers]
+            for _ in range(STEPS):
+                sums, at, moved = pseudo(self.views, teachers), 0, 0.0
+                for view, x in zip(self.views, train, strict=True):
+                    gradient, second = view.sums(x, y_train)
+                    d = len(view.w)
+                    for label in (0, 1):
+                        weight = min(1.0, float((y_train == label).sum()) / max(sums[at], 1.0))
+                        gradient = gradient + weight * sums[at + 1 : at + 1 + d]
+                        second = second + weight * sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
+                        at += 1 + d + d * d
+                    moved = max(moved, view.step(gradient, second))
+                if moved < 1e-2:
+                    break
+        own, y_hold = np.column_stack([v.logit(x[hold]) for v, x in zip(self.views, views, strict=True)]), y[hold]
+        first = np.arange(len(own)) % 2 == 0
+        if len(set(y_hold[first])) < 2 or len(set(y_hold[~first])) < 2:  # too few for two halves
+            first, second_half = np.ones(len(own), bool), np.ones(len(own), bool)
+        else:
+            second_half = ~first
+        self.calibrated = [Logistic(1e-2).fit(own[first][:, [k]], y_hold[first]) for k in range(2)]
+        both = np.column_stack([c.logit(own[second_half][:, [k]]) for k, c in enumerate(self.calibrated)])
+        self.joint = Logistic(1e-2).fit(both, y_hold[second_half])
 
     def score(self, content: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.constant is not None:
@@ -160,16 +195,27 @@ class CoTrained:
         return sigmoid(own[0]), sigmoid(own[1]), sigmoid(self.joint.logit(np.column_stack(own)))
 
 
-def _viewed(docs: DataFrame) -> DataFrame:
-    """doc_id, content array<float>, meta array<float>."""
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Each row of a matrix as bytes of 32-bit floats."""
+    data = np.ascontiguousarray(x, "<f4")
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return string_bytes(column)[0].view("<f4").reshape(-1, width).astype(np.float64)
+
+
+def viewed(docs: DataFrame) -> DataFrame:
+    """doc_id, content binary, meta binary: the features of every row, as bytes of 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 19):
                 views = content_features(part.column("text")), metadata_features(part.column("lang"), part.column("source"), part.column("n_chars"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(list(v), pa.list_(pa.float64())) for v in views)], ["doc_id", "content", "meta"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_bytes, views)], ["doc_id", "content", "meta"])
 
-    return _input(docs).mapInArrow(run, "doc_id long, content array<double>, meta array<double>")
+    return _input(docs).mapInArrow(run, "doc_id long, content binary, meta binary")
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -178,48 +224,88 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
+def summed_over(features: DataFrame, known: np.ndarray, students: list[Logistic], teachers: list[Logistic]) -> np.ndarray:
+    """confident_sums over all rows of features whose doc_id is not known. Tasks add up their rows, then parts of the sums meet."""
+    spark = features.sparkSession
+    n = shuffle_partitions(spark)
+    shared = spark.sparkContext.broadcast((known, students, teachers))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, students, teachers = shared.value
+        total: np.ndarray | float = 0.0
+        for batch in batches:
+            ids = batch.column("doc_id")
+            free = ~np.isin(ids.fill_null(0).to_numpy(), known) | ids.is_null().to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column("content"), CONTENT)[free], _matrix(batch.column("meta"), META)[free]
+            total = total + confident_sums(x, students, teachers)
+        if isinstance(total, np.ndarray):
+            parts = [total[at : at + PART].tobytes() for at in range(0, len(total), PART)]
+            part = np.arange(len(parts), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part % n), pa.array(part), pa.array(parts, pa.binary())], ["slot", "part", "sums"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                held[part] = held.get(part, 0.0) + np.frombuffer(raw, "<f8")
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "sums"])
+
+    met = features.mapInArrow(add, "slot int, part int, sums binary").repartitionById(n, "slot").drop("slot").mapInArrow(meet, "part int, sums binary")
+    found = {r["part"]: np.frombuffer(r["sums"], "<f8") for r in met.toLocalIterator()}  # as many numbers as the views have, squared
+    size = sum(2 * (1 + len(v.w) + len(v.w) ** 2) for v in students)
+    return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size)
+
+
+def fit(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> CoTrained:
+    """The model from viewed() features and labels."""
     y = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    order = F.xxhash64("doc_id")
-    labelled = ids.join(y, "doc_id").orderBy(order, "doc_id").limit(MAX_LABELLED)
-    pool = ids.join(y, "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_POOL).withColumn("y", F.lit(None).cast("double"))
-    chosen = F.broadcast(labelled.unionByName(pool))  # at most MAX_LABELLED + MAX_POOL ids
-    rows = _viewed(docs.join(chosen.select("doc_id"), "doc_id", "left_semi")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    content, meta = (np.array(rows[c].to_pylist(), np.float64).reshape(rows.num_rows, size) for c, size in (("content", CONTENT), ("meta", META)))
-    y_all = np.array([np.nan if v is None else v for v in rows["y"].to_pylist()], np.float64)
-    known = ~np.isnan(y_all)
-    return CoTrained((content[known], meta[known]), y_all[known], (content[~known], meta[~known]))
-
-
-def scored(docs: DataFrame, model: CoTrained, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (those named in keep) with k_content, k_meta, k_quality appended."""
+    ids = features.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    chosen = F.broadcast(ids.join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))  # a bounded sample of labels
+    least = features.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct("content", "meta")).alias("x"))
+    rows = least.select("doc_id", "y", "x.content", "x.meta").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    views = tuple(_matrix(rows[c], width) for c, width in (("content", CONTENT), ("meta", META)))
+    known = np.sort(rows["doc_id"].to_numpy())
+    return CoTrained(views, rows["y"].to_numpy(), lambda students, teachers: summed_over(features, known, students, teachers), rounds)
+
+
+def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """docs with k_quality appended."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = ("k_content", "k_meta", "k_quality")
-    names, keep = docs.columns, keep or docs.columns
-    schema = docs.select(*keep, *(F.lit(0.0).alias(c) for c in extra)).schema
+    names = docs.columns
+    schema = docs.select("*", F.lit(0.0).alias("k_quality")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", 1 << 19):
-                column = lambda c, part=part: part.column(names.index(c))
-                found = shared.value.score(content_features(column("text")), metadata_features(column("lang"), column("source"), column("n_chars")))
-                yield pa.RecordBatch.from_arrays([*map(column, keep), *map(pa.array, found)], [*keep, *extra])
+                text, lang, source, n_chars = (part.column(names.index(c)) for c in ("text", "lang", "source", "n_chars"))
+                # 32 bits, as the features of the fit have
+                views = (x.astype("<f4").astype(np.float64) for x in (content_features(text), metadata_features(lang, source, n_chars)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(*views)[2])], [*names, "k_quality"])
 
     return docs.mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, p_content, p_meta, p_quality, kept: one row per row of docs."""
-    model = fit(docs, labels)
-    rows = scored(_input(docs), model, ["doc_id"])
-    kept = F.lit(True) if model.constant is not None else F.col("k_quality") >= KEEP
-    return rows.select("doc_id", F.col("k_content").alias("p_content"), F.col("k_meta").alias("p_meta"), F.col("k_quality").alias("p_quality"), kept.alias("kept"))
+    features = stored(viewed(docs), "features")
+    model = fit(features, labels, rounds)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.score(_matrix(batch.column("content"), CONTENT), _matrix(batch.column("meta"), META))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], ["doc_id", "p_content", "p_meta", "p_quality"])
+
+    rows = features.mapInArrow(run, "doc_id long, p_content double, p_meta double, p_quality double")
+    return rows.withColumn("kept", F.lit(True) if model.constant is not None else F.col("p_quality") >= KEEP)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    model = fit(docs, labels)
+    features = stored(viewed(docs), "features")
+    model = fit(features, labels)
+    forget(features)
     if model.constant is not None:
         return docs
     needed = ("text", "lang", "source", "n_chars")
