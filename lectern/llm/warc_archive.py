@@ -2,17 +2,18 @@
 
 Under `path`:
 
-  payloads/  digest, payload: each distinct payload once, under its SHA-256. The writer compares the bytes
-             of all payloads of a digest and fails if they differ.
+  payloads/  digest, payload: each distinct payload once, under its SHA-256. The writer compares SHA-1, a 64-bit
+             hash and length of all payloads of a digest and fails if they differ.
   headers/   digest, payload_bytes, header: the exact header bytes of every record (WARC/1.1).
 
 Records are put together again by a join on the digest: header, payload, two line ends. A payload of at least
 REVISIT_BYTES that several pages have is a response in the page with the largest page_id and a revisit in the
-others. read() parses the headers and recomputes length and digests from the payloads' bytes.
+others. read() parses the headers and recomputes length and digests from the payloads' bytes, once for each payload, before
+the join; where a payload is that of very many records, adaptive execution splits their side of the join.
 
 Null html is an empty payload. A null page_id is the smallest and gives no page field, a null url no target. Of
-rows that repeat page_id and payload one is the response, the others are revisits of it. An empty table gives an
-empty archive.
+rows that repeat page_id and payload (ties) one is the response, the others are revisits of it. Payloads of any length
+are kept whole. Other columns are never read, whatever their names. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def _header() -> F.Column:
     return F.concat(
         F.lit(f"WARC/1.1{EOL}"),
         _field("WARC-Type", F.col("record_type")),
-        _field("WARC-Record-ID", F.concat(F.lit("<urn:lectern:record:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.hex(F.col("row")), F.lit(">"))),
+        _field("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("uuid"), F.lit(">"))),
+        _field("WARC-Date", F.col("date")),
         _field("WARC-Page-ID", F.col("page_id").cast("string")),
         _field("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]+", "%0A")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
@@ -49,29 +51,40 @@ def _header() -> F.Column:
 
 
 def write(pages: DataFrame, path: str) -> None:
+    """Write the archive of pages (page_id, url, html). WARC-Date is the time of writing, in UTC."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     slim = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "records")
+    date = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    slim = stored(slim.select("*", F.monotonically_increasing_id().alias("row"), F.uuid().alias("uuid"), date.alias("date")), "records")
     last = F.struct(F.coalesce("page_id", F.lit(NO_ID)).alias("i"), F.col("row").alias("r"))
     winners = slim.groupBy("digest").agg(F.max(last).alias("w")).select("digest", F.col("w.r").alias("winner_row"), F.when(F.col("w.i") != NO_ID, F.col("w.i")).alias("winner_id"))
     kind = F.when((F.col("payload_bytes") < REVISIT_BYTES) | (F.col("row") == F.col("winner_row")), "response").otherwise("revisit")
     headers = slim.join(winners, "digest").withColumn("record_type", kind).select("digest", "payload_bytes", _header().alias("header"))
     headers.write.parquet(f"{path}/headers")
     # copies fold before the shuffle; equal digests must have equal bytes
-    once = rows.groupBy("digest").agg(F.max("payload").alias("payload"), F.min("payload").alias("least"))
-    same = F.when(F.col("payload") == F.col("least"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")))
+    second = rows.withColumn("second", F.concat_ws(":", F.sha1("payload"), F.xxhash64("payload").cast("string"), F.octet_length("payload").cast("string")))
+    once = second.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("second").alias("least"), F.max("second").alias("greatest"))
+    same = F.when(F.col("least") == F.col("greatest"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one digest")))
     once.select("digest", same.alias("payload")).write.parquet(f"{path}/payloads")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """header, payload, digest of every record; fails where a payload is missing or damaged."""
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """digest, payload, bytes, sha1 of each payload; fails where one is damaged."""
+    rows = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
+    sound = F.unhex(F.sha2("payload", 256)) == F.col("digest")
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is damaged")))
+    return rows.select("digest", checked.alias("payload")).select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"))
+
+
+def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """header, digest, bytes, sha1 and, if asked for, payload of every record; fails where a payload is missing or damaged."""
     headers = spark.read.schema("digest binary, payload_bytes long, header binary").parquet(f"{path}/headers")
-    payloads = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
-    joined = headers.join(payloads, "digest", "left")
-    sound = (F.unhex(F.sha2("payload", 256)) == F.col("digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
-    return joined.select("header", F.when(F.coalesce(sound, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is damaged"))).alias("payload"), "digest")
+    found = payloads(spark, path)
+    joined = headers.join(found if with_payload else found.drop("payload"), "digest", "left")
+    fits = F.when(F.col("bytes").eqNullSafe(F.col("payload_bytes")), F.col("bytes")).otherwise(F.raise_error(F.lit("a payload is damaged")).cast("long"))
+    return joined.select("header", "digest", fits.alias("bytes"), "sha1", *(["payload"] if with_payload else []))
 
 
 def original(header: F.Column, payload: F.Column) -> F.Column:
@@ -79,25 +92,25 @@ def original(header: F.Column, payload: F.Column) -> F.Column:
     return F.concat(header, payload, F.lit(EOL + EOL).cast("binary"))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to: one row per record."""
+def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload: one row per record."""
     text = F.col("header").cast("string")
     field = lambda name: F.nullif(F.regexp_extract(text, f"(?md)^{name}: (.*?)\\r$", 1), F.lit(""))
-    return records(spark, path).select(
+    return records(spark, path, with_payload).select(
         field("WARC-Page-ID").cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
-        "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
+        *(["payload"] if with_payload else []),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).drop("url", "payload")
+    return read(spark, path, False).drop("url")
 
 
 ORACLE = f"""
