@@ -1,16 +1,20 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents longer than the largest length are cut into pieces of that length and a rest. Pieces are dealt by
-hash into shards of about SHARD pieces, which are packed independently, so no task sees the whole corpus.
+a hash of doc_id and text into shards of about SHARD pieces, which are packed independently, so no task sees the whole
+corpus, and how the input is partitioned decides nothing (but which shard takes a row without doc_id).
 In a shard, pieces fall by length into the open bin with the least room that still fits; when none
 fits, a bin opens. The lengths are optimised jointly: the shard is packed once for each permitted length as
 the least size to open, and once opening at each piece the size of least cost per token that the remaining pieces
 can be expected to fill; finally every bin shrinks to the least permitted length that holds its contents.
 The packing of least total cost stays. The cost of a sequence is its length plus OVERHEAD tokens.
 
-A document's tokens are its words (runs of characters other than 0x20 and 0x09-0x0D) and one end. Null or
-empty text is the end alone. Rows with null or repeated doc_id are packed as separate documents. An
-empty table gives no rows.
+pack_documents() counts a document's words (runs of characters other than 0x20 and 0x09-0x0D) and one end as its tokens;
+pack() takes any lengths, such as those of token ids, and sequences() then puts the packed ids together.
+
+Null or empty text is the end alone. Rows with null or repeated doc_id are packed as separate documents; of pieces of
+equal length (ties) the one with the smaller hash, then the earlier piece, comes first. Other columns are never read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def token_lengths(docs: DataFrame) -> DataFrame:
     """row, doc_id, n_tokens: words and one end."""
     bare = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))
     words = F.when(bare == "", 0).otherwise(F.size(F.split(bare, "[\\x20\\x09-\\x0D]+", -1)))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("n_tokens"))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (words + 1).cast("long").alias("n_tokens"))
 
 
 def fill(sizes: list[int], lengths: tuple[int, ...], least: int | None) -> tuple[list[int], list[int], list[int], int]:
@@ -91,12 +95,26 @@ def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int
     pieces = sizes.select("row", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
     pieces = pieces.select("row", "doc_id", "piece", (F.col("piece") * top).alias("first_token"), F.least(F.lit(top), F.col("n_tokens") - F.col("piece") * top).alias("n_tokens"))
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
+    # any number of rows may lack a doc_id and be equal: these are dealt by their places in the input
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece", place), F.lit(shards)))
     schema = "row long, doc_id long, piece long, first_token long, n_tokens long, shard long, bin long, offset long, capacity long"
     packed = dealt.groupBy("shard").applyInPandas(lambda g: pack_shard(g, lengths)[["row", "doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "offset", "capacity"]], schema)
     return packed.select("doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset")
 
 
+def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:
+    """shard, bin, capacity, n_tokens, ids array<int>: one row per bin, at most the largest length of ids in it.
+
+    placed: rows of pack() for documents with a doc_id of their own; ids: doc_id, ids array<int> of each of these documents.
+    """
+    piece = F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    cut = placed.join(ids.select("doc_id", "ids"), "doc_id").select("shard", "bin", "capacity", F.struct("offset", piece.alias("ids")).alias("piece"))
+    bins = cut.groupBy("shard", "bin").agg(F.first("capacity").alias("capacity"), F.sort_array(F.collect_list("piece")).alias("pieces"))
+    whole = bins.select("shard", "bin", "capacity", F.flatten("pieces.ids").alias("ids"))
+    return whole.select("shard", "bin", "capacity", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     return pack(stored(token_lengths(docs), "lengths"))
 
