@@ -9,10 +9,12 @@
    own rows into one record, so a text with any number of copies reaches its owner as at most one
    record per map task. An owner reads its records in key order and keeps, for the key at hand
    only, the chain of distinct texts; records are equal only if their bytes are.
-4. The index files hold one row per distinct text; entries join them by key and digest.
+4. The index files hold one row per distinct text; entries join them by key and digest, and the row of the doc_id that
+   the index names stays.
 
 Rows with null text count as empty text. A null doc_id is the smallest. Of rows that repeat the
-same doc_id and text, exactly one is kept.
+same doc_id and text (ties), exactly one is kept. Texts of any length are compared whole. Other columns pass
+through drop_copies() unread, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,30 +41,31 @@ def normalised(column: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(column, ""))
 
 
-def key_of(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+def key_of(text: bytes, bits: int = 64) -> int:
+    """The first `bits` bits of a 64-bit hash; fewer than 64 are for tests of collisions."""
+    return (xxhash.xxh3_64_intdigest(text) >> (64 - bits) << (64 - bits)) - (1 << 63)
 
 
-def with_key(docs: DataFrame, key: str = "key") -> DataFrame:
-    """docs with the 64-bit key of the normalised text appended."""
-    schema = docs.select("*", F.lit(0).cast("long").alias(key)).schema
+def with_digest(docs: DataFrame, name: str = "digest") -> DataFrame:
+    """docs with the SHA-256 of the normalised text appended."""
+    schema = docs.select("*", F.lit(b"").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(x.as_buffer()) for x in normalised(batch.column(batch.schema.get_field_index("text")))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*batch.schema.names, key])
+            digests = [hashlib.sha256(x.as_buffer()).digest() for x in normalised(batch.column(batch.schema.get_field_index("text")))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
-def entries(docs: DataFrame) -> DataFrame:
+def entries(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     """doc_id, key, digest of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_buffer() for x in normalised(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([key_of(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())],
+                [batch.column("doc_id").cast(pa.int64()), pa.array([key_of(x, key_bits) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary())],
                 ["doc_id", "key", "digest"],
             )
 
@@ -115,12 +118,12 @@ def build_directory(rows: DataFrame, capacity: int | None = None, bits: int = MA
     return Directory(cells, bits, capacity or max(1, sum(cells.values()) // (8 * n)))
 
 
-def records(docs: DataFrame, directory: Directory, n: int) -> DataFrame:
+def records(docs: DataFrame, directory: Directory, n: int, key_bits: int = 64) -> DataFrame:
     """owner, bucket, key, body, keep_id, n: equal texts of a map task folded together, at most FOLD_BYTES of texts at a time."""
     owners = directory.owners(n)
 
     def flush(held: dict[bytes, list[int]]) -> pa.RecordBatch:
-        keys = np.array([key_of(x) for x in held], np.int64)
+        keys = np.array([key_of(x, key_bits) for x in held], np.int64)
         bucket = directory.bucket(keys)
         return pa.RecordBatch.from_arrays(
             [pa.array(owners[bucket]), pa.array(bucket), pa.array(keys), pa.array(list(held), pa.binary()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array([x[1] for x in held.values()], pa.int64())],
@@ -150,7 +153,7 @@ def records(docs: DataFrame, directory: Directory, n: int) -> DataFrame:
     return source.mapInArrow(run, "owner int, bucket long, key long, body binary, keep_id long, n long")
 
 
-def index(docs: DataFrame, directory: Directory) -> DataFrame:
+def index(docs: DataFrame, directory: Directory, key_bits: int = 64) -> DataFrame:
     """bucket, key, digest, chain, keep_id, group_size: one row per distinct text, made by the owner tasks."""
     n = shuffle_partitions(docs.sparkSession)
 
@@ -183,20 +186,21 @@ def index(docs: DataFrame, directory: Directory) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
 
-    dealt = records(docs, directory, n).repartitionById(n, "owner").drop("owner").sortWithinPartitions("bucket", "key")
+    dealt = records(docs, directory, n, key_bits).repartitionById(n, "owner").drop("owner").sortWithinPartitions("bucket", "key")
     return dealt.mapInArrow(run, "bucket long, key long, digest binary, chain int, keep_id long, group_size long")
 
 
-def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
-    """doc_id, key, keep_id, group_size, kept, text_sha256: one row per row of docs.
+def exact_groups(docs: DataFrame, capacity: int | None = None, key_bits: int = 64) -> DataFrame:
+    """doc_id, key, keep_id, group_size, kept, text_sha256, bucket, chain: one row per row of docs.
 
     Of equal normalised texts the row with the largest doc_id is kept. An empty table gives no rows.
     """
-    rows = stored(entries(docs).withColumn("row", F.monotonically_increasing_id()), "entries")
-    files = stored(index(docs, build_directory(rows, capacity)), "index")
-    # of rows that repeat the kept doc_id, the last written one stays
-    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("i"), F.col("row").alias("r"))
-    winner = rows.groupBy("key", "digest").agg(F.max(order)["r"].alias("keep_row"))
+    rows = stored(entries(docs, key_bits).withColumn("row", F.monotonically_increasing_id()), "entries")
+    files = index(docs, build_directory(rows, capacity), key_bits)
+    files = stored(files, "index")
+    same_id = F.coalesce("doc_id", F.lit(NO_ID)) == F.col("keep_id")
+    # the index names the doc_id that stays; of rows that repeat it the last written one
+    winner = rows.join(files.select("key", "digest", "keep_id"), ["key", "digest"]).filter(same_id).groupBy("key", "digest").agg(F.max("row").alias("keep_row"))
     index_rows = files.join(winner, ["key", "digest"])
     return rows.join(index_rows, ["key", "digest"]).select(
         "doc_id",
@@ -212,10 +216,10 @@ def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns of docs."""
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("key").alias("_keep_key"))
-    rows = with_key(packed(docs, "doc_id", "text"), "_key")
-    same = rows["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (rows["_key"] == keep["_keep_key"])
-    return unpacked(rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]), docs.columns, "doc_id", "text")
+    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_digest"))
+    rows = with_digest(packed(docs, "doc_id", "text"), "_digest")
+    same = rows["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (rows["_digest"] == keep["_keep_digest"])
+    return unpacked(rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_digest"]), docs.columns, "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
