@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lectern.functions import fixed
 
@@ -66,7 +67,9 @@ def strip_urls(text: Column) -> Column:
 
 
 def strip_emails(text: Column) -> Column:
-    return F.regexp_replace(text, fixed.EMAIL, "")
+    """A match can only begin where no letter of a name stands before: with this said, a run without "@" is read once."""
+    once = "(?<![a-zA-Z0-9._%+-])" + fixed.EMAIL.replace("+@", "++@", 1)
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, once, "")).otherwise(text)
 
 
 def strip_phones(text: Column) -> Column:
@@ -95,17 +98,36 @@ def strip_ends(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
 
 
-def clean_text(text: Column, options: CleaningOptions = CleaningOptions()) -> Column:
-    """All steps in order; null and texts shorter than options.least are empty."""
-    o, text = options, F.coalesce(text, F.lit(""))
-    if o.comments:
-        text = strip_comments(text)
-    if o.entities:
-        text = decode_entities(text)
-    if o.tags:
-        text = strip_tags(text)
-    if o.form:
-        text = normal_form(text, o.form)
+def _plain(options: CleaningOptions, array: bool = False):
+    """Entities, tags and Unicode form in one Arrow function; texts without "&", "<" or letters beyond ASCII are spared the step."""
+    tag = re.compile(fixed.TAG)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        if options.entities and "&" in text:
+            text = html.unescape(text)
+        if options.tags and "<" in text:
+            text = tag.sub(" ", text)
+        return text if not options.form or text.isascii() else unicodedata.normalize(options.form, text)
+
+    if array:
+
+        @F.pandas_udf("array<string>")
+        def plain(values: pd.Series) -> pd.Series:
+            return values.map(lambda items: None if items is None else [one(x) for x in items])
+
+    else:
+
+        @F.pandas_udf("string")
+        def plain(values: pd.Series) -> pd.Series:
+            return values.map(one)
+
+    return plain
+
+
+def _rest(text: Column, o: CleaningOptions) -> Column:
+    """The steps after the Unicode form."""
     if o.control:
         text = strip_control(text)
     if o.urls:
@@ -125,11 +147,46 @@ def clean_text(text: Column, options: CleaningOptions = CleaningOptions()) -> Co
     return F.when(F.length(text) < o.least, F.lit("")).otherwise(text)
 
 
-def clean_list(items: Column, options: CleaningOptions = CleaningOptions(entities=False, form=None)) -> Column:
-    """Each item cleaned, empty ones dropped, null where none is left. Python functions don't run inside arrays, so entities and forms are off."""
-    kept = F.filter(F.transform(items, lambda x: clean_text(x, options)), lambda x: x != "")
+def clean_text(text: Column, options: CleaningOptions = CleaningOptions()) -> Column:
+    """All steps in order; null and texts shorter than options.least are empty."""
+    text = F.coalesce(text, F.lit(""))
+    if options.comments:
+        text = strip_comments(text)
+    if options.entities or options.form:
+        text = _plain(options)(text)
+    elif options.tags:
+        text = strip_tags(text)
+    return _rest(text, options)
+
+
+def clean_list(items: Column, options: CleaningOptions = CleaningOptions()) -> Column:
+    """Each item cleaned as a text, empty ones dropped, null where none is left."""
+    if options.comments:
+        items = F.transform(items, strip_comments)
+    if options.entities or options.form:
+        items = _plain(options, array=True)(items)
+    elif options.tags:
+        items = F.transform(items, strip_tags)
+    kept = F.filter(F.transform(items, lambda x: _rest(F.coalesce(x, F.lit("")), options)), lambda x: x != "")
     return F.when(F.size(kept) > 0, kept)
 
 
+def clean_courses(courses: DataFrame, options: CleaningOptions = CleaningOptions()) -> DataFrame:
+    """Courses with cleaned texts and lists; codes in capitals, departments in small letters, a title that cleans to nothing stays.
+
+    Optional texts that clean to nothing are null. Every text has a cleaned form, so no row fails and is kept as it was.
+    """
+    kinds = dict(courses.dtypes)
+    steps: dict[str, Column] = {
+        "course_code": F.upper(strip_ends(F.col("course_code"))),
+        "course_title": F.coalesce(F.nullif(clean_text(F.col("course_title"), options), F.lit("")), F.col("course_title")),
+        "department": F.lower(strip_ends(F.col("department"))),
+        "year_range": strip_ends(F.col("year_range")),
+        **{c: F.nullif(clean_text(F.col(c), options), F.lit("")) for c in ("objectives", "description", "prerequisites", "assessment")},
+        **{c: clean_list(F.col(c), options) for c in ("weekly_topics", "learning_outcomes")},
+    }
+    return courses.withColumns({c: v for c, v in steps.items() if c in kinds})
+
+
 def truncate(text: Column, most: int, suffix: str = "...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - len(suffix)), F.lit(suffix))).otherwise(text)

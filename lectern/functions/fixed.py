@@ -27,6 +27,27 @@ DEPARTMENT_NAMES = {
     "ie": "ie",
 }
 
+# Departments by name, in headings.
+DEPARTMENT_TITLES = {
+    "se": "Software Engineering",
+    "ce": "Computer Engineering",
+    "eee": "Electrical and Electronics Engineering",
+    "ie": "Industrial Engineering",
+}
+
+# Sections of a course and their headings.
+SECTION_HEADINGS = {
+    "objectives": "Course Objectives",
+    "description": "Course Description",
+    "prerequisites": "Prerequisites",
+    "weekly_topics": "Weekly Topics",
+    "learning_outcomes": "Learning Outcomes",
+    "assessment": "Assessment Methods",
+}
+
+# How a course says that it has no prerequisites.
+NO_PREREQUISITES = ("none", "n/a", "-", "")
+
 # Ordinals of semesters.
 ORDINALS = {
     1: ("first", "1st", "one"),

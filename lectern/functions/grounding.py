@@ -83,3 +83,27 @@ def check_answers(df: DataFrame, answer: str = "answer", sources: str = "sources
         score.alias("grounding_score"),
     )
     return df.withColumn("is_grounded", (F.col("grounding_score") >= least) & ((F.col("n_citations") > 0) | F.col("abstention")))
+
+
+def grounded_by_score(df: DataFrame, answer: str = "answer", sources: str = "sources", least: float = 0.5) -> DataFrame:
+    """df with grounded: the score alone decides, an answer without citations may pass."""
+    checked = check_answers(df.withColumn("_sources", F.col(sources)), answer, sources)
+    return checked.select(*[c for c in df.columns if not c.startswith("_")], (F.col("grounding_score") >= least).alias("grounded"))
+
+
+def course_exists(code: Column, sources: Column) -> Column:
+    """Whether one source has both parts of a code; a code that is not two words exists nowhere."""
+    parts = F.split(strip_ends(F.upper(code)), "(?U)\\s+", -1)
+    return (F.size(parts) == 2) & F.exists(sources, lambda s: F.contains(F.upper(s["text"]), F.get(parts, F.lit(0))) & F.contains(F.upper(s["text"]), F.get(parts, F.lit(1))))
+
+
+def feedback() -> Column:
+    """A checked answer's verdict, citations and claims as lines."""
+    count = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("/"), F.col(b).cast("string"))
+    return F.concat_ws(
+        "\n",
+        F.concat(F.when(F.col("is_grounded"), "✓ Grounded").otherwise("✗ Not Grounded"), F.lit(" (Score: "), F.format_number("grounding_score", 2), F.lit(")")),
+        F.concat(F.lit("Citations: "), count("n_valid", "n_citations"), F.lit(" valid")),
+        F.when(F.size("invalid") > 0, F.concat(F.lit("  Invalid: "), F.array_join("invalid", ", "))),
+        F.concat(F.lit("Claims: "), count("n_supported", "n_claims"), F.lit(" verified")),
+    )

@@ -79,4 +79,28 @@ def answer_metrics(checked: DataFrame) -> DataFrame:
         zero(1 - F.avg(trap)).alias("hallucination_rate"),
         one(F.avg(full)).alias("answer_completeness"),
         F.count("*").alias("num_answers"),
+        F.count_if("is_trap").alias("num_trap_questions"),
     )
+
+
+def rounded(measures: DataFrame, digits: int = 4) -> DataFrame:
+    """Measures as they are saved: fractions with `digits` digits, counts as they are."""
+    return measures.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in measures.dtypes))
+
+
+def summary(measures: DataFrame) -> DataFrame:
+    """One row, summary: the main measures as lines."""
+    line = lambda label, c: F.concat(F.lit(f"  {label}: "), F.format_number(c, 3))
+    text = F.concat_ws(
+        "\n",
+        F.lit("Retrieval:"),
+        line("MRR", "mrr"),
+        line("Recall@5", "recall_at_5"),
+        line("Hit rate", "hit_rate"),
+        F.concat(F.lit("  Queries: "), F.col("num_queries").cast("string")),
+        F.lit("Answers:"),
+        line("Grounding rate", "grounding_rate"),
+        line("Trap accuracy", "trap_accuracy"),
+        line("Completeness", "answer_completeness"),
+    )
+    return measures.select(text.alias("summary"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import fixed
@@ -71,18 +73,20 @@ def question_stats(questions: DataFrame) -> DataFrame:
     return grouped.select(facet.alias("facet"), F.coalesce("question_type", "difficulty", "department").alias("value"), "n", "traps")
 
 
-def hit_courses(hits: DataFrame) -> DataFrame:
-    """course_code, ects, credits, course_type, semester, department: codes named in hits (pos, text, semester, department), each at its first place.
+def hit_courses(hits: DataFrame, *by: str) -> DataFrame:
+    """course_code, place, ects, credits, course_type and the hits' own columns but text: codes named in hits (pos, text), each at its first place.
 
-    Quantities are the first ones in the hit's text, shared by all its codes.
+    Quantities are the first ones in the hit's text and the type is the first kind with a word in it ("" without one); all its
+    codes share them. With `by`, such as a query's id, a code counts once for each.
     """
     from lectern.functions.grounding import course_codes
 
     low = F.lower("text")
     number = lambda p: F.nullif(F.regexp_extract("text", f"(?iU){p}", 1), F.lit("")).try_cast("double")
-    kind = F.when(low.contains("mandatory") | low.contains("required"), "required").when(low.contains("elective"), "elective").otherwise("unknown")
-    rows = hits.select("pos", "semester", "department", number(fixed.ECTS).alias("ects"), number(fixed.CREDITS).alias("credits"), kind.alias("course_type"), F.posexplode(course_codes(F.col("text"))).alias("place", "course_code"))
-    w = Window.partitionBy("course_code").orderBy("pos", "place")
+    kind = F.coalesce(*(F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), k) for k, words in fixed.COURSE_TYPE_WORDS.items()), F.lit(""))
+    own = [c for c in hits.columns if c not in ("text", "ects", "credits", "course_type", "course_code", "place")]
+    rows = hits.select(*own, number(fixed.ECTS).alias("ects"), number(fixed.CREDITS).alias("credits"), kind.alias("course_type"), F.posexplode(course_codes(F.col("text"))).alias("place", "course_code"))
+    w = Window.partitionBy(*by, "course_code").orderBy("pos", "place")
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 STANDARD_CHUNKS = 15
 
+COMPARISON_SYSTEM = "You compare departments of a course catalog. Use the sources only, cite them as [id], take each department in turn and say where sources are missing."
+QUANTITATIVE_SYSTEM = "You answer counting questions about a course catalog. Take numbers from the data, list what is counted and name the filters."
 SYSTEM = "You answer questions about a course catalog. Use the sources only and cite them as [id]."
 TRAP_NOTE = "The sources may not cover this question. If they do not, say that you could not find it."
 
@@ -36,7 +38,7 @@ def department_contexts(hits: DataFrame, departments: list[str]) -> DataFrame:
     """query_id, department, context for every asked department, with a note where it has no hits."""
     asked = hits.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, departments))).alias("department"))
     grouped = hits.groupBy("query_id", "department").agg(F.array_sort(F.collect_list(F.struct("rank", hit_block().alias("t")))).alias("s"))
-    text = F.coalesce(F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"), F.lit("No relevant sources."))
+    text = F.coalesce(F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"), F.lit("No relevant sources found for this department."))
     return asked.join(grouped, ["query_id", "department"], "left").select("query_id", "department", F.concat(F.lit("## "), F.upper("department"), F.lit("\n"), text).alias("context"))
 
 
@@ -48,6 +50,20 @@ def prompts(questions: DataFrame, context: DataFrame, low_confidence: float = 0.
     return joined.select("query_id", F.lit(SYSTEM).alias("system"), body.alias("prompt"), doubtful.alias("doubtful"))
 
 
+def comparison_prompts(questions: DataFrame, by_department: DataFrame, departments: list[str]) -> DataFrame:
+    """query_id, system, prompt from department_contexts(), departments in the order given."""
+    place = F.array_position(F.array(*map(F.lit, departments)), F.col("department"))
+    parts = by_department.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "context"))).alias("s"))
+    body = F.concat(F.lit("Sources by department:\n"), F.coalesce(F.array_join("s.context", "\n\n"), F.lit("No relevant sources.")), F.lit("\n\nComparison question: "), F.col("question"))
+    return questions.join(parts, "query_id", "left").select("query_id", F.lit(COMPARISON_SYSTEM).alias("system"), body.alias("prompt"))
+
+
+def quantitative_prompts(questions: DataFrame, data: DataFrame) -> DataFrame:
+    """query_id, system, prompt from (query_id, formatted): the data that a count or sum is read from."""
+    body = F.concat(F.lit("Course data:\n"), F.coalesce("formatted", F.lit("")), F.lit("\n\nQuestion: "), F.col("question"))
+    return questions.join(data.select("query_id", "formatted"), "query_id", "left").select("query_id", F.lit(QUANTITATIVE_SYSTEM).alias("system"), body.alias("prompt"))
+
+
 def citation_rows(hits: DataFrame, snippet: int = 200) -> DataFrame:
     return hits.select("query_id", "chunk_id", "course_code", "course_title", "source_url", F.substring("text", 1, snippet).alias("text_snippet"))
 

@@ -110,6 +110,19 @@ def save_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{manifest['dataset_version']}")
 
 
+def delete_manifest(spark: SparkSession, root: str, version: str) -> bool:
+    """Whether there was one."""
+    from lectern.sources.readers import delete_path
+
+    return delete_path(spark, f"{root}/{version}")
+
+
+def file_hashes(spark: SparkSession, path: str, digits: int = 64) -> DataFrame:
+    """path, hash: the SHA-256 of each file under a folder, or of one file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.substring(F.sha2("content", 256), 1, digits).alias("hash"))
+
+
 def load_manifests(spark: SparkSession, root: str) -> DataFrame:
     """All readable manifests; malformed ones are skipped."""
     schema = "dataset_version string, created_at string, embedding_provider string, embedding_model string, embedding_dimensions int, total_chunks long, total_courses long, departments array<string>, index_path string, chunks_file string"

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Query batches of at most this many rows go to every task; larger ones are searched in blocks of it.
-QUERY_BLOCK = 4096
+#: Rows of a block of queries and of a slice of vectors: a block and a slice make a matrix of scores in one task.
+QUERY_BLOCK, SLICE = 2048, 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,74 +26,69 @@ def cosine(a: Column, b: Column) -> Column:
 
 def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """The k rows most similar to one query, ties by key; those below the threshold go afterwards."""
-    scored = vectors.withColumn("score", cosine(F.col(column), F.array(*map(F.lit, query)))).drop(column)
+    # the query's length is known here; the products of a row's cells stay in the JVM
+    length = float(np.linalg.norm(np.array(query, np.float64)))
+    q = F.array(*(F.lit(float(x)) for x in query))
+    score = F.coalesce(F.try_divide(dot(F.col(column), q), F.sqrt(dot(F.col(column), F.col(column))) * F.lit(length)), F.lit(0.0))
+    scored = vectors.withColumn("score", score).drop(column)
     best = scored.orderBy(F.desc("score"), key).limit(k)
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row above -inf, falling; of equal ones the first columns."""
+    n = score.shape[1]
+    least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else score.min(1)
+    row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", skip_self: bool = False, group: str | None = None) -> DataFrame:
     """query_id, key, score, rank (and group): the k best vectors of each query, of each group if one is named.
 
-    Queries are collected in blocks of QUERY_BLOCK (a stated set against all rows). Each task keeps its k best per query
-    and group by matrix products, so the shuffle carries k rows per query, group and task; a window takes the k best of all.
+    A stated set of queries against all rows: queries are dealt into blocks of about QUERY_BLOCK and vectors into slices of about SLICE
+    rows, each block meets each slice in a task of its own, which keeps the k best per query and group by matrix products.
+    Up to QUERY_BLOCK queries, every vector moves once. Neither side passes through the driver. A window takes the k best of all slices.
     """
-    parts = []
-    kind = vectors.schema[key].dataType.simpleString()
-    gkind = vectors.schema[group].dataType.simpleString() if group else None
-    names = [query_key, key, "score"] + ([group] if group else [])
-    rows = queries.select(query_key, column).orderBy(query_key).toLocalIterator()
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r[query_key] for r in block])
-        matrix = np.array([r[column] for r in block], np.float64)
-        norm = np.linalg.norm(matrix, axis=1)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, norm))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, norm = shared.value
-            best: dict = {}
-            for batch in batches:
-                keys = batch.column(key).to_numpy(zero_copy_only=False)
-                v = np.array(batch.column(column).to_pylist(), np.float64).reshape(len(keys), -1)
-                if not len(keys):
-                    continue
-                size = np.outer(norm, np.linalg.norm(v, axis=1))
-                score = np.divide(matrix @ v.T, size, out=np.zeros_like(size), where=size > 0)
-                if skip_self:
-                    score[ids[:, None] == keys[None, :]] = -np.inf
-                groups = np.array(batch.column(group).to_pylist(), object) if group else np.zeros(len(keys), object)
-                by_key = np.argsort(keys, kind="stable")  # a stable sort by score then leaves ties in key order
-                for g in set(groups.tolist()):
-                    inside = by_key[groups[by_key] == g]
-                    part = score[:, inside]
-                    order = np.argsort(-part, axis=1, kind="stable")[:, :k]
-                    top, names_of = np.take_along_axis(part, order, 1), keys[inside][order]
-                    for i in range(len(ids)):
-                        held = best.setdefault((i, g), [])
-                        held += [(-x, n) for x, n in zip(top[i].tolist(), names_of[i].tolist(), strict=True) if x > -np.inf]
-                        held.sort()
-                        del held[k:]
-            out = [(ids[i], x, -s, g) for (i, g), held in best.items() for s, x in held]
-            if out:
-                columns = list(zip(*out, strict=True))
-                arrays = [pa.array([int(x) for x in columns[0]], pa.int64()), pa.array([x.item() if hasattr(x, "item") else x for x in columns[1]]), pa.array(columns[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(columns[3], group_type)] if group else []), names)
-
-        group_type = to_arrow_type(vectors.schema[group].dataType) if group else None
-        schema = f"{query_key} long, {key} {kind}, score double" + (f", {group} {gkind}" if group else "")
-        return vectors.select(key, column, *([group] if group else [])).mapInArrow(run, schema)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(search(block))
-            block = []
-    if block or not parts:
-        parts.append(search(block) if block else vectors.sparkSession.createDataFrame([], f"{query_key} long, {key} {kind}, score double" + (f", {group} {gkind}" if group else "")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    n_blocks, n_slices = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, SLICE)))
+    kinds = {c: vectors.schema[c].dataType for c in [key, *([group] if group else [])]}
+    kind = queries.schema[query_key].dataType
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    asked = queries.select(query_key, F.col(column).alias("q"), dealt(query_key, n_blocks).alias("block"), every(n_slices).alias("slice"))
+    held = vectors.select(key, *([group] if group else []), F.col(column).alias("v"), dealt(key, n_slices).alias("slice"), every(n_blocks).alias("block"))
+    names = [query_key, key, "score", *([group] if group else [])]
+    types = [to_arrow_type(kind), to_arrow_type(kinds[key]), pa.float64(), *([to_arrow_type(kinds[group])] if group else [])]
+
+    def search(one: pa.Table, other: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        matrix = np.array(one.column("q").to_pylist(), np.float64)
+        norm = np.linalg.norm(matrix, axis=1) if len(matrix) else np.zeros(0)
+        parts = [other]
+        if group and other.num_rows:
+            labels = other.column(group).to_pylist()
+            parts = [other.filter(pa.array([x == g for x in labels])) for g in dict.fromkeys(labels) if g is not None]
+            parts += [other.filter(pa.array([x is None for x in labels]))] if None in labels else []
+        for part in parts:
+            if not part.num_rows or not len(matrix):
+                continue
+            part = part.take(pc.sort_indices(part.column(key)))
+            v = np.array(part.column("v").to_pylist(), np.float64)
+            size = np.outer(norm, np.linalg.norm(v, axis=1))
+            score = np.divide(matrix @ v.T, size, out=np.zeros_like(size), where=size > 0)
+            if skip_self:
+                score[np.equal.outer(np.array(one.column(query_key).to_pylist(), object), np.array(part.column(key).to_pylist(), object))] = -np.inf
+            row, at = _best(score, k)
+            columns = [one.column(query_key).take(pa.array(row)), part.column(key).take(pa.array(at)), pa.chunked_array([pa.array(score[row, at])]), *([part.column(group).take(pa.array(at))] if group else [])]
+            found.append(pa.table(columns, names))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], t) for t in types], names)
+
+    fields = [(query_key, kind), (key, kinds[key]), ("score", None), *([(group, kinds[group])] if group else [])]
+    schema = ", ".join(f"`{n}` {t.simpleString() if t else 'double'}" for n, t in fields)
+    found = asked.groupBy("slice", "block").cogroup(held.groupBy("slice", "block")).applyInArrow(search, schema)
     w = Window.partitionBy(query_key, *([group] if group else [])).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -159,11 +156,36 @@ def retrieval_stats(hits: DataFrame) -> DataFrame:
 
 def hash_embedding(df: DataFrame, text: str = "text", out: str = "embedding", dims: int = 64) -> DataFrame:
     """A deterministic embedding: signed word hashes added up by bucket and brought to length 1; blank text is the zero vector."""
+
+    @F.pandas_udf("array<float>")
+    def folded(hashes: pd.Series) -> pd.Series:
+        count = np.array([len(x) for x in hashes], np.int64)
+        h = np.concatenate([np.zeros(0, np.int64), *hashes])
+        row = np.repeat(np.arange(len(count)), count)
+        sums = np.bincount(row * dims + h % dims, np.where(h >> 40 & 1, -1.0, 1.0), len(count) * dims).reshape(len(count), dims)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)))
+
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}\\p{N}]+", -1), lambda w: w != "")
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    start = F.array_repeat(F.lit(0.0), dims)
-    add = lambda acc, h: F.transform(acc, lambda v, i: F.when(i == F.pmod(h, F.lit(dims)), v + F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, 1.0).otherwise(-1.0)).otherwise(v))
-    df = df.withColumn("_v", F.aggregate("_h", start, add))
-    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    df = df.withColumn("_n", length)
-    return df.withColumn(out, F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(F.lit(0.0)).cast("float"))).drop("_h", "_v", "_n")
+    return df.withColumn(out, folded(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+#: Embeddings by name: each takes (df, text column, output column).
+PROVIDERS = {"hash": hash_embedding}
+
+
+def register_provider(name: str, embed) -> None:
+    """Add an embedding: embed(df, text, out) gives df with a vector column."""
+    PROVIDERS[name.lower().strip()] = embed
+
+
+def provider(name: str | None = None):
+    """The embedding of this name, the offline one without a name."""
+    wanted = (name or "hash").lower().strip()
+    if wanted not in PROVIDERS:
+        raise ValueError(f"unknown embedding provider {wanted!r}: one of {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[wanted]
+
+
+def embed(df: DataFrame, name: str | None = None, text: str = "text", out: str = "embedding") -> DataFrame:
+    return provider(name)(df, text, out)

@@ -177,10 +177,11 @@ def delete_ids(spark, d):
     return store.without(v, v.filter("vec_id % 3 = 0"), "vec_id").select("vec_id", "label")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 <> 0")
+@query("SELECT vec_id, label FROM embeddings WHERE label <> 2")
 def incremental_append(spark, d):
+    """All vectors as new ones, against a store that holds those of one label."""
     v = _vectors(spark, d)
-    return store.incremental(v.filter("vec_id % 4 = 0"), v.filter("vec_id % 3 = 0"), "vec_id").select("vec_id", "label")
+    return store.incremental(v, v.filter("label = 2"), "vec_id").select("vec_id", "label")
 
 
 # --- catalog -----------------------------------------------------------------------------------------------------
@@ -268,9 +269,9 @@ def course_ids(spark, d):
     return _courses(spark, d).select("pos", catalog.course_id(F.col("department"), F.col("course_code"), F.lit("2023-2024")).alias("course_id"))
 
 
-@query(f"WITH q AS ({QUESTIONS}) SELECT id, question_type FROM q WHERE difficulty = 'hard' AND lower(target_department) = 'se' AND NOT is_trap")
+@query(f"WITH q AS ({QUESTIONS}) SELECT id, question_type FROM q WHERE difficulty = 'hard' AND lower(target_department) = 'ce' AND NOT is_trap")
 def question_filter(spark, d):
-    return predicates.question_filter(view(spark, d, QUESTIONS), difficulty="hard", department="SE", is_trap=False).select("id", "question_type")
+    return predicates.question_filter(view(spark, d, QUESTIONS), difficulty="hard", department="CE", is_trap=False).select("id", "question_type")
 
 
 @query(f"WITH q AS ({QUESTIONS}) SELECT question_type, CAST(least(count(*), 4) AS BIGINT) AS n FROM q GROUP BY question_type")
@@ -304,16 +305,6 @@ def clean_whitespace(spark, d):
     return _documents(spark, d).select("doc_id", F.sha2(t, 256).alias("h"))
 
 
-_BOILER = "html"
-for _p in fixed.BOILERPLATE:
-    _BOILER = f"regexp_replace({_BOILER}, '(?im){_RE(_p)}', '', 'g')"
-
-
-@query(f"SELECT page_id, sha256({_BOILER}) AS h FROM pages")
-def clean_boilerplate(spark, d):
-    return _pages(spark, d).select("page_id", F.sha2(cleaning.strip_patterns(F.col("html"), fixed.BOILERPLATE), 256).alias("h"))
-
-
 @query("SELECT page_id, sha256(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g')) AS h FROM pages")
 def strip_html(spark, d):
     return _pages(spark, d).select("page_id", F.sha2(cleaning.strip_tags(cleaning.strip_comments(F.col("html"))), 256).alias("h"))
@@ -324,12 +315,6 @@ def visible_text(spark, d):
     return _pages(spark, d).select("page_id", F.sha2(html.visible_text(F.col("html")), 256).alias("h"))
 
 
-@query("SELECT item_id, CASE WHEN length(substr(text, 1, CAST(item_id % 20 AS BIGINT))) < 10 THEN '' ELSE substr(text, 1, CAST(item_id % 20 AS BIGINT)) END AS t FROM (SELECT item_id, regexp_replace(text, '[^a-z]', '', 'g') AS text FROM benchmark)")
-def min_length(spark, d):
-    letters = table(spark, d, "benchmark").withColumn("t", F.substring(F.regexp_replace("text", "[^a-z]", ""), F.lit(1), (F.col("item_id") % 20).cast("int")))
-    return letters.select("item_id", cleaning.clean_text(F.col("t"), cleaning.CleaningOptions(entities=False, form=None)).alias("t"))
-
-
 @query()
 def clean_pages(spark, d):
     """The whole cleaner, entities and Unicode forms included; tests/test_text.py compares it with a plain version."""
@@ -400,23 +385,6 @@ _DEPT = "CASE " + " ".join(f"WHEN {_RX(chr(92) + 'b(' + p + ')' + chr(92) + 'b')
 _TYPE = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in reversed(fixed.COURSE_TYPE_WORDS.items())) + " END"
 
 
-@query(
-    f"{_Q} SELECT id, {_DEPT} AS department, {_TYPE} AS course_type, TRY_CAST(regexp_extract(t, 'year\\s*(\\d+)', 1) AS INT) AS year, "
-    "upper(nullif(regexp_extract(question, '(?i)\\b([A-Z]{2,4})\\s+courses?\\b', 1), '')) AS prefix FROM q"
-)
-def query_filters(spark, d):
-    q = F.col("question")
-    return view(spark, d, QUESTIONS).select("id", asked.asked_department(q).alias("department"), asked.asked_type(q).alias("course_type"), asked.asked_year(q).alias("year"), asked.asked_prefix(q).alias("prefix"))
-
-
-@query(
-    f"{_Q} SELECT id, CASE WHEN regexp_matches(t, 'mandatory\\s+courses?\\s+in\\s+semester\\s+[1-8]\\s+for\\s+software') OR regexp_matches(t, '^ie\\s+semester\\s+[1-8]\\s+mandatory') THEN 'mandatory' "
-    "WHEN regexp_matches(t, 'how many courses have exactly \\d+ ects|how many courses have a course code starting with \\w+|how many courses are offered in the industrial engineering department') THEN 'counting' ELSE 'semantic' END AS route FROM q"
-)
-def query_route(spark, d):
-    return view(spark, d, QUESTIONS).select("id", asked.route(F.col("question")).alias("route"))
-
-
 # --- extraction and grounding ------------------------------------------------------------------------------------
 
 
@@ -481,14 +449,6 @@ def completeness(spark, d):
     return view(spark, d, ANSWERS).select("pos", metrics.completeness(F.col("answer"), F.array("course_code", F.lit("math"))).alias("completeness"))
 
 
-@query(
-    f"{_A} SELECT round(avg(CASE WHEN pos % 5 = 0 AND pos % 7 <> 0 THEN 0.0 ELSE 1.0 END), 9) AS grounding_rate, avg(CASE WHEN is_trap THEN 1.0 END) AS trap_accuracy, count(*) AS num_answers FROM a"
-)
-def answer_metrics(spark, d):
-    m = metrics.answer_metrics(_checked(spark, d).withColumn("expected_codes", F.array("course_code")))
-    return m.select(F.round("grounding_rate", 9).alias("grounding_rate"), "trap_accuracy", "num_answers")
-
-
 @query(f"WITH h AS ({HITS}), n AS (SELECT DISTINCT course_code FROM h WHERE pos % 50 = 0) SELECT n.course_code, count(*) AS n FROM n JOIN h ON contains(h.text, n.course_code) GROUP BY n.course_code")
 def course_mentions(spark, d):
     """Codes named in passages. Codes are taken out of the texts, so the containment join becomes an equi join."""
@@ -516,19 +476,9 @@ def format_context(spark, d):
     return context.contexts(_ranked_hits(spark, d)).select("query_id", F.sha2("context", 256).alias("h"))
 
 
-@query()
-def department_context(spark, d):
-    return context.department_contexts(_ranked_hits(spark, d), list(fixed.DEPARTMENTS))
-
-
-@query()
-def extractive_answers(spark, d):
-    return context.extractive_answers(_ranked_hits(spark, d))
-
-
-@query(f"WITH h AS ({HITS}) SELECT pos % 20 AS query_id, chunk_id, course_code, substr(text, 1, 40) AS text_snippet FROM h WHERE pos % 20 = 3")
+@query(f"WITH h AS ({HITS}) SELECT pos % 20 AS query_id, chunk_id, course_code, substr(text, 1, 40) AS text_snippet FROM h")
 def citation_rows(spark, d):
-    hits = view(spark, d, HITS).withColumn("query_id", F.col("pos") % 20).withColumn("source_url", F.lit("")).filter("query_id = 3")
+    hits = view(spark, d, HITS).withColumn("query_id", F.col("pos") % 20).withColumn("source_url", F.lit(""))
     return context.citation_rows(hits, 40).select("query_id", "chunk_id", "course_code", "text_snippet")
 
 
@@ -536,7 +486,7 @@ def _run(spark, d):
     chunks = vectors.hash_embedding(view(spark, d, HITS))
     rows = view(spark, d, QUESTIONS).filter("id % 50 = 0")
     codes = view(spark, d, COURSES).select(F.col("pos").alias("id"), F.array("course_code").alias("expected_course_codes"))
-    return evaluation.run(rows.join(codes, "id"), chunks)
+    return evaluation.run(rows.join(codes, "id"), chunks, courses=view(spark, d, COURSES))
 
 
 @query()
@@ -577,11 +527,6 @@ def cache_freshness(spark, d):
     return page_source.to_fetch(pages, cache, 30, now)
 
 
-@query()
-def page_details(spark, d):
-    return html.parse_details(_pages(spark, d)).select("url", "course_title", "learning_outcomes")
-
-
 # --- streams in batch form ---------------------------------------------------------------------------------------
 
 
@@ -680,7 +625,7 @@ def set_intersect(spark, d):
 @query("SELECT p_size AS k FROM part EXCEPT SELECT p_size FROM part WHERE p_partkey % 50 = 0")
 def set_except(spark, d):
     p = table(spark, d, "part")
-    return p.select(F.col("p_size").alias("k")).exceptAll(p.filter("p_partkey % 50 = 0").select("p_size")).distinct().join(p.filter("p_partkey % 50 = 0").select(F.col("p_size").alias("k")).distinct(), "k", "left_anti")
+    return p.select(F.col("p_size").alias("k")).subtract(p.filter("p_partkey % 50 = 0").select("p_size"))
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS INT) // 10 AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
@@ -692,3 +637,6 @@ def json_fields(spark, d):
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 6) AS mean_chars FROM conversations GROUP BY role")
 def conversation_stats(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+
+
+from lectern.plans import answers as _answers  # noqa: E402, F401  it registers its queries here

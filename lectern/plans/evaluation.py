@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.functions import grounding, metrics, questions as asked
-from lectern.operators import context, vectors
+from lectern.operators import context, lookup, vectors
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
@@ -15,17 +15,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, threshold: fl
     return found.join(chunks.drop("embedding"), "pos")
 
 
-def run(questions: DataFrame, chunks: DataFrame, k: int = 10, low_confidence: float = 0.3, threshold: float = 0.0) -> DataFrame:
+def run(questions: DataFrame, chunks: DataFrame, k: int = 10, low_confidence: float = 0.3, threshold: float = 0.0, courses: DataFrame | None = None) -> DataFrame:
     """One row per question: route, retrieved codes (repeats keep their ranks), scores, answer, grounding, trap verdict.
 
     questions: id, question, expected_course_codes, is_trap. chunks: pos, chunk_id, text, course_code, department, embedding.
-    Questions without hits get an answer that says so.
+    Questions without hits get an answer that says so. With courses (pos, department, course_code, course_title, ects, course_type,
+    semester), questions that the catalog answers directly get what it says.
     """
     hits = retrieve(questions, chunks, k, threshold)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "course_code", "score", "chunk_id", "text")))
     grouped = hits.groupBy("query_id").agg(ranked.alias("h"))
     answers = context.extractive_answers(hits)
     rows = questions.withColumn("query_id", F.col("id").cast("long")).join(grouped, "query_id", "left").join(answers, "query_id", "left")
+    if courses is None:
+        rows = rows.withColumn("context", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(lookup.lookups(questions, courses).select(F.col("id").cast("long").alias("query_id"), "context"), "query_id", "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
     rows = rows.select(
         "query_id",
@@ -36,7 +41,7 @@ def run(questions: DataFrame, chunks: DataFrame, k: int = 10, low_confidence: fl
         F.coalesce(F.col("h.course_code"), none("string")).alias("retrieved_ids"),
         F.coalesce(F.col("h.score"), none("double")).alias("scores"),
         F.coalesce(F.transform("h", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))), none("struct<chunk_id: string, text: string>")).alias("sources"),
-        F.coalesce("answer", F.lit("I could not find this in the catalog.")).alias("answer"),
+        F.coalesce("context", "answer", F.lit("I could not find this in the catalog.")).alias("answer"),
     )
     rows = rows.withColumn("doubtful", F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0)) < low_confidence)
     return grounding.check_answers(rows).withColumn("trap_handled", metrics.trap_handled(F.col("answer"), F.col("is_trap"))).drop("sources", "invalid")

@@ -204,6 +204,32 @@ def page_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href=\"([^\"]*)\""), F.lit(1)))
 
 
+def absolute_links(html: Column, base: Column) -> Column:
+    """page_links() resolved against the page's address, each once: with a scheme, from //, from the root, or from the page's folder."""
+    origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    path = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(origin, F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", "")))
+    bare = F.regexp_replace(base, "#.*$", "")
+
+    def resolved(link: Column) -> Column:
+        # steps up and "." within the path
+        whole = (
+            F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+            .when(link.startswith("//"), F.concat(scheme, link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("#"), F.concat(bare, link))
+            .when(link.startswith("?"), F.concat(origin, path, link))
+            .when(link == "", base)
+            .otherwise(F.concat(folder, F.regexp_replace(link, "^(\\./)+", "")))
+        )
+        for _ in range(4):
+            whole = F.regexp_replace(whole, "(://[^/?#]+(?:/[^?#]*?)??)/[^/?#]+/\\.\\./", "$1/")
+        return whole
+
+    return F.array_distinct(F.transform(F.filter(page_links(html), lambda x: x != ""), resolved))
+
+
 def visible_text(html: Column) -> Column:
     """Text without scripts, styles, comments and tags, with single spaces."""
     bare = F.regexp_replace(html, "(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PAGE = "url string, html string, status_code int, scraped_at timestamp, error string"
 
@@ -40,6 +40,25 @@ def write_cache(pages: DataFrame, path: str) -> None:
     worth_caching(pages).withColumn("domain", cache_folder(F.col("url"))).write.mode("append").partitionBy("domain").parquet(path)
 
 
+def clear_cache(spark: SparkSession, path: str, url: str | None = None) -> int:
+    """Delete the cached pages of one address, or all; returns how many pages went. The others are written anew beside it first."""
+    from lectern.sources.readers import delete_path, path_exists
+
+    if not path_exists(spark, path):
+        return 0
+    cache = spark.read.parquet(path)
+    gone = cache if url is None else cache.filter(F.col("url") == url)
+    n = gone.count()
+    if url is None:
+        delete_path(spark, path)
+    elif n:
+        rest = f"{path.rstrip('/')}-rest"
+        cache.filter(~F.col("url").eqNullSafe(url)).write.mode("overwrite").partitionBy("domain").parquet(rest)
+        spark.read.parquet(rest).write.mode("overwrite").partitionBy("domain").parquet(path)
+        delete_path(spark, rest)
+    return n
+
+
 def fetch(urls: DataFrame, gap: float = 1.0, attempts: int = 3, timeout: float = 30.0, longest_wait: float = 10.0, get=None) -> DataFrame:
     """One row per url. A page that can't be had after all attempts has status 0, no html and its error.
 

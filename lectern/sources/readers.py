@@ -45,6 +45,68 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
     return seen.get["n"]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.delete(p, True)
+
+
+def write_json(df: DataFrame, path: str, field: str = "items", **extra) -> int:
+    """One JSON object in one file: the rows under `field`, their number as "count", and `extra`. For small results: rows meet in one task."""
+    n = df.count()
+    rows = F.coalesce(F.collect_list(F.struct("*")), F.array())
+    whole = df.agg(rows.alias(field)).select(*(F.lit(v).alias(k) for k, v in extra.items()), F.col(field), F.lit(n).alias("count"))
+    whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return n
+
+
+def read_courses(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Courses of all JSON-lines (.jsonl) and JSON files (a list, or one object) under a folder."""
+    lines = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).json(path)
+    whole = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path)
+    return lines.unionByName(whole)
+
+
+def save_questions(questions: DataFrame, path: str, lines: bool = False) -> int:
+    """A question bank as JSON lines, or as one object {questions, count}."""
+    return write_jsonl(questions, path) if lines else write_json(questions, path, "questions")
+
+
+def add_questions(bank: DataFrame, new: DataFrame) -> DataFrame:
+    """The bank with new questions; a new one takes the place of a question with its id."""
+    return bank.join(new.select("id"), "id", "left_anti").select(bank.columns).unionByName(new, allowMissingColumns=True)
+
+
+def remove_questions(bank: DataFrame, ids: list[str]) -> DataFrame:
+    return bank.filter(~F.col("id").isin(ids))
+
+
+def get_question(bank: DataFrame, id: str) -> DataFrame:  # noqa: A002
+    return bank.filter(F.col("id") == id)
+
+
+def save_evaluation(results: DataFrame, measures: DataFrame, path: str, **config: str) -> int:
+    """results/ as JSON lines with scores (the 10 best) to 4 and grounding to 3 digits, metrics/ with fractions to 4 digits and config/ as one object each."""
+    from lectern.functions.metrics import rounded
+
+    kinds = dict(results.dtypes)
+    steps = {"scores": F.transform(F.slice("scores", 1, 10), lambda x: F.round(x, 4)), "grounding_score": F.round("grounding_score", 3)}
+    n = write_jsonl(results.withColumns({c: v for c, v in steps.items() if c in kinds}), f"{path}/results")
+    write_jsonl(rounded(measures).coalesce(1), f"{path}/metrics")
+    if config:
+        write_jsonl(measures.limit(1).select(*(F.lit(v).alias(k) for k, v in config.items())).coalesce(1), f"{path}/config")
+    return n
+
+
 QUESTION = (
     "id string, question string, question_type string, difficulty string, expected_answer string, expected_course_codes array<string>, expected_chunks array<string>, "
     "is_trap boolean, trap_topic string, target_department string, target_departments array<string>, target_year int, tags array<string>, notes string"

@@ -79,17 +79,14 @@ def test_chunk_rules():
     assert chunking.tail_of("One. Two words here", 12) == "words here"
     assert chunking.tail_of("First part. Second", 10) == "Second"
     assert chunking.tail_of("abc", 10) == "abc"
+    assert chunking.chunks_of(" " * 50, 20, 5, 3) == []
 
 
-def test_chunk_rows_and_sections(spark):
+def test_chunk_rows(spark):
     docs = spark.createDataFrame([(1, "word " * 400), (2, ""), (3, None), (4, "tiny")], "doc_id long, text string")
     rows = chunking.chunk_rows(docs, "doc_id").collect()
     assert {r.doc_id for r in rows} == {1, 4}
     assert len({r.chunk_id for r in rows}) == len(rows)
-    courses = spark.createDataFrame([("c1", "SE 201", "x" * 150, "too short")], "course_id string, course_code string, objectives string, description string")
-    sections = chunking.section_rows(courses).collect()
-    assert [(r.section_name, r.chunk_index) for r in sections] == [("objectives", 0)]
-    assert sections[0].chunk.startswith("Objectives of SE 201")
 
 
 def test_hash_embedding(spark):
