@@ -31,7 +31,7 @@ from lectern.llm.common import forget, packed, shuffle_partitions, stored, table
 from lectern.llm.words import by_bytes, hash_words, mix, string_bytes
 
 MAX_LABELLED = 4000
-ROUNDS, STEPS, SURE = 3, 5, 9
+ROUNDS, STEPS, SURE = 3, 3, 9
 KEEP = 0.3
 #: Numbers of a sum that travel in one row.
 PART = 4096
@@ -227,7 +227,8 @@ def _input(docs: DataFrame) -> DataFrame:
 def summed_over(features: DataFrame, known: np.ndarray, students: list[Logistic], teachers: list[Logistic]) -> np.ndarray:
     """confident_sums over all rows of features whose doc_id is not known. Tasks add up their rows, then parts of the sums meet."""
     spark = features.sparkSession
-    n = shuffle_partitions(spark)
+    size = sum(2 * (1 + len(v.w) + len(v.w) ** 2) for v in students)
+    n = min(shuffle_partitions(spark), -(-size // PART))
     shared = spark.sparkContext.broadcast((known, students, teachers))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +254,6 @@ def summed_over(features: DataFrame, known: np.ndarray, students: list[Logistic]
 
     met = features.mapInArrow(add, "slot int, part int, sums binary").repartitionById(n, "slot").drop("slot").mapInArrow(meet, "part int, sums binary")
     found = {r["part"]: np.frombuffer(r["sums"], "<f8") for r in met.toLocalIterator()}  # as many numbers as the views have, squared
-    size = sum(2 * (1 + len(v.w) + len(v.w) ** 2) for v in students)
     return np.concatenate([found[k] for k in sorted(found)]) if found else np.zeros(size)
 
 
