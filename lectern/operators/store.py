@@ -1,69 +1,60 @@
-"""The chunk store: a Parquet folder by version and collection, partitioned by department, with a manifest."""
+"""The chunk store: plain Parquet by version and collection, partitioned by department, and its manifest."""
 
 from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
+
+from lectern.operators.vectors import embed
+from lectern.sources.readers import delete_path, path_exists
 
 
 class ChunkStore:
-    """Appends, deletes and lookups of chunks. Deletes write a new generation and then move a pointer, so readers see whole states."""
+    """A Parquet folder of chunks, partitioned by department. One writer at a time; a delete rewrites the folder, and readers wait for it."""
 
     def __init__(self, spark: SparkSession, root: str, version: str = "v1", collection: str = "chunks"):
         self.spark, self.path = spark, f"{root}/{version}/{collection}"
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _generations(self) -> list[int]:
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n.removeprefix("g")) for n in names if n.startswith("g") and self._fs(f"{self.path}/{n}/_SUCCESS")[0].exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1]))
-
     def read(self, schema=None) -> DataFrame | None:
-        found = self._generations()
-        if not found:
+        if not path_exists(self.spark, self.path):
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/g{found[-1]}")
+        return (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(self.path)
 
-    def add(self, chunks: DataFrame, key: str = "chunk_id") -> int:
-        """Chunks whose ids are not there yet; returns how many."""
+    def add(self, chunks: DataFrame, key: str = "chunk_id", provider: str | None = None) -> int:
+        """Append chunks whose ids are not there yet, and tell how many; of chunks that repeat an id the least text stays.
+
+        Chunks without a column embedding get one from the provider of this name.
+        """
+        if "embedding" not in chunks.columns:
+            chunks = embed(chunks, provider)
         held = self.read()
-        new = chunks if held is None else chunks.join(held.select(key), key, "left_anti")
-        new = new.dropDuplicates([key]).cache()
-        n = new.count()
-        last = self._generations()
-        if last:
-            new.write.mode("append").partitionBy("department").parquet(f"{self.path}/g{last[-1]}")
-        else:
-            new.write.partitionBy("department").parquet(f"{self.path}/g0")
-        new.unpersist()
-        return n
+        new = chunks if held is None else incremental(chunks, held, key)
+        w = Window.partitionBy(key).orderBy(*("text" for _ in range("text" in new.columns)), *(c for c in sorted(new.columns) if c not in (key, "text", "embedding")))
+        once = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        seen = Observation()
+        once.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("department").parquet(self.path)
+        return seen.get["n"]
 
     def delete(self, ids: list[str], key: str = "chunk_id") -> int:
         """Returns the number of ids asked for, there or not."""
         held = self.read()
         if held is not None:
-            gone = self.spark.createDataFrame([(i,) for i in ids], f"{key} string")
-            held.join(gone, key, "left_anti").write.partitionBy("department").parquet(f"{self.path}/g{self._generations()[-1] + 1}")
+            rest = f"{self.path}-rest"
+            without(held, self.spark.createDataFrame([(i,) for i in ids], f"{key} string"), key).write.mode("overwrite").partitionBy("department").parquet(rest)
+            self.spark.read.schema(held.schema).parquet(rest).write.mode("overwrite").partitionBy("department").parquet(self.path)
+            delete_path(self.spark, rest)
         return len(ids)
 
     def clear(self) -> None:
-        fs, p = self._fs(self.path)
-        fs.delete(p, True)
+        delete_path(self.spark, self.path)
 
     def lookup(self, ids: list[str], key: str = "chunk_id") -> DataFrame:
         return point_lookup(self.read(), ids, key)
 
     def metadata(self, most: int = 10_000) -> DataFrame:
-        held = self.read()
-        return held.drop("text", "embedding").limit(most)
+        return self.read().drop("text", "embedding").limit(most)
 
 
 def point_lookup(df: DataFrame, ids: list, key: str) -> DataFrame:
@@ -112,8 +103,6 @@ def save_manifest(spark: SparkSession, root: str, manifest: dict) -> None:
 
 def delete_manifest(spark: SparkSession, root: str, version: str) -> bool:
     """Whether there was one."""
-    from lectern.sources.readers import delete_path
-
     return delete_path(spark, f"{root}/{version}")
 
 

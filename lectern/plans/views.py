@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 COURSES = """
@@ -57,9 +59,11 @@ FROM ({COURSES}) AS c
 """
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, **tables: str) -> DataFrame:
-    """A query over given tables, which stand under their own names in the SQL."""
-    for name in ("part", "supplier", "orders", "lineitem", "customer", "nation", "region", "events", "documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
-        if f" {name}" in sql or f"\n{name}" in sql:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(sql)
+TABLES = ("part", "supplier", "orders", "lineitem", "customer", "nation", "region", "events", "documents", "pages", "embeddings", "benchmark", "labels", "conversations")
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A query over given tables, which stand under their own names in the SQL. They are passed as arguments, so no view of the session is made or replaced."""
+    names = set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", sql)).intersection(TABLES)
+    marked = re.sub(r"\b(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in names else m[0], sql)
+    return spark.sql(marked, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})

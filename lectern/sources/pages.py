@@ -97,6 +97,21 @@ def fetch(urls: DataFrame, gap: float = 1.0, attempts: int = 3, timeout: float =
     return urls.select("url").mapInPandas(run, PAGE)
 
 
+def read_through(urls: DataFrame, path: str, days: int, **how) -> DataFrame:
+    """Pages of the urls: fresh ones from the cache, the others fetched and, where that went well, written to the cache first."""
+    from lectern.sources.readers import path_exists
+
+    spark = urls.sparkSession
+    cache = spark.read.schema(f"{PAGE}, domain string").parquet(path) if path_exists(spark, path) else spark.createDataFrame([], f"{PAGE}, domain string")
+    held = fresh(cache, days).select("url", "html", "status_code", "scraped_at", "error")
+    last = held.groupBy("url").agg(F.max_by(F.struct("*"), "scraped_at").alias("p")).select("p.*")
+    known = last.join(urls.select("url").distinct(), "url", "left_semi")
+    # what is fetched is kept, so that no page is asked for twice
+    new = fetch(to_fetch(urls, cache, days), **how).persist()
+    write_cache(new, path)
+    return known.unionByName(new)
+
+
 def fetch_stats(pages: DataFrame) -> DataFrame:
     """One row: requests, failures, rates (0 without requests)."""
     ok = F.count_if(F.col("status_code").between(200, 299))

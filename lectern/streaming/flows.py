@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern.functions.chunking import chunk_rows
-from lectern.functions.cleaning import CleaningOptions, clean_text
+from lectern.functions.cleaning import clean_text
 
 
 def timed(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -36,14 +36,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def chunk_stream(pages: DataFrame, late: str = "1 day") -> DataFrame:
-    """Chunks of cleaned pages (url, html, scraped_at), each text once within the watermark."""
-    cleaned = pages.withColumn("text", clean_text(F.col("html"), CleaningOptions(entities=False, form=None))).withWatermark("scraped_at", late)
+    """Chunks of pages (url, html, scraped_at) cleaned as in a batch, each text once within the watermark."""
+    cleaned = pages.withColumn("text", clean_text(F.col("html"))).withWatermark("scraped_at", late)
     once = cleaned.withColumn("text_hash", F.sha2("text", 256)).dropDuplicatesWithinWatermark(["text_hash"])
     return chunk_rows(once, "url")
 
 
-def host_spacing(requests: DataFrame, gap: float = 1.0) -> DataFrame:
-    """(host, url, due) of a stream of (host, url, ts): each host's requests at least `gap` seconds apart, by state per host."""
+def host_spacing(requests: DataFrame, gap: float = 1.0, keep: float = 3600.0, late: str = "1 hour") -> DataFrame:
+    """(host, url, due) of a stream of (host, url, ts): each host's requests at least `gap` seconds apart, by state per host, which goes `keep` seconds after its last one."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def space(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,9 +54,13 @@ def host_spacing(requests: DataFrame, gap: float = 1.0) -> DataFrame:
                 last = max(ts.timestamp(), last + gap)
                 due.append(pd.Timestamp(last, unit="s"))
             yield pd.DataFrame({"host": key[0], "url": part.sort_values(["ts", "url"])["url"].to_numpy(), "due": due})
+        if state.hasTimedOut:  # quiet for long: nothing is due, so the host needs no state
+            state.remove()
+            return
         state.update((last,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(1000 * (last + keep))))
 
-    return requests.groupBy("host").applyInPandasWithState(space, "host string, url string, due timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return requests.withWatermark("ts", late).groupBy("host").applyInPandasWithState(space, "host string, url string, due timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

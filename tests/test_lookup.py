@@ -149,3 +149,22 @@ def test_absolute_links(spark):
         if base != "http://x.org":
             assert got == want
         assert len(got) == len(want)
+
+
+def test_pages_are_read_through_the_cache(spark, tmp_path):
+    urls = spark.createDataFrame([("http://a.b/1",), ("http://a.b/2",), ("http://bad/",)], "url string").coalesce(1)
+    path = str(tmp_path / "pages")
+
+    def get(url, timeout):
+        if "bad" in url:
+            raise OSError("no such host")
+        return 200, f"page of {url}"
+
+    first = {r.url: r for r in pages.read_through(urls, path, 3, gap=0.0, attempts=1, get=get).collect()}
+    assert first["http://a.b/1"].html == "page of http://a.b/1" and first["http://bad/"].status_code == 0
+
+    def broken(url, timeout):
+        raise OSError("offline")
+
+    again = {r.url: r for r in pages.read_through(urls, path, 3, gap=0.0, attempts=1, get=broken).collect()}
+    assert again["http://a.b/2"].html == "page of http://a.b/2" and again["http://bad/"].error == "offline"
