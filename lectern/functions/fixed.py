@@ -35,6 +35,28 @@ DEPARTMENT_TITLES = {
     "ie": "Industrial Engineering",
 }
 
+# Texts of what the catalog answers; %s stands for values.
+CATALOG_TEXTS = {
+    "mandatory": "MANDATORY COURSES FOR %s - SEMESTER %s\nTotal: %s courses\n",
+    "course_with_ects": "- %s: %s (%s ECTS)",
+    "course": "- %s: %s",
+    "by_prefix": "COURSES WITH CODE STARTING WITH '%s'",
+    "by_ects": "COURSES WITH %s ECTS CREDITS",
+    "unique": "Total unique courses: %s",
+    "more": "... and %s more",
+    "by_department": "COURSES IN DEPARTMENT\nTotal: %s\nMandatory: %s\nElective: %s",
+}
+QUANTITY_TEXTS = {
+    "count": "Found %s courses",
+    "list": "Listing %s courses",
+    "sum_ects": "Total ECTS: %s\nCourses included (%s):",
+    "breakdown": "Course breakdown by semester:",
+    "compare": "Course comparison by department:",
+    "semester": "\n%s (%s courses):\n",
+    "department": "\n%s: %s courses\n",
+    "more": "\n  ... and %s more",
+}
+
 # Sections of a course and their headings.
 SECTION_HEADINGS = {
     "objectives": "Course Objectives",

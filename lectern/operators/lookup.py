@@ -59,12 +59,12 @@ def mandatory_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     """id, semester, department, n, context: the mandatory courses of the semester that a question asks for, by course code."""
     wanted = _asked(questions, asked.mandatory_lookup(F.col("question")))
     keys = ["semester", "department"]
-    line = F.concat(F.lit("- "), F.coalesce("course_code", F.lit("Unknown")), F.lit(": "), F.coalesce("course_title", F.lit("Unknown")), F.lit(" ("), F.coalesce(F.col("ects").cast("string"), F.lit("N/A")), F.lit(" ECTS)"))
+    line = F.format_string(fixed.CATALOG_TEXTS["course_with_ects"], F.coalesce("course_code", F.lit("Unknown")), F.coalesce("course_title", F.lit("Unknown")), F.coalesce(F.col("ects").cast("string"), F.lit("N/A")))
     taken = courses.filter(F.col("course_type") == "mandatory").join(wanted.select(*keys).distinct(), keys, "left_semi")
     found = wanted.join(_in_order(taken, keys, ["course_code", "pos"], line), keys, "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     name = F.coalesce(*(F.when(F.col("department") == d, t.upper()) for d, t in fixed.DEPARTMENT_TITLES.items()), F.upper("department"))
-    head = F.concat(F.lit("MANDATORY COURSES FOR "), name, F.lit(" - SEMESTER "), F.col("semester").cast("string"), F.lit("\nTotal: "), n.cast("string"), F.lit(" courses\n"))
+    head = F.format_string(fixed.CATALOG_TEXTS["mandatory"], name, F.col("semester").cast("string"), n.cast("string"))
     context = F.array_join(F.concat(F.array(head), F.coalesce("lines", F.array().cast("array<string>"))), "\n")
     return found.select("id", "semester", "department", n.alias("n"), context.alias("context"))
 
@@ -90,16 +90,17 @@ def counting_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     plain = F.when(F.col("kind") == "count_by_ects", F.col("value").try_cast("double").cast("string")).otherwise(F.col("value"))
     keyed = values.withColumn("_value", plain)
     matched = offered[0].unionByName(offered[1]).unionByName(offered[2]).withColumnRenamed("value", "_value").join(keyed, ["kind", "_value"])
-    line = F.concat(F.lit("- "), F.col("course_code"), F.lit(": "), F.coalesce("course_title", F.lit("None")))
+    line = F.format_string(fixed.CATALOG_TEXTS["course"], F.col("course_code"), F.coalesce("course_title", F.lit("None")))
     counted = _in_order(matched, ["kind", "value"], ["course_code", "pos"], line, LISTED)
     kinds = matched.groupBy("kind", "value").agg(F.count_if(F.col("course_type") == "mandatory").alias("mandatory"), F.count_if(F.col("course_type") == "elective").alias("elective"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     found = wanted.join(counted.join(kinds, ["kind", "value"]), ["kind", "value"], "left").withColumns({"n": zero("n"), "mandatory": zero("mandatory"), "elective": zero("elective")})
     text = lambda c: F.col(c).cast("string")
-    head = F.when(F.col("kind") == "count_by_prefix", F.concat(F.lit("COURSES WITH CODE STARTING WITH '"), F.col("value"), F.lit("'"))).otherwise(F.concat(F.lit("COURSES WITH "), F.col("value"), F.lit(" ECTS CREDITS")))
-    more = F.when(F.col("n") > LISTED, F.concat(F.lit("... and "), (F.col("n") - LISTED).cast("string"), F.lit(" more")))
-    listed = F.concat_ws("\n", head, F.concat(F.lit("Total unique courses: "), text("n")), F.when(F.col("n") > 0, F.lit("")), F.when(F.col("n") > 0, F.array_join("lines", "\n")), more)
-    whole = F.concat_ws("\n", F.lit("COURSES IN DEPARTMENT"), F.concat(F.lit("Total: "), text("n")), F.concat(F.lit("Mandatory: "), text("mandatory")), F.concat(F.lit("Elective: "), text("elective")))
+    said = lambda k, *values: F.format_string(fixed.CATALOG_TEXTS[k], *values)
+    head = F.when(F.col("kind") == "count_by_prefix", said("by_prefix", F.col("value"))).otherwise(said("by_ects", F.col("value")))
+    more = F.when(F.col("n") > LISTED, said("more", (F.col("n") - LISTED).cast("string")))
+    listed = F.concat_ws("\n", head, said("unique", text("n")), F.when(F.col("n") > 0, F.lit("")), F.when(F.col("n") > 0, F.array_join("lines", "\n")), more)
+    whole = said("by_department", text("n"), text("mandatory"), text("elective"))
     return found.select("id", "kind", "value", "n", F.when(F.col("kind") == "count_by_department", whole).otherwise(listed).alias("context"))
 
 
@@ -146,18 +147,20 @@ def quantitative_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
     groups = held.groupBy("query_id", "kind", "g", "o").agg(F.count("*").alias("n"), F.sum("ects").alias("total"), F.array_sort(F.collect_list(F.struct("pos", "place", "line"))).alias("s"))
     groups = groups.withColumn("l", F.col("s.line"))
     first = F.array_join(F.slice("l", 1, 5), "\n")
-    compared = F.concat(F.lit("\n"), F.col("g"), F.lit(": "), F.col("n").cast("string"), F.lit(" courses\n"), first, F.when(F.col("n") > 5, F.concat(F.lit("\n  ... and "), (F.col("n") - 5).cast("string"), F.lit(" more"))).otherwise(""))
+    said = lambda k, *values: F.format_string(fixed.QUANTITY_TEXTS[k], *values)
+    size = F.col("n").cast("string")
+    compared = F.concat(said("department", F.col("g"), size), first, F.when(F.col("n") > 5, said("more", (F.col("n") - 5).cast("string"))).otherwise(""))
     label = F.when(F.col("o") > 0, F.concat(F.lit("Semester "), F.col("g"))).otherwise("Unknown semester")
-    broken = F.concat(F.lit("\n"), label, F.lit(" ("), F.col("n").cast("string"), F.lit(" courses):\n"), F.array_join("l", "\n"))
+    broken = F.concat(said("semester", label, size), F.array_join("l", "\n"))
     block = F.when(F.col("kind") == "compare", compared).when(F.col("kind") == "breakdown", broken).otherwise(F.array_join("l", "\n"))
     per = groups.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.array_sort(F.collect_list(F.struct(F.coalesce("o", F.lit(0)).alias("o"), "g", "n", block.alias("b")))).alias("s"))
     n, total = F.coalesce("n", F.lit(0).cast("long")), F.coalesce("total", F.lit(0.0))
     head = (
-        F.when(F.col("kind") == "count", F.concat(F.lit("Found "), n.cast("string"), F.lit(" courses")))
-        .when(F.col("kind") == "list", F.concat(F.lit("Listing "), n.cast("string"), F.lit(" courses")))
-        .when(F.col("kind") == "sum_ects", F.concat(F.lit("Total ECTS: "), F.when(total == 0, F.lit("0")).otherwise(total.cast("string")), F.lit("\nCourses included ("), n.cast("string"), F.lit("):")))
-        .when(F.col("kind") == "breakdown", "Course breakdown by semester:")
-        .when(F.col("kind") == "compare", "Course comparison by department:")
+        F.when(F.col("kind") == "count", said("count", n.cast("string")))
+        .when(F.col("kind") == "list", said("list", n.cast("string")))
+        .when(F.col("kind") == "sum_ects", said("sum_ects", F.when(total == 0, F.lit("0")).otherwise(total.cast("string")), n.cast("string")))
+        .when(F.col("kind") == "breakdown", fixed.QUANTITY_TEXTS["breakdown"])
+        .when(F.col("kind") == "compare", fixed.QUANTITY_TEXTS["compare"])
     )
     mapped = F.when(F.col("kind").isin("breakdown", "compare"), F.map_from_arrays(F.transform("s", lambda x: x["g"]), F.transform("s", lambda x: x["n"])))
     formatted = F.coalesce(F.array_join(F.concat(F.array(head), F.coalesce(F.col("s.b"), F.array().cast("array<string>"))), "\n"), F.lit(""))
