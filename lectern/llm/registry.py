@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, exact_dedup, hmm, line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_store, warc_archive
+from lectern.llm import bpe, centroids, exact_dedup, hmm, line_dedup, near_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_store, warc_archive
 
 
 def queries():
@@ -20,6 +20,8 @@ def queries():
         "op8_quality_rules": quality_rules.query,
         "op9_hmm": hmm.query,
         "op10_minhash_dedup": near_dedup.query,
+        "op12_sentencepiece": piece_bpe.query,
+        "op13_centroids": centroids.query,
     }
 
 
