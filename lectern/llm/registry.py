@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, centroids, exact_dedup, hmm, line_dedup, near_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_store, warc_archive
+from lectern.llm import bpe, centroids, collocations, exact_dedup, hmm, line_dedup, near_dedup, packing, piece_bpe, quality_classifier, quality_rules, token_store, warc_archive
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op8_quality_rules": quality_rules.query,
         "op9_hmm": hmm.query,
         "op10_minhash_dedup": near_dedup.query,
+        "op11_collocations": collocations.query,
         "op12_sentencepiece": piece_bpe.query,
         "op13_centroids": centroids.query,
     }
@@ -31,4 +32,5 @@ def oracle_sql():
         "op3_warc": warc_archive.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
+        "op11_collocations": collocations.ORACLE,
     }
