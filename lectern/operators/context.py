@@ -12,7 +12,7 @@ SYSTEM = "You answer questions about a course catalog. Use the sources only and
 TRAP_NOTE = "The sources may not cover this question. If they do not, say that you could not find it."
 
 
-def hit_block(with_score: bool = True):
+def hit_block(with_score: bool = False):
     """One hit as lines: id, course, department, section and score where known, text."""
     lines = [
         F.concat(F.lit("["), F.col("chunk_id"), F.lit("]")),
@@ -25,21 +25,25 @@ def hit_block(with_score: bool = True):
     return F.concat_ws("\n", *lines, F.concat(F.lit("Content: "), F.col("text")))
 
 
-def contexts(hits: DataFrame, most: int | None = STANDARD_CHUNKS) -> DataFrame:
+def _numbered(with_score: bool):
+    """Hits collected in the order of their ranks, as numbered sources."""
+    blocks = F.array_sort(F.collect_list(F.struct("rank", hit_block(with_score).alias("t"))))
+    return F.transform(blocks, lambda x, i: F.concat(F.lit("--- Source "), (i + 1).cast("string"), F.lit(" ---\n"), x["t"]))
+
+
+def contexts(hits: DataFrame, most: int | None = STANDARD_CHUNKS, with_score: bool = False) -> DataFrame:
     """query_id, context: each query's hits by rank as numbered sources."""
     if most is not None:
         hits = hits.filter(F.col("rank") <= most)
-    block = F.concat(F.lit("--- Source "), F.col("rank").cast("string"), F.lit(" ---\n"), hit_block())
-    grouped = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("t")))).alias("s"))
-    return grouped.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), "\n\n").alias("context"))
+    return hits.groupBy("query_id").agg(F.array_join(_numbered(with_score), "\n\n").alias("context"))
 
 
-def department_contexts(hits: DataFrame, departments: list[str]) -> DataFrame:
-    """query_id, department, context for every asked department, with a note where it has no hits."""
+def department_contexts(hits: DataFrame, departments: list[str], with_score: bool = False) -> DataFrame:
+    """query_id, department, context: the sources of every asked department, numbered anew in each, or a note where it has none."""
     asked = hits.select("query_id").distinct().select("query_id", F.explode(F.array(*map(F.lit, departments))).alias("department"))
-    grouped = hits.groupBy("query_id", "department").agg(F.array_sort(F.collect_list(F.struct("rank", hit_block().alias("t")))).alias("s"))
-    text = F.coalesce(F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"), F.lit("No relevant sources found for this department."))
-    return asked.join(grouped, ["query_id", "department"], "left").select("query_id", "department", F.concat(F.lit("## "), F.upper("department"), F.lit("\n"), text).alias("context"))
+    grouped = hits.groupBy("query_id", "department").agg(F.array_join(_numbered(with_score), "\n\n").alias("s"))
+    text = F.coalesce("s", F.lit("No relevant sources found for this department."))
+    return asked.join(grouped, ["query_id", "department"], "left").select("query_id", "department", F.concat(F.lit("=== "), F.upper("department"), F.lit(" ===\n"), text).alias("context"))
 
 
 def prompts(questions: DataFrame, context: DataFrame, low_confidence: float = 0.3) -> DataFrame:

@@ -48,39 +48,51 @@ def _asked(questions: DataFrame, lookup: Column) -> DataFrame:
 
 
 def _in_order(rows: DataFrame, keys: list[str], order: list[Column | str], line: Column, most: int | None = None) -> DataFrame:
-    """keys, n, lines: how many rows each key has, and the first `most` lines (all if None) in order."""
+    """keys, n, lines, hits: how many rows each key has, and the first `most` lines and hits (all if None) in order."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    numbered = rows.select(*keys, line.alias("_line"), F.row_number().over(w).alias("_k"))
-    held = F.struct("_k", "_line") if most is None else F.when(F.col("_k") <= most, F.struct("_k", "_line"))
-    return numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(held)).alias("_s")).select(*keys, "n", F.col("_s._line").alias("lines"))
+    hit = F.struct("chunk_id", "course_code", "text")
+    numbered = rows.select(*keys, line.alias("_line"), hit.alias("_hit"), F.row_number().over(w).alias("_k"))
+    held = F.struct("_k", "_line", "_hit")
+    held = held if most is None else F.when(F.col("_k") <= most, held)
+    return numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(held)).alias("_s")).select(*keys, "n", F.col("_s._line").alias("lines"), F.col("_s._hit").alias("hits"))
+
+
+#: What a lookup without courses gives as hits.
+_NO_HITS = "array<struct<chunk_id: string, course_code: string, text: string>>"
+
+
+def _hits() -> Column:
+    return F.coalesce("hits", F.array().cast(_NO_HITS)).alias("hits")
 
 
 def mandatory_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
-    """id, semester, department, n, context: the mandatory courses of the semester that a question asks for, by course code."""
+    """id, semester, department, n, context, hits: the mandatory courses of the semester that a question asks for, by course code."""
     wanted = _asked(questions, asked.mandatory_lookup(F.col("question")))
     keys = ["semester", "department"]
     line = F.format_string(fixed.CATALOG_TEXTS["course_with_ects"], F.coalesce("course_code", F.lit("Unknown")), F.coalesce("course_title", F.lit("Unknown")), F.coalesce(F.col("ects").cast("string"), F.lit("N/A")))
-    taken = courses.filter(F.col("course_type") == "mandatory").join(wanted.select(*keys).distinct(), keys, "left_semi")
+    taken = course_hits(courses.filter(F.col("course_type") == "mandatory")).join(wanted.select(*keys).distinct(), keys, "left_semi")
     found = wanted.join(_in_order(taken, keys, ["course_code", "pos"], line), keys, "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
     name = F.coalesce(*(F.when(F.col("department") == d, t.upper()) for d, t in fixed.DEPARTMENT_TITLES.items()), F.upper("department"))
     head = F.format_string(fixed.CATALOG_TEXTS["mandatory"], name, F.col("semester").cast("string"), n.cast("string"))
     context = F.array_join(F.concat(F.array(head), F.coalesce("lines", F.array().cast("array<string>"))), "\n")
-    return found.select("id", "semester", "department", n.alias("n"), context.alias("context"))
+    return found.select("id", "semester", "department", n.alias("n"), context.alias("context"), _hits())
 
 
 def counting_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
-    """id, kind, value, n, context: courses counted by code prefix, by ects or by department, as a question asks.
+    """id, kind, value, n, context, hits: courses counted by code prefix, by ects or by department, as a question asks.
 
-    Prefixes and ects count distinct codes, each by its first course; departments count courses.
+    Prefixes and ects count distinct codes, each by its first course; departments count courses. hits are the first LISTED courses, those of
+    a department in the catalog's own order.
     """
+    courses = course_hits(courses)
     wanted = _asked(questions, asked.counting_lookup(F.col("question")))
     values = wanted.select("kind", "value").distinct()
     first = catalog.first_per(courses, "course_code")
     by_ects = catalog.first_per(courses.filter(F.col("ects").isNotNull()), "course_code", "ects")
     # codes are short: each beginning of a code is a row, so prefixes meet codes by an equi join
     begins = F.transform(F.sequence(F.lit(1), F.length("course_code")), lambda k: F.substring(F.col("course_code"), F.lit(1), k))
-    columns = ["pos", "course_code", "course_title", "course_type"]
+    columns = ["pos", "course_code", "course_title", "course_type", "chunk_id", "text"]
     offered = [
         first.filter("course_code <> ''").select(F.lit("count_by_prefix").alias("kind"), F.explode(begins).alias("value"), *columns),
         by_ects.select(F.lit("count_by_ects").alias("kind"), F.col("ects").cast("double").cast("string").alias("value"), *columns),
@@ -91,7 +103,8 @@ def counting_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     keyed = values.withColumn("_value", plain)
     matched = offered[0].unionByName(offered[1]).unionByName(offered[2]).withColumnRenamed("value", "_value").join(keyed, ["kind", "_value"])
     line = F.format_string(fixed.CATALOG_TEXTS["course"], F.col("course_code"), F.coalesce("course_title", F.lit("None")))
-    counted = _in_order(matched, ["kind", "value"], ["course_code", "pos"], line, LISTED)
+    by_code = F.when(F.col("kind") != "count_by_department", F.col("course_code"))
+    counted = _in_order(matched, ["kind", "value"], [by_code, "pos"], line, LISTED)
     kinds = matched.groupBy("kind", "value").agg(F.count_if(F.col("course_type") == "mandatory").alias("mandatory"), F.count_if(F.col("course_type") == "elective").alias("elective"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     found = wanted.join(counted.join(kinds, ["kind", "value"]), ["kind", "value"], "left").withColumns({"n": zero("n"), "mandatory": zero("mandatory"), "elective": zero("elective")})
@@ -101,7 +114,7 @@ def counting_lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
     more = F.when(F.col("n") > LISTED, said("more", (F.col("n") - LISTED).cast("string")))
     listed = F.concat_ws("\n", head, said("unique", text("n")), F.when(F.col("n") > 0, F.lit("")), F.when(F.col("n") > 0, F.array_join("lines", "\n")), more)
     whole = said("by_department", text("n"), text("mandatory"), text("elective"))
-    return found.select("id", "kind", "value", "n", F.when(F.col("kind") == "count_by_department", whole).otherwise(listed).alias("context"))
+    return found.select("id", "kind", "value", "n", F.when(F.col("kind") == "count_by_department", whole).otherwise(listed).alias("context"), _hits())
 
 
 def quantitative_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -168,7 +181,7 @@ def quantitative_results(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def lookups(questions: DataFrame, courses: DataFrame) -> DataFrame:
-    """id, route, n, context of every question that the catalog answers directly: mandatory courses first, then counts."""
-    mandatory = mandatory_lookups(questions, courses).select("id", F.lit("mandatory").alias("route"), "n", "context")
-    counting = counting_lookups(questions, courses).select("id", F.lit("counting").alias("route"), "n", "context")
+    """id, route, n, context, hits of every question that the catalog answers directly: mandatory courses first, then counts."""
+    mandatory = mandatory_lookups(questions, courses).select("id", F.lit("mandatory").alias("route"), "n", "context", "hits")
+    counting = counting_lookups(questions, courses).select("id", F.lit("counting").alias("route"), "n", "context", "hits")
     return mandatory.unionByName(counting.join(mandatory.select("id"), "id", "left_anti"))

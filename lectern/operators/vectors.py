@@ -162,7 +162,7 @@ def hash_embedding(df: DataFrame, text: str = "text", out: str = "embedding", di
         count = np.array([len(x) for x in hashes], np.int64)
         h = np.concatenate([np.zeros(0, np.int64), *hashes])
         row = np.repeat(np.arange(len(count)), count)
-        sums = np.bincount(row * dims + h % dims, np.where(h >> 40 & 1, -1.0, 1.0), len(count) * dims).reshape(len(count), dims)
+        sums = np.bincount(row * dims + h % dims, np.where(h >> 40 & 1, -1.0, 1.0), len(count) * dims).astype(np.float64).reshape(len(count), dims)
         length = np.linalg.norm(sums, axis=1, keepdims=True)
         return pd.Series(list(np.divide(sums, length, out=np.zeros_like(sums), where=length > 0).astype(np.float32)))
 

@@ -79,6 +79,20 @@ def answer_counting(spark, d):
     return rows.select("id", "kind", "value", "n", F.sha2("context", 256).alias("h"))
 
 
+@query(
+    f"{_ASKED_MANDATORY}, {_ASKED_COUNTS.removeprefix(f'{_Q}, ')}, c AS ({COURSES}), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY course_code ORDER BY pos) = 1), g AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY course_code, ects ORDER BY pos) = 1), "
+    "z AS (SELECT m.id, 'mandatory' AS route, c.course_code, row_number() OVER (PARTITION BY m.id ORDER BY course_code, pos) AS x FROM m LEFT JOIN c ON c.department = m.department AND c.semester = m.semester AND c.course_type = 'mandatory'), "
+    "y AS (SELECT k.id, f.course_code, f.course_code AS o, f.pos FROM k JOIN f ON k.kind = 'count_by_prefix' AND starts_with(f.course_code, k.value) UNION ALL SELECT k.id, g.course_code, g.course_code, g.pos FROM k JOIN g ON k.kind = 'count_by_ects' AND g.ects = TRY_CAST(k.value AS DOUBLE) "
+    "UNION ALL SELECT k.id, c.course_code, '', c.pos FROM k JOIN c ON k.kind = 'count_by_department' AND c.department = k.value), "
+    "u AS (SELECT * FROM z UNION ALL SELECT k.id, 'counting', y.course_code, y.x FROM k LEFT JOIN (SELECT id, course_code, row_number() OVER (PARTITION BY id ORDER BY o, pos) AS x FROM y QUALIFY x <= 20) AS y USING (id)) "
+    "SELECT id, route, coalesce(string_agg(course_code, ',' ORDER BY x), '') AS codes, CAST(count(course_code) AS DOUBLE) AS total_score FROM u GROUP BY id, route"
+)
+def catalog_hits(spark, d):
+    """What the catalog's own answers count as retrieved: every hit scores 1."""
+    rows = lookup.lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES))
+    return rows.select("id", "route", F.array_join("hits.course_code", ",").alias("codes"), F.size("hits").cast("double").alias("total_score"))
+
+
 #: Each question has the hits of eight courses.
 QUESTION_HITS = f"SELECT CAST(ceil(pos / 8) AS BIGINT) AS query_id, h.* FROM ({HITS}) AS h"
 
@@ -112,12 +126,13 @@ def course_hits(spark, d):
 
 _RANKED = f"h AS (SELECT *, pos % 20 AS query_id, (pos % 97) / 100 AS score FROM ({HITS})), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM h)"
 _BLOCK = (
-    "concat('[', chunk_id, ']', chr(10), 'Course: ', course_code, ' - ', course_title, chr(10), 'Department: ', upper(department), chr(10), 'Section: description', chr(10), 'Relevance: ', printf('%.3f', score), chr(10), 'Content: ', text)"
+    "concat('[', chunk_id, ']', chr(10), 'Course: ', course_code, ' - ', course_title, chr(10), 'Department: ', upper(department), chr(10), 'Section: description', chr(10), 'Content: ', text)"
 )
 _BY_DEPARTMENT = (
-    f"{_RANKED}, b AS (SELECT query_id, department, string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY rank) AS t FROM r WHERE rank <= 20 GROUP BY ALL), "
+    f"{_RANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, department ORDER BY rank) AS i FROM r WHERE rank <= 20), "
+    f"b AS (SELECT query_id, department, string_agg(concat('--- Source ', i, ' ---', chr(10), {_BLOCK}), chr(10) || chr(10) ORDER BY i) AS t FROM o GROUP BY ALL), "
     "n AS (SELECT DISTINCT query_id FROM r), dp AS (SELECT * FROM (VALUES (1, 'se'), (2, 'ce'), (3, 'eee'), (4, 'ie')) AS v(k, department)), "
-    "dc AS (SELECT query_id, dp.k, dp.department, concat('## ', upper(dp.department), chr(10), coalesce(t, 'No relevant sources found for this department.')) AS context FROM n CROSS JOIN dp LEFT JOIN b USING (query_id, department))"
+    "dc AS (SELECT query_id, dp.k, dp.department, concat('=== ', upper(dp.department), ' ===', chr(10), coalesce(t, 'No relevant sources found for this department.')) AS context FROM n CROSS JOIN dp LEFT JOIN b USING (query_id, department))"
 )
 
 

@@ -2,49 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lectern.functions import grounding, metrics, questions as asked
 from lectern.operators import context, lookup, vectors
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
-    """query_id, rank, score and the chunk's columns: the k best chunks of each question, those below the threshold left out."""
-    vectored = vectors.hash_embedding(questions.select(F.col("id").cast("long").alias("query_id"), F.col("question").alias("text")))
-    found = vectors.batch_top_k(chunks, vectored, k, key="pos").filter(F.col("score") >= threshold)
-    return found.join(chunks.drop("embedding"), "pos")
+def wanted_departments(questions: DataFrame) -> Column:
+    """The departments that a question is to be answered from, null for all: a comparison names several, any other question one at most.
+
+    Columns question_type, target_department and target_departments may be missing.
+    """
+    column = lambda name, kind: F.col(name) if name in questions.columns else F.lit(None).cast(kind)
+    several, one = column("target_departments", "array<string>"), column("target_department", "string")
+    return F.when((column("question_type", "string") == "comparison") & (F.size(several) > 0), several).when(F.coalesce(one, F.lit("")) != "", F.array(one))
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.0, provider: str | None = None) -> DataFrame:
+    """query_id, rank, score and the chunk's columns: the k best chunks of each question within its departments, those below the threshold left out."""
+    q = questions.select(F.col("id").cast("long").alias("query_id"), F.col("question").alias("text"), wanted_departments(questions).alias("departments"))
+    vectored = vectors.embed(q, provider)
+    by_department = vectors.batch_top_k(chunks, vectored, k, key="pos", group="department").drop("rank")
+    meant = by_department.join(q.select("query_id", "departments"), "query_id").filter(F.col("departments").isNull() | F.array_contains("departments", F.col("department")))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")
+    found = meant.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= k) & (F.col("score") >= threshold))
+    return found.drop("departments", "department").join(chunks.drop("embedding"), "pos")
 
 
-def run(questions: DataFrame, chunks: DataFrame, k: int = 10, low_confidence: float = 0.3, threshold: float = 0.0, courses: DataFrame | None = None) -> DataFrame:
+def run(questions: DataFrame, chunks: DataFrame, k: int = 10, low_confidence: float = 0.3, threshold: float = 0.0, courses: DataFrame | None = None, provider: str | None = None) -> DataFrame:
     """One row per question: route, retrieved codes (repeats keep their ranks), scores, answer, grounding, trap verdict.
 
-    questions: id, question, expected_course_codes, is_trap. chunks: pos, chunk_id, text, course_code, department, embedding.
-    Questions without hits get an answer that says so. With courses (pos, department, course_code, course_title, ects, course_type,
-    semester), questions that the catalog answers directly get what it says.
+    questions: id, question, expected_course_codes, is_trap, and what wanted_departments() reads. chunks: pos, chunk_id, text, course_code,
+    department, embedding. Questions without hits get an answer that says so. With courses (pos, department, course_code, course_title, ects,
+    course_type, semester), questions that the catalog answers directly get what it says: its courses are what was retrieved, each with score 1, and
+    the answer counts as grounded, every course as a valid citation.
     """
-    hits = retrieve(questions, chunks, k, threshold)
+    looked_up = None if courses is None else lookup.lookups(questions, courses).select(F.col("id").cast("long").alias("query_id"), "context", F.col("hits").alias("listed"))
+    searched = questions if looked_up is None else questions.join(looked_up.select(F.col("query_id").alias("_id")), F.col("id").cast("long") == F.col("_id"), "left_anti")
+    hits = retrieve(searched, chunks, k, threshold, provider)
     ranked = F.array_sort(F.collect_list(F.struct("rank", "course_code", "score", "chunk_id", "text")))
     grouped = hits.groupBy("query_id").agg(ranked.alias("h"))
     answers = context.extractive_answers(hits)
     rows = questions.withColumn("query_id", F.col("id").cast("long")).join(grouped, "query_id", "left").join(answers, "query_id", "left")
-    if courses is None:
-        rows = rows.withColumn("context", F.lit(None).cast("string"))
+    if looked_up is None:
+        rows = rows.withColumns({"context": F.lit(None).cast("string"), "listed": F.lit(None).cast("array<struct<chunk_id: string, course_code: string, text: string>>")})
     else:
-        rows = rows.join(lookup.lookups(questions, courses).select(F.col("id").cast("long").alias("query_id"), "context"), "query_id", "left")
+        rows = rows.join(looked_up, "query_id", "left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
+    source = lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))
     rows = rows.select(
         "query_id",
         "question",
         "is_trap",
         F.coalesce("expected_course_codes", none("string")).alias("expected_codes"),
         asked.route(F.col("question")).alias("route"),
-        F.coalesce(F.col("h.course_code"), none("string")).alias("retrieved_ids"),
-        F.coalesce(F.col("h.score"), none("double")).alias("scores"),
-        F.coalesce(F.transform("h", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["text"].alias("text"))), none("struct<chunk_id: string, text: string>")).alias("sources"),
+        F.coalesce(F.col("listed.course_code"), F.col("h.course_code"), none("string")).alias("retrieved_ids"),
+        F.coalesce(F.transform("listed", lambda _: F.lit(1.0)), F.col("h.score"), none("double")).alias("scores"),
+        F.coalesce(F.transform("listed", source), F.transform("h", source), none("struct<chunk_id: string, text: string>")).alias("sources"),
         F.coalesce("context", "answer", F.lit("I could not find this in the catalog.")).alias("answer"),
+        F.size("listed").alias("n_listed"),
     )
     rows = rows.withColumn("doubtful", F.coalesce(F.get("scores", F.lit(0)), F.lit(0.0)) < low_confidence)
-    return grounding.check_answers(rows).withColumn("trap_handled", metrics.trap_handled(F.col("answer"), F.col("is_trap"))).drop("sources", "invalid")
+    checked = grounding.check_answers(rows)
+    sure = {"n_citations": F.col("n_listed").cast("long"), "n_valid": F.col("n_listed").cast("long"), "n_claims": F.lit(1).cast("long"), "n_supported": F.lit(1).cast("long"), "grounding_score": F.lit(1.0), "is_grounded": F.lit(True)}
+    listed = F.coalesce(F.col("n_listed") >= 0, F.lit(False))
+    checked = checked.withColumns({c: F.when(listed, v).otherwise(F.col(c)) for c, v in sure.items()})
+    return checked.withColumn("trap_handled", metrics.trap_handled(F.col("answer"), F.col("is_trap"))).drop("sources", "invalid", "n_listed")
 
 
 def measures(results: DataFrame, strict: bool = True) -> DataFrame:

@@ -23,6 +23,31 @@ def test_run(spark):
     assert evaluation.plain_questions(questions.select("id", "question")).count() == 3
 
 
+def test_catalog_questions_and_departments(spark):
+    """Catalog courses are the retrieved codes with score 1, grounded by definition; other questions stay within their departments."""
+    courses = spark.createDataFrame(
+        [(1, "se", "SE 302", "B", 6.0, "mandatory", 5), (2, "se", "SE 301", "A", 5.0, "mandatory", 5), (3, "ce", "CE 301", "C", 5.0, "mandatory", 5), (4, "se", "SE 310", "D", 4.0, "technical_elective", 5)],
+        "pos long, department string, course_code string, course_title string, ects double, course_type string, semester int",
+    )
+    questions = spark.createDataFrame(
+        [
+            (1, "mandatory courses in semester 5 for software engineering", ["SE 301", "SE 302"], False, "factual", None, None),
+            (2, "mandatory courses in semester 7 for software engineering", [], False, "factual", None, None),
+            (3, "circuits and current", ["SE 201"], False, "factual", "se", None),
+            (4, "circuits and current", ["CE 100"], False, "comparison", "se", ["ce", "ie"]),
+            (5, "circuits and current", ["CE 100"], False, "factual", None, ["se"]),
+        ],
+        "id long, question string, expected_course_codes array<string>, is_trap boolean, question_type string, target_department string, target_departments array<string>",
+    )
+    got = {r.query_id: r for r in evaluation.run(questions, chunks(spark), courses=courses).collect()}
+    assert got[1].retrieved_ids == ["SE 301", "SE 302"] and got[1].scores == [1.0, 1.0] and "SE 301" in got[1].answer
+    assert (got[1].is_grounded, got[1].grounding_score, got[1].n_citations, got[1].n_valid, got[1].doubtful) == (True, 1.0, 2, 2, False)
+    assert got[2].retrieved_ids == [] and got[2].is_grounded and got[2].n_citations == 0
+    assert got[3].retrieved_ids == ["SE 201"] and got[4].retrieved_ids == ["CE 100"] and sorted(got[5].retrieved_ids) == ["CE 100", "SE 201"]
+    m = evaluation.measures(evaluation.run(questions, chunks(spark), courses=courses)).first()
+    assert m.hit_rate == 0.8 and m.num_questions == 5
+
+
 def test_command_line(spark, tmp_path, capsys):
     docs = spark.createDataFrame([(1, "Data structures and trees are taught here. " * 40), (2, "Circuits and current are measured in the lab. " * 40)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "docs"))

@@ -124,11 +124,14 @@ def test_context(spark):
         [("q", 1, "c1", "SE 1", "A", "se", "objectives", 0.91234, "One. Two."), ("q", 2, "c2", "SE 2", "B", "se", None, 0.5, "Three.")],
         "query_id string, rank int, chunk_id string, course_code string, course_title string, department string, section_name string, score double, text string",
     )
-    text = context.contexts(hits).first().context
+    plain = context.contexts(hits).first().context
+    assert plain == "--- Source 1 ---\n[c1]\nCourse: SE 1 - A\nDepartment: SE\nSection: objectives\nContent: One. Two.\n\n--- Source 2 ---\n[c2]\nCourse: SE 2 - B\nDepartment: SE\nContent: Three."
+    text = context.contexts(hits, with_score=True).first().context
     assert text.startswith("--- Source 1 ---\n[c1]\nCourse: SE 1 - A\nDepartment: SE\nSection: objectives\nRelevance: 0.912\nContent: One. Two.\n\n--- Source 2 ---")
     assert context.contexts(hits, most=1).first().context.count("Source") == 1
     by = {r.department: r.context for r in context.department_contexts(hits, ["se", "ce"]).collect()}
-    assert by["ce"] == "## CE\nNo relevant sources." and "[c2]" in by["se"]
+    assert by["ce"] == "=== CE ===\nNo relevant sources found for this department."
+    assert by["se"] == "=== SE ===\n" + plain
     assert context.extractive_answers(hits).first().answer == "One. [c1] Three. [c2]"
     asked = spark.createDataFrame([("q", "Why?", 0.9), ("z", "What?", None)], "query_id string, question string, top_score double")
     got = {r.query_id: r for r in context.prompts(asked, context.contexts(hits)).collect()}
