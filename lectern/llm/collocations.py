@@ -10,8 +10,9 @@ where its words stand side by side in a piece, overlaps included; all counts are
    phrases only.
 3. Level by level, the intervals of the phrases known to be frequent are extended by a word, to the right through the reversed transform or
    to the left through the other, in turns; the interval in the other transform is kept in step. A longer phrase is kept if both its first and its
-   last words are frequent phrases. It is known by the numbers of these two, so Spark can sum its counts over all shards; those of at
-   least `least` occurrences return, as intervals, to the shards that hold them. Of each phrase the index also tells how often a word of its piece
+   last words are frequent phrases. It is known by the numbers of these two. Spark deals all shards' phrases by a hash of these into groups of
+   about GRAMS_GROUP, packed by shard and group; each group is summed, and those of at least `least` occurrences return to the shards that
+   hold them. A phrase comes once from each shard, so no group grows with a frequent phrase. Of each phrase the index also tells how often a word of its piece
    stands before and after it.
 4. Counts of all first and last parts come along from level to level, and the scores of all cuts are computed as decimals of 38 digits.
 
@@ -32,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.llm.common import forget, forget_path, scratch, shuffle_partitions, stored, table
-from lectern.llm.words import FOLD, release, string_bytes
+from lectern.llm.hmm import planes, unplaned
+from lectern.llm.words import BASE, FOLD, hash_words, mix, release, string_bytes
 
 DEPTH, LEAST, MOST, SHARE = 5, 100, 2000, 100
 #: Bytes of text of a shard, and of a step within it.
-SHARD, STEP = 8 << 20, 1 << 20
+SHARD, STEP = 4 << 20, 1 << 20
 GAP = np.zeros(256, bool)
 GAP[[0x20, 0x09]] = True
 STOP = np.zeros(256, bool)
@@ -189,64 +191,196 @@ def build(codes: np.ndarray, local: np.ndarray, gid: np.ndarray) -> tuple[np.nda
 
 
 INDEX = "shard long, bwt binary, reversed binary, gids binary"
-GRAMS = ["shard", "p", "s", "n", "n_left", "n_right", "lo", "rlo"]
-GRAM_TYPES = "shard long, p long, s long, n long, n_left long, n_right long, lo int, rlo int"
+#: Entries of dictionaries, and phrases of shards, that a group of the exchanges has on average.
+WORDS_GROUP, GRAMS_GROUP = 1 << 18, 1 << 20
+WORD_SUMS = "kind int, shard long, data binary, gid long, lang string, word string, n long"
+GRAM_SUMS = "kind int, shard long, data binary, gid long, p long, s long, n long, n_left long, n_right long"
+#: Rows of an exchange's result: what is frequent, and what of it a shard holds.
+FREQUENT, HELD = 0, 1
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, compressed byte by byte of all: most are small or alike."""
+    return b"".join(len(x).to_bytes(4, "little") + x for x in (planes(c.astype("<i8")) for c in columns))
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
+        out.append(unplaned(raw[at + 4 : end], "<i8"))
+        at = end
+    return out
+
+
+def _gathered(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns of all rows end to end, length of each row)."""
+    rows = [unpack(x.as_py()) for x in column]
+    return [np.concatenate(c) for c in zip(*rows, strict=True)], np.array([len(r[0]) for r in rows], np.int64)
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, from, to) of sorted groups."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    return list(zip(group[first].tolist(), first.tolist(), np.append(first, len(group))[1:].tolist(), strict=True))
+
+
+def dealt_words(held: DataFrame, groups: int) -> DataFrame:
+    """group, shard, lang, words, data (places in the shard's dictionary, counts): a shard's dictionary by hash of its words."""
+    names = ["group", "shard", "lang", "words", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = (batch.column(c)[i].values for c in ("words", "counts"))
+                group = (hash_words(words, fold=False)[0] % np.uint64(groups)).astype(np.int64)
+                local = np.argsort(group, kind="stable")
+                counts, runs = counts.to_numpy()[local], _runs(group[local])
+                lists = pa.ListArray.from_arrays(pa.array([0, *(r[2] for r in runs)], pa.int32()), words.take(pa.array(local)))
+                same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(runs), batch.column(c).type)  # noqa: B023, E731
+                data = pa.array([pack(local[a:b], counts[a:b]) for _, a, b in runs], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), same("shard"), same("lang"), lists, data], names)
+        release()
+
+    return held.select("shard", "lang", "words", "counts").mapInArrow(run, "group long, shard long, lang string, words array<string>, data binary")
+
+
+def summed_words(dealt: DataFrame, least: int) -> DataFrame:
+    """WORD_SUMS: the words of at least `least` occurrences, and for each shard, packed, places in its dictionary with their numbers."""
+
+    def run(t: pa.Table) -> pa.Table:
+        lists, langs = t["words"].combine_chunks(), t["lang"].combine_chunks().dictionary_encode()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        (local, counts), _ = _gathered(t["data"])
+        n_words = max(len(words.dictionary), 1)
+        key, inverse = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), size) * n_words + words.indices.to_numpy(), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, inverse, counts)
+        often = np.flatnonzero(total >= least)
+        gid = np.full(len(key), -1, np.int64)
+        gid[often] = (t["group"][0].as_py() << 32) + np.arange(len(often))
+        mine, ends = gid[inverse], np.cumsum(size)
+        out = {"shard": [], "data": []}
+        for i, (a, b) in enumerate(zip(ends - size, ends, strict=True)):
+            known = np.flatnonzero(mine[a:b] >= 0) + a
+            if len(known):
+                out["shard"].append(t["shard"][i].as_py())
+                out["data"].append(pack(local[known], mine[known]))
+        rows = len(out["shard"])
+        found = [langs.dictionary.take(pa.array(key[often] // n_words)), words.dictionary.take(pa.array(key[often] % n_words)), pa.array(total[often])]
+        return _result(WORD_SUMS, out["shard"], out["data"], len(often), [pa.array(gid[often]), *found], rows)
+
+    return dealt.groupBy("group").applyInArrow(run, WORD_SUMS)
+
+
+def _result(schema: str, shard: list, data: list, n: int, found: list[pa.Array], rows: int) -> pa.Table:
+    names = [c.split()[0] for c in schema.split(", ")]
+    ahead = [pa.array([FREQUENT] * n + [HELD] * rows, pa.int32()), pa.array([None] * n + shard, pa.int64()), pa.array([None] * n + data, pa.binary())]
+    return pa.table([*ahead, *(pa.concat_arrays([c, pa.nulls(rows, c.type)]) for c in found)], names)
 
 
 def _index(one: pa.Table) -> tuple[FmIndex, FmIndex, np.ndarray]:
-    read = lambda c, kind: np.frombuffer(one.column(c)[0].as_py(), kind)
+    read = lambda c, kind: unplaned(one.column(c)[0].as_py(), kind)
     return FmIndex(read("bwt", "<i4")), FmIndex(read("reversed", "<i4")), read("gids", "<i8")
 
 
-def _grams(shard: int, p, s, n, lo, rlo, ahead: FmIndex, back: FmIndex) -> pa.Table:
-    # whole numbers of 32 bits serve: a shard has fewer words than 2^31
-    columns = [np.full(len(p), shard), p, s, n, ahead.followed(lo, n), back.followed(rlo, n), lo.astype(np.int32), rlo.astype(np.int32)]
-    return pa.table([pa.array(c) for c in columns], GRAMS)
+def _dealt(shard: int, groups: int, p, s, n, lo, rlo, ahead: FmIndex, back: FmIndex, placed: bool) -> pa.Table:
+    """group, shard, data: a shard's phrases by hash of their parts, counts and, if placed, the places of their intervals."""
+    group = (mix(p.astype(np.uint64) * np.uint64(BASE) + s.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((s, p, group))
+    p, s, n, lo, rlo = p[order], s[order], n[order], lo[order], rlo[order]
+    alone = [n - ahead.followed(lo, n), n - back.followed(rlo, n)]
+    runs = _runs(group[order])
+    data = [pack(np.diff(p[a:b], prepend=0), *(c[a:b] for c in (s, n, *alone, *([lo, rlo] if placed else [])))) for _, a, b in runs]
+    return pa.table([pa.array([r[0] for r in runs], pa.int64()), pa.array([shard] * len(runs), pa.int64()), pa.array(data, pa.binary())], ["group", "shard", "data"])
+
+
+DEALT = "group long, shard long, data binary"
+
+
+def _pairs(ahead: FmIndex, back: FmIndex, gids: np.ndarray):
+    """(first word, second word, size, lo, lo in the reversed transform): every frequent word, extended to the right."""
+    size = np.bincount(ahead.bwt, minlength=FIRST + len(gids))
+    first = (np.cumsum(size) - size)[FIRST:]
+    owner, symbol, rlo, n, lo = back.extend(first, size[FIRST:], first)
+    return owner, symbol - FIRST, n, lo, rlo
 
 
-def pairs(index: DataFrame) -> DataFrame:
-    """GRAMS of two words: every frequent word, extended to the right."""
+def pairs(index: DataFrame, groups: int) -> DataFrame:
+    """DEALT phrases of two words. The places of their intervals are not sent along: they are the bulk, and found again from the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ahead, back, gids = _index(one := pa.table(batch.slice(i, 1)))
-                size = np.bincount(ahead.bwt, minlength=FIRST + len(gids))
-                first = (np.cumsum(size) - size)[FIRST:]
-                owner, symbol, rlo, n, lo = back.extend(first, size[FIRST:], first)
-                yield from _grams(one["shard"][0].as_py(), gids[owner], gids[symbol - FIRST], n, lo, rlo, ahead, back).to_batches()
+                p, s, n, lo, rlo = _pairs(ahead, back, gids)
+                yield from _dealt(one["shard"][0].as_py(), groups, gids[p], gids[s], n, lo, rlo, ahead, back, False).to_batches()
         release()
 
-    return index.mapInArrow(run, GRAM_TYPES)
+    return index.mapInArrow(run, DEALT)
 
 
-def longer(index: DataFrame, frequent: DataFrame, right: bool) -> DataFrame:
-    """GRAMS of a word more than the frequent ones (shard, gid, n, lo, rlo), extended to the right or to the left."""
+def longer(index: DataFrame, frequent: DataFrame, groups: int, right: bool) -> DataFrame:
+    """DEALT phrases of a word more than the frequent ones that a shard holds (of, data), extended to the right or to the left."""
 
-    def run(one: pa.Table, grams: pa.Table) -> pa.Table:
-        if not one.num_rows or not grams.num_rows:
-            return pa.table([pa.array([], pa.int32() if c in ("lo", "rlo") else pa.int64()) for c in GRAMS], GRAMS)
-        ahead, back, _ = _index(one)
-        gid, n, lo, rlo = (grams.column(c).to_numpy().astype(np.int64) for c in ("gid", "n", "lo", "rlo"))
+    def run(one: pa.Table, held: pa.Table) -> pa.Table:
+        if not one.num_rows or not held.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["group", "shard", "data"])
+        ahead, back, gids = _index(one)
+        (p, s, gid, *rest), _ = _gathered(held["data"])
+        if rest:
+            n, lo, rlo = rest
+        else:
+            first, second, *found = _pairs(ahead, back, gids)
+            order, by_gid = np.argsort(first * len(gids) + second), np.argsort(gids)
+            place = lambda x: by_gid[np.searchsorted(gids[by_gid], x)]
+            at = order[np.searchsorted((first * len(gids) + second)[order], place(p) * len(gids) + place(s))]
+            n, lo, rlo = (c[at] for c in found)
         # the interval of the phrase's other part holds the longer phrase's interval in the transform that reads from there
-        held = rlo if right else lo
-        order = np.argsort(held)
+        inside = rlo if right else lo
+        order = np.argsort(inside)
         owner, _, new, size, other = back.extend(rlo, n, lo) if right else ahead.extend(lo, n, rlo)
-        at = np.maximum(np.searchsorted(held[order], new, side="right") - 1, 0)
-        part = order[at]
-        keep = (held[part] <= new) & (new < held[part] + n[part])
+        part = order[np.maximum(np.searchsorted(inside[order], new, side="right") - 1, 0)]
+        keep = (inside[part] <= new) & (new < inside[part] + n[part])
         owner, part, new, size, other = owner[keep], part[keep], new[keep], size[keep], other[keep]
         p, s = (owner, part) if right else (part, owner)
         lo, rlo = (other, new) if right else (new, other)
-        return _grams(one["shard"][0].as_py(), gid[p], gid[s], size, lo, rlo, ahead, back)
-
-    return index.groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, GRAM_TYPES)
-
-
-def frequent_grams(grams: DataFrame, least: int) -> DataFrame:
-    """gid, p, s, n, n_left, n_right, summed over all shards. Stored, as numbers are given once."""
-    sums = grams.groupBy("p", "s").agg(*(F.sum(c).alias(c) for c in ("n", "n_left", "n_right"))).filter(F.col("n") >= least)
-    return stored(sums.select(F.monotonically_increasing_id().alias("gid"), "*"), "grams")
+        return _dealt(one["shard"][0].as_py(), groups, gid[p], gid[s], size, lo, rlo, ahead, back, True)
+
+    return index.groupBy("shard").cogroup(frequent.groupBy("of")).applyInArrow(run, DEALT)
+
+
+def summed_grams(dealt: DataFrame, least: int) -> DataFrame:
+    """GRAM_SUMS: phrases of at least `least` occurrences over all shards, and for each shard, packed, those that it holds."""
+
+    def run(t: pa.Table) -> pa.Table:
+        (p, s, n, first, last, *places), size = _gathered(t["data"])
+        ends = np.cumsum(size)
+        # first parts travel as differences within a row
+        p = np.cumsum(p)
+        p -= np.repeat(np.concatenate([np.zeros(1, np.int64), p[ends[:-1] - 1]]), size)
+        order = np.lexsort((s, p))
+        fresh = np.append(True, (np.diff(p[order]) != 0) | (np.diff(s[order]) != 0))
+        heads = np.flatnonzero(fresh)
+        total = np.add.reduceat(n[order], heads)
+        often = total >= least
+        gid = np.full(len(heads), -1, np.int64)
+        gid[often] = (t["group"][0].as_py() << 32) + np.arange(often.sum())
+        mine = np.empty(len(p), np.int64)
+        mine[order] = gid[np.cumsum(fresh) - 1]
+        shard, data = [], []
+        for i, (a, b) in enumerate(zip(ends - size, ends, strict=True)):
+            known = np.flatnonzero(mine[a:b] >= 0) + a
+            if len(known):
+                shard.append(t["shard"][i].as_py())
+                data.append(pack(p[known], s[known], mine[known], *([n[known], *(c[known] for c in places)] if places else [])))
+        sums = [total[often], *((total - np.add.reduceat(c[order], heads))[often] for c in (first, last))]
+        at = order[heads[often]]
+        found = [pa.array(c) for c in (gid[often], p[at], s[at], *sums)]
+        return _result(GRAM_SUMS, shard, data, int(often.sum()), found, len(shard))
+
+    return dealt.groupBy("group").applyInArrow(run, GRAM_SUMS)
 
 
 def described(grams: DataFrame, parts: DataFrame) -> DataFrame:
@@ -276,43 +410,50 @@ def best(rows: DataFrame, most: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= most)
 
 
+def bucketed(df: DataFrame, name: str):
+    """(df, how to delete it) written under the shared folder, bucketed by shard, so that it meets other rows of its shards without an exchange."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    held = f"lectern_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), "shard").sortBy("shard").option("path", path).format("parquet").saveAsTable(held)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {held}")
+        forget_path(spark, path)
+
+    return spark.table(held), drop
+
+
 def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHARE, shard_bytes: int = SHARD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, n_left, n_right. A phrase goes if a longer one that holds it has `share` percent of its count."""
     spark = docs.sparkSession
-    held = stored(shards(docs, shard_bytes), "shards")
-    totals = held.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    entries = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "e")).select("shard", "lang", "local", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    words = entries.groupBy("lang", "word").agg(F.sum("c").alias("n")).filter(F.col("n") >= least)
-    words = stored(words.select(F.monotonically_increasing_id().alias("gid"), "*"), "words")
-    mine_words = entries.select("shard", "lang", "word", "local").join(words.select("gid", "lang", "word"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "gid")
+    held, drop_held = bucketed(shards(docs, shard_bytes), "shards")
+    totals = stored(held.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
+    size = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    n_groups = lambda rows, each: max(shuffle_partitions(spark), rows // each)
+    sums = stored(summed_words(dealt_words(held, n_groups(size[1], WORDS_GROUP)), least), "words")
+    words = stored(sums.filter(F.col("kind") == FREQUENT).select("gid", "lang", F.array("word").alias("words"), "n", F.array("n").alias("first"), F.array("n").alias("last")), "words")
 
     def indexed(one: pa.Table, known: pa.Table) -> pa.Table:
+        rows = [[]] * 4
         if one.num_rows:
-            bwt, back, gids = build(np.frombuffer(one["codes"][0].as_py(), "<i4"), known["local"].to_numpy(), known["gid"].to_numpy())
-            rows = [[one["shard"][0].as_py()], [bwt.tobytes()], [back.tobytes()], [gids.astype("<i8").tobytes()]]
-        else:
-            rows = [[]] * 4
+            local, gid = _gathered(known["data"])[0] if known.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            built = build(np.frombuffer(one["codes"][0].as_py(), "<i4"), local, gid)
+            rows = [[one["shard"][0].as_py()], *([planes(c)] for c in built)]
         return pa.table([pa.array(r, k) for r, k in zip(rows, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["shard", "bwt", "reversed", "gids"])
 
-    name, path = f"lectern_index_{uuid.uuid4().hex}", scratch(spark, "index")
-    index = held.select("shard", "codes").groupBy("shard").cogroup(mine_words.groupBy("of")).applyInArrow(indexed, INDEX)
-    index.write.bucketBy(shuffle_partitions(spark), "shard").sortBy("shard").option("path", path).format("parquet").saveAsTable(name)
-    totals = stored(totals, "totals")
-    forget(held)
-    index = spark.table(name)
-    level = [words.select("gid", "lang", F.array("word").alias("words"), "n", F.array("n").alias("first"), F.array("n").alias("last"))]
-    grams = stored(pairs(index), "pairs")
+    of = lambda df: df.filter(F.col("kind") == HELD).select(F.col("shard").alias("of"), "data")
+    index, drop_index = bucketed(held.select("shard", "codes").groupBy("shard").cogroup(of(sums).groupBy("of")).applyInArrow(indexed, INDEX), "index")
+    drop_held()
+    forget(sums)
+    level, groups = [words], n_groups(size[0], GRAMS_GROUP)
+    sums = stored(summed_grams(pairs(index, groups), least), "pairs")
     for depth in range(2, DEPTH + 1):
-        frequent = frequent_grams(grams, least)
-        level.append(stored(described(frequent, level[-1]), "phrases"))
+        level.append(stored(described(sums.filter(F.col("kind") == FREQUENT), level[-1]), "phrases"))
         if depth < DEPTH:
-            back = grams.select("shard", "p", "s", "n", "lo", "rlo").join(frequent.select("p", "s", "gid"), ["p", "s"]).select("shard", "gid", "n", "lo", "rlo")
-            more = stored(longer(index, back, right=depth % 2 == 0), "longer")
-        forget(grams)
-        forget(frequent)
-        grams = more
-    spark.sql(f"DROP TABLE {name}")
-    forget_path(spark, path)
+            more = stored(summed_grams(longer(index, of(sums), groups, right=depth % 2 == 0), least), "longer")
+        forget(sums)
+        sums = more
+    drop_index()
     kept = []
     for phrases, above in zip(level[1:], [*level[2:], None], strict=True):
         if above is not None:

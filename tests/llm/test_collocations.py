@@ -78,6 +78,13 @@ def test_one_text_over_many_shards(spark):
     assert rows(collocations.mine(df, 5, shard_bytes=128)) == plain([("en", text)], 5, 2000)
 
 
+def test_packed_columns():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(-(2**62), 2**62, 999), np.arange(999), np.zeros(999, np.int64)]
+    assert all((a == b).all() for a, b in zip(collocations.unpack(collocations.pack(*columns)), columns, strict=True))
+    assert len(collocations.unpack(collocations.pack(np.zeros(0, np.int64)))[0]) == 0
+
+
 def test_scores_beyond_64_bits(spark):
     grams = spark.createDataFrame([("en", ["a", "b", "c"], 10**13, 0, 0, [4 * 10**13, 2 * 10**13, 10**13], [3 * 10**13, 10**13 + 7, 10**13])], "lang string, words array<string>, n long, n_left long, n_right long, first array<long>, last array<long>")
     totals = spark.createDataFrame([("en", 10**15)], "lang string, n long")
@@ -114,7 +121,7 @@ def test_index_is_not_shuffled_again(spark, corpus):
     """Levels read the bucketed index in place: only phrases go through an exchange."""
     name = "bucketed_index_test"
     spark.range(40).select(F.col("id").alias("shard"), *(F.lit(b"").alias(c) for c in ("bwt", "reversed", "gids"))).write.bucketBy(4, "shard").sortBy("shard").saveAsTable(name)
-    grams = spark.range(9).select(F.col("id").alias("shard"), *(F.col("id").alias(c) for c in ("gid", "n", "lo", "rlo")))
-    plan = collocations.longer(spark.table(name), grams, True)._jdf.queryExecution().executedPlan().toString()
+    held = spark.range(9).select(F.col("id").alias("of"), F.lit(b"").alias("data"))
+    plan = collocations.longer(spark.table(name), held, 4, True)._jdf.queryExecution().executedPlan().toString()
     spark.sql(f"DROP TABLE {name}")
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
