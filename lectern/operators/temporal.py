@@ -18,9 +18,7 @@ def _micros(c: Column, kind: str) -> Column:
     """A time or number as something that can be divided: whole microseconds, or the number itself."""
     if kind == "timestamp":
         return F.unix_micros(c)
-    if kind == "timestamp_ntz":
-        return F.unix_micros(F.to_utc_timestamp(c.cast("timestamp"), F.lit("UTC")))
-    if kind == "date":
+    if kind in ("timestamp_ntz", "date"):
         return F.unix_micros(c.cast("timestamp"))
     return c
 

@@ -1,4 +1,4 @@
-"""Vector search: exact cosine top-k, per group, with filters and thresholds, and an inverted-file index."""
+"""Vector search: exact cosine top-k, per group, with filters and thresholds; embeddings by name."""
 
 from __future__ import annotations
 
@@ -102,45 +102,6 @@ def round_robin(ranked: DataFrame, groups: list, most: int, group: str = "depart
     return picked.withColumn("place", F.row_number().over(by_score)).drop("turn")
 
 
-def build_cells(vectors: DataFrame, cells: int = 16, rounds: int = 5, sample: int = 2000, seed: int = 7, key: str = "vec_id", column: str = "embedding") -> np.ndarray:
-    """Centres of an inverted-file index: k-means on the unit vectors of at most `sample` rows, those with the smallest hashes."""
-    rows = vectors.orderBy(F.xxhash64(key), key).limit(sample).select(column).collect()
-    x = np.array([r[0] for r in rows], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
-    for _ in range(rounds):
-        near = (x @ centres.T).argmax(1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                m = x[near == c].mean(0)
-                centres[c] = m / max(np.linalg.norm(m), 1e-12)
-    return centres
-
-
-def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1, column: str = "embedding", out: str = "cell") -> DataFrame:
-    """vectors with the array of their `probes` nearest cells."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centres)
-    schema = vectors.select("*", F.array(F.lit(0)).alias(out)).schema
-    names = vectors.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.array(batch.column(names.index(column)).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            near = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if batch.num_rows else np.zeros((0, probes), np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], [*names, out])
-
-    return vectors.mapInArrow(run, schema)
-
-
-def indexed_top_k(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding") -> DataFrame:
-    """Approximate batch search: every vector is indexed in one cell, each query looks into its nearest cells by a join."""
-    held = assign_cells(vectors.select(key, column), centres).select(key, F.col(column).alias("_v"), F.explode("cell").alias("cell"))
-    asked = assign_cells(queries.select(query_key, column), centres, probes).select(query_key, F.col(column).alias("_q"), F.explode("cell").alias("cell"))
-    scored = held.join(asked, "cell").select(query_key, key, cosine(F.col("_q"), F.col("_v")).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def retrieval_stats(hits: DataFrame) -> DataFrame:
     """One row: count, score range and mean, distinct departments and courses; zeros without hits."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))

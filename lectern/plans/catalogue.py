@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import chunking, cleaning, fixed, grounding, metrics, questions as asked
-from lectern.operators import catalog, context, predicates, sampling, store, vectors
+from lectern.operators import catalog, context, graph, predicates, rollups, sampling, store, temporal, vectors
 from lectern.plans import evaluation
 from lectern.plans.views import ANSWERS, COURSES, HITS, QUESTIONS, view
 from lectern.session import ship_package
@@ -156,9 +156,24 @@ def retrieval_metrics(spark, d):
 
 @query()
 def vector_index_topk(spark, d):
-    """Inverted-file search; tests/test_vectors.py holds its recall against exact search."""
+    """Search by a proximity graph; tests/test_graph.py and vector_index_recall hold it against exact search."""
     v = _vectors(spark, d)
-    return vectors.indexed_top_k(v, _asked_vectors(v), vectors.build_cells(v), 10, probes=12)
+    return graph.graph_top_k(graph.build_graph(v), _asked_vectors(v), 10).select("query_id", "vec_id", "score", "rank")
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_holds, CASE WHEN (SELECT count(*) FROM embeddings) >= 2000 THEN true END AS scored_few FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark, d):
+    """Whether the graph finds nine of ten true neighbours, and, where there are enough vectors for that to mean something, scores a fifth of them at most."""
+    v = _vectors(spark, d)
+    asked_ = _asked_vectors(v)
+    found = graph.graph_top_k(graph.build_graph(v), asked_, 10).select("query_id", "vec_id", "n_scored")
+    exact = vectors.batch_top_k(v, asked_, 10).select("query_id", "vec_id", F.lit(1).alias("true_one"))
+    met = exact.join(found, ["query_id", "vec_id"], "left").agg(F.avg(F.when(F.col("n_scored").isNotNull(), 1.0).otherwise(0.0)).alias("recall"))
+    spent = found.groupBy("query_id").agg(F.max("n_scored").alias("n")).agg(F.count("*").alias("n_queries"), F.avg("n").alias("n"))
+    held = v.agg(F.count("*").alias("held"))
+    # three rows of one line each
+    row = spent.join(met, F.lit(True)).join(held, F.lit(True))
+    return row.select("n_queries", (F.col("recall") >= 0.9).alias("recall_holds"), F.when(F.col("held") >= 2000, F.col("n") <= 0.2 * F.col("held")).alias("scored_few"))
 
 
 @query()
@@ -500,6 +515,91 @@ def evaluate_measures(spark, d):
     return evaluation.measures(_run(spark, d))
 
 
+# --- time --------------------------------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return table(spark, d, "events")
+
+
+@query(
+    "SELECT p.event_id, coalesce(c.event_id, -1) AS click_id, coalesce(epoch_us(p.ts) - epoch_us(c.ts), -1) AS gap_us FROM (SELECT * FROM events WHERE event_type = 'purchase') AS p "
+    "ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') AS c ON p.user_id = c.user_id AND p.ts >= c.ts"
+)
+def asof_last_click(spark, d):
+    """Each purchase with its user's last click before it."""
+    e = _events(spark, d)
+    clicks = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    joined = temporal.asof_join(e.filter("event_type = 'purchase'"), clicks, ["user_id"], "ts", "click_ts", ["click_id", "click_ts"], tie=["click_id"])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
+    return joined.select("event_id", none(F.col("click_id")).alias("click_id"), none(micros("ts") - micros("click_ts")).alias("gap_us"))
+
+
+@query(
+    "WITH j AS (SELECT p.event_id, p.ts, c.event_id AS next_id, c.ts AS next_ts FROM (SELECT * FROM events WHERE event_type = 'click') AS p "
+    "ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') AS c ON p.user_id = c.user_id AND p.ts < c.ts) "
+    "SELECT event_id, CASE WHEN next_ts - ts <= INTERVAL 6 HOURS THEN next_id ELSE -1 END AS next_id FROM j"
+)
+def asof_next_purchase(spark, d):
+    """Each click with its user's next purchase, within six hours; time is cut into slices."""
+    e = _events(spark, d)
+    bought = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("next_ts"), F.col("event_id").alias("next_id"))
+    joined = temporal.asof_join(e.filter("event_type = 'click'"), bought, ["user_id"], "ts", "next_ts", ["next_id"], F.expr("INTERVAL 6 HOURS"), "forward", exact=False, tie=["next_id"], slice_rows=500)
+    return joined.select("event_id", F.coalesce("next_id", F.lit(-1).cast("long")).alias("next_id"))
+
+
+_VISITS = "SELECT event_id AS visit, user_id, ts AS a, ts + INTERVAL 1 SECOND * CAST(floor(value * 60) AS INT) AS b FROM events WHERE event_type = 'view'"
+
+
+@query(
+    f"WITH v AS ({_VISITS}), e AS (SELECT event_id AS error, user_id, ts AS c, ts + INTERVAL 30 MINUTE AS d FROM events WHERE event_type = 'error') "
+    "SELECT visit, error FROM v JOIN e ON v.user_id = e.user_id AND a <= d AND c <= b"
+)
+def interval_overlaps(spark, d):
+    """Views, as long as their value in minutes, that overlap half an hour after an error of the same user."""
+    e = _events(spark, d)
+    visits = e.filter("event_type = 'view'").selectExpr("event_id AS visit", "user_id", "ts AS a", "ts + make_interval(0, 0, 0, 0, 0, 0, floor(value * 60)) AS b")
+    errors = e.filter("event_type = 'error'").selectExpr("event_id AS error", "user_id", "ts AS c", "ts + INTERVAL 30 MINUTES AS d")
+    return temporal.interval_join(visits, errors, ("a", "b"), ("c", "d"), ["user_id"], width=600).select("visit", "error")
+
+
+@query("SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON p.p_retailprice BETWEEN least(abs(s.s_acctbal), 2000) AND least(abs(s.s_acctbal), 2000) + 25")
+def range_of_prices(spark, d):
+    """Parts whose price lies in a range that a supplier sets; there is no key but the range itself."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    ranges = table(spark, d, "supplier").select("s_suppkey", F.least(F.abs(F.col("s_acctbal")), F.lit(2000)).cast("double").alias("low"))
+    return temporal.range_join(parts, ranges.withColumn("high", F.col("low") + 25), "price", ("low", "high"), width=16.0).select("p_partkey", "s_suppkey")
+
+
+@query("SELECT a.event_id AS one, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 1800000000")
+def band_of_times(spark, d):
+    """Clicks and purchases of a user that are at most half an hour apart."""
+    e = _events(spark, d)
+    a = e.filter("event_type = 'click'").select(F.col("event_id").alias("one"), "user_id", F.col("ts").alias("t"))
+    b = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("other"), "user_id", F.col("ts").alias("u"))
+    return temporal.band_join(a, b, "t", "u", 1800, ["user_id"]).select("one", "other")
+
+
+@query(
+    "WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, * FROM events), c AS (SELECT day, event_type, user_id, count(*) AS c FROM e GROUP BY ALL), m AS (SELECT day, event_type, max(c) AS top_count, count(*) AS n_users FROM c GROUP BY ALL) "
+    "SELECT day, event_type, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most, any_value(top_count) AS top_count, any_value(n_users) AS n_users, true AS users_hold, true AS median_holds "
+    "FROM e JOIN m USING (day, event_type) GROUP BY day, event_type"
+)
+def daily_rollup(spark, d):
+    """Days from hourly sketches, held against the rows themselves: exact columns, and whether the estimates keep within three standard errors and the rank error."""
+    e = _events(spark, d)
+    keys = ["day", "event_type"]
+    days = rollups.rolled_up(rollups.hourly(e, ["event_type"]), "day", ["event_type"]).withColumn("day", F.col("start").cast("date").cast("string"))
+    days = days.select(*keys, "n", F.round("total", 6).alias("total"), "least", "most", rollups.distinct().alias("est"), rollups.quantile(0.5).alias("median"), rollups.frequent(1)[0]["count"].alias("top_count"))
+    rows = e.select(F.col("ts").cast("date").cast("string").alias("day"), "event_type", "user_id", "value").join(days.select(*keys, "median"), keys)
+    true_ones = rows.groupBy(*keys).agg(F.count_distinct("user_id").alias("n_users"), F.count_if(F.col("value") <= F.col("median")).alias("upto"), F.count_if(F.col("value") < F.col("median")).alias("below"))
+    n = F.col("n")
+    users_hold = F.abs(F.col("est") - F.col("n_users")) <= 0.5 + 3 * rollups.DISTINCT_ERROR * F.col("n_users")
+    median_holds = (F.col("upto") / n >= 0.5 - rollups.RANK_ERROR) & (F.col("below") / n <= 0.5 + rollups.RANK_ERROR)
+    return days.join(true_ones, keys).select(*keys, "n", "total", "least", "most", "top_count", "n_users", users_hold.alias("users_hold"), median_holds.alias("median_holds"))
+
+
 # --- pages -------------------------------------------------------------------------------------------------------
 
 
