@@ -2,11 +2,17 @@
 
 The content view sees the text: shares of kinds of characters, word shapes, repetition, and hashed words. The
 metadata view sees lang, source and n_chars. Each view is a logistic regression. They start from labelled documents. In
-each round each view labels all documents that have no label and that it is sure of (odds of SURE or more), and the other
+each round each view labels all documents that have no label and that it is sure of (calibrated odds of SURE or more), and the other
 view learns from these and from the labelled ones: every step of Newton's method adds up gradients and second
-derivatives over all documents in Spark, so no pseudo-label is left out and none reaches the driver. Pseudo-labels of a class weigh
-as much as the labelled documents of the class, at most. The views are then calibrated and combined by logistic regressions on
-labelled documents that neither view has trained on, one half of these for either, and the combination scores every document.
+derivatives over all documents in Spark, so no pseudo-label is left out and none reaches the driver.
+
+A view teaches a label only if it knows better: models fitted on two thirds of the labelled documents score the last third, each in
+turn, which calibrates the views; of the documents that the teacher is sure of there, it must be right about as many as its student. Pseudo-labels keep
+the labelled classes' proportion and weigh as much as the labelled documents, at most. A round after which a view does worse on held-out labelled
+documents, by more than one standard error, is undone for that view.
+
+The views are then calibrated and combined by logistic regressions on labelled documents that neither view has trained on, one half of these
+for either, and the combination scores every document.
 
 The fit uses at most MAX_LABELLED labelled documents, those with the smallest hashes of their ids; everything
 else covers all documents. A document with a score of KEEP or more is kept.
@@ -144,16 +150,56 @@ def confident_sums(x: tuple[np.ndarray, np.ndarray], students: list[Logistic], t
     for k in range(2):
         taught = teachers[1 - k].logit(x[1 - k])
         for label in (0, 1):
-            sure = x[k][taught * (2 * label - 1) >= np.log(SURE)]
+            gives = getattr(teachers[1 - k], "gives", (True, True))[label]
+            sure = x[k][(taught * (2 * label - 1) >= np.log(SURE)) & gives]
             gradient, second = students[k].sums(sure, float(label))
             out += [[float(len(sure))], gradient, second.ravel()]
     return np.concatenate(out)
 
 
+class Teacher:
+    """A view whose logits are calibrated, and the labels that it may give."""
+
+    def __init__(self, view: Logistic, scale: Logistic, gives: tuple[bool, bool]):
+        self.view, self.scale, self.gives = view, scale, gives
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.scale.logit(self.view.logit(x)[:, None])
+
+
+def crossed(views: list[np.ndarray], y: np.ndarray, folds: int = 3) -> np.ndarray:
+    """Each view's logits of rows that the fitted model has not seen."""
+    out = np.zeros((len(y), len(views)))
+    for f in range(folds):
+        unseen = np.arange(len(y)) % folds == f
+        if len(set(y[~unseen])) == 2:
+            out[unseen] = np.column_stack([Logistic().fit(x[~unseen], y[~unseen]).logit(x[unseen]) for x in views])
+    return out
+
+
+def knowing(logits: np.ndarray, y: np.ndarray) -> tuple[list[Logistic], list[tuple[bool, bool]]]:
+    """(each view's calibration, the labels that it may teach the other view) from logits of unseen rows."""
+    scales = [Logistic(1e-2).fit(logits[:, [k]], y) for k in range(2)]
+    fair = np.column_stack([s.logit(logits[:, [k]]) for k, s in enumerate(scales)])
+    right = (fair > 0) == (y[:, None] > 0.5)
+    gives = []
+    for k in range(2):
+        sure = [fair[:, k] * (2 * label - 1) >= np.log(SURE) for label in (0, 1)]
+        gives.append(tuple(bool(s.any() and right[s, k].sum() >= right[s, 1 - k].sum()) for s in sure))
+    return scales, gives
+
+
+def worse(new: np.ndarray, old: np.ndarray, y: np.ndarray) -> bool:
+    """Whether logits explain labels less well than others, by more than one standard error of the mean difference."""
+    fit = lambda z: np.log(sigmoid(np.clip(z, -6, 6) * (2 * y - 1)))
+    less = fit(old) - fit(new)
+    return less.mean() > less.std() / np.sqrt(len(y))
+
+
 class CoTrained:
     """Two views, each calibrated, and their combination. pseudo: confident_sums over all documents without label."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pseudo: Callable[[list[Logistic], list[Logistic]], np.ndarray], rounds: int = ROUNDS):
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pseudo: Callable[[list[Logistic], list[Teacher]], np.ndarray], rounds: int = ROUNDS):
         self.constant = None
         hold = np.arange(len(y)) % 4 == 3
         if len(set(y)) < 2 or len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
@@ -161,22 +207,35 @@ class CoTrained:
             return
         train, y_train = [v[~hold] for v in views], y[~hold]
         self.views = [Logistic().fit(x, y_train) for x in train]
-        for _ in range(rounds):
-            teachers = self.views
-            self.views = [copy.copy(v) for v in teachers]
+        scales, self.gives = knowing(crossed(train, y_train), y_train)
+        learns = [all(self.gives[1 - k]) for k in range(2)]  # both classes, or their proportion is lost
+        for _ in range(rounds if any(learns) else 0):
+            before = self.views
+            teachers = [Teacher(v, s, g) for v, s, g in zip(before, scales, self.gives, strict=True)]
+            self.views = [copy.copy(v) for v in before]
             for _ in range(STEPS):
                 sums, at, moved = pseudo(self.views, teachers), 0, 0.0
-                for view, x in zip(self.views, train, strict=True):
+                for k, (view, x) in enumerate(zip(self.views, train, strict=True)):
                     gradient, second = view.sums(x, y_train)
                     d = len(view.w)
+                    length = 1 + d + d * d
+                    count = [float((y_train == label).sum()) for label in (0, 1)]
+                    # the classes keep their proportion: the scarcer kind of pseudo-labels sets the weight of both
+                    share = min(1.0, *(sums[at + label * length] / count[label] for label in (0, 1))) if learns[k] else 0.0
                     for label in (0, 1):
-                        weight = min(1.0, float((y_train == label).sum()) / max(sums[at], 1.0))
+                        weight = share * count[label] / max(sums[at], 1.0)
                         gradient = gradient + weight * sums[at + 1 : at + 1 + d]
-                        second = second + weight * sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)
-                        at += 1 + d + d * d
-                    moved = max(moved, view.step(gradient, second))
+                        second = second + weight * sums[at + 1 + d : at + length].reshape(d, d)
+                        at += length
+                    if learns[k]:
+                        moved = max(moved, view.step(gradient, second))
                 if moved < 1e-2:
                     break
+            for k in range(2):
+                if learns[k] and worse(self.views[k].logit(views[k][hold]), before[k].logit(views[k][hold]), y[hold]):
+                    self.views[k], learns[k] = before[k], False
+            if not any(learns):
+                break
         own, y_hold = np.column_stack([v.logit(x[hold]) for v, x in zip(self.views, views, strict=True)]), y[hold]
         first = np.arange(len(own)) % 2 == 0
         if len(set(y_hold[first])) < 2 or len(set(y_hold[~first])) < 2:  # too few for two halves
