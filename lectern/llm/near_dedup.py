@@ -13,9 +13,11 @@
 4. Links of a weighted Jaccard similarity of SIMILARITY or more join nodes into classes.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased. A text of one to four
-words has one shingle; texts without words (null too) are copies of each other. class_id is the least
+words has one shingle; texts without words (null too) are copies of each other. Very long texts are read whole. class_id is the least
 doc_id of the class (null if all are null); exactly one row of each class is kept, one of that doc_id.
-Repeated rows are copies. An empty table gives no rows.
+Repeated rows are copies, rows with a null or repeated doc_id and other text are texts of their own: texts are found again by doc_id and a hash of the
+text, and compared by their words' digests. Other columns pass through drop_near_copies() unread, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import packed, shuffle_partitions, stored, table, unpacked
+from lectern.llm.common import forget, packed, shuffle_partitions, stored, table, unpacked
 from lectern.llm.components import components
 from lectern.llm.weighted_minhash import Sampler
 from lectern.llm.words import by_bytes, hash_shingles, hash_words, mix
@@ -105,7 +107,7 @@ def shingle_weights(docs: DataFrame) -> ShingleWeights:
 
 
 def signatures(docs: DataFrame, weights: ShingleWeights, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, words_digest, n_words, keys, sketch. keys: one long per band, null for no words; sketch: 16 bits of each sample."""
+    """doc_id, text_hash, words_digest, n_words, keys, sketch. keys: one long per band, null for no words; sketch: 16 bits of each sample."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,23 +133,31 @@ def signatures(docs: DataFrame, weights: ShingleWeights, rows: int = ROWS, bands
                         known[d] = key.tolist(), (samples & np.uint64(0xFFFF)).astype("<u2").tobytes()
                 got = [known.get(d, (None, None)) for d in digests]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(off)), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary())],
-                    ["doc_id", "words_digest", "n_words", "keys", "sketch"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(digests, pa.binary()), pa.array(np.diff(off)), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.binary())],
+                    ["doc_id", "text_hash", "words_digest", "n_words", "keys", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, words_digest binary, n_words long, keys array<long>, sketch binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, text_hash long, words_digest binary, n_words long, keys array<long>, sketch binary")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash: by the last two a row is found again where ids are null or repeated."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
 def node_table(signed: DataFrame) -> DataFrame:
-    """node, words_digest, doc_id (the least), copies, n_words, keys, sketch: one row per distinct word sequence."""
-    nodes = signed.groupBy("words_digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    return nodes.withColumn("node", F.monotonically_increasing_id())
+    """node, words_digest, doc_id (the least) and text_hash of one of its rows, again (whether rows repeat that), copies, n_words, keys, sketch: one row per distinct word sequence."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash"))
+    nodes = signed.groupBy("words_digest").agg(least.alias("r"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = nodes.select("words_digest", "r.doc_id", "r.text_hash", "copies", "n_words", "keys", "sketch")
+    repeated = signed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().filter("count > 1").select("_id", "_hash", F.lit(True).alias("again"))
+    nodes = nodes.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
+    return nodes.na.fill(False, ["again"]).withColumn("node", F.monotonically_increasing_id())
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text (and any other column of nodes) of the given nodes; a repeated row gives its node again."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = rows.join(nodes.withColumnRenamed("doc_id", "_id"), rows["doc_id"].eqNullSafe(F.col("_id"))).drop("_id", "doc_id")
+    """node, text (and any other column of nodes) of the given nodes, each once."""
+    rows = texts_of(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
 
     def same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +165,12 @@ def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             digests = batch.column("words_digest").to_pylist()
             yield batch.filter(pa.array([hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() == d for a, b, d in zip(off[:-1], off[1:], digests, strict=True)]))
 
-    return joined.mapInArrow(same_words, joined.schema).drop("words_digest")
+    def found(some: DataFrame) -> DataFrame:
+        joined = rows.join(some, rows["_id"].eqNullSafe(some["doc_id"]) & (rows["_hash"] == some["text_hash"])).drop("_id", "_hash", "doc_id", "text_hash", "again")
+        return joined.mapInArrow(same_words, joined.schema).drop("words_digest")
+
+    # rows that repeat both an id and a text are one again before they are shuffled
+    return found(nodes.filter(~F.col("again"))).unionByName(found(nodes.filter("again")).dropDuplicates(["node"]))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -293,7 +308,7 @@ def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: S
     """a, b, similarity, n: enough links to join each clump (n is 0), and the numbers n of links that its nodes have (b is null)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    inside = nodes.select("node", "doc_id", "words_digest", "n_words").join(labels, "node")
+    inside = nodes.select("node", "doc_id", "text_hash", "again", "words_digest", "n_words").join(labels, "node")
     # sets whose sizes differ by a factor of four or more never reach the similarity: only the same or the next class of size meets
     size = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
     per_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_NODES), F.floor(F.lit(float(BLOCK_WORDS)) / F.pow(F.lit(2.0), F.col("size") + 1)))).cast("long")
@@ -307,12 +322,11 @@ def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: S
     up = F.when(F.col("next_blocks") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("next_blocks") - 1), lambda k: F.struct(F.col("size").alias("s"), F.col("block").alias("i"), F.lit(1).alias("d"), k.alias("j"), F.lit(0).alias("side"))))
     down = F.when(F.col("last_blocks") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_blocks") - 1), lambda k: F.struct((F.col("size") - 1).alias("s"), k.alias("i"), F.lit(1).alias("d"), F.col("block").alias("j"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<s:int,i:bigint,d:int,j:bigint,side:int>>")
-    meets = placed.select("node", "doc_id", "words_digest", "label", F.concat(own, F.coalesce(up, empty), F.coalesce(down, empty)).alias("meets"))
+    meets = placed.select("node", "doc_id", "text_hash", "again", "words_digest", "label", F.concat(own, F.coalesce(up, empty), F.coalesce(down, empty)).alias("meets"))
     texts = node_texts(docs, meets)
     dealt = texts.select("node", "text", "label", F.explode("meets").alias("m")).select("node", "text", "label", "m.*")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
         _, _, shingle, times, off = _counted(pa.array(group["text"].tolist(), pa.large_string()))
         weight = times * shared.value.relative(shingle)
         cut = [slice(a, b) for a, b in zip(off[:-1], off[1:], strict=True)]
@@ -325,8 +339,8 @@ def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: S
     return dealt.groupBy("label", "s", "i", "d", "j").applyInPandas(compare, "a long, b long, similarity double, n long")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, weights: ShingleWeights) -> DataFrame:
-    """a, b, similarity, n: enough links between nodes to join every class; the n of its rows add up to a node's number of links."""
+def near_links(docs: DataFrame, nodes: DataFrame, weights: ShingleWeights) -> DataFrame:
+    """a, b, similarity, n: enough links between nodes to join every class; the n of its rows add up to a node's number of links. Stored."""
     keys = nodes.filter(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = stored(keys.join(sizes, "key"), "members")
@@ -336,35 +350,38 @@ def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, weights: Sh
     apart = small_pairs(members, nodes).join(label_a, "a", "left").join(label_b, "b", "left").filter(~F.col("label_a").eqNullSafe(F.col("label_b")) | F.col("label_a").isNull())
     pairs = stored(apart.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = stored(node_texts(docs, nodes.select("node", "doc_id", "words_digest").join(wanted, "node")), "texts")
+    texts = stored(node_texts(docs, nodes.select("node", "doc_id", "text_hash", "again", "words_digest").join(wanted, "node")), "texts")
     links = verified_pairs(pairs, texts, weights).withColumn("n", F.lit(1).cast("long"))
-    return links.unionByName(clump_links(labels, nodes, docs, weights))
+    found = stored(links.unionByName(clump_links(labels, nodes, docs, weights)), "links")
+    for step in (members, pairs, texts):
+        forget(step)
+    return found
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, words_digest, class_id, group_size, n_links, kept: one row per row of docs.
+    """doc_id, text_hash, words_digest, class_id, group_size, n_links, kept: one row per row of docs.
 
     group_size counts documents; n_links the other texts that a text of the row is linked to, in groups of any size.
     """
     weights = shingle_weights(docs)
     signed = stored(signatures(docs, weights).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = stored(node_table(signed), "nodes")
-    links = stored(near_links(docs, signed, nodes, weights), "links")
+    links = near_links(docs, nodes, weights)
     labels = components(links.filter("b IS NOT NULL").select("a", "b"))
     ends = links.select(F.col("a").alias("node"), "n").unionByName(links.filter("b IS NOT NULL").select(F.col("b").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = nodes.select("node", "words_digest", "doc_id", "copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "node"))["node"].alias("keeper"))
     per_digest = classed.join(classes, "label").select("words_digest", "class_id", "group_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("keeper") == F.col("node")).alias("keeper"))
-    rows = signed.select("doc_id", "words_digest", "row")
+    rows = signed.select("doc_id", "text_hash", "words_digest", "row")
     least = rows.groupBy("words_digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))["row"].alias("first"))
-    return rows.join(per_digest.join(least, "words_digest"), "words_digest").select("doc_id", "words_digest", "class_id", "group_size", "n_links", (F.col("keeper") & (F.col("row") == F.col("first"))).alias("kept"))
+    return rows.join(per_digest.join(least, "words_digest"), "words_digest").select("doc_id", "text_hash", "words_digest", "class_id", "group_size", "n_links", (F.col("keeper") & (F.col("row") == F.col("first"))).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of docs."""
-    keep = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("words_digest").alias("_keep_digest"))
+    keep = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"), F.col("words_digest").alias("_keep_digest"))
     inner = packed(docs, "doc_id", "text")
-    rows = inner.join(keep, inner["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]))
+    rows = inner.join(keep, inner["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (F.xxhash64(inner["text"]) == keep["_keep_hash"]))
     cut = rows.schema
 
     def same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from lectern.llm import exact_dedup, line_dedup, near_dedup
 from lectern.llm.components import components
 from lectern.llm.weighted_minhash import Sampler
 from lectern.llm.words import hash_shingles, hash_words
+from tests.llm.conftest import prose
 
 
 def fold(text):
@@ -251,3 +252,20 @@ def test_near_link_counts(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "SMALL", small)
         monkeypatch.setattr(near_dedup, "BLOCK_NODES", 10)
         assert {r.doc_id: r.n_links for r in near_dedup.near_groups(docs).collect()} == {i: want[t] for i, t in texts.items()}
+
+
+def test_near_many_rows_without_ids(spark):
+    """Null and repeated ids: as many texts are fetched as there are different ones, and classes are those of unique ids."""
+    rows = [(None if i % 3 else 7, prose(i // 2, 60 + i // 2) + (" tail" if i % 2 else "")) for i in range(240)] + [(None, prose(1, 61))] * 50 + [(7, prose(2, 62))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = near_dedup.signatures(docs, near_dedup.shingle_weights(docs))
+    nodes = near_dedup.stored(near_dedup.node_table(signed), "nodes")
+    texts = near_dedup.node_texts(docs, nodes.select("node", "doc_id", "text_hash", "again", "words_digest"))
+    assert nodes.count() == len({t for _, t in rows}) == texts.count() == texts.select("node").distinct().count()
+    joined = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("xxhash64") >= 2 and "_hash" in joined
+    numbered = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    sizes = lambda df: sorted(r.group_size for r in near_dedup.near_groups(df).filter("kept").collect())
+    assert sizes(docs) == sizes(numbered)
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.count() == near_dedup.near_groups(docs).filter("kept").count()
