@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -104,8 +105,8 @@ class Shard:
 
 
 def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
-    """shard, lang, n_words, words, counts (the shard's dictionary), codes (32-bit numbers)."""
-    names = ["shard", "lang", "n_words", "words", "counts", "codes"]
+    """shard, lang, n_words, n_entries, words, counts (the shard's dictionary), codes (32-bit numbers), all three packed."""
+    names = ["shard", "lang", "n_words", "n_entries", "words", "counts", "codes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -115,9 +116,9 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             nonlocal made
             words, counts, codes = open_shards.pop(lang).coded()
             made += 1
-            rows = [[part << 32 | made], [lang], [int(counts.sum())], [words], [counts], [codes.astype("<i4").tobytes()]]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
+            rows = [part << 32 | made, lang, int(counts.sum()), len(words), pack_words(words), pack(counts), planes(codes.astype("<i4"))]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r], k) for r, k in zip(rows, kinds, strict=True)], names)
 
         for batch in batches:
             langs = pc.fill_null(batch.column("lang"), "und")
@@ -133,7 +134,7 @@ def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
             yield closed(lang)
         release()
 
-    return docs.select("text", "lang").mapInArrow(run, "shard long, lang string, n_words long, words array<string>, counts array<long>, codes binary")
+    return docs.select("text", "lang").mapInArrow(run, "shard long, lang string, n_words long, n_entries long, words binary, counts binary, codes binary")
 
 
 def transform(symbols: np.ndarray) -> np.ndarray:
@@ -192,7 +193,7 @@ def build(codes: np.ndarray, local: np.ndarray, gid: np.ndarray) -> tuple[np.nda
 
 INDEX = "shard long, bwt binary, reversed binary, gids binary"
 #: Entries of dictionaries, and phrases of shards, that a group of the exchanges has on average.
-WORDS_GROUP, GRAMS_GROUP = 1 << 18, 1 << 20
+WORDS_GROUP, GRAMS_GROUP = 1 << 18, 1 << 21
 WORD_SUMS = "kind int, shard long, data binary, gid long, lang string, word string, n long"
 GRAM_SUMS = "kind int, shard long, data binary, gid long, p long, s long, n long, n_left long, n_right long"
 #: Rows of an exchange's result: what is frequent, and what of it a shard holds.
@@ -213,6 +214,15 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def pack_words(words: pa.Array) -> bytes:
+    """No word holds a line's end."""
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(words.to_pylist()).encode())
+
+
+def unpack_words(raw: bytes) -> pa.Array:
+    return pa.array(zstandard.ZstdDecompressor().decompress(raw).decode().split("\n"), pa.string())
+
+
 def _gathered(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns of all rows end to end, length of each row)."""
     rows = [unpack(x.as_py()) for x in column]
@@ -232,27 +242,26 @@ def dealt_words(held: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                words, counts = (batch.column(c)[i].values for c in ("words", "counts"))
+                words, counts = unpack_words(batch.column("words")[i].as_py()), unpack(batch.column("counts")[i].as_py())[0]
                 group = (hash_words(words, fold=False)[0] % np.uint64(groups)).astype(np.int64)
                 local = np.argsort(group, kind="stable")
-                counts, runs = counts.to_numpy()[local], _runs(group[local])
-                lists = pa.ListArray.from_arrays(pa.array([0, *(r[2] for r in runs)], pa.int32()), words.take(pa.array(local)))
+                counts, runs, words = counts[local], _runs(group[local]), words.take(pa.array(local))
                 same = lambda c: pa.array([batch.column(c)[i].as_py()] * len(runs), batch.column(c).type)  # noqa: B023, E731
                 data = pa.array([pack(local[a:b], counts[a:b]) for _, a, b in runs], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), same("shard"), same("lang"), lists, data], names)
+                texts = pa.array([pack_words(words.slice(a, b - a)) for _, a, b in runs], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), same("shard"), same("lang"), texts, data], names)
         release()
 
-    return held.select("shard", "lang", "words", "counts").mapInArrow(run, "group long, shard long, lang string, words array<string>, data binary")
+    return held.select("shard", "lang", "words", "counts").mapInArrow(run, "group long, shard long, lang string, words binary, data binary")
 
 
 def summed_words(dealt: DataFrame, least: int) -> DataFrame:
     """WORD_SUMS: the words of at least `least` occurrences, and for each shard, packed, places in its dictionary with their numbers."""
 
     def run(t: pa.Table) -> pa.Table:
-        lists, langs = t["words"].combine_chunks(), t["lang"].combine_chunks().dictionary_encode()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        words = lists.flatten().dictionary_encode()
-        (local, counts), _ = _gathered(t["data"])
+        langs = t["lang"].combine_chunks().dictionary_encode()
+        words = pa.concat_arrays([unpack_words(x.as_py()) for x in t["words"]]).dictionary_encode()
+        (local, counts), size = _gathered(t["data"])
         n_words = max(len(words.dictionary), 1)
         key, inverse = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), size) * n_words + words.indices.to_numpy(), return_inverse=True)
         total = np.zeros(len(key), np.int64)
@@ -428,7 +437,7 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHA
     spark = docs.sparkSession
     held, drop_held = bucketed(shards(docs, shard_bytes), "shards")
     totals = stored(held.groupBy("lang").agg(F.sum("n_words").alias("n")), "totals")
-    size = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    size = held.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_entries"), F.lit(0))).first()
     n_groups = lambda rows, each: max(shuffle_partitions(spark), rows // each)
     sums = stored(summed_words(dealt_words(held, n_groups(size[1], WORDS_GROUP)), least), "words")
     words = stored(sums.filter(F.col("kind") == FREQUENT).select("gid", "lang", F.array("word").alias("words"), "n", F.array("n").alias("first"), F.array("n").alias("last")), "words")
@@ -437,7 +446,7 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHA
         rows = [[]] * 4
         if one.num_rows:
             local, gid = _gathered(known["data"])[0] if known.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            built = build(np.frombuffer(one["codes"][0].as_py(), "<i4"), local, gid)
+            built = build(unplaned(one["codes"][0].as_py(), "<i4"), local, gid)
             rows = [[one["shard"][0].as_py()], *([planes(c)] for c in built)]
         return pa.table([pa.array(r, k) for r, k in zip(rows, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["shard", "bwt", "reversed", "gids"])
 
