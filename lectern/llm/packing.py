@@ -9,8 +9,10 @@ the least size to open, and once opening at each piece the size of least cost pe
 can be expected to fill; finally every bin shrinks to the least permitted length that holds its contents.
 The packing of least total cost stays. The cost of a sequence is its length plus OVERHEAD tokens.
 
-pack_documents() counts a document's words (runs of characters other than 0x20 and 0x09-0x0D) and one end as its tokens;
-pack() takes any lengths, such as those of token ids, and sequences() then puts the packed ids together.
+pack_tokens() encodes the documents, packs their token ids (each document's end id with them), writes the sequences as Parquet and reads them
+back: every row names the bytes of its sequence by a checksum. Rows are told apart by a number of their own, so null and repeated ids keep their
+tokens. pack() takes any lengths and sequences() puts ids given as arrays together; pack_documents() packs a document's words (runs of
+characters other than 0x20 and 0x09-0x0D) and one end instead of token ids.
 
 Null or empty text is the end alone. Rows with null or repeated doc_id are packed as separate documents; of pieces of
 equal length (ties) the one with the smaller hash, then the earlier piece, comes first. Other columns are never read,
@@ -19,11 +21,17 @@ whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lectern.llm.common import stored, table
+from lectern.llm import token_store
+from lectern.llm.bpe import vocabulary_path
+from lectern.llm.common import forget, scratch, stored, table
+from lectern.llm.words import by_bytes
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16
@@ -89,18 +97,20 @@ def pack_shard(pieces: pd.DataFrame, lengths: tuple[int, ...]) -> pd.DataFrame:
 
 
 def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset from (row, doc_id, n_tokens)."""
+    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset from (row, doc_id, n_tokens), and uid where there is one."""
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
-    pieces = sizes.select("row", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
-    pieces = pieces.select("row", "doc_id", "piece", (F.col("piece") * top).alias("first_token"), F.least(F.lit(top), F.col("n_tokens") - F.col("piece") * top).alias("n_tokens"))
+    known = ["row", *(c for c in ("uid",) if c in sizes.columns)]
+    pieces = sizes.select(*known, "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
+    pieces = pieces.select(*known, "doc_id", "piece", (F.col("piece") * top).alias("first_token"), F.least(F.lit(top), F.col("n_tokens") - F.col("piece") * top).alias("n_tokens"))
     shards = max(1, -(-pieces.count() // shard_pieces))
     # any number of rows may lack a doc_id and be equal: these are dealt by their places in the input
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece", place), F.lit(shards)))
-    schema = "row long, doc_id long, piece long, first_token long, n_tokens long, shard long, bin long, offset long, capacity long"
-    packed = dealt.groupBy("shard").applyInPandas(lambda g: pack_shard(g, lengths)[["row", "doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "offset", "capacity"]], schema)
-    return packed.select("doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset")
+    out = [*known[1:], "piece", "first_token", "n_tokens", "shard", "bin", "offset", "capacity"]
+    schema = ", ".join(f"{c} long" for c in ["doc_id", *out])
+    packed = dealt.groupBy("shard").applyInPandas(lambda g: pack_shard(g, lengths)[["doc_id", *out]].astype({"doc_id": "Int64"}), schema)
+    return packed.select(*known[1:], "doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset")
 
 
 def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -119,5 +129,46 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return pack(stored(token_lengths(docs), "lengths"))
 
 
+def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """row, doc_id, n_tokens, width, ids: token ids of every whole text and its end id, as little-endian numbers of `width` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = token_store._encoder(tokenizer)
+        width = encoder.dtype.itemsize
+        for batch in batches:
+            for part in by_bytes(batch, "text", 8 << 20):
+                ids, off = encoder.batch([x or "" for x in part.column("text").to_pylist()])
+                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((off * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype(encoder.dtype)))])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(np.diff(off)), pa.array(np.full(part.num_rows, width, np.int32)), data.cast(pa.binary())], ["row", "doc_id", "n_tokens", "width", "ids"])
+
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, n_tokens long, width int, ids binary")
+
+
+def write_sequences(placed: DataFrame, tokens: DataFrame, path: str) -> None:
+    """shard, bin, capacity, width, ids: one row per bin with its ids as bytes. placed: pack() of tokens (uid, width, ids)."""
+    width = F.col("width")
+    piece = F.substring(F.col("ids"), (F.col("first_token") * width + 1).cast("int"), (F.col("n_tokens") * width).cast("int"))
+    cut = placed.join(tokens.select("uid", "width", "ids"), "uid").select("shard", "bin", "capacity", "width", F.struct("offset", piece.alias("ids")).alias("piece"))
+    bins = cut.groupBy("shard", "bin").agg(F.first("capacity").alias("capacity"), F.first("width").alias("width"), F.sort_array(F.collect_list("piece")).alias("pieces"))
+    bins.select("shard", "bin", "capacity", "width", F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")).write.parquet(path)
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard long, bin long, capacity long, width int, ids binary").parquet(path)
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset, and of the sequence as read back from path: sequence_tokens, sequence_crc32."""
+    spark = docs.sparkSession
+    tokens = stored(tokenized(docs, tokenizer).withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    placed = stored(pack(tokens.select("uid", "row", "doc_id", "n_tokens")), "placed")
+    path = path or scratch(spark, "sequences")
+    write_sequences(placed, tokens, path)
+    forget(tokens)
+    read = read_sequences(spark, path).select("shard", "bin", (F.length("ids") / F.col("width")).cast("long").alias("sequence_tokens"), F.crc32("ids").alias("sequence_crc32"))
+    return placed.drop("uid").join(read, ["shard", "bin"]).select("doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset", "sequence_tokens", "sequence_crc32")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_tokens(table(spark, sf_dir, "documents"), vocabulary_path())

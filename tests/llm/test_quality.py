@@ -274,3 +274,31 @@ def test_packed_sequences(spark):
     for r in placed.collect():
         back[r.doc_id][r.first_token] = held[r.shard, r.bin][r.offset : r.offset + r.n_tokens]
     assert {i: [x for k in sorted(p) for x in p[k]] for i, p in back.items()} == ids
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packed_token_ids(spark, docs, nothing, parts):
+    """The library's ids of every row, null and repeated ids too, stand in the written sequences where the result says."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from lectern.llm.bpe import vocabulary_path
+
+    library = Tokenizer.from_file(vocabulary_path())
+    path = scratch(spark, "test-sequences")
+    placed = packing.pack_tokens(docs.repartition(parts), vocabulary_path(), path).collect()
+    held = {(r.shard, r.bin): r for r in packing.read_sequences(spark, path).collect()}
+    bins = {k: np.frombuffer(r.ids, "<u2") for k, r in held.items()}
+    assert all(len(x) <= held[k].capacity == min(n for n in packing.LENGTHS if n >= len(x)) for k, x in bins.items())
+    assert sum(map(len, bins.values())) == sum(r.n_tokens for r in placed)
+    assert all(r.sequence_tokens == len(bins[r.shard, r.bin]) and r.sequence_crc32 == zlib.crc32(held[r.shard, r.bin].ids) for r in placed)
+    want, got = Counter(), Counter()
+    for r in docs.collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), packing.LENGTHS[-1]):
+            want[r.doc_id, k, tuple(ids[k : k + packing.LENGTHS[-1]])] += 1
+    for r in placed:
+        got[r.doc_id, r.first_token, tuple(bins[r.shard, r.bin][r.offset : r.offset + r.n_tokens].tolist())] += 1
+    assert got == want
+    assert packing.pack_tokens(nothing, vocabulary_path()).count() == 0
