@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from lectern.llm.bpe import vocabulary_path
 from lectern.llm.common import prepare, stored, table
 
 
@@ -46,10 +47,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset of all that is left; empty texts are an end alone. Pieces of
+    """Where the token ids of all that is left are packed, and the checksum of each packed sequence; empty texts are an end alone. Pieces of
     equal length go by a hash of doc_id and text, repeated rows in turn."""
     prepare(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_tokens(docs, vocabulary_path())
 
 
 STAGES = [
