@@ -8,19 +8,29 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from lectern.operators.vectors import embed
-from lectern.sources.readers import delete_path, path_exists
+from lectern.sources.readers import delete_path, path_exists, subfolders
 
 
 class ChunkStore:
-    """A Parquet folder of chunks, partitioned by department. One writer at a time; a delete rewrites the folder, and readers wait for it."""
+    """A Parquet folder of chunks, partitioned by department. One writer at a time.
+
+    The chunks are in a generation: a folder g1, g2, ... in the store's. Chunks are added to the latest whole one; a delete writes the next
+    and drops the one before, so a crash at any point leaves a whole generation to read, the one before or the one after.
+    """
 
     def __init__(self, spark: SparkSession, root: str, version: str = "v1", collection: str = "chunks"):
         self.spark, self.path = spark, f"{root}/{version}/{collection}"
 
+    def _generation(self) -> int:
+        """The latest whole generation, 0 without any."""
+        numbers = [int(n[1:]) for n in subfolders(self.spark, self.path) if n[:1] == "g" and n[1:].isdigit()]
+        return max((n for n in numbers if path_exists(self.spark, f"{self.path}/g{n}/_SUCCESS")), default=0)
+
     def read(self, schema=None) -> DataFrame | None:
-        if not path_exists(self.spark, self.path):
+        n = self._generation()
+        if not n:
             return None
-        return (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(self.path)
+        return (self.spark.read if schema is None else self.spark.read.schema(schema)).parquet(f"{self.path}/g{n}")
 
     def add(self, chunks: DataFrame, key: str = "chunk_id", provider: str | None = None) -> int:
         """Append chunks whose ids are not there yet, and tell how many; of chunks that repeat an id the least text stays.
@@ -34,17 +44,18 @@ class ChunkStore:
         w = Window.partitionBy(key).orderBy(*("text" for _ in range("text" in new.columns)), *(c for c in sorted(new.columns) if c not in (key, "text", "embedding")))
         once = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
         seen = Observation()
-        once.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("department").parquet(self.path)
+        once.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("department").parquet(f"{self.path}/g{max(1, self._generation())}")
         return seen.get["n"]
 
     def delete(self, ids: list[str], key: str = "chunk_id") -> int:
         """Returns the number of ids asked for, there or not."""
-        held = self.read()
+        held, n = self.read(), self._generation()
         if held is not None:
-            rest = f"{self.path}-rest"
-            without(held, self.spark.createDataFrame([(i,) for i in ids], f"{key} string"), key).write.mode("overwrite").partitionBy("department").parquet(rest)
-            self.spark.read.schema(held.schema).parquet(rest).write.mode("overwrite").partitionBy("department").parquet(self.path)
-            delete_path(self.spark, rest)
+            gone = self.spark.createDataFrame([(i,) for i in ids], f"{key} string")
+            without(held, gone, key).write.mode("overwrite").partitionBy("department").parquet(f"{self.path}/g{n + 1}")
+            for old in subfolders(self.spark, self.path):
+                if old != f"g{n + 1}":
+                    delete_path(self.spark, f"{self.path}/{old}")
         return len(ids)
 
     def clear(self) -> None:

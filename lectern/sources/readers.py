@@ -60,6 +60,12 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, none if it is not there."""
+    fs, p = _hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+
 def write_json(df: DataFrame, path: str, field: str = "items", **extra) -> int:
     """One JSON object in one file: the rows under `field`, their number as "count", and `extra`. For small results: rows meet in one task."""
     n = df.count()
@@ -82,16 +88,72 @@ def save_questions(questions: DataFrame, path: str, lines: bool = False) -> int:
 
 
 def add_questions(bank: DataFrame, new: DataFrame) -> DataFrame:
-    """The bank with new questions; a new one takes the place of a question with its id."""
-    return bank.join(new.select("id"), "id", "left_anti").select(bank.columns).unionByName(new, allowMissingColumns=True)
+    """The bank with new questions behind its own, and `added`, the turn in which each came (0 at first). A question with the id of another stands beside it."""
+    turn = 0
+    if "added" in bank.columns:
+        turn = bank.agg(F.coalesce(F.max("added"), F.lit(0))).first()[0]
+    else:
+        bank = bank.withColumn("added", F.lit(0))
+    return bank.unionByName(new.withColumn("added", F.lit(turn + 1)), allowMissingColumns=True)
+
+
+def _latest(bank: DataFrame) -> DataFrame:
+    """bank with _latest: whether a question is the last of its id."""
+    if "added" not in bank.columns:
+        return bank.withColumn("_latest", F.lit(True))
+    last = bank.groupBy(F.col("id").alias("_id")).agg(F.max("added").alias("_last"))
+    return bank.join(last, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("_latest", F.col("added") == F.col("_last")).drop("_id", "_last")
 
 
 def remove_questions(bank: DataFrame, ids: list[str]) -> DataFrame:
-    return bank.filter(~F.col("id").isin(ids))
+    """The bank without the last question of each of these ids."""
+    return _latest(bank).filter(~(F.coalesce(F.col("id").isin(ids), F.lit(False)) & F.col("_latest"))).drop("_latest")
 
 
 def get_question(bank: DataFrame, id: str) -> DataFrame:  # noqa: A002
-    return bank.filter(F.col("id") == id)
+    """The last question with this id."""
+    return _latest(bank.filter(F.col("id") == id)).filter("_latest").drop("_latest")
+
+
+def evaluation_record(results: DataFrame, measures: DataFrame, seconds: float, timestamp: str, config: dict[str, str] | None = None) -> DataFrame:
+    """One row, record: a run as one JSON object of metadata, config, metrics (retrieval, answer) and question_results.
+
+    Results meet in one task: a set of questions is small beside a corpus. All questions run as one flow, so their durations are null and metadata have the
+    run's. Columns question_type and error of the results may be missing.
+    """
+    from lectern.functions.metrics import rounded
+
+    column = lambda name: F.col(name) if name in results.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("double")
+    question = F.struct(
+        F.col("query_id").alias("question_id"),
+        F.col("question").alias("question_text"),
+        column("question_type").alias("question_type"),
+        F.col("retrieved_ids").alias("retrieved_course_codes"),
+        F.transform(F.slice("scores", 1, 10), lambda x: F.round(x, 4)).alias("retrieved_scores"),
+        none.alias("retrieval_time_ms"),
+        F.col("expected_codes").alias("expected_course_codes"),
+        F.col("answer").alias("generated_answer"),
+        none.alias("generation_time_ms"),
+        F.round("grounding_score", 3).alias("grounding_score"),
+        "is_grounded",
+        "is_trap",
+        F.col("trap_handled").alias("trap_handled_correctly"),
+        column("error").alias("error"),
+    )
+    rows = results.agg(F.array_sort(F.collect_list(question)).alias("question_results"), F.count("*").alias("n"))
+    fine = rounded(measures)
+    answer = [c for c in ("grounding_rate", "avg_grounding_score", "citation_accuracy", "trap_accuracy", "hallucination_rate", "answer_completeness", "num_questions", "num_trap_questions") if c in fine.columns]
+    grouped = fine.select(F.struct(F.struct(*(c for c in fine.columns if c not in answer)).alias("retrieval"), F.struct(*answer).alias("answer")).alias("metrics"))
+    settings = F.create_map(*(F.lit(x) for kv in (config or {}).items() for x in kv)).cast("map<string,string>") if config else F.expr("CAST(map() AS map<string,string>)")
+    metadata = F.struct(F.lit(timestamp).alias("timestamp"), F.col("n").alias("num_questions"), F.lit(round(seconds, 2)).alias("duration_seconds"))
+    # two rows of one line each
+    whole = rows.join(grouped, F.lit(True)).select(F.struct(metadata.alias("metadata"), settings.alias("config"), "metrics", "question_results").alias("r"))
+    return whole.select(F.to_json("r", {"ignoreNullFields": "false"}).alias("record"))
+
+
+def save_evaluation_record(results: DataFrame, measures: DataFrame, path: str, seconds: float, timestamp: str, config: dict[str, str] | None = None) -> None:
+    evaluation_record(results, measures, seconds, timestamp, config).coalesce(1).write.mode("overwrite").text(path)
 
 
 def save_evaluation(results: DataFrame, measures: DataFrame, path: str, **config: str) -> int:

@@ -63,6 +63,36 @@ def host_spacing(requests: DataFrame, gap: float = 1.0, keep: float = 3600.0, la
     return requests.withWatermark("ts", late).groupBy("host").applyInPandasWithState(space, "host string, url string, due timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def index_batches(chunks: DataFrame, store, checkpoint: str, model=None, factory=None, cache=None):
+    """Start a stream that puts chunks (chunk_id, text, department, ...) into a ChunkStore, embedded; returns the query.
+
+    Each micro-batch is embedded (from the cache of vectors where there is one), held against the ids in the store and appended in one commit of its own. A batch
+    that runs again after a crash finds its chunks there, if they had been committed, or else nothing of it: either way the store ends up the same.
+    """
+    from lectern.operators.embedding import HashModel, embedded
+
+    used = model or HashModel()
+
+    def vectored(batch: DataFrame) -> DataFrame:
+        if cache is not None:
+            return cache.embed(batch, used, factory)
+        texts = batch.select(F.coalesce("text", F.lit("")).alias("text")).select(F.sha2("text", 256).alias("text_hash"), "text").dropDuplicates(["text_hash"])
+        vectors = embedded(texts, factory or (lambda: used)).select(F.col("text_hash").alias("_hash"), "embedding")
+        return batch.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).join(vectors, "_hash", "left").drop("_hash")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            store.add(vectored(batch))
+
+    return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def page_chunks(pages: DataFrame, department: str = "all", late: str = "1 day") -> DataFrame:
+    """What index_batches() takes, from a stream of pages."""
+    chunks = chunk_stream(pages, late)
+    return chunks.withColumnRenamed("chunk", "text").withColumns({"department": F.lit(department), "course_code": F.lit(""), "course_title": F.lit("")})
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Write what the stream has now and stop."""
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
