@@ -200,33 +200,34 @@ GRAM_SUMS = "kind int, shard long, data binary, gid long, p long, s long, n long
 FREQUENT, HELD = 0, 1
 
 
+_packer, _unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers, compressed byte by byte of all: most are small or alike."""
-    return b"".join(len(x).to_bytes(4, "little") + x for x in (planes(c.astype("<i8")) for c in columns))
+    """Columns of as many 64-bit numbers each, compressed byte by byte of all: most are small or alike."""
+    whole = np.stack([np.asarray(c, "<i8") for c in columns])
+    return bytes([len(whole)]) + _packer.compress(np.ascontiguousarray(whole.view(np.uint8).reshape(len(whole), -1, 8).transpose(0, 2, 1)).tobytes())
 
 
-def unpack(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(raw):
-        end = at + 4 + int.from_bytes(raw[at : at + 4], "little")
-        out.append(unplaned(raw[at + 4 : end], "<i8"))
-        at = end
-    return out
+def unpack(raw: bytes) -> np.ndarray:
+    """The columns of pack() as rows of a matrix."""
+    data = np.frombuffer(_unpacker.decompress(raw[1:]), np.uint8).reshape(raw[0], 8, -1)
+    return np.ascontiguousarray(data.transpose(0, 2, 1)).view("<i8")[:, :, 0]
 
 
 def pack_words(words: pa.Array) -> bytes:
     """No word holds a line's end."""
-    return zstandard.ZstdCompressor(level=3).compress("\n".join(words.to_pylist()).encode())
+    return _packer.compress("\n".join(words.to_pylist()).encode())
 
 
 def unpack_words(raw: bytes) -> pa.Array:
-    return pa.array(zstandard.ZstdDecompressor().decompress(raw).decode().split("\n"), pa.string())
+    return pa.array(_unpacker.decompress(raw).decode().split("\n"), pa.string())
 
 
 def _gathered(column: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
     """(columns of all rows end to end, length of each row)."""
     rows = [unpack(x.as_py()) for x in column]
-    return [np.concatenate(c) for c in zip(*rows, strict=True)], np.array([len(r[0]) for r in rows], np.int64)
+    return list(np.concatenate(rows, 1)), np.array([r.shape[1] for r in rows], np.int64)
 
 
 def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
@@ -277,6 +278,7 @@ def summed_words(dealt: DataFrame, least: int) -> DataFrame:
                 out["shard"].append(t["shard"][i].as_py())
                 out["data"].append(pack(local[known], mine[known]))
         rows = len(out["shard"])
+        release()
         found = [langs.dictionary.take(pa.array(key[often] // n_words)), words.dictionary.take(pa.array(key[often] % n_words)), pa.array(total[often])]
         return _result(WORD_SUMS, out["shard"], out["data"], len(often), [pa.array(gid[often]), *found], rows)
 
@@ -355,7 +357,9 @@ def longer(index: DataFrame, frequent: DataFrame, groups: int, right: bool) -> D
         owner, part, new, size, other = owner[keep], part[keep], new[keep], size[keep], other[keep]
         p, s = (owner, part) if right else (part, owner)
         lo, rlo = (other, new) if right else (new, other)
-        return _dealt(one["shard"][0].as_py(), groups, gid[p], gid[s], size, lo, rlo, ahead, back, True)
+        found = _dealt(one["shard"][0].as_py(), groups, gid[p], gid[s], size, lo, rlo, ahead, back, True)
+        release()
+        return found
 
     return index.groupBy("shard").cogroup(frequent.groupBy("of")).applyInArrow(run, DEALT)
 
@@ -387,6 +391,7 @@ def summed_grams(dealt: DataFrame, least: int) -> DataFrame:
         sums = [total[often], *((total - np.add.reduceat(c[order], heads))[often] for c in (first, last))]
         at = order[heads[often]]
         found = [pa.array(c) for c in (gid[often], p[at], s[at], *sums)]
+        release()
         return _result(GRAM_SUMS, shard, data, int(often.sum()), found, len(shard))
 
     return dealt.groupBy("group").applyInArrow(run, GRAM_SUMS)
@@ -448,6 +453,7 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHA
             local, gid = _gathered(known["data"])[0] if known.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             built = build(unplaned(one["codes"][0].as_py(), "<i4"), local, gid)
             rows = [[one["shard"][0].as_py()], *([planes(c)] for c in built)]
+            release()
         return pa.table([pa.array(r, k) for r, k in zip(rows, [pa.int64(), *[pa.binary()] * 3], strict=True)], ["shard", "bwt", "reversed", "gids"])
 
     of = lambda df: df.filter(F.col("kind") == HELD).select(F.col("shard").alias("of"), "data")
