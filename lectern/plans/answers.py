@@ -256,6 +256,31 @@ def curriculum_rows(spark, d):
     return html.parse_curricula(view(spark, d, CURRICULA.format(rows=rows))).select("url", "course_code", "course_title", "semester", "course_type", "local_credits", "ects", "href")
 
 
+#: Curriculum pages with every kind of row: by pos % 6 seven, six, five and eight cells, no title, and a code of a free elective.
+_CODE = "concat(CASE WHEN pos % 6 = 5 THEN 'TMD ' ELSE '' END, course_code)"
+_CELLS = (
+    "concat('<tr><td>', " + _CODE + ", '</td>', CASE WHEN pos % 6 IN (0, 3, 4, 5) THEN '<td>p</td>' ELSE '' END, '<td>', CASE WHEN pos % 6 = 4 THEN '' ELSE course_title END, '</td><td>3</td>', CASE WHEN pos % 6 = 2 THEN '' ELSE '<td>0</td>' END, "
+    "'<td>', CAST(pos % 4 AS STRING), '</td><td>', CAST(CAST(ects AS INT) AS STRING), '</td>', CASE WHEN pos % 6 = 3 THEN '<td>9</td>' ELSE '' END, '</tr>')"
+)
+CASES = f"""
+SELECT concat('https://', department, '.example.org/cases/', CAST(semester AS STRING)) AS url,
+  concat('<table class="curr', CASE WHEN department = 'ie' THEN ' Electives' ELSE '' END, '"><tr><td class="title">', CAST(CAST(ceil(semester / 2) AS INT) AS STRING), '. Year',
+    CASE WHEN department = 'ce' THEN '' WHEN semester % 2 = 0 THEN ' Spring' ELSE ' Fall' END, '</td></tr><tr><td>Kod</td><td></td><td>Ders Adı</td><td></td><td></td><td></td><td></td></tr>', rows, '</table>') AS html
+FROM (SELECT department, semester, {{rows}} AS rows FROM (SELECT * FROM ({COURSES}) AS c0 WHERE semester IS NOT NULL) AS c GROUP BY department, semester) AS g
+"""
+
+
+@query(
+    f"WITH c AS (SELECT *, {_CODE} AS code FROM ({COURSES}) WHERE semester IS NOT NULL AND pos % 6 <> 4), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY department, semester, code ORDER BY pos) = 1) "
+    "SELECT concat('https://', department, '.example.org/cases/', semester) AS url, code AS course_code, course_title, CASE WHEN department = 'ie' OR pos % 6 = 5 THEN -1 WHEN department = 'ce' THEN 1 ELSE semester END AS semester, "
+    "CASE WHEN department = 'ie' THEN 'technical_elective' WHEN pos % 6 = 5 THEN 'non_technical_elective' ELSE 'mandatory' END AS course_type, CAST(pos % 4 AS DOUBLE) AS local_credits, ects FROM f"
+)
+def curriculum_cases(spark, d):
+    rows = f"array_join(transform(array_sort(collect_list(struct(pos, {_CELLS} AS r))), x -> x.r), '')"
+    found = html.parse_curricula(view(spark, d, CASES.format(rows=rows)))
+    return found.select("url", "course_code", "course_title", F.coalesce("semester", F.lit(-1)).alias("semester"), "course_type", "local_credits", "ects")
+
+
 @query(f"WITH c AS ({COURSES}) SELECT pos, concat(department, '_', lower(replace(course_code, ' ', '_')), '_2023-2024') AS course_id FROM c")
 def normal_course_ids(spark, d):
     code = F.concat(F.lit("  "), F.replace(F.col("course_code"), F.lit(" "), F.lit(" \t")), F.lit("! "))

@@ -67,11 +67,17 @@ def tree(html: str | None) -> Node:
 
 
 def semester_of(title: str) -> tuple[int, int]:
-    """(year, semester) of a heading such as "2. Year Fall Semester"; 1 and 1 where it says neither."""
+    """(year, semester) of a heading such as "2. Year Fall Semester": year 1 where it names none, semester 1 where it names no season."""
     low = title.lower()
     m = re.search(r"(\d+)\.?\s*year", low)
     year = int(m[1]) if m else 1
-    return year, (year - 1) * 2 + (2 if "spring" in low else 1)
+    season = 1 if "fall" in low else 2 if "spring" in low else None
+    return year, 1 if season is None else (year - 1) * 2 + season
+
+
+#: Places of name, local credits and ects by the number of cells of a row; rows of more cells are read as those of seven.
+LAYOUTS = {7: (2, 5, 6), 6: (1, 4, 5), 5: (1, 3, 4)}
+NO_CODES, NO_TITLES = ("code", "kod", "total", "toplam"), ("course name", "ders adı")
 
 
 def _number(text: str) -> float | None:
@@ -87,7 +93,7 @@ def curriculum_rows(html: str | None, base: str = "") -> list[tuple]:
     tables = root.all("table", cls="curr") or root.all("table", cls="table-bordered")
     rows, seen = [], set()
     for t in tables:
-        elective = "elective" in (t.attrs.get("class") or "").split()
+        elective = "elective" in (t.attrs.get("class") or "").lower()
         title = t.first("td", cls="title")
         _, semester = semester_of(title.text() if title else "")
         for tr in t.all("tr"):
@@ -95,22 +101,16 @@ def curriculum_rows(html: str | None, base: str = "") -> list[tuple]:
             if tr.first("td", cls="title") or "head" in (tr.attrs.get("class") or "").split() or tr.text().lower().startswith("total") or len(cells) < 5:
                 continue
             texts = [c.text() for c in cells]
-            code = re.sub(r"\s+", " ", texts[0]).strip()
-            if not code or code.lower() in ("code", "total", "toplam") or code.upper().startswith("POOL") or code in seen:
+            link = cells[0].first("a")
+            code = re.sub(r"\s+", " ", link.text() if link else texts[0]).strip()
+            name_at, credits_at, ects_at = LAYOUTS[min(len(cells), 7)]
+            name = texts[name_at]
+            if not code or code.lower() in NO_CODES or code.startswith("POOL") or not name or name.lower() in NO_TITLES or code in seen:
                 continue
             seen.add(code)
-            kind = "mandatory"
-            if code.upper().startswith("ELEC"):
-                kind = "technical_elective"
-            elif code.upper().startswith(("TMD", "NTE")):
-                kind = "non_technical_elective"
-            elif elective:
-                kind = "elective"
-            credits, ects = (_number(x) for x in texts[-2:])
-            name = texts[2] if len(cells) >= 7 else texts[1]
-            link = tr.first("a")
+            kind = "technical_elective" if elective or code.startswith("ELEC") else "non_technical_elective" if code.startswith(("TMD", "NTE")) else "mandatory"
             href = urljoin(base, link.attrs["href"]) if link and link.attrs.get("href") else None
-            rows.append((len(rows), code, name, None if kind != "mandatory" or elective else semester, kind, credits, ects, href))
+            rows.append((len(rows), code, name, semester if kind == "mandatory" else None, kind, _number(texts[credits_at]), _number(texts[ects_at]), href))
     return rows
 
 

@@ -30,7 +30,7 @@ def test_curriculum_and_details(spark):
     a = got["SE 202"]
     assert (a.course_title, a.semester, a.course_type, a.local_credits, a.ects, a.href) == ("Data & Things", 4, "mandatory", 3.0, 6.0, "http://x.org/syl?course_code=SE+202")
     assert (got["ELEC 001"].course_type, got["ELEC 001"].semester) == ("technical_elective", None)
-    assert (got["SE 400"].course_type, got["SE 400"].local_credits, got["SE 400"].ects) == ("elective", None, 4.5)
+    assert (got["SE 400"].course_type, got["SE 400"].local_credits, got["SE 400"].ects) == ("technical_elective", None, 4.5)
     details = html.parse_details(spark.createDataFrame([(a.href, DETAIL)], "url string, html string"))
     d = details.first()
     assert (d.course_code, d.prerequisites, d.ects, d.learning_outcomes, d.weekly_topics, d.assessment) == ("SE 202", "SE 101", 7.0, ["to know", "to do"], ["Week 1: Intro"], "Midterm: 40%; Final: 60%")
@@ -38,6 +38,36 @@ def test_curriculum_and_details(spark):
     assert (rich["SE 202"].ects, rich["SE 400"].ects, rich["SE 400"].prerequisites) == (7.0, 4.5, None)
 
 
+def test_curriculum_cases():
+    """Defaults of headings, layouts by number of cells, electives by class, and rows that are no courses."""
+    assert [html.semester_of(t) for t in ("3. Year Fall Semester", "3. Year Spring", "3. Year", "Spring", "2 year fall", "")] == [(3, 5), (3, 6), (3, 1), (1, 2), (2, 3), (1, 1)]
+    cells = lambda *x: "<tr>" + "".join(f"<td>{c}</td>" for c in x) + "</tr>"
+    page = (
+        '<table class="curr"><tr><td class="title">3. Year</td></tr>'
+        + cells("Kod", "", "Ders Adı", "", "", "", "")
+        + cells("SE 1", "", "Course Name", "", "", "1", "2")
+        + cells("SE 2", "", "", "3", "0", "3", "5")
+        + cells("SE 3", "p", "Eight", "3", "0", "3", "5", "note")
+        + cells("SE 4", "Six", "3", "0", "2", "4")
+        + cells("SE 5", "Five", "3", "1.5", "x")
+        + cells("TMD 1", "p", "Table", "3", "0", "3", "5")
+        + cells("POOL 1", "p", "Pool", "3", "0", "3", "5")
+        + cells('<a href="c?x=1">SE  6</a> (new)', "p", "Linked", "3", "0", "", "1.2.3")
+        + '</table><table class="curr Electives">'
+        + cells("TMD 2", "p", "Other", "3", "0", "3", "5")
+        + cells("SE 4", "again", "3", "0", "2", "4")
+        + "</table>"
+    )
+    assert html.curriculum_rows(page, "http://x.org/a/") == [
+        (0, "SE 3", "Eight", 1, "mandatory", 3.0, 5.0, None),
+        (1, "SE 4", "Six", 1, "mandatory", 2.0, 4.0, None),
+        (2, "SE 5", "Five", 1, "mandatory", 1.5, None, None),
+        (3, "TMD 1", "Table", None, "non_technical_elective", 3.0, 5.0, None),
+        (4, "SE 6", "Linked", 1, "mandatory", None, None, "http://x.org/a/c?x=1"),
+        (5, "TMD 2", "Other", None, "technical_elective", 3.0, 5.0, None),
+    ]
+
+
 def test_cache_and_fetch(spark, tmp_path):
     urls = spark.createDataFrame([("http://a.org/1",), ("http://a.org/2",), ("http://b.org/x",)], "url string")
 
