@@ -1,5 +1,6 @@
 """python -m lectern COMMAND: catalog pages to courses, courses to an index, questions to answers and measures.
 
+  scrape URLS CACHE OUT    addresses (one a line) to pages, through a cache, and what was fetched, failed and how fast
   parse PAGES OUT          curriculum pages (Parquet with url, html) to courses
   index DOCUMENTS OUT      documents (Parquet with doc_id, text) to embedded chunks
   ask INDEX QUESTION       the best chunks of an index for one question
@@ -18,7 +19,15 @@ from lectern.functions import chunking, cleaning, questions as asked
 from lectern.operators import catalog, vectors
 from lectern.plans import evaluation
 from lectern.session import ship_package
-from lectern.sources import html, readers
+from lectern.sources import html, pages, readers
+
+
+def scrape(spark: SparkSession, urls: str, cache: str, out: str) -> list[str]:
+    """Pages of the addresses as Parquet; tells progress and the run's rates as JSON lines."""
+    s = readers.load_settings()
+    asked_urls = spark.read.text(urls).select(F.trim("value").alias("url")).filter("url <> ''")
+    pages.read_through(asked_urls, cache, s.cache_days, gap=s.request_gap, attempts=s.attempts).write.parquet(out)
+    return pages.fetch_stats(spark.read.parquet(out)).toJSON().collect()
 
 
 def parse(spark: SparkSession, pages: str, out: str) -> None:
@@ -49,13 +58,15 @@ def ask(spark: SparkSession, index: str, question: str, k: int) -> list[dict]:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lectern", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["parse", "index", "ask", "evaluate", "info"])
+    parser.add_argument("command", choices=["scrape", "parse", "index", "ask", "evaluate", "info"])
     parser.add_argument("paths", nargs="+")
     parser.add_argument("-k", type=int, default=5)
     given = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lectern").getOrCreate()
     ship_package(spark)
-    if given.command == "parse":
+    if given.command == "scrape":
+        print("\n".join(scrape(spark, *given.paths)))
+    elif given.command == "parse":
         parse(spark, *given.paths)
     elif given.command == "index":
         index(spark, *given.paths)

@@ -51,6 +51,42 @@ def retrieval_metrics(results: DataFrame, strict: bool = True) -> DataFrame:
     )
 
 
+def ranked_measures(hits: DataFrame, relevant: DataFrame, recalls: tuple[int, ...] = RECALLS, precisions: tuple[int, ...] = PRECISIONS) -> DataFrame:
+    """query_id, rr, hit, recall_<k>, precision_<k>, total_score, n from hits (query_id, rank, score, is_relevant) and relevant (query_id, n_relevant).
+
+    As the functions over arrays, but relevant items are counted, not gathered: a query may have any number of them. Queries of `relevant` without hits
+    measure 0.
+    """
+    good, zero = F.col("is_relevant"), (lambda c: F.coalesce(c, F.lit(0.0)))
+    upto = lambda k: F.count_if(good & (F.col("rank") <= k))
+    looked = lambda k: F.count_if(F.col("rank") <= k)
+    per = hits.groupBy("query_id").agg(
+        F.max(F.when(good, 1 / F.col("rank"))).alias("rr"),
+        F.max(F.when(good, 1.0)).alias("hit"),
+        *(upto(k).alias(f"_good_{k}") for k in {*recalls, *precisions}),
+        *(looked(k).alias(f"_seen_{k}") for k in precisions),
+        F.sum("score").alias("total_score"),
+        F.count("*").alias("n"),
+    )
+    rows = relevant.join(per, "query_id", "left")
+    return rows.select(
+        "query_id",
+        zero(F.col("rr")).alias("rr"),
+        zero(F.col("hit")).alias("hit"),
+        *(zero(F.try_divide(F.col(f"_good_{k}"), F.col("n_relevant"))).alias(f"recall_{k}") for k in recalls),
+        *(zero(F.try_divide(F.col(f"_good_{k}"), F.col(f"_seen_{k}"))).alias(f"precision_{k}") for k in precisions),
+        zero(F.col("total_score")).alias("total_score"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
+def mean_measures(measured: DataFrame) -> DataFrame:
+    """One row: the means of ranked_measures(), avg_score over all hits."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    names = {"rr": "mrr", "hit": "hit_rate"} | {c: c.replace("_", "_at_") for c in measured.columns if c.startswith(("recall_", "precision_"))}
+    return measured.agg(*(zero(F.avg(c)).alias(n) for c, n in names.items()), zero(F.try_divide(F.sum("total_score"), F.sum("n"))).alias("avg_score"), F.count("*").alias("num_queries"))
+
+
 def trap_handled(answer: Column, is_trap: Column) -> Column:
     return ~is_trap | says_any(answer, fixed.TRAP_PHRASES)
 

@@ -131,26 +131,24 @@ g AS (SELECT query_id, coalesce(max(CASE WHEN rel THEN 1.0 / rank END), 0) AS rr
 """
 
 
-def _results(spark, d):
+def _measured(spark, d):
+    """Measures of each query: hits meet labels by joins, relevant vectors are counted by label."""
     v = _vectors(spark, d)
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    hits = vectors.batch_top_k(v, _asked_vectors(v), 10, skip_self=True)
-    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("h"))
-    relevant = q.join(v.select("vec_id", F.col("label").alias("query_label")), "query_label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_set("vec_id").alias("relevant_ids"))
-    return found.join(relevant, "query_id", "left").select("query_id", F.col("h.vec_id").alias("retrieved_ids"), F.col("h.score").alias("scores"), F.coalesce("relevant_ids", F.array().cast("array<bigint>")).alias("relevant_ids"))
+    hits = vectors.batch_top_k(v, _asked_vectors(v), 10, skip_self=True).join(v.select("vec_id", "label"), "vec_id").join(q, "query_id")
+    flagged = hits.select("query_id", "rank", "score", (F.col("label") == F.col("query_label")).alias("is_relevant"))
+    alike = v.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n_relevant"))  # without the query itself
+    return metrics.ranked_measures(flagged, q.join(alike, "query_label").filter("n_relevant > 0"))
 
 
 @query(f"{_RESULTS} SELECT query_id, round(rr, 9) AS rr, CAST(hit AS DOUBLE) AS hit, round(at5 / n_rel, 9) AS recall_5, round(at10 / n_rel, 9) AS recall_10, round(at5 / 5, 9) AS precision_5 FROM g JOIN n USING (query_id)")
 def retrieval_measures(spark, d):
-    f, r = F.col("retrieved_ids"), F.col("relevant_ids")
-    rows = _results(spark, d)
-    values = {"rr": metrics.reciprocal_rank(f, r), "recall_5": metrics.recall_at(5, f, r), "recall_10": metrics.recall_at(10, f, r), "precision_5": metrics.precision_at(5, f, r)}
-    return rows.select("query_id", metrics.hit(f, r).alias("hit"), *(F.round(c, 9).alias(n) for n, c in values.items()))
+    return _measured(spark, d).select("query_id", "hit", *(F.round(c, 9).alias(c) for c in ("rr", "recall_5", "recall_10", "precision_5")))
 
 
 @query(f"{_RESULTS} SELECT round(avg(rr), 9) AS mrr, round(avg(at5 / n_rel), 9) AS recall_at_5, round(avg(at5 / 5), 9) AS precision_at_5, round(avg(hit), 9) AS hit_rate, round(sum(total) / sum(n), 9) AS avg_score, count(*) AS num_queries FROM g JOIN n USING (query_id)")
 def retrieval_metrics(spark, d):
-    m = metrics.retrieval_metrics(_results(spark, d))
+    m = metrics.mean_measures(_measured(spark, d))
     return m.select(*(F.round(c, 9).alias(c) for c in ("mrr", "recall_at_5", "precision_at_5", "hit_rate", "avg_score")), "num_queries")
 
 

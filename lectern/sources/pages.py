@@ -62,8 +62,9 @@ def clear_cache(spark: SparkSession, path: str, url: str | None = None) -> int:
 def fetch(urls: DataFrame, gap: float = 1.0, attempts: int = 3, timeout: float = 30.0, longest_wait: float = 10.0, get=None) -> DataFrame:
     """One row per url. A page that can't be had after all attempts has status 0, no html and its error.
 
-    Each task waits `gap` seconds between requests, and doubling times after failures; the number of partitions of urls
-    bounds how many tasks fetch at once. get(url, timeout) -> (status, html) replaces the plain HTTP request.
+    All addresses of a host are one task's, which waits `gap` seconds between its requests to the host and doubling times after failures, so
+    the gap holds per host however many tasks run; meanwhile the task asks other hosts. The number of shuffle partitions bounds how many tasks
+    fetch at once. get(url, timeout) -> (status, html) replaces the plain HTTP request.
     """
 
     def plain(url: str, timeout: float) -> tuple[int, str]:
@@ -73,32 +74,41 @@ def fetch(urls: DataFrame, gap: float = 1.0, attempts: int = 3, timeout: float =
             return r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import heapq
         import time
 
-        request, last = get or plain, 0.0
+        request = get or plain
+        ready: dict[str, float] = {}
         for part in parts:
+            # (when, place, url, attempt): the request that may go first
+            waiting = [(0.0, i, url, host, 1) for i, (url, host) in enumerate(zip(part["url"], part["host"], strict=True))]
+            heapq.heapify(waiting)
             rows = []
-            for url in part["url"]:
-                status, html, error = 0, "", None
-                for attempt in range(attempts):
-                    time.sleep(max(0.0, last + gap - time.monotonic()))
-                    last = time.monotonic()
-                    try:
-                        status, html = request(url, timeout)
-                        error = None
-                        break
-                    except Exception as e:  # an error is a row
-                        error = str(e)[:500]
-                        if attempt + 1 < attempts:
-                            time.sleep(min(longest_wait, gap * 2**attempt))
-                rows.append((url, html, status, pd.Timestamp.now("UTC").tz_localize(None), error))
+            while waiting:
+                when, i, url, host, attempt = heapq.heappop(waiting)
+                free = max(when, ready.get(host, 0.0))
+                if free > when and free > time.monotonic():  # its host is not free yet: others first
+                    heapq.heappush(waiting, (free, i, url, host, attempt))
+                    continue
+                time.sleep(max(0.0, free - time.monotonic()))
+                ready[host] = time.monotonic() + gap
+                try:
+                    status, html = request(url, timeout)
+                    rows.append((url, html, status, pd.Timestamp.now("UTC").tz_localize(None), None))
+                except Exception as e:  # an error is a row
+                    if attempt < attempts:
+                        heapq.heappush(waiting, (time.monotonic() + min(longest_wait, gap * 2 ** (attempt - 1)), i, url, host, attempt + 1))
+                    else:
+                        rows.append((url, "", 0, pd.Timestamp.now("UTC").tz_localize(None), str(e)[:500]))
             yield pd.DataFrame(rows, columns=["url", "html", "status_code", "scraped_at", "error"])
 
-    return urls.select("url").mapInPandas(run, PAGE)
+    return urls.select("url", F.coalesce(domain(F.col("url")), F.lit("")).alias("host")).repartition("host").mapInPandas(run, PAGE)
 
 
 def read_through(urls: DataFrame, path: str, days: int, **how) -> DataFrame:
     """Pages of the urls: fresh ones from the cache, the others fetched and, where that went well, written to the cache first."""
+    from uuid import uuid4
+
     from lectern.sources.readers import path_exists
 
     spark = urls.sparkSession
@@ -106,8 +116,10 @@ def read_through(urls: DataFrame, path: str, days: int, **how) -> DataFrame:
     held = fresh(cache, days).select("url", "html", "status_code", "scraped_at", "error")
     last = held.groupBy("url").agg(F.max_by(F.struct("*"), "scraped_at").alias("p")).select("p.*")
     known = last.join(urls.select("url").distinct(), "url", "left_semi")
-    # what is fetched is kept, so that no page is asked for twice
-    new = fetch(to_fetch(urls, cache, days), **how).persist()
+    # what is fetched, failures too, is written before anything reads it: no page is asked for twice, also if an executor is lost
+    run = f"{path.rstrip('/')}-run-{uuid4().hex}"
+    fetch(to_fetch(urls, cache, days), **how).write.parquet(run)
+    new = spark.read.schema(PAGE).parquet(run)
     write_cache(new, path)
     return known.unionByName(new)
 

@@ -249,6 +249,8 @@ class Settings:
     per_department: int = 10
     max_total: int = 40
     cache_days: int = 30
+    request_gap: float = 1.0
+    attempts: int = 3
     embedding_provider: str = "hash"
     embedding_dimensions: int = 64
 

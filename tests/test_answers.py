@@ -87,3 +87,21 @@ def test_quirks_have_a_switch(spark):
     q = F.col("q")
     got = row.select(questions.asked_prefix(q), questions.asked_prefix(q, strict=False), questions.asked_type(q), questions.asked_type(q, strict=False), questions.asked_semester(q)).first()
     assert tuple(got) == ("MANY", None, "technical", None, 2)
+
+
+def test_counted_measures_equal_those_of_arrays(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(q, rng.sample("abcdefghijkl", rng.randint(0, 12)), rng.sample("abcdefghijklmn", rng.randint(1, 6))) for q in range(40)]
+    df = spark.createDataFrame(rows, "query_id long, found array<string>, relevant array<string>")
+    f, r = F.col("found"), F.col("relevant")
+    values = {"rr": metrics.reciprocal_rank(f, r), "hit": metrics.hit(f, r)} | {f"recall_{k}": metrics.recall_at(k, f, r) for k in metrics.RECALLS} | {f"precision_{k}": metrics.precision_at(k, f, r) for k in metrics.PRECISIONS}
+    want = {x.query_id: x.asDict() for x in df.select("query_id", *(c.alias(n) for n, c in values.items())).collect()}
+    hits = df.select("query_id", "relevant", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), (F.col("rank") / 10).alias("score"), F.array_contains("relevant", F.col("x")).alias("is_relevant"))
+    measured = metrics.ranked_measures(hits, df.select("query_id", F.size("relevant").alias("n_relevant")))
+    got = {x.query_id: x.asDict() for x in measured.collect()}
+    assert all(abs(got[q][k] - v) < 1e-12 for q, w in want.items() for k, v in w.items()) and len(got) == 40
+    whole = metrics.retrieval_metrics(df.select(f.alias("retrieved_ids"), r.alias("relevant_ids"), F.transform(f, lambda x, i: i / 10).alias("scores"))).first().asDict()
+    mean = metrics.mean_measures(measured).first().asDict()
+    assert all(abs(mean[k] - v) < 1e-12 for k, v in whole.items())

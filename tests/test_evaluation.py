@@ -48,6 +48,21 @@ def test_catalog_questions_and_departments(spark):
     assert m.hit_rate == 0.8 and m.num_questions == 5
 
 
+def test_evaluation_record(spark, tmp_path):
+    """One JSON object of a run: metadata, config, measures in two groups, and every question."""
+    from lectern.sources import readers
+
+    questions = spark.createDataFrame([(2, "data structures and trees", ["SE 201"], False), (1, "", [], True)], "id long, question string, expected_course_codes array<string>, is_trap boolean")
+    results = evaluation.run(questions, chunks(spark))
+    readers.save_evaluation_record(results, evaluation.measures(results), str(tmp_path / "r"), 1.234, "2024-01-01T00:00:00", {"top_k": "10"})
+    record = json.loads(spark.read.text(str(tmp_path / "r"), wholetext=True).first()[0])
+    assert list(record) == ["metadata", "config", "metrics", "question_results"]
+    assert record["metadata"] == {"timestamp": "2024-01-01T00:00:00", "num_questions": 2, "duration_seconds": 1.23} and record["config"] == {"top_k": "10"}
+    assert record["metrics"]["retrieval"]["num_queries"] == 2 and record["metrics"]["answer"]["num_questions"] == 2
+    first, second = record["question_results"]
+    assert (first["question_id"], first["is_trap"], second["retrieved_course_codes"][0], second["error"]) == (1, True, "SE 201", None)
+
+
 def test_command_line(spark, tmp_path, capsys):
     docs = spark.createDataFrame([(1, "Data structures and trees are taught here. " * 40), (2, "Circuits and current are measured in the lab. " * 40)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "docs"))

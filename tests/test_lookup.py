@@ -112,8 +112,12 @@ def test_question_bank_and_results(spark, tmp_path):
     assert back["count"] == 2 and {q.id for q in back.questions} == {"q1", "q2"}
     assert {q.id for q in readers.read_questions(spark, str(tmp_path / "bank")).collect()} == {"q1", "q2"}
     more = readers.add_questions(bank, spark.createDataFrame([("q2", "c?"), ("q3", "d?")], "id string, question string"))
-    assert {(r.id, r.question) for r in more.collect()} == {("q1", "a?"), ("q2", "c?"), ("q3", "d?")}
-    assert readers.remove_questions(more, ["q1"]).count() == 2 and readers.get_question(more, "q3").first().question == "d?"
+    # a question with a known id stands beside the first, and is the one that is found and removed
+    assert sorted((r.id, r.question) for r in more.collect()) == [("q1", "a?"), ("q2", "b?"), ("q2", "c?"), ("q3", "d?")]
+    assert readers.get_question(more, "q2").first().question == "c?"
+    assert readers.get_question(readers.remove_questions(more, ["q2"]), "q2").first().question == "b?"
+    assert readers.get_question(readers.add_questions(more, more.filter("id = 'q1'").selectExpr("id", "'e?' AS question")), "q1").first().question == "e?"
+    assert readers.remove_questions(more, ["q1"]).count() == 3 and readers.get_question(more, "q3").first().question == "d?"
     results = spark.createDataFrame([(1, [0.123456] * 12, 0.98765)], "query_id long, scores array<double>, grounding_score double")
     measures = spark.createDataFrame([(0.123456, 7)], "mrr double, num_queries long")
     assert readers.save_evaluation(results, measures, str(tmp_path / "eval"), name="x") == 1

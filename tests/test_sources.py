@@ -87,6 +87,67 @@ def test_cache_and_fetch(spark, tmp_path):
     assert pages.fetch_stats(fetched).first().failed == 1
 
 
+def test_gaps_hold_per_host(spark, tmp_path):
+    """Two hosts over many partitions: each keeps its gap, and one does not wait for the other."""
+    log = str(tmp_path / "asked")
+
+    def get(url, timeout):
+        import time
+
+        with open(log, "a") as f:
+            f.write(f"{url} {time.time()}\n")
+        if url.endswith("bad"):
+            raise OSError("no")
+        return 200, "x"
+
+    hosts = {"http://a.org": 5, "http://b.org": 4}
+    urls = spark.createDataFrame([(f"{h}/{i}",) for h, n in hosts.items() for i in range(n)] + [("http://b.org/bad",)], "url string").repartition(7)
+    got = pages.fetch(urls, gap=0.3, attempts=2, get=get).collect()
+    assert len(got) == 10 and sorted(r.url for r in got if r.status_code == 0) == ["http://b.org/bad"]
+    asked = [(x.split()[0], float(x.split()[1])) for x in open(log)]
+    assert len(asked) == 11
+    spans = []
+    for h in hosts:
+        times = sorted(t for u, t in asked if u.startswith(h))
+        assert all(b - a > 0.28 for a, b in zip(times, times[1:], strict=False))
+        spans.append((times[0], times[-1]))
+    assert max(a for a, _ in spans) < min(b for _, b in spans)
+
+
+def test_read_through_and_scrape_command(spark, tmp_path, capsys):
+    """A small server is asked once for each page; a second run comes from the cache; the command tells its rates."""
+    import http.server
+    import threading
+
+    from lectern import __main__ as cli
+
+    asked = []
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            self.send_response(200 if self.path != "/gone" else 404)
+            self.end_headers()
+            self.wfile.write(b"<p>page</p>")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    urls = spark.createDataFrame([(f"{base}/1",), (f"{base}/2",), (f"{base}/2",), (f"{base}/gone",)], "url string")
+    cache = str(tmp_path / "cache")
+    first = pages.read_through(urls, cache, 30, gap=0.0, attempts=1)
+    assert {r.url[len(base) :]: r.status_code for r in first.collect()} == {"/1": 200, "/2": 200, "/gone": 0} and first.count() == 3
+    assert sorted(asked) == ["/1", "/2", "/gone"]
+    (tmp_path / "urls.txt").write_text(f"{base}/1\n\n{base}/3\n")
+    cli.main(["scrape", str(tmp_path / "urls.txt"), cache, str(tmp_path / "out")])
+    assert json.loads(capsys.readouterr().out.strip().split("\n")[-1]) == {"pages": 2, "succeeded": 2, "failed": 0, "success_rate": 1.0}
+    assert asked[3:] == ["/3"]
+    server.shutdown()
+
+
 def test_json(spark, tmp_path):
     path = tmp_path / "x.jsonl"
     path.write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
