@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -296,68 +297,84 @@ def _index(one: pa.Table) -> tuple[FmIndex, FmIndex, np.ndarray]:
     return FmIndex(read("bwt", "<i4")), FmIndex(read("reversed", "<i4")), read("gids", "<i8")
 
 
-def _dealt(shard: int, groups: int, p, s, n, lo, rlo, ahead: FmIndex, back: FmIndex, placed: bool) -> pa.Table:
-    """group, shard, data: a shard's phrases by hash of their parts, counts and, if placed, the places of their intervals."""
+def _dealt(shard: int, groups: int, p, s, n, lo, rlo, ahead: FmIndex, back: FmIndex) -> pa.Table:
+    """group, shard, data: a shard's phrases by hash of their parts, and their counts. The places of their intervals stay: the index gives them again."""
     group = (mix(p.astype(np.uint64) * np.uint64(BASE) + s.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
     order = np.lexsort((s, p, group))
     p, s, n, lo, rlo = p[order], s[order], n[order], lo[order], rlo[order]
     alone = [n - ahead.followed(lo, n), n - back.followed(rlo, n)]
     runs = _runs(group[order])
-    data = [pack(np.diff(p[a:b], prepend=0), *(c[a:b] for c in (s, n, *alone, *([lo, rlo] if placed else [])))) for _, a, b in runs]
+    data = [pack(np.diff(p[a:b], prepend=0), *(c[a:b] for c in (s, n, *alone))) for _, a, b in runs]
     return pa.table([pa.array([r[0] for r in runs], pa.int64()), pa.array([shard] * len(runs), pa.int64()), pa.array(data, pa.binary())], ["group", "shard", "data"])
 
 
 DEALT = "group long, shard long, data binary"
 
 
-def _pairs(ahead: FmIndex, back: FmIndex, gids: np.ndarray):
+def _pairs(ahead: FmIndex, back: FmIndex, gids: np.ndarray) -> tuple[np.ndarray, ...]:
     """(first word, second word, size, lo, lo in the reversed transform): every frequent word, extended to the right."""
     size = np.bincount(ahead.bwt, minlength=FIRST + len(gids))
     first = (np.cumsum(size) - size)[FIRST:]
     owner, symbol, rlo, n, lo = back.extend(first, size[FIRST:], first)
-    return owner, symbol - FIRST, n, lo, rlo
+    return gids[owner], gids[symbol - FIRST], n, lo, rlo
+
+
+def _known(p: np.ndarray, s: np.ndarray, wanted_p: np.ndarray, wanted_s: np.ndarray) -> np.ndarray:
+    """Where each wanted pair of numbers stands among the pairs (p, s), which hold it."""
+    firsts, seconds = np.unique(p), np.unique(s)
+    key = lambda a, b: np.searchsorted(firsts, a) * len(seconds) + np.searchsorted(seconds, b)
+    own = key(p, s)
+    order = np.argsort(own)
+    return order[np.searchsorted(own[order], key(wanted_p, wanted_s))]
+
+
+def _extended(gid: np.ndarray, n: np.ndarray, lo: np.ndarray, rlo: np.ndarray, ahead: FmIndex, back: FmIndex, right: bool) -> tuple[np.ndarray, ...]:
+    """As _pairs(), of phrases of a word more: frequent ones extended to the right or to the left, if their other part is frequent, too."""
+    # the interval of the other part holds the longer phrase's interval in the transform that reads from there
+    inside = rlo if right else lo
+    order = np.argsort(inside)
+    owner, _, new, size, other = back.extend(rlo, n, lo) if right else ahead.extend(lo, n, rlo)
+    part = order[np.maximum(np.searchsorted(inside[order], new, side="right") - 1, 0)]
+    keep = (inside[part] <= new) & (new < inside[part] + n[part])
+    owner, part, new, size, other = owner[keep], part[keep], new[keep], size[keep], other[keep]
+    p, s = (owner, part) if right else (part, owner)
+    return gid[p], gid[s], size, *((other, new) if right else (new, other))
 
 
 def pairs(index: DataFrame, groups: int) -> DataFrame:
-    """DEALT phrases of two words. The places of their intervals are not sent along: they are the bulk, and found again from the index."""
+    """DEALT phrases of two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ahead, back, gids = _index(one := pa.table(batch.slice(i, 1)))
-                p, s, n, lo, rlo = _pairs(ahead, back, gids)
-                yield from _dealt(one["shard"][0].as_py(), groups, gids[p], gids[s], n, lo, rlo, ahead, back, False).to_batches()
+                yield from _dealt(one["shard"][0].as_py(), groups, *_pairs(ahead, back, gids), ahead, back).to_batches()
         release()
 
     return index.mapInArrow(run, DEALT)
 
 
-def longer(index: DataFrame, frequent: DataFrame, groups: int, right: bool) -> DataFrame:
-    """DEALT phrases of a word more than the frequent ones that a shard holds (of, data), extended to the right or to the left."""
+def longer(index: DataFrame, frequent: DataFrame, groups: int, depth: int) -> DataFrame:
+    """DEALT phrases of depth + 1 words. frequent: of, depth, data: the frequent phrases of two to depth words that a shard holds.
+
+    A shard grows its phrases again from its words, level by level to the right and to the left in turns, which costs less than to send along where
+    they are.
+    """
 
     def run(one: pa.Table, held: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["group", "shard", "data"])
         if not one.num_rows or not held.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["group", "shard", "data"])
+            return none
         ahead, back, gids = _index(one)
-        (p, s, gid, *rest), _ = _gathered(held["data"])
-        if rest:
-            n, lo, rlo = rest
-        else:
-            first, second, *found = _pairs(ahead, back, gids)
-            order, by_gid = np.argsort(first * len(gids) + second), np.argsort(gids)
-            place = lambda x: by_gid[np.searchsorted(gids[by_gid], x)]
-            at = order[np.searchsorted((first * len(gids) + second)[order], place(p) * len(gids) + place(s))]
-            n, lo, rlo = (c[at] for c in found)
-        # the interval of the phrase's other part holds the longer phrase's interval in the transform that reads from there
-        inside = rlo if right else lo
-        order = np.argsort(inside)
-        owner, _, new, size, other = back.extend(rlo, n, lo) if right else ahead.extend(lo, n, rlo)
-        part = order[np.maximum(np.searchsorted(inside[order], new, side="right") - 1, 0)]
-        keep = (inside[part] <= new) & (new < inside[part] + n[part])
-        owner, part, new, size, other = owner[keep], part[keep], new[keep], size[keep], other[keep]
-        p, s = (owner, part) if right else (part, owner)
-        lo, rlo = (other, new) if right else (new, other)
-        found = _dealt(one["shard"][0].as_py(), groups, gid[p], gid[s], size, lo, rlo, ahead, back, True)
+        grown = _pairs(ahead, back, gids)
+        for d in range(2, depth + 1):
+            rows = held.filter(pc.equal(held["depth"], d))
+            if not rows.num_rows:
+                return none
+            (p, s, gid), _ = _gathered(rows["data"])
+            at = _known(grown[0], grown[1], p, s)
+            grown = _extended(gid, *(c[at] for c in grown[2:]), ahead, back, right=d % 2 == 0)
+        found = _dealt(one["shard"][0].as_py(), groups, *grown, ahead, back)
         release()
         return found
 
@@ -368,7 +385,7 @@ def summed_grams(dealt: DataFrame, least: int) -> DataFrame:
     """GRAM_SUMS: phrases of at least `least` occurrences over all shards, and for each shard, packed, those that it holds."""
 
     def run(t: pa.Table) -> pa.Table:
-        (p, s, n, first, last, *places), size = _gathered(t["data"])
+        (p, s, n, first, last), size = _gathered(t["data"])
         ends = np.cumsum(size)
         # first parts travel as differences within a row
         p = np.cumsum(p)
@@ -387,7 +404,7 @@ def summed_grams(dealt: DataFrame, least: int) -> DataFrame:
             known = np.flatnonzero(mine[a:b] >= 0) + a
             if len(known):
                 shard.append(t["shard"][i].as_py())
-                data.append(pack(p[known], s[known], mine[known], *([n[known], *(c[known] for c in places)] if places else [])))
+                data.append(pack(p[known], s[known], mine[known]))
         sums = [total[often], *((total - np.add.reduceat(c[order], heads))[often] for c in (first, last))]
         at = order[heads[often]]
         found = [pa.array(c) for c in (gid[often], p[at], s[at], *sums)]
@@ -461,13 +478,14 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHA
     drop_held()
     forget(sums)
     level, groups = [words], n_groups(size[0], GRAMS_GROUP)
-    sums = stored(summed_grams(pairs(index, groups), least), "pairs")
+    grams = [stored(summed_grams(pairs(index, groups), least), "grams")]
     for depth in range(2, DEPTH + 1):
-        level.append(stored(described(sums.filter(F.col("kind") == FREQUENT), level[-1]), "phrases"))
+        level.append(stored(described(grams[-1].filter(F.col("kind") == FREQUENT), level[-1]), "phrases"))
         if depth < DEPTH:
-            more = stored(summed_grams(longer(index, of(sums), groups, right=depth % 2 == 0), least), "longer")
-        forget(sums)
-        sums = more
+            held_phrases = reduce(DataFrame.unionByName, (of(g).withColumn("depth", F.lit(d)) for d, g in enumerate(grams, 2)))
+            grams.append(stored(summed_grams(longer(index, held_phrases, groups, depth), least), "grams"))
+    for step in grams:
+        forget(step)
     drop_index()
     kept = []
     for phrases, above in zip(level[1:], [*level[2:], None], strict=True):

@@ -121,7 +121,7 @@ def test_index_is_not_shuffled_again(spark, corpus):
     """Levels read the bucketed index in place: only phrases go through an exchange."""
     name = "bucketed_index_test"
     spark.range(40).select(F.col("id").alias("shard"), *(F.lit(b"").alias(c) for c in ("bwt", "reversed", "gids"))).write.bucketBy(4, "shard").sortBy("shard").saveAsTable(name)
-    held = spark.range(9).select(F.col("id").alias("of"), F.lit(b"").alias("data"))
-    plan = collocations.longer(spark.table(name), held, 4, True)._jdf.queryExecution().executedPlan().toString()
+    held = spark.range(9).select(F.col("id").alias("of"), F.lit(2).alias("depth"), F.lit(b"").alias("data"))
+    plan = collocations.longer(spark.table(name), held, 4, 2)._jdf.queryExecution().executedPlan().toString()
     spark.sql(f"DROP TABLE {name}")
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
