@@ -9,9 +9,10 @@ the least size to open, and once opening at each piece the size of least cost pe
 can be expected to fill; finally every bin shrinks to the least permitted length that holds its contents.
 The packing of least total cost stays. The cost of a sequence is its length plus OVERHEAD tokens.
 
-pack_tokens() encodes the documents, packs their token ids (each document's end id with them), writes the sequences as Parquet and reads them
-back: every row names the bytes of its sequence by a checksum. Rows are told apart by a number of their own, so null and repeated ids keep their
-tokens. pack() takes any lengths and sequences() puts ids given as arrays together; pack_documents() packs a document's words (runs of
+pack_tokens() encodes the documents and deals their token ids (each document's end id with them) into the shards, where they are packed and put
+together: ids move once, with their pieces, so rows with null or repeated ids keep their own. The sequences are written as Parquet, each with
+the pieces it holds, and read back: every row names the bytes of its sequence by a checksum. A shard has about SHARD pieces of at most the largest
+length, which bounds a task. pack() takes any lengths and sequences() puts ids given as arrays together; pack_documents() packs a document's words (runs of
 characters other than 0x20 and 0x09-0x0D) and one end instead of token ids.
 
 Null or empty text is the end alone. Rows with null or repeated doc_id are packed as separate documents; of pieces of
@@ -97,20 +98,18 @@ def pack_shard(pieces: pd.DataFrame, lengths: tuple[int, ...]) -> pd.DataFrame:
 
 
 def pack(sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset from (row, doc_id, n_tokens), and uid where there is one."""
+    """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset from (row, doc_id, n_tokens)."""
     lengths = tuple(sorted(lengths))
     top = lengths[-1]
-    known = ["row", *(c for c in ("uid",) if c in sizes.columns)]
-    pieces = sizes.select(*known, "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
-    pieces = pieces.select(*known, "doc_id", "piece", (F.col("piece") * top).alias("first_token"), F.least(F.lit(top), F.col("n_tokens") - F.col("piece") * top).alias("n_tokens"))
+    pieces = sizes.select("row", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
+    pieces = pieces.select("row", "doc_id", "piece", (F.col("piece") * top).alias("first_token"), F.least(F.lit(top), F.col("n_tokens") - F.col("piece") * top).alias("n_tokens"))
     shards = max(1, -(-pieces.count() // shard_pieces))
     # any number of rows may lack a doc_id and be equal: these are dealt by their places in the input
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece", place), F.lit(shards)))
-    out = [*known[1:], "piece", "first_token", "n_tokens", "shard", "bin", "offset", "capacity"]
-    schema = ", ".join(f"{c} long" for c in ["doc_id", *out])
-    packed = dealt.groupBy("shard").applyInPandas(lambda g: pack_shard(g, lengths)[["doc_id", *out]].astype({"doc_id": "Int64"}), schema)
-    return packed.select(*known[1:], "doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset")
+    schema = "row long, doc_id long, piece long, first_token long, n_tokens long, shard long, bin long, offset long, capacity long"
+    packed = dealt.groupBy("shard").applyInPandas(lambda g: pack_shard(g, lengths)[["row", "doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "offset", "capacity"]], schema)
+    return packed.select("doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset")
 
 
 def sequences(placed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -145,29 +144,52 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, n_tokens long, width int, ids binary")
 
 
-def write_sequences(placed: DataFrame, tokens: DataFrame, path: str) -> None:
-    """shard, bin, capacity, width, ids: one row per bin with its ids as bytes. placed: pack() of tokens (uid, width, ids)."""
-    width = F.col("width")
-    piece = F.substring(F.col("ids"), (F.col("first_token") * width + 1).cast("int"), (F.col("n_tokens") * width).cast("int"))
-    cut = placed.join(tokens.select("uid", "width", "ids"), "uid").select("shard", "bin", "capacity", "width", F.struct("offset", piece.alias("ids")).alias("piece"))
-    bins = cut.groupBy("shard", "bin").agg(F.first("capacity").alias("capacity"), F.first("width").alias("width"), F.sort_array(F.collect_list("piece")).alias("pieces"))
-    bins.select("shard", "bin", "capacity", "width", F.aggregate("pieces", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")).write.parquet(path)
+SEQUENCES = "shard long, bin long, capacity long, width int, ids binary, pieces array<struct<doc_id: long, piece: long, first_token: long, n_tokens: long, offset: long>>"
+
+
+def packed_sequences(tokens: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD) -> DataFrame:
+    """SEQUENCES of (row, doc_id, n_tokens, width, ids): a row for each bin, its ids as bytes and where its pieces are."""
+    lengths = tuple(sorted(lengths))
+    top = lengths[-1]
+    n = tokens.agg(F.coalesce(F.sum(F.floor((F.col("n_tokens") - 1) / top) + 1), F.lit(0))).first()[0]
+    shards = max(1, -(-n // shard_pieces))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    each = tokens.select("*", place.alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / top))).alias("piece"))
+    first, width = F.col("piece") * top, F.col("width")
+    size = F.least(F.lit(top), F.col("n_tokens") - first)
+    cut = F.substring(F.col("ids"), (first * width + 1).cast("int"), (size * width).cast("int"))
+    dealt = each.select(F.pmod(F.xxhash64("row", "piece", "place"), F.lit(shards)).alias("shard"), "row", "doc_id", "piece", first.alias("first_token"), size.alias("n_tokens"), "width", cut.alias("ids"))
+
+    def pack_ids(t: pa.Table) -> pa.Table:
+        ids = t["ids"].combine_chunks()
+        meta = pd.DataFrame({c: t[c].to_numpy() for c in ("row", "piece", "first_token", "n_tokens")} | {"at": np.arange(t.num_rows)})
+        placed = pack_shard(meta, lengths).sort_values(["bin", "offset"], kind="stable")
+        at, bins = placed["at"].to_numpy(), placed["bin"].to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(bins)) + 1, len(bins)) if len(bins) else np.zeros(0, np.int64)
+        starts = np.concatenate([np.zeros(1, np.int64), ends])[: len(ends)]
+        joined = [b"".join(ids.take(pa.array(at[a:b])).to_pylist()) for a, b in zip(starts, ends, strict=True)]
+        fields = [t["doc_id"].combine_chunks().take(pa.array(at)), *(pa.array(placed[c].to_numpy(np.int64)) for c in ("piece", "first_token", "n_tokens", "offset"))]
+        pieces = pa.ListArray.from_arrays(pa.array(np.append(starts, len(bins)), pa.int32()), pa.StructArray.from_arrays(fields, ["doc_id", "piece", "first_token", "n_tokens", "offset"]))
+        same = lambda c: pa.array([t[c][0].as_py()] * len(starts), t[c].type)
+        return pa.table([same("shard"), pa.array(bins[starts]), pa.array(placed["capacity"].to_numpy(np.int64)[starts]), same("width"), pa.array(joined, pa.binary()), pieces], ["shard", "bin", "capacity", "width", "ids", "pieces"])
+
+    return dealt.groupBy("shard").applyInArrow(pack_ids, SEQUENCES)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard long, bin long, capacity long, width int, ids binary").parquet(path)
+    return spark.read.schema(SEQUENCES).parquet(path)
 
 
 def pack_tokens(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, shard, bin, capacity, offset, and of the sequence as read back from path: sequence_tokens, sequence_crc32."""
     spark = docs.sparkSession
-    tokens = stored(tokenized(docs, tokenizer).withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    placed = stored(pack(tokens.select("uid", "row", "doc_id", "n_tokens")), "placed")
     path = path or scratch(spark, "sequences")
-    write_sequences(placed, tokens, path)
+    tokens = stored(tokenized(docs, tokenizer), "tokens")
+    packed_sequences(tokens).write.parquet(path)
     forget(tokens)
-    read = read_sequences(spark, path).select("shard", "bin", (F.length("ids") / F.col("width")).cast("long").alias("sequence_tokens"), F.crc32("ids").alias("sequence_crc32"))
-    return placed.drop("uid").join(read, ["shard", "bin"]).select("doc_id", "piece", "first_token", "n_tokens", "shard", "bin", "capacity", "offset", "sequence_tokens", "sequence_crc32")
+    read = read_sequences(spark, path)
+    rows = read.select("shard", "bin", "capacity", (F.length("ids") / F.col("width")).cast("long").alias("sequence_tokens"), F.crc32("ids").alias("sequence_crc32"), F.explode("pieces").alias("p"))
+    return rows.select("p.doc_id", "p.piece", "p.first_token", "p.n_tokens", "shard", "bin", "capacity", "p.offset", "sequence_tokens", "sequence_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
