@@ -200,8 +200,21 @@ def carry_headers(rows: DataFrame, page: str = "url", order: str = "row", header
 
 
 def page_links(html: Column) -> Column:
-    """Addresses of links as they stand, in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href=\"([^\"]*)\""), F.lit(1)))
+    """Addresses of links as they stand between quotes of either kind, in order, each once."""
+    quoted = F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
+    return F.array_distinct(F.transform(quoted, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
+
+
+def _without_dots(url: Column) -> Column:
+    """An address whose path has no steps "." and "..", however many there were; steps above the root go."""
+    head = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, "^[^?#]*([?#].*)?$", 1)
+    steps = F.split(path, "/", -1)
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    folder = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    return F.when((head != "") & path.rlike("/\\.{1,2}(/|$)"), F.concat(head, F.array_join(kept, "/"), folder, tail)).otherwise(url)
 
 
 def absolute_links(html: Column, base: Column) -> Column:
@@ -213,19 +226,15 @@ def absolute_links(html: Column, base: Column) -> Column:
     bare = F.regexp_replace(base, "#.*$", "")
 
     def resolved(link: Column) -> Column:
-        # steps up and "." within the path
-        whole = (
+        return (
             F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
             .when(link.startswith("//"), F.concat(scheme, link))
-            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("/"), _without_dots(F.concat(origin, link)))
             .when(link.startswith("#"), F.concat(bare, link))
             .when(link.startswith("?"), F.concat(origin, path, link))
             .when(link == "", base)
-            .otherwise(F.concat(folder, F.regexp_replace(link, "^(\\./)+", "")))
+            .otherwise(_without_dots(F.concat(folder, link)))
         )
-        for _ in range(4):
-            whole = F.regexp_replace(whole, "(://[^/?#]+(?:/[^?#]*?)??)/[^/?#]+/\\.\\./", "$1/")
-        return whole
 
     return F.array_distinct(F.transform(F.filter(page_links(html), lambda x: x != ""), resolved))
 

@@ -38,6 +38,17 @@ def test_curriculum_and_details(spark):
     assert (rich["SE 202"].ects, rich["SE 400"].ects, rich["SE 400"].prerequisites) == (7.0, 4.5, None)
 
 
+def test_links_of_all_kinds(spark):
+    """Either quote, any number of dot segments, as the standard library resolves them."""
+    from urllib.parse import urljoin
+
+    base = "http://x.org/a/b/c/d/e/f/page.html?q=1#top"
+    links = ["../" * n + "z" for n in range(9)] + ["./y", ".", "..", "../", "a/./b/../c", "/r/../s?x=../y", "//h.org/../k", "https://o.org/a/../../b#c/../d", "?n=2", "#f", "plain", "mailto:a@b", "x/..", "deep/../../../../w/."]
+    page = "".join(f"<a class='k' href={q}{x}{q}>t</a>" for i, x in enumerate(links) for q in ("'" if i % 2 else '"'))
+    got = spark.createDataFrame([(page, base)], "html string, base string").select(html.absolute_links(F.col("html"), F.col("base")).alias("l")).first().l
+    assert got == list(dict.fromkeys(urljoin(base, x) for x in links))
+
+
 def test_curriculum_cases():
     """Defaults of headings, layouts by number of cells, electives by class, and rows that are no courses."""
     assert [html.semester_of(t) for t in ("3. Year Fall Semester", "3. Year Spring", "3. Year", "Spring", "2 year fall", "")] == [(3, 5), (3, 6), (3, 1), (1, 2), (2, 3), (1, 1)]
