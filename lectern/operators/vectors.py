@@ -35,6 +35,17 @@ def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | Non
     return best if threshold is None else best.filter(F.col("score") >= threshold)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix, read from Arrow's own buffer where nothing is missing."""
+    if not len(column):
+        return np.zeros((0, 0))
+    lists = column.combine_chunks()
+    values = lists.flatten()
+    if lists.null_count == 0 and values.null_count == 0 and len(values) % len(lists) == 0 and pc.all(pc.equal(pc.list_value_length(lists), len(values) // len(lists))).as_py():
+        return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return np.array(column.to_pylist(), np.float64)
+
+
 def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest entries of each row above -inf, falling; of equal ones the first columns."""
     n = score.shape[1]
@@ -65,7 +76,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
     def search(one: pa.Table, other: pa.Table) -> pa.Table:
         found: list[pa.Table] = []
-        matrix = np.array(one.column("q").to_pylist(), np.float64)
+        matrix = _rows(one.column("q"))
         norm = np.linalg.norm(matrix, axis=1) if len(matrix) else np.zeros(0)
         parts = [other]
         if group and other.num_rows:
@@ -76,11 +87,16 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
             if not part.num_rows or not len(matrix):
                 continue
             part = part.take(pc.sort_indices(part.column(key)))
-            v = np.array(part.column("v").to_pylist(), np.float64)
+            v = _rows(part.column("v"))
             size = np.outer(norm, np.linalg.norm(v, axis=1))
             score = np.divide(matrix @ v.T, size, out=np.zeros_like(size), where=size > 0)
             if skip_self:
-                score[np.equal.outer(np.array(one.column(query_key).to_pylist(), object), np.array(part.column(key).to_pylist(), object))] = -np.inf
+                places: dict = {}
+                for i, x in enumerate(part.column(key).to_pylist()):
+                    places.setdefault(x, []).append(i)
+                same = [(r, i) for r, x in enumerate(one.column(query_key).to_pylist()) for i in places.get(x, ())]
+                if same:
+                    score[tuple(np.array(same).T)] = -np.inf
             row, at = _best(score, k)
             columns = [one.column(query_key).take(pa.array(row)), part.column(key).take(pa.array(at)), pa.chunked_array([pa.array(score[row, at])]), *([part.column(group).take(pa.array(at))] if group else [])]
             found.append(pa.table(columns, names))
