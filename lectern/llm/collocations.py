@@ -10,7 +10,7 @@ where its words stand side by side in a piece, overlaps included; all counts are
    phrases only.
 3. Level by level, the intervals of the phrases known to be frequent are extended by a word, to the right through the reversed transform or
    to the left through the other, in turns; the interval in the other transform is kept in step. A longer phrase is kept if both its first and its
-   last words are frequent phrases. It is known by the numbers of these two. Spark deals all shards' phrases by a hash of these into groups of
+   last words are frequent phrases; pairs of words are screened by counts of hashed buckets first, of which there is one to four words. It is known by the numbers of these two. Spark deals all shards' phrases by a hash of these into groups of
    about GRAMS_GROUP, packed by shard and group; each group is summed, and those of at least `least` occurrences return to the shards that
    hold them. A phrase comes once from each shard, so no group grows with a frequent phrase. Of each phrase the index also tells how often a word of its piece
    stands before and after it.
@@ -341,17 +341,62 @@ def _extended(gid: np.ndarray, n: np.ndarray, lo: np.ndarray, rlo: np.ndarray, a
     return gid[p], gid[s], size, *((other, new) if right else (new, other))
 
 
-def pairs(index: DataFrame, groups: int) -> DataFrame:
-    """DEALT phrases of two words."""
+def _buckets(p: np.ndarray, s: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(p.astype(np.uint64) * np.uint64(BASE) + s.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def screened(index: DataFrame, groups: int, buckets: int, least: int) -> DataFrame:
+    """of, group, n, bits: which buckets of a shard's pairs of words have `least` occurrences over all shards, in order of the buckets.
+
+    A frequent pair fills its bucket alone, so the others need not be dealt by their words; a bucket's place among the shard's own takes about a byte.
+    """
+    width = -(-buckets // groups)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 ahead, back, gids = _index(one := pa.table(batch.slice(i, 1)))
-                yield from _dealt(one["shard"][0].as_py(), groups, *_pairs(ahead, back, gids), ahead, back).to_batches()
+                p, s, n, _, _ = _pairs(ahead, back, gids)
+                used, inverse = np.unique(_buckets(p, s, buckets), return_inverse=True)
+                total = np.zeros(len(used), np.int64)
+                np.add.at(total, inverse, n)
+                runs = _runs(used // width)
+                data = [pack(np.diff(used[a:b], prepend=0), total[a:b]) for _, a, b in runs]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array([one["shard"][0].as_py()] * len(runs), pa.int64()), pa.array(data, pa.binary())], ["group", "shard", "data"])
         release()
 
-    return index.mapInArrow(run, DEALT)
+    def judge(t: pa.Table) -> pa.Table:
+        total, first = np.zeros(width, np.int64), t["group"][0].as_py() * width
+        rows = []
+        for raw in t["data"]:
+            step, n = unpack(raw.as_py())
+            at = np.cumsum(step) - first
+            total[at] += n
+            rows.append(at)
+        bits = [np.packbits(total[at] >= least).tobytes() for at in rows]
+        release()
+        return pa.table([t["shard"], t["group"], pa.array([len(at) for at in rows], pa.int64()), pa.array(bits, pa.binary())], ["of", "group", "n", "bits"])
+
+    return index.mapInArrow(count, DEALT).groupBy("group").applyInArrow(judge, "of long, group long, n long, bits binary")
+
+
+def pairs(index: DataFrame, screen: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """DEALT phrases of two words, of buckets that may hold frequent ones."""
+
+    def run(one: pa.Table, held: pa.Table) -> pa.Table:
+        if not one.num_rows or not held.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["group", "shard", "data"])
+        ahead, back, gids = _index(one)
+        grown = _pairs(ahead, back, gids)
+        held = held.take(pc.sort_indices(held["group"]))
+        good = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for b, n in zip(held["bits"].to_pylist(), held["n"].to_pylist(), strict=True)])
+        _, inverse = np.unique(_buckets(grown[0], grown[1], buckets), return_inverse=True)
+        keep = good[inverse]
+        found = _dealt(one["shard"][0].as_py(), groups, *(c[keep] for c in grown), ahead, back)
+        release()
+        return found
+
+    return index.groupBy("shard").cogroup(screen.groupBy("of")).applyInArrow(run, DEALT)
 
 
 def longer(index: DataFrame, frequent: DataFrame, groups: int, depth: int) -> DataFrame:
@@ -478,7 +523,10 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST, share: int = SHA
     drop_held()
     forget(sums)
     level, groups = [words], n_groups(size[0], GRAMS_GROUP)
-    grams = [stored(summed_grams(pairs(index, groups), least), "grams")]
+    buckets = max(1 << 16, size[0] // 4)
+    screen = stored(screened(index, groups, buckets, least), "screen")
+    grams = [stored(summed_grams(pairs(index, screen, groups, buckets), least), "grams")]
+    forget(screen)
     for depth in range(2, DEPTH + 1):
         level.append(stored(described(grams[-1].filter(F.col("kind") == FREQUENT), level[-1]), "phrases"))
         if depth < DEPTH:
