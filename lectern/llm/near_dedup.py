@@ -155,8 +155,8 @@ def node_table(signed: DataFrame) -> DataFrame:
     return nodes.na.fill(False, ["again"]).withColumn("node", F.monotonically_increasing_id())
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text (and any other column of nodes) of the given nodes, each once."""
+def node_texts(docs: DataFrame, nodes: DataFrame, repeats: bool = True) -> DataFrame:
+    """node, text (and any other column of nodes) of the given nodes, each once. repeats: whether any rows repeat both an id and a text."""
     rows = texts_of(docs).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
 
     def same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +169,8 @@ def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         joined = rows.join(some, rows["_id"].eqNullSafe(some["doc_id"]) & (rows["_hash"] == some["text_hash"])).drop("_id", "_hash", "doc_id", "text_hash", "again")
         return joined.mapInArrow(same_words, joined.schema).drop("words_digest")
 
+    if not repeats:
+        return found(nodes)
     # rows that repeat both an id and a text are one again before they are shuffled
     return found(nodes.filter(~F.col("again"))).unionByName(found(nodes.filter("again")).dropDuplicates(["node"]))
 
@@ -304,7 +306,7 @@ def spanning_links(node: np.ndarray, side: np.ndarray, shingles: list[np.ndarray
     return links, count
 
 
-def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: ShingleWeights) -> DataFrame:
+def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: ShingleWeights, repeats: bool = True) -> DataFrame:
     """a, b, similarity, n: enough links to join each clump (n is 0), and the numbers n of links that its nodes have (b is null)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
@@ -323,7 +325,7 @@ def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: S
     down = F.when(F.col("last_blocks") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_blocks") - 1), lambda k: F.struct((F.col("size") - 1).alias("s"), k.alias("i"), F.lit(1).alias("d"), F.col("block").alias("j"), F.lit(1).alias("side"))))
     empty = F.array().cast("array<struct<s:int,i:bigint,d:int,j:bigint,side:int>>")
     meets = placed.select("node", "doc_id", "text_hash", "again", "words_digest", "label", F.concat(own, F.coalesce(up, empty), F.coalesce(down, empty)).alias("meets"))
-    texts = node_texts(docs, meets)
+    texts = node_texts(docs, meets, repeats)
     dealt = texts.select("node", "text", "label", F.explode("meets").alias("m")).select("node", "text", "label", "m.*")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -339,7 +341,7 @@ def clump_links(labels: DataFrame, nodes: DataFrame, docs: DataFrame, weights: S
     return dealt.groupBy("label", "s", "i", "d", "j").applyInPandas(compare, "a long, b long, similarity double, n long")
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, weights: ShingleWeights) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, weights: ShingleWeights, repeats: bool = True) -> DataFrame:
     """a, b, similarity, n: enough links between nodes to join every class; the n of its rows add up to a node's number of links. Stored."""
     keys = nodes.filter(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
@@ -350,9 +352,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, weights: ShingleWeights) -> Da
     apart = small_pairs(members, nodes).join(label_a, "a", "left").join(label_b, "b", "left").filter(~F.col("label_a").eqNullSafe(F.col("label_b")) | F.col("label_a").isNull())
     pairs = stored(apart.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = stored(node_texts(docs, nodes.select("node", "doc_id", "text_hash", "again", "words_digest").join(wanted, "node")), "texts")
+    texts = stored(node_texts(docs, nodes.select("node", "doc_id", "text_hash", "again", "words_digest").join(wanted, "node"), repeats), "texts")
     links = verified_pairs(pairs, texts, weights).withColumn("n", F.lit(1).cast("long"))
-    found = stored(links.unionByName(clump_links(labels, nodes, docs, weights)), "links")
+    found = stored(links.unionByName(clump_links(labels, nodes, docs, weights, repeats)), "links")
     for step in (members, pairs, texts):
         forget(step)
     return found
@@ -363,10 +365,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     group_size counts documents; n_links the other texts that a text of the row is linked to, in groups of any size.
     """
+    return _grouped(docs)[0]
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(near_groups(), whether any rows repeat both an id and a text)."""
     weights = shingle_weights(docs)
     signed = stored(signatures(docs, weights).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes = stored(node_table(signed), "nodes")
-    links = near_links(docs, nodes, weights)
+    repeats = not signed.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty()
+    links = near_links(docs, nodes, weights, repeats)
     labels = components(links.filter("b IS NOT NULL").select("a", "b"))
     ends = links.select(F.col("a").alias("node"), "n").unionByName(links.filter("b IS NOT NULL").select(F.col("b").alias("node"), "n")).groupBy("node").agg(F.sum("n").alias("n_links"))
     classed = nodes.select("node", "words_digest", "doc_id", "copies").join(labels, "node", "left").join(ends, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -374,12 +382,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     per_digest = classed.join(classes, "label").select("words_digest", "class_id", "group_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (F.col("keeper") == F.col("node")).alias("keeper"))
     rows = signed.select("doc_id", "text_hash", "words_digest", "row")
     least = rows.groupBy("words_digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))["row"].alias("first"))
-    return rows.join(per_digest.join(least, "words_digest"), "words_digest").select("doc_id", "text_hash", "words_digest", "class_id", "group_size", "n_links", (F.col("keeper") & (F.col("row") == F.col("first"))).alias("kept"))
+    found = rows.join(per_digest.join(least, "words_digest"), "words_digest").select("doc_id", "text_hash", "words_digest", "class_id", "group_size", "n_links", (F.col("keeper") & (F.col("row") == F.col("first"))).alias("kept"))
+    return found, repeats
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns of docs."""
-    keep = near_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"), F.col("words_digest").alias("_keep_digest"))
+    groups, repeats = _grouped(docs)
+    keep = groups.filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"), F.col("words_digest").alias("_keep_digest"))
     inner = packed(docs, "doc_id", "text")
     rows = inner.join(keep, inner["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (F.xxhash64(inner["text"]) == keep["_keep_hash"]))
     cut = rows.schema
@@ -390,7 +400,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
             digests = batch.column("_keep_digest").to_pylist()
             yield batch.filter(pa.array([hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() == d for a, b, d in zip(off[:-1], off[1:], digests, strict=True)]))
 
-    return unpacked(rows.mapInArrow(same_words, cut).dropDuplicates(["_keep_id", "_keep_digest"]), docs.columns, "doc_id", "text")
+    kept = rows.mapInArrow(same_words, cut)
+    if repeats:  # else each kept row is found once, and need not be shuffled again
+        kept = kept.dropDuplicates(["_keep_id", "_keep_digest"])
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
