@@ -62,3 +62,14 @@ def test_nothing(events):
     nulls = events.limit(3).withColumns({"user_id": F.lit(None).cast("long"), "value": F.lit(None).cast("double")})
     r = rollups.rolled_up(rollups.hourly(nulls, []), None, []).select("n", "total", rollups.distinct().alias("u")).first()
     assert (r.n, r.total, r.u) == (3, None, 0)
+
+
+def test_daily_query_with_more_users_than_counters(spark, tmp_path):
+    """The most frequent user of a day is counted right where a sketch has too few counters for all users."""
+    from lectern.plans import catalogue
+
+    # 6,000 users of a day with four rows each, one with five
+    users = np.append(np.tile(np.arange(6000), 4), 17)
+    df = pd.DataFrame({"event_id": np.arange(len(users)), "ts": pd.Timestamp("2024-03-01") + pd.to_timedelta(np.arange(len(users)) * 3, unit="s"), "user_id": users, "event_type": "view", "value": 1.0})
+    spark.createDataFrame(df).write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r[c] for c in ("day", "n", "top_count", "n_users", "users_hold", "median_holds")) for r in catalogue.queries()["daily_rollup"](spark, str(tmp_path)).collect()] == [("2024-03-01", 24001, 5, 6000, True, True)]
