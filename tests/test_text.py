@@ -94,3 +94,17 @@ def test_hash_embedding(spark):
     got = {r.id: r.embedding for r in vectors.hash_embedding(rows).collect()}
     assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-6
     assert set(got[3]) == {0.0} and set(got[4]) == {0.0}
+
+
+def test_entities_of_every_kind_equal_their_sql(spark, tmp_path):
+    """Cut, numeric, unknown and overlapping entities, against the SQL of the query."""
+    import duckdb
+
+    from lectern.plans import catalogue
+
+    texts = [None, "", "&", "&amp", "&am", "&ampx;", "&amp;amp;", "&notit;", "&#0;&#128;&#x9f&#xD800;&#11;&#99999999999999999999;", "&#x1F600;&#65b", "&x;é&eacute", "a\n&amp\n&copy2&zz&gt;="]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {tuple(r) for r in catalogue.queries()["decode_entities_nfkc"](spark, str(tmp_path)).select("page_id", "h").collect()}
+    assert got == set(con.sql(catalogue.oracle_sql()["decode_entities_nfkc"]).fetchall()) and len(got) == len(texts)
