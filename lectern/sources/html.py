@@ -1,14 +1,16 @@
-"""Course data from HTML pages. Pages become rows by mapInPandas; each page's parse is a small helper on the standard parser."""
+"""Course data from HTML pages. Pages become rows by mapInArrow; each page's parse is a small helper on the standard parser."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An open element of the first kind ends when one of the second begins.
@@ -16,17 +18,19 @@ CLOSES = {"li": {"li"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th
 
 
 class Node:
-    def __init__(self, tag: str, attrs: dict):
+    """An element. Elements stand in one list in the order in which they begin, so those inside one are the run after it."""
+
+    def __init__(self, tag: str, attrs: dict, nodes: list[Node]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.nodes, self.at, self.end = nodes, len(nodes), None
+        nodes.append(self)
 
     def all(self, tag: str | None = None, cls: str | None = None, id: str | None = None) -> list[Node]:
-        found = []
-        for c in self.children:
-            if isinstance(c, Node):
-                if (tag is None or c.tag == tag) and (cls is None or cls in (c.attrs.get("class") or "").split()) and (id is None or c.attrs.get("id") == id):
-                    found.append(c)
-                found += c.all(tag, cls, id)
-        return found
+        return [
+            n
+            for n in self.nodes[self.at + 1 : self.end]
+            if (tag is None or n.tag == tag) and (cls is None or cls in (n.attrs.get("class") or "").split()) and (id is None or n.attrs.get("id") == id)
+        ]
 
     def first(self, tag: str | None = None, cls: str | None = None, id: str | None = None) -> Node | None:
         return next(iter(self.all(tag, cls, id)), None)
@@ -39,31 +43,50 @@ class Node:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
+        self.nodes: list[Node] = []
+        self.root = Node("", {}, self.nodes)
         self.open = [self.root]
 
+    def ended(self, node: Node) -> None:
+        node.end = len(self.nodes)
+
+    def shut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.ended(self.open.pop())
+
     def handle_starttag(self, tag, attrs):
         while len(self.open) > 1 and tag in CLOSES.get(self.open[-1].tag, ()):
-            self.open.pop()
-        node = Node(tag, dict(attrs))
+            self.shut(len(self.open) - 1)
+        node = Node(tag, dict(attrs), self.nodes)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag in VOID:
+            node.end = len(self.nodes)
+        else:
             self.open.append(node)
+        return node
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
         if at:
-            del self.open[at:]
+            self.shut(at)
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def read(self, html: str | None) -> Node:
+        self.feed(html or "")
+        self.close()
+        self.shut(1)
+        return self.root
+
 
 def tree(html: str | None) -> Node:
-    parser = _Tree()
-    parser.feed(html or "")
-    parser.close()
-    return parser.root
+    return _Tree().read(html)
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages dealt to four tasks a core: parsing takes far longer than reading, so the few tasks of a small file or of a grouping would last long."""
+    return pages.select("url", "html").repartition(4 * pages.sparkSession.sparkContext.defaultParallelism, "url", "html")
 
 
 def semester_of(title: str) -> tuple[int, int]:
@@ -87,44 +110,102 @@ def _number(text: str) -> float | None:
 CURRICULUM = "url string, pos int, course_code string, course_title string, semester int, course_type string, local_credits double, ects double, href string"
 
 
+def _course(tr: Node, base: str) -> tuple | None:
+    """(code, title, local credits, ects, address) of a row, None if it is no course's."""
+    cells = tr.all("td")
+    if len(cells) < 5 or tr.first("td", cls="title") or "head" in (tr.attrs.get("class") or "").split() or tr.text().lower().startswith("total"):
+        return None
+    texts = [c.text() for c in cells]
+    link = cells[0].first("a")
+    code = re.sub(r"\s+", " ", link.text() if link else texts[0]).strip()
+    name_at, credits_at, ects_at = LAYOUTS[min(len(cells), 7)]
+    name = texts[name_at]
+    if not code or code.lower() in NO_CODES or code.startswith("POOL") or not name or name.lower() in NO_TITLES:
+        return None
+    href = urljoin(base, link.attrs["href"]) if link and link.attrs.get("href") else None
+    return code, name, _number(texts[credits_at]), _number(texts[ects_at]), href
+
+
+class _Table:
+    def __init__(self, node: Node, main: bool):
+        self.node, self.main, self.title, self.heading, self.courses = node, main, None, None, {}
+
+
+class _Curriculum(_Tree):
+    """Reads courses row by row and lets go of each row that is in no other cell, so that what is held of a page is its courses, each code of a table once."""
+
+    def __init__(self, base: str):
+        super().__init__()
+        self.base, self.tables = base, []
+
+    def handle_starttag(self, tag, attrs):
+        node = super().handle_starttag(tag, attrs)
+        kinds = (node.attrs.get("class") or "").split()
+        if tag == "table" and ("curr" in kinds or "table-bordered" in kinds):
+            self.tables.append(_Table(node, "curr" in kinds))
+        elif tag == "td" and "title" in kinds:
+            for t in self.tables:
+                if t.title is None and t.node in self.open:
+                    t.title = node
+        return node
+
+    def ended(self, node):
+        super().ended(node)
+        if node.tag != "tr" or any(n.tag == "tr" for n in self.open):
+            return
+        for tr in [node, *node.all("tr")]:
+            around = [t for t in self.tables if t.node.at < tr.at and (t.node.end is None or tr.at < t.node.end)]
+            found = _course(tr, self.base) if around else None
+            for t in around:
+                if found:
+                    t.courses.setdefault(found[0], found)
+        if not any(n.tag in ("td", "th") for n in self.open) and not any(t.node.at > node.at for t in self.tables):
+            for t in self.tables:
+                if t.title is not None and t.title.at > node.at:
+                    t.heading = t.title.text()
+            del self.nodes[node.at :]
+            self.open[-1].children.remove(node)
+
+
 def curriculum_rows(html: str | None, base: str = "") -> list[tuple]:
     """(pos, code, title, semester, type, local credits, ects, address) of the courses of a curriculum page, each code once."""
-    root = tree(html)
-    tables = root.all("table", cls="curr") or root.all("table", cls="table-bordered")
+    page = _Curriculum(base)
+    page.read(html)
+    tables = [t for t in page.tables if t.main] or page.tables
     rows, seen = [], set()
     for t in tables:
-        elective = "elective" in (t.attrs.get("class") or "").lower()
-        title = t.first("td", cls="title")
-        _, semester = semester_of(title.text() if title else "")
-        for tr in t.all("tr"):
-            cells = tr.all("td")
-            if tr.first("td", cls="title") or "head" in (tr.attrs.get("class") or "").split() or tr.text().lower().startswith("total") or len(cells) < 5:
-                continue
-            texts = [c.text() for c in cells]
-            link = cells[0].first("a")
-            code = re.sub(r"\s+", " ", link.text() if link else texts[0]).strip()
-            name_at, credits_at, ects_at = LAYOUTS[min(len(cells), 7)]
-            name = texts[name_at]
-            if not code or code.lower() in NO_CODES or code.startswith("POOL") or not name or name.lower() in NO_TITLES or code in seen:
+        elective = "elective" in (t.node.attrs.get("class") or "").lower()
+        _, semester = semester_of(t.heading if t.heading is not None else t.title.text() if t.title else "")
+        for code, name, credits, ects, href in t.courses.values():
+            if code in seen:
                 continue
             seen.add(code)
             kind = "technical_elective" if elective or code.startswith("ELEC") else "non_technical_elective" if code.startswith(("TMD", "NTE")) else "mandatory"
-            href = urljoin(base, link.attrs["href"]) if link and link.attrs.get("href") else None
-            rows.append((len(rows), code, name, semester if kind == "mandatory" else None, kind, _number(texts[credits_at]), _number(texts[ects_at]), href))
+            rows.append((len(rows), code, name, semester if kind == "mandatory" else None, kind, credits, ects, href))
     return rows
 
 
-def parse_curricula(pages: DataFrame) -> DataFrame:
-    """One row per course of each curriculum page (url, html)."""
+def _parsed(pages: DataFrame, parse: Callable, schema: str) -> DataFrame:
+    """The rows of parse(html, url) for each page. A page at a time is text and tree in Python, its rows leave as they come."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
+                rows += parse(html.as_py(), url.as_py())
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+    return _spread(pages).mapInArrow(run, schema)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(url, *r) for url, html in zip(part["url"], part["html"], strict=True) for r in curriculum_rows(html, url or "")]
-            out = pd.DataFrame(rows, columns=["url", "pos", "course_code", "course_title", "semester", "course_type", "local_credits", "ects", "href"])
-            out["semester"] = out["semester"].astype("Int32")
-            yield out
 
-    return pages.select("url", "html").mapInPandas(run, CURRICULUM)
+def parse_curricula(pages: DataFrame) -> DataFrame:
+    """One row per course of each curriculum page (url, html)."""
+    return _parsed(pages, lambda html, url: [(url, *r) for r in curriculum_rows(html, url or "")], CURRICULUM)
 
 
 DETAIL = (
@@ -175,11 +256,8 @@ def course_detail(html: str | None, url: str | None) -> tuple:
 
 
 def parse_details(pages: DataFrame) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([course_detail(h, u) for u, h in zip(part["url"], part["html"], strict=True)], columns=["url", "course_code", "course_title", "prerequisites", "local_credits", "ects", "fields", "learning_outcomes", "weekly_topics", "assessment"])
-
-    return pages.select("url", "html").mapInPandas(run, DETAIL)
+    """One row per course page (url, html)."""
+    return _parsed(pages, lambda html, url: [course_detail(html, url)], DETAIL)
 
 
 def enrich(courses: DataFrame, details: DataFrame) -> DataFrame:

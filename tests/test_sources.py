@@ -265,3 +265,20 @@ def test_host_spacing(spark, tmp_path):
     flows.run_to_end(flows.host_spacing(flows.event_stream(spark, str(folder)), 2.0), str(tmp_path / "out"), str(tmp_path / "c"))
     due = {r.url: r.due.second for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert due == {"u1": 0, "u2": 2, "u3": 0}
+
+
+def test_pages_are_parsed_in_many_tasks_and_rows_let_go(spark):
+    """One file of pages is parsed in more than one task; a long page is held as its courses, not as a tree."""
+    import tracemalloc
+
+    pages = spark.createDataFrame([(f"http://x.org/?course_code=CE+{i}", "<p id='course_name'>n</p>") for i in range(50)], "url string, html string").coalesce(1)
+    assert html.parse_details(pages).rdd.getNumPartitions() > 1 and html.parse_curricula(pages).rdd.getNumPartitions() > 1
+    assert html.parse_details(pages).select("course_code").distinct().count() == 50
+    rows = "".join(f"<tr><td><a href='/s?c={i}'>CE {i % 60}</a></td><td></td><td>n{i}</td><td>3</td><td>0</td><td>1</td><td>5</td></tr>" for i in range(3000))
+    tracemalloc.start()
+    found = html.curriculum_rows(f"<table class='curr'><tr><td class='title'>2. Year Fall</td></tr>{rows}</table>", "http://x.org/")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:4] for r in found] == [(i, f"CE {i}", f"n{i}", 3) for i in range(60)] and peak < 4_000_000
+    nested = "<table class='curr'><td class='title'>Spring<tr><td>A 1</td><td></td><td>n</td><td>1</td><td>2</td></tr><tr><td><table class='curr'><tr><td>B 1</td><td>m</td><td></td><td>3</td><td>4</td></tr></table></td></tr></table>"
+    assert [r[1] for r in html.curriculum_rows(nested)] == ["B 1 m 3 4", "B 1"]
