@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.operators import predicates, vectors
@@ -40,3 +41,16 @@ def test_stats_of_nothing(spark):
     r = vectors.retrieval_stats(hits).first()
     assert (r["count"], r.max_score, r.departments) == (0, 0.0, [])
     assert F is not None
+
+
+def test_blocks_of_several_tiles(spark):
+    """More queries than are scored at a time: the same ranks as all at once, no query finds itself."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-9, 9, (2 * vectors.QUERY_TILE + 9, 5)).astype(float)
+    v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vectors.batch_top_k(v, v.withColumnRenamed("vec_id", "query_id"), 1, skip_self=True).select("query_id", "vec_id", "score").collect()
+    length = np.linalg.norm(x, axis=1)
+    size = np.outer(length, length)
+    score = np.divide(x @ x.T, size, out=np.zeros_like(size), where=size > 0)
+    np.fill_diagonal(score, -9)
+    assert len(got) == len(x) and all(r.query_id != r.vec_id and abs(r.score - score[r.query_id].max()) < 1e-9 for r in got)
