@@ -53,8 +53,7 @@ _ASKED_MANDATORY = (
     "CASE WHEN n > 0 THEN concat(chr(10), lines) ELSE '' END)) AS h FROM g"
 )
 def answer_curriculum(spark, d):
-    rows = lookup.mandatory_lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES))
-    return rows.select("id", "semester", "department", "n", F.sha2("context", 256).alias("h"))
+    return lookup.mandatory_lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES), lambda: [F.sha2("context", 256).alias("h")])
 
 
 _ASKED_COUNTS = (
@@ -75,8 +74,7 @@ _ASKED_COUNTS = (
     "CASE WHEN n > 0 THEN concat(chr(10), chr(10), lines) ELSE '' END, CASE WHEN n > 20 THEN concat(chr(10), '... and ', n - 20, ' more') ELSE '' END) END) AS h FROM k LEFT JOIN s USING (kind, value)"
 )
 def answer_counting(spark, d):
-    rows = lookup.counting_lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES))
-    return rows.select("id", "kind", "value", "n", F.sha2("context", 256).alias("h"))
+    return lookup.counting_lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES), lambda: [F.sha2("context", 256).alias("h")])
 
 
 @query(
@@ -89,8 +87,8 @@ def answer_counting(spark, d):
 )
 def catalog_hits(spark, d):
     """What the catalog's own answers count as retrieved: every hit scores 1."""
-    rows = lookup.lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES))
-    return rows.select("id", "route", F.array_join("hits.course_code", ",").alias("codes"), F.size("hits").cast("double").alias("total_score"))
+    made = lambda: [F.array_join("hits.course_code", ",").alias("codes"), F.size("hits").cast("double").alias("total_score")]
+    return lookup.lookups(view(spark, d, QUESTIONS), view(spark, d, COURSES), made).drop("n")
 
 
 #: Each question has the hits of eight courses.

@@ -172,3 +172,14 @@ def test_pages_are_read_through_the_cache(spark, tmp_path):
 
     again = {r.url: r for r in pages.read_through(urls, path, 3, gap=0.0, attempts=1, get=broken).collect()}
     assert again["http://a.b/2"].html == "page of http://a.b/2" and again["http://bad/"].error == "offline"
+
+
+def test_answers_are_made_once_for_all_that_ask(spark):
+    """Columns made of an answer are made before it joins its questions, where they are copies otherwise."""
+    questions = spark.createDataFrame([(i, "Mandatory courses in semester 1 for software engineering" if i % 2 else "ie semester 2 mandatory") for i in range(6)], "id long, question string")
+    courses = spark.createDataFrame([(1, "se", "SE 1", "a", 6.0, "mandatory", 1), (2, "se", "SE 2", "b", 5.0, "mandatory", 1)], "pos long, department string, course_code string, course_title string, ects double, course_type string, semester int")
+    got = lookup.mandatory_lookups(questions, courses, lambda: [F.md5("context").alias("h")])
+    whole = {r.id: (r.n, r.h) for r in lookup.mandatory_lookups(questions, courses).select("id", "n", F.md5("context").alias("h")).collect()}
+    assert got.columns == ["id", "semester", "department", "n", "h"] and {r.id: (r.n, r.h) for r in got.collect()} == whole and len(whole) == 6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("md5(")
