@@ -56,3 +56,14 @@ def test_entry_has_every_query():
 
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_format_context_shows_scores(spark, sf_dir):
+    """The query's blocks have the score line, as those of its operator with scores."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import context
+
+    whole = context.contexts(catalogue._ranked_hits(spark, sf_dir), with_score=True)
+    assert whole.filter(~F.contains("context", F.lit("\nRelevance: "))).count() == 0
+    assert {tuple(r) for r in catalogue.queries()["format_context"](spark, sf_dir).collect()} == {tuple(r) for r in whole.select("query_id", F.sha2("context", 256)).collect()}
