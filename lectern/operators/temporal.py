@@ -1,7 +1,7 @@
 """Joins over time and over ranges of values: as-of, interval, range and band joins, as equi joins and windows.
 
-None of them has a nested loop in its plan: rows meet on whole buckets of time or value, so Spark hashes, sorts and, where one key is
-frequent, splits them as in any equi join.
+None of them has a nested loop in its plan: rows meet on whole buckets of time or value, so Spark hashes and sorts them as in any equi join. Buckets
+with many rows on both sides are cut into tiles of pairs (_met).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of one key that an as-of join means to keep in one slice of time.
 SLICE_ROWS = 1_000_000
+#: A key with more than TILE * TILE pairs of rows is cut into tiles of so many, TILE rows by TILE rows where it has these on both sides; tiles of a task, tasks at most.
+TILE, TASK_TILES, MOST_TASKS = 1024, 8, 20_000
 
 
 def _micros(c: Column, kind: str) -> Column:
@@ -91,6 +93,35 @@ def asof_join(
     return joined.select("_row.*", *(F.when(known, F.col(f"_match._v{i}")).alias(n) for i, n in enumerate(taken)))
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], tile: int | None = None) -> DataFrame:
+    """left and right joined on keys, which no task gets more than a few tiles of pairs of, however many rows a key has.
+
+    A key's pairs grow with the product of its rows, so few keys, or a small side that every task of the other one gets whole, leave the work to few
+    tasks. Rows of each key are counted on both sides; in heavy keys a row goes to one tile of its own side, by chance, and to all of the other,
+    so that each pair meets once. A heavy key has 2 * tile rows at least, so the table of them is short.
+    """
+    tile = tile or TILE
+    counts = [side.groupBy(*keys).agg(F.count("*").cast("double").alias(n)) for side, n in ((left, "_nl"), (right, "_nr"))]
+    heavy = counts[0].join(counts[1], keys).filter(F.col("_nl") * F.col("_nr") > tile * tile)
+    tiles = lambda own, other: F.ceil(F.col(own) / F.greatest(F.lit(tile), tile * tile / F.col(other)))
+    heavy = heavy.select(*keys, tiles("_nl", "_nr").alias("_tl"), tiles("_nr", "_nl").alias("_tr"))
+    n_tiles = heavy.agg(F.sum(F.col("_tl").cast("double") * F.col("_tr"))).first()[0]
+    if n_tiles is None:
+        return left.join(right, keys)
+    tasks = min(max(int(n_tiles) // TASK_TILES, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_TASKS)
+    met_on = [*keys, "_tl_at", "_tr_at"]
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        side = side.join(F.broadcast(heavy), keys, "left")
+        n = lambda c: F.coalesce(F.col(c), F.lit(1).cast("long"))
+        side = side.withColumn(f"{own}_at", F.floor(F.rand(1) * n(own)))
+        side = side.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0).cast("long"), n(other) - 1))).drop("_tl", "_tr")
+        return side.repartition(tasks, *met_on)
+
+    # by a shuffle of both sides: a broadcast of one leaves the pairs to the tasks that read the other
+    return dealt(left, "_tl", "_tr").hint("merge").join(dealt(right, "_tr", "_tl"), met_on).drop("_tl_at", "_tr_at")
+
+
 def _level(start: Column, end: Column, width: float) -> Column:
     """The least level whose buckets are as wide as the interval: it lies in two of them at most."""
     size = (end - start).cast("double") / F.lit(float(width))
@@ -103,7 +134,7 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     Buckets double in width from level to level, starting at `width`, in the unit of the values (seconds for times). An interval belongs to the level of
     its own length, where it lies in at most two buckets, and its shadow to every longer level that occurs on the other side. Rows meet on (keys,
     level, bucket) at the level of the longer of the two, so long intervals are not cut into many pieces and short ones never
-    meet in wide buckets. A pair that shares two buckets counts in the one where the overlap begins.
+    meet in wide buckets. A pair that shares two buckets counts in the one where the overlap begins. Full buckets are cut (_met).
 
     closed intervals touch at equal ends; else they must share more than a point, and intervals without extent overlap nothing. Intervals with a null
     or reversed end, and rows with a null key, have no pairs.
@@ -140,7 +171,7 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
             continue
         near = placed(own, native, F.col(f"{native}_level"))
         far = placed(other, shadow, upper(f"{shadow}_level", wide, strictly))
-        pairs = near.join(far, [*on, "_level", "_bucket"]).filter(touch & (F.col("_bucket") == F.greatest("_l_first", "_r_first")))
+        pairs = _met(near, far, [*on, "_level", "_bucket"]).filter(touch & (F.col("_bucket") == F.greatest("_l_first", "_r_first")))
         found.append(pairs.select(*on, "_l.*", "_r.*"))
     if not found:
         return l.join(r, on or F.lit(False)).filter(F.lit(False)).select(*on, "_l.*", "_r.*")
@@ -165,4 +196,4 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     own = F.floor(number(left, left_value) / distance)
     l = left.filter(F.col(left_value).isNotNull()).withColumns({"_x": number(left, left_value), "_bucket": F.explode(F.sequence(own - 1, own + 1))})  # noqa: E741
     r = right.filter(F.col(right_value).isNotNull()).withColumns({"_y": number(right, right_value), "_bucket": F.floor(number(right, right_value) / distance)})
-    return l.join(r, [*on, "_bucket"]).filter(F.abs(F.col("_x") - F.col("_y")) <= distance).drop("_x", "_y", "_bucket")
+    return _met(l, r, [*on, "_bucket"]).filter(F.abs(F.col("_x") - F.col("_y")) <= distance).drop("_x", "_y", "_bucket")

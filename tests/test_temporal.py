@@ -130,3 +130,31 @@ def test_band_join(spark):
     assert "NestedLoop" not in plan(joined)
     with pytest.raises(ValueError):
         temporal.band_join(a, b, "x", "y", 0)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_full_buckets_are_cut_into_tiles(spark, spans, monkeypatch, closed):
+    """Pairs of full buckets meet once however they are cut; rows that are equal in everything too."""
+    monkeypatch.setattr(temporal, "TILE", 4)
+    left, right = spans
+    a, b = (spark.createDataFrame(x.astype(object).where(x.notna(), None), ", ".join(f"{c} {'string' if c == 'k' else 'long' if len(c) == 1 else 'double'}" for c in x.columns)) for x in (left, right))
+    joined = temporal.interval_join(a, b, ("la", "lb"), ("ra", "rb"), ["k"], 1000.0, closed)
+    c = "<=" if closed else "<"
+    proper = "la <= lb AND ra <= rb" if closed else "la < lb AND ra < rb"
+    want = duckdb.sql(f'SELECT l, r FROM "left" JOIN "right" ON "left".k = "right".k AND la {c} rb AND ra {c} lb AND {proper}').fetchall()
+    assert sorted((r.l, r.r) for r in joined.collect()) == sorted(want)
+    assert "_tl_at" in plan(joined) and "NestedLoop" not in plan(joined)
+    same = spark.range(50).select(F.lit(1.0).alias("x"))
+    assert temporal.band_join(same, same.select(F.col("x").alias("y")), "x", "y", 1.0).count() == 2500
+
+
+def test_range_of_prices_is_many_tasks(spark, tmp_path):
+    """All prices lie in a few buckets: their pairs are dealt to many tasks, none with more than a few times its share."""
+    from lectern.plans import catalogue
+
+    spark.range(60_000).selectExpr("id AS p_partkey", "CAST(900 + id % 100 AS DOUBLE) AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(400).selectExpr("id AS s_suppkey", "CAST(880 + id % 130 AS DOUBLE) AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs = catalogue.queries()["range_of_prices"](spark, str(tmp_path))
+    per = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    want = sum(600 for s in range(400) for p in range(900, 1000) if 880 + s % 130 <= p <= 905 + s % 130)
+    assert sum(per) == want and len(per) >= 4 and max(per) < 0.6 * want
