@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -27,6 +28,8 @@ SHARD_ROWS, DEGREE, CANDIDATES, ENTRIES = 1 << 14, 8, 64, 10
 #: A candidate is not linked if one linked already is nearer to it by this factor than the node is.
 SLACK = 1.2
 QUERY_BLOCK = 1024
+#: Nodes whose near ones are looked for at a time: with a shard's nodes they make a matrix, of 4 MB.
+TILE = 64
 #: A walk keeps the beam it is given, or a node for each so many of the shard if that is more: a beam that stays while shards grow finds ever less.
 NODES_PER_BEAM = 52
 NONE = -1
@@ -41,13 +44,14 @@ def _nearest(unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, similarities) of the n most similar other vectors of each, by blocks of products."""
     n = min(n, len(unit) - 1)
     places, scores = np.empty((len(unit), n), np.int64), np.empty((len(unit), n), np.float32)
-    for a in range(0, len(unit), 256):
-        s = unit[a : a + 256] @ unit.T
+    for a in range(0, len(unit), TILE):
+        s = unit[a : a + TILE] @ unit.T
         s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
-        at = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.argsort(-s, axis=1)[:, :n]
-        found = np.take_along_axis(s, at, 1)
+        np.negative(s, out=s)
+        at = np.argpartition(s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.argsort(s, axis=1)[:, :n]
+        found = -np.take_along_axis(s, at, 1)
         order = np.argsort(-found, axis=1, kind="stable")
-        places[a : a + 256], scores[a : a + 256] = np.take_along_axis(at, order, 1), np.take_along_axis(found, order, 1)
+        places[a : a + TILE], scores[a : a + TILE] = np.take_along_axis(at, order, 1), np.take_along_axis(found, order, 1)
     return places, scores
 
 
@@ -138,18 +142,25 @@ def walk(queries: np.ndarray, unit: np.ndarray, edges: np.ndarray, start: np.nda
     return places, scored
 
 
-def _whole(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(places, matrix) of the vectors of the greatest length that have no null and no non-finite component."""
-    dims = max((len(v) for v in vectors if v is not None), default=0)
-    places = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == dims and None not in v], np.int64) if dims else np.zeros(0, np.int64)
-    x = np.array([vectors[i] for i in places], np.float64).reshape(len(places), dims)
+def _whole(column: pa.ChunkedArray, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, matrix) of the vectors of the given length, or the greatest one, that have no null and no non-finite component; read from Arrow's buffers."""
+    lists = column.combine_chunks()
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    dims = length.max(initial=0) if dims is None else dims
+    places = np.flatnonzero(length == dims) if dims else np.zeros(0, np.int64)
+    # nulls come as NaN
+    x = lists.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(places), dims)
     good = np.isfinite(x).all(1)
     return places[good], x[good]
 
 
 def in_whole_shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The vectors dealt into as few even partitions as hold at most about shard_rows rows each."""
-    return vectors.repartition(vectors.count() // shard_rows + 1)
+    return vectors.repartition(whole_shards(vectors, shard_rows))
+
+
+def whole_shards(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
+    return vectors.count() // shard_rows + 1
 
 
 def build_graph(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE) -> DataFrame:
@@ -165,7 +176,7 @@ def build_graph(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
             nonlocal made
             rows = pa.Table.from_batches(waiting)
             keys = rows["k"].to_pylist()
-            places, x = _whole(rows["v"].to_pylist())
+            places, x = _whole(rows["v"])
             if not len(x):
                 return None
             x, node = np.unique(x, axis=0, return_inverse=True)
@@ -194,13 +205,14 @@ def build_graph(vectors: DataFrame, key: str = "vec_id", column: str = "embeddin
     return vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v")).mapInArrow(run, schema)
 
 
-def graph_top_k(index: DataFrame, queries: DataFrame, k: int, beam: int = 32, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding") -> DataFrame:
+def graph_top_k(index: DataFrame, queries: DataFrame, k: int, beam: int = 32, key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", slots: int | None = None) -> DataFrame:
     """query_id, key, score, rank, n_scored: about the k best vectors of each query, and how many nodes were scored for it over all shards.
 
     A stated query set against all shards: shards go to slots by their number, and each block of queries meets each slot in a task
-    of its own. Ties go by key. Queries without a vector find nothing.
+    of its own. Ties go by key. Queries without a vector find nothing. slots is the number of shards, where it is known: an index that is not kept is
+    built once more to count them.
     """
-    n_blocks, n_slots = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, index.count())
+    n_blocks, n_slots = max(1, -(-queries.count() // QUERY_BLOCK)), slots or max(1, index.count())
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     asked = queries.filter(F.col(column).isNotNull()).select(query_key, F.col(column).alias("q"), dealt(query_key, n_blocks).alias("block"), every(n_slots).alias("slot"))
@@ -210,10 +222,10 @@ def graph_top_k(index: DataFrame, queries: DataFrame, k: int, beam: int = 32, ke
     types = [*map(to_arrow_type, kinds), pa.float64(), pa.int64()]
 
     def search(one: pa.Table, other: pa.Table) -> pa.Table:
-        ids, vectors = one.column(query_key).to_pylist(), one.column("q").to_pylist()
+        ids = one.column(query_key).to_pylist()
         rows: list[tuple] = []
         for shard in other.to_pylist():
-            fits, q = _whole([v if len(v) == shard["dims"] else None for v in vectors])
+            fits, q = _whole(one.column("q"), shard["dims"])
             if not len(q):
                 continue
             x = np.frombuffer(shard["vectors"], "<f8").reshape(-1, shard["dims"])

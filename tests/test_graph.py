@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,18 @@ def test_recall_holds_however_the_input_is_cut(spark, tmp_path):
     assert (r.n_queries, r.recall_holds, r.scored_few) == (120, True, True)
     v = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     assert graph.in_whole_shards(v, 4000).rdd.getNumPartitions() == 2 and graph.build_graph(graph.in_whole_shards(v, 4000), shard_rows=4000).count() == 2
+
+
+def test_a_shard_takes_bounded_memory():
+    """Reading and linking a shard: what a task holds at once is a few times the vectors, not the vectors as objects, nor a wide block of similarities."""
+    x = np.random.default_rng(2).normal(size=(8000, 64)).astype(np.float32)
+    column = pa.chunked_array([pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))])
+    tracemalloc.start()
+    places, whole = graph._whole(column)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    graph._nearest(graph._unit(whole), graph.CANDIDATES)
+    linked = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (places == np.arange(8000)).all() and (whole == x).all()
+    assert read < 15e6 and linked < 35e6
