@@ -76,3 +76,25 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "q.jsonl").write_text('{"id": "a", "question": "circuits and current", "expected_course_codes": [], "is_trap": false}\n')
     cli.main(["evaluate", str(tmp_path / "index"), str(tmp_path / "q.jsonl")])
     assert json.loads(capsys.readouterr().out)["num_questions"] == 1
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    """Repeated questions and chunks find what they would find one by one, while the search gets each distinct text and vector once."""
+    from pyspark.sql import functions as F
+
+    base = chunks(spark)
+    many = base.crossJoin(spark.range(30)).withColumn("pos", F.col("id") * 2 + F.col("pos")).withColumn("chunk_id", F.concat(F.lit("c"), F.col("pos"))).drop("id")
+    rows = [(i, "structures and circuits" if i % 2 else "trees", "se" if i % 3 == 0 else None) for i in range(1, 13)] + [(13, None, None)]
+    questions = spark.createDataFrame(rows, "id long, question string, target_department string")
+    seen = []
+    whole = vectors.batch_top_k
+    monkeypatch.setattr(vectors, "batch_top_k", lambda v, q, *a, **kw: seen.append((v.count(), q.count())) or whole(v, q, *a, **kw))
+    got = {(r.query_id, r["rank"]): (r.pos, r.score) for r in evaluation.retrieve(questions, many, 7).collect()}
+    assert seen == [(2, 3)]
+    one = vectors.embed(questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"), "target_department"))
+    scored = one.crossJoin(many.select("pos", "department", F.col("embedding").alias("v"))).filter("target_department IS NULL OR target_department = department")
+    plain = {}
+    for r in sorted(scored.select("query_id", "pos", F.round(vectors.cosine(F.col("embedding"), F.col("v")), 9).alias("s")).collect(), key=lambda r: (-r.s, r.pos)):
+        plain.setdefault(r.query_id, []).append((r.pos, r.s))
+    want = {(i, rank): hit for i, hits in plain.items() for rank, hit in enumerate([h for h in hits if h[1] >= 0][:7], 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
