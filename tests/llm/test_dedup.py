@@ -238,6 +238,32 @@ def test_lines_of_rows_that_share_a_doc_id(spark):
     assert cleaned == Counter([" ".join(base), " ".join(other), " ".join(other[:5]), "", "", "", None, None])
 
 
+def test_links_of_large_groups_of_lines_make_no_pairs(spark, monkeypatch):
+    """Links of lines that share common codes are counted in blocks: whole, and without a row for each of them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(k, " ".join([*rng.sample(base, rng.randrange(26, 31)), f"x{k % 97}"])) for k in range(220)]
+    rows += [(1000 + k, " ".join(rng.sample(base, rng.randrange(3, 7)))) for k in range(60)]
+    sets = {}
+    for d, text in rows:
+        sets.setdefault(frozenset(text.split()), d)
+    linked = {d: [e for t, e in sets.items() if e != d and 5 * len(s & t) >= 4 * len(s | t)] for s, d in sets.items()}
+    want = {d: (1, len(linked[d])) if d in linked and all(d < e for e in linked[d]) else (0, 0) for d, _ in rows}
+    assert sum(map(len, linked.values())) > 30_000  # 15,000 pairs
+    monkeypatch.setattr(line_dedup, "LIGHT", 20)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    sizes, plain = [], line_dedup.stored
+
+    def noted(df, name):
+        sizes.append((plain(df, name), name))
+        return sizes[-1][0]
+
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    got = {r.doc_id: (len(r.kept_lines), r.n_links) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+    assert max(df.count() for df, _ in sizes) < 5_000
+
+
 def test_near_link_counts(spark, monkeypatch):
     """n_links counts all linked texts, by pairs or by clumps; texts with equal words are one."""
     docs, texts = near_set(spark)
