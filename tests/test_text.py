@@ -116,3 +116,32 @@ def test_long_texts_of_several_slices(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
     got = {r.id: r._c for r in chunking.split_text(df, out="_c", size=400, overlap=50, least=10).collect()}
     assert got == {i: chunking.chunks_of(t, 400, 50, 10) for i, t in enumerate(texts)}
+
+
+def test_entities_in_two_passes_and_nfkc(spark, tmp_path):
+    """Numbers that the first pass makes are decoded, too, and the text comes out in NFKC, in query and SQL alike."""
+    import hashlib
+
+    import duckdb
+
+    from lectern.plans import catalogue
+
+    texts = {
+        "&amp;#65;&amp;#x42;&#38;amp;#67;": "AB&amp;#67;",
+        "&amp;#38;#x44;": "D",
+        "&#٦٥; &amp;#٦6;": "A B",
+        "&amp;#0;e&amp;#769;": "\0é",
+        "&amp;#x110000;&amp;#xD800;&amp;#99999999999999999999;": "���",
+        "&amp;#128;&amp;#65": "\x80&#65",
+        "a&nbsp;ﬁne&frac12;①Å": "a fine1⁄21Å",
+        "e&#769; ｶﾞ �＇": "é ガ �'",
+        "가 q̣̇ ẛ̣": "가 q̣̇ ṩ",
+    }
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts.values())}
+    assert {r.page_id: r.h for r in catalogue.queries()["decode_entities_nfkc"](spark, str(tmp_path)).collect()} == want
+    assert dict(con.sql(catalogue.oracle_sql()["decode_entities_nfkc"]).fetchall()) == want
+    row = spark.createDataFrame([("Text: &amp;#65;&amp;#x42; and more",)], "t string").select(cleaning.clean_text(F.col("t")).alias("t")).first()
+    assert row.t == "Text: AB and more"
