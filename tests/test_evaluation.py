@@ -98,3 +98,25 @@ def test_copies_are_searched_once(spark, monkeypatch):
         plain.setdefault(r.query_id, []).append((r.pos, r.s))
     want = {(i, rank): hit for i, hits in plain.items() for rank, hit in enumerate([h for h in hits if h[1] >= 0][:7], 1)}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_measures_without_copies_of_answers(spark):
+    """run_measures() gives the measures of run(): with repeated and missing codes, several expected ones or none, traps and empty answers."""
+    courses = spark.createDataFrame(
+        [(i, "se" if i % 2 else "ce", None if i % 7 == 0 else f"SE {300 + i % 5}", f"T {i} of se 30", 5.0 + i % 2, "mandatory", 5 + i % 3 // 2) for i in range(40)],
+        "pos long, department string, course_code string, course_title string, ects double, course_type string, semester int",
+    )
+    asked = ["mandatory courses in semester 5 for software engineering", "mandatory courses in semester 7 for software engineering", "How many courses have exactly 6 ECTS?", "How many courses are offered in the software engineering department?", "circuits and current"]
+    expected = [["SE 303"], ["SE 301", "SE 304", "SE 301", "XX 9"], [], None, ["SE 30", None], ["SE 201", "se 302"]]
+    rows = [(i, asked[i % 5], expected[i % 6], i % 4 == 0) for i in range(60)]
+    questions = spark.createDataFrame(rows, "id long, question string, expected_course_codes array<string>, is_trap boolean")
+    want = evaluation.measures(evaluation.run(questions, chunks(spark), courses=courses)).first().asDict()
+    got = evaluation.run_measures(questions, chunks(spark), courses=courses).first().asDict()
+    assert list(got) == list(want) and {k: (got[k], want[k]) for k in want if abs(got[k] - want[k]) > 1e-12} == {}
+    assert 0 < got["mrr"] < 1 and 0 < got["answer_completeness"] < 1
+
+
+def test_all_questions_are_measured(spark, sf_dir):
+    from lectern.plans import catalogue
+
+    assert catalogue.queries()["evaluate_measures"](spark, sf_dir).first().num_questions == spark.read.parquet(f"{sf_dir}/part.parquet").count()
